@@ -36,7 +36,7 @@ def _water(level: int) -> str:
     order = f"{part} order by w <= 0, cap / nullif(w, 0)::double, {name}"
     join = f"join a{level - 1} using ({', '.join(up)})" if up else "cross join a0"
     return f"""
-    c{level} as (select {', '.join(keys[:level])}, cap, tokens, w, share from n{level} {join}),
+    c{level} as (select {', '.join(keys[:level])}, cap, n{level}.tokens, w, share from n{level} {join}),
     f{level} as (select *, w > 0 and cap * (sum(w) over ({part}) - coalesce(sum(w) over ({order} rows between unbounded preceding and 1 preceding), 0))
         <= w * (share - coalesce(sum(cap) over ({order} rows between unbounded preceding and 1 preceding), 0)) as is_full from c{level}),
     o{level} as (select *, sum(case when is_full then 0 else w end) over ({part}) as w_open,
