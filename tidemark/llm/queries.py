@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidemark.llm import minhash, mixing, pii, quality, topk
+from tidemark.llm import minhash, mixing, pii, quality, substring, suffix, topk
 
 #: The mixture: integer weights by name at each level; a name that is not listed weighs 1.
 MIX_WEIGHTS = {"domain": {"web": 5, "books": 3, "code": 2}, "lang": {"en": 6, "de": 2, "fr": 2}, "source": {"src0": 4}}
@@ -68,6 +68,14 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_earlier(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
@@ -91,7 +99,7 @@ select query_id, rank::int as rank, vec_id, score from (select *, row_number() o
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_quality": op2_quality, "op6_minhash": op6_minhash, "op9_pii": op9_pii, "op10_topk": op10_topk}
+    return {"op1_mixing": op1_mixing, "op2_quality": op2_quality, "op3_substring": op3_substring, "op4_suffix": op4_suffix, "op6_minhash": op6_minhash, "op9_pii": op9_pii, "op10_topk": op10_topk}
 
 
 def oracle_sql() -> dict[str, str]:
