@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidemark.llm import minhash, mixing, pii, quality, substring, suffix, topk
+from tidemark.llm import minhash, mixing, pii, quality, substring, suffix, topk, warc
 
 #: The mixture: integer weights by name at each level; a name that is not listed weighs 1.
 MIX_WEIGHTS = {"domain": {"web": 5, "books": 3, "code": 2}, "lang": {"en": 6, "de": 2, "fr": 2}, "source": {"src0": 4}}
@@ -80,6 +80,20 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+#: Base32 of a SHA-1 in hex: five hex digits are four letters.
+OP7_SQL = """
+with p as (select page_id, coalesce(html, '') as body from pages),
+    d as (select page_id, strlen(body)::bigint as payload_bytes, sha1(body) as h, max(page_id) over (partition by sha1(body)) as last from p)
+select page_id, payload_bytes,
+    array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (i // 4) * 5 + 1, 5))::bigint >> (15 - 5 * (i % 4))::bigint) % 32 + 1)::bigint, 1)), '') as payload_digest,
+    case when page_id = last then 'response' else 'revisit' end as record_type, case when page_id <> last then last end as refers_to from d
+"""
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_spans(table(spark, sf_dir, "documents"))
 
@@ -99,8 +113,8 @@ select query_id, rank::int as rank, vec_id, score from (select *, row_number() o
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_quality": op2_quality, "op3_substring": op3_substring, "op4_suffix": op4_suffix, "op6_minhash": op6_minhash, "op9_pii": op9_pii, "op10_topk": op10_topk}
+    return {"op1_mixing": op1_mixing, "op2_quality": op2_quality, "op3_substring": op3_substring, "op4_suffix": op4_suffix, "op6_minhash": op6_minhash, "op7_warc": op7_warc, "op9_pii": op9_pii, "op10_topk": op10_topk}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op10_topk": OP10_SQL}
+    return {"op1_mixing": OP1_SQL, "op7_warc": OP7_SQL, "op10_topk": OP10_SQL}
