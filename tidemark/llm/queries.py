@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidemark.llm import minhash, mixing, pii, quality, substring, suffix, topk, warc
+from tidemark.llm import minhash, mixing, pieces, pii, quality, sstable, substring, suffix, topk, warc
 
 #: The mixture: integer weights by name at each level; a name that is not listed weighs 1.
 MIX_WEIGHTS = {"domain": {"web": 5, "books": 3, "code": 2}, "lang": {"en": 6, "de": 2, "fr": 2}, "source": {"src0": 4}}
@@ -76,6 +77,10 @@ def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_earlier(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
@@ -94,6 +99,10 @@ select page_id, payload_bytes,
 """
 
 
+def op8_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_spans(table(spark, sf_dir, "documents"))
 
@@ -113,7 +122,7 @@ select query_id, rank::int as rank, vec_id, score from (select *, row_number() o
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_quality": op2_quality, "op3_substring": op3_substring, "op4_suffix": op4_suffix, "op6_minhash": op6_minhash, "op7_warc": op7_warc, "op9_pii": op9_pii, "op10_topk": op10_topk}
+    return {"op1_mixing": op1_mixing, "op2_quality": op2_quality, "op3_substring": op3_substring, "op4_suffix": op4_suffix, "op5_pieces": op5_pieces, "op6_minhash": op6_minhash, "op7_warc": op7_warc, "op8_sstable": op8_sstable, "op9_pii": op9_pii, "op10_topk": op10_topk}
 
 
 def oracle_sql() -> dict[str, str]:
