@@ -8,10 +8,11 @@ corrected for lanes that agree by chance, estimates the similarity and drops
 pairs that are far off. The rest is confirmed on the full shingle sets.
 
 Not all pairs of a bucket are made. Every member meets the bucket's smallest
-member; the links found give components; members outside of their bucket's main
-component then meet a few members of it, twice; and those that are still outside
-meet every member of another component in the bucket. Pairs that are left out
-lie in one component already, so no component misses a link.
+member, and the links found give components. Where a bucket still holds several
+components, blocks of its members are compared by a longer signature, across
+components only: first each member's best partners are confirmed, then, between
+the components that remain, all pairs that pass. Pairs that are left out lie in
+one component already, so no component misses a link.
 """
 
 from __future__ import annotations
@@ -28,10 +29,8 @@ from tidemark.llm._common import materialize, mix64, text_batches
 PERMS, ROWS, BITS = 128, 4, 2
 #: A pair whose estimate is this much below the threshold (six standard errors and more) is not confirmed.
 MARGIN = 0.27
-#: Rounds in which a stray member meets this many of its bucket's main component, before it meets all.
-ROUNDS, PARTNERS = 2, 6
-#: For that last step: minima of a longer signature, its margin (six standard errors), members in a block.
-WIDE, WIDE_MARGIN, BLOCK = 1024, 0.09, 256
+#: Signature for comparing blocks of a bucket: minima, margin (five standard errors), members in a block, best partners tried first.
+WIDE, WIDE_MARGIN, BLOCK, FIRST = 2048, 0.055, 256, 4
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _LANES = 64 // BITS
 _rng = np.random.default_rng(0x5EED)
@@ -96,7 +95,7 @@ def sign(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, texts in text_batches(batch, 4_000_000):
+            for ids, texts in text_batches(batch, 2_000_000):
                 sets = shingle_sets(texts, width)
                 full = [i for i, x in enumerate(sets) if len(x)]
                 bands, packed = [None] * len(sets), [None] * len(sets)
@@ -126,26 +125,32 @@ def estimate(a: str, b: str) -> Column:
     return F.expr(f"((1 - ({apart}) / {PERMS}.0D) - {chance}) / {1 - chance}")
 
 
-def components(vertices: DataFrame, edges: DataFrame, tag: str) -> DataFrame:
-    """Smallest reachable vertex: ``vertices`` (v, c: a label so far) and ``edges`` (a, b), either way round.
+def components(labels: DataFrame, links: DataFrame, tag: str) -> DataFrame:
+    """New labels of the vertices that move: (v, d), the smallest label reachable over ``links`` (a, b).
 
-    Each round takes the least label among the neighbours and then that
-    vertex's own label, which shortens long chains; rounds end when no label
-    changes.
+    ``labels`` (v, c) has one label for each vertex so far; vertices that share
+    a label are one component. Only labels at a link take part, so the work
+    follows the links. Each round takes the least label among the neighbours and
+    then that label's own, which shortens long chains; it ends when no label changes.
     """
-    both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{tag}_edges")
-    labels = materialize(vertices, f"{tag}_0")
+    ends = links.join(labels.toDF("a", "x"), "a").join(labels.toDF("b", "y"), "b").filter("x <> y").select("x", "y")
+    both = materialize(ends.union(ends.select("y", "x")).distinct(), f"{tag}_edges")
+    now = both.select("x").distinct().select("x", F.col("x").alias("d"))
     for k in range(1, 100):
-        near = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("c").alias("near"))
-        got = near.join(labels, "v").filter("near < c").select("v", "near")
-        # what hung below the old label of a vertex moves along with it
-        moved = got.join(labels, "v").groupBy(F.col("c").alias("c")).agg(F.min("near").alias("top"))
-        new = labels.join(got, "v", "left").join(moved, "c", "left").select("v", F.least("c", F.coalesce("near", "c"), F.coalesce("top", "c")).alias("d"), "c")
+        near = both.join(now.toDF("y", "dy"), "y").groupBy("x").agg(F.min("dy").alias("near"))
+        new = now.join(near, "x", "left").select("x", "d", F.least("d", "near").alias("e"))
+        new = new.join(now.toDF("e", "top"), "e", "left").select("x", "d", F.least("e", "top").alias("e"))
         new = materialize(new, f"{tag}_{k}")
-        if new.filter("d < c").limit(1).count() == 0:
+        if new.filter("e < d").limit(1).count() == 0:
             break
-        labels = new.select("v", F.col("d").alias("c"))
-    return labels
+        now = new.select("x", F.col("e").alias("d"))
+    return labels.join(new.select(F.col("x").alias("c"), F.col("e").alias("d")), "c").select("v", "d")
+
+
+def _moved(labels: DataFrame, links: DataFrame, tag: str) -> DataFrame:
+    """``labels`` after ``links``."""
+    new = components(labels, links, tag)
+    return materialize(labels.join(new, "v", "left").select("v", F.coalesce("d", "c").alias("c")), tag)
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -173,23 +178,28 @@ def confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Da
     return left.join(full.select(F.col("doc_id").alias("b"), F.col("members").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def _block_pairs(docs: DataFrame, placed: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (s, v) of members of a bucket that lie in different components and pass a sharper estimate.
-
-    ``placed``: band, hash, v, c, n_shingles. Large buckets are cut into blocks
-    of about BLOCK members; a task compares two blocks by their signatures and
-    returns only what passes, each pair under the first band that it shares.
-    """
+def _sharp(docs: DataFrame, placed: DataFrame, reps: DataFrame, width: int) -> DataFrame:
+    """Longer signatures, and the bands, of the documents in ``placed``."""
     wanted = placed.select(F.col("v").alias("doc_id")).distinct()
 
     def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, texts in text_batches(batch, 1_000_000):
+            for ids, texts in text_batches(batch, 500_000):
                 sig = pack(minima(shingle_sets(texts, width), range(PERMS, PERMS + WIDE)))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x.tobytes() for x in sig], pa.binary())], names=["v", "sig"])
 
     sharp = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(wide, "v long, sig binary")
-    sharp = materialize(sharp.join(reps.select("v", "bands"), "v"), "wide")
+    return materialize(sharp.join(reps.select("v", "bands"), "v"), "sharp")
+
+
+def _block_pairs(placed: DataFrame, sharp: DataFrame, percent: int, best: int | None) -> DataFrame:
+    """Pairs (s, v) of members of a bucket that lie in different components and pass the longer estimate.
+
+    ``placed``: band, hash, v, c, n_shingles. Large buckets are cut into blocks
+    of about BLOCK members; a task compares two blocks by their signatures and
+    returns only what passes: each pair under the first band that it shares, and
+    with ``best`` only that many of the closest partners of a member in a block.
+    """
     blocks = placed.groupBy("band", "hash").agg(F.expr(f"(count(*) - 1) div {BLOCK} + 1").alias("g"))
     rows = placed.join(blocks, ["band", "hash"]).withColumn("x", F.pmod(F.xxhash64("v"), F.col("g")))
     rows = rows.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
@@ -200,34 +210,39 @@ def _block_pairs(docs: DataFrame, placed: DataFrame, reps: DataFrame, width: int
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out_s, out_v = [], []
-            for cell in batch.to_pylist():
-                ms, i, j = cell["ms"], cell["i"], cell["j"]
-                xs = [m for m in ms if m["x"] == i]
-                ys = xs if i == j else [m for m in ms if m["x"] == j]
-                if not xs or not ys:
-                    continue
-                get = lambda k, of: np.array([m[k] for m in of], np.int64)
-                va, vb = get("v", xs)[:, None], get("v", ys)[None, :]
-                na, nb = get("n_shingles", xs)[:, None], get("n_shingles", ys)[None, :]
-                ok = (get("c", xs)[:, None] != get("c", ys)[None, :]) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+            for row in range(batch.num_rows):
+                band, i, j = (batch.column(k)[row].as_py() for k in range(3))
+                ms = batch.column(3)[row].values
+                get = lambda k: np.asarray(ms.field(k))  # noqa: B023, E731
+                v, c, n, x = (get(k) for k in ("v", "c", "n_shingles", "x"))
+                sig = np.frombuffer(b"".join(ms.field("sig").to_pylist()), np.uint64).reshape(len(v), -1)
+                bands = np.asarray(ms.field("bands").flatten()).reshape(len(v), -1)
+                xs, ys = np.flatnonzero(x == i), np.flatnonzero(x == j)
+                ok = (c[xs][:, None] != c[ys][None, :]) & (100 * np.minimum(n[xs][:, None], n[ys][None, :]) >= percent * np.maximum(n[xs][:, None], n[ys][None, :]))
                 if i == j:
-                    ok &= va < vb
+                    ok &= v[xs][:, None] < v[ys][None, :]
                 p, q = np.nonzero(ok)
-                ba, bb = get("bands", xs), get("bands", ys)
-                sa, sb = (np.array([np.frombuffer(m["sig"], np.uint64) for m in of]) for of in (xs, ys))
-                for at in range(0, len(p), 20_000):
-                    a, b = p[at : at + 20_000], q[at : at + 20_000]
-                    first = np.argmax(ba[a] == bb[b], axis=1) == cell["band"]
+                found = []
+                for at in range(0, len(p), 4_000):
+                    a, b = xs[p[at : at + 4_000]], ys[q[at : at + 4_000]]
+                    first = np.argmax(bands[a] == bands[b], axis=1) == band
                     a, b = a[first], b[first]
-                    diff = sa[a] ^ sb[b]
+                    diff = sig[a] ^ sig[b]
+                    apart = diff.copy()
                     for s in range(1, BITS):
-                        diff |= (sa[a] ^ sb[b]) >> np.uint64(s)
-                    same = 1 - np.bitwise_count(diff & low).sum(axis=1) / WIDE
-                    near = (same - chance) / (1 - chance) >= percent / 100 - WIDE_MARGIN
-                    out_s += va[a[near], 0].tolist()
-                    out_v += vb[0, b[near]].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(out_s, pa.int64()), pa.array(out_v, pa.int64())], names=["s", "v"])
+                        apart |= diff >> np.uint64(s)
+                    like = (1 - np.bitwise_count(apart & low).sum(axis=1) / WIDE - chance) / (1 - chance)
+                    near = like >= percent / 100 - WIDE_MARGIN
+                    found.append((a[near], b[near], like[near]))
+                if found:
+                    a, b, like = (np.concatenate(z) for z in zip(*found))
+                    if best is not None and len(a):
+                        order = np.lexsort((-like, a))
+                        a, b = a[order], b[order]
+                        start = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+                        rank = np.arange(len(a)) - np.repeat(start, np.diff(np.append(start, len(a))))
+                        a, b = a[rank < best], b[rank < best]
+                    yield pa.RecordBatch.from_arrays([pa.array(v[a]), pa.array(v[b])], names=["s", "v"])
 
     return cells.select("band", "i", "j", "ms").mapInArrow(compare, "s long, v long")
 
@@ -260,26 +275,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     star = likely(members.filter("v <> first").select(F.col("first").alias("a"), F.col("v").alias("b")), "star")
     links = materialize(confirmed(docs, star, width, percent), "links")
     own = reps.select("v", F.col("v").alias("c"))
-    labels = components(own, links, "star_components")
-    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    for k in range(ROUNDS + 1):
-        # members outside of their bucket's main component
+    labels = _moved(own, links, "star_components")
+    sharp = None
+    for best in (FIRST, None):
         placed = members.select("band", "hash", "v", "n_shingles").join(labels, "v")
-        per = placed.groupBy("band", "hash", "c").agg(F.count(F.lit(1)).alias("n"))
-        main = per.groupBy("band", "hash").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-        placed = materialize(placed.join(main.drop("kinds"), ["band", "hash"]), f"placed_{k}")
-        astray = placed.filter("c <> main").select("band", "hash", F.col("v").alias("s"), F.col("c").alias("cs"), F.col("n_shingles").alias("n_a"))
-        if k < ROUNDS:
-            few = [F.min_by("v", F.xxhash64("v", F.lit(PARTNERS * k + i))) for i in range(PARTNERS)]
-            picked = placed.filter("c = main").groupBy("band", "hash").agg(F.array_distinct(F.array(*few)).alias("few"))
-            met = astray.join(picked, ["band", "hash"]).select("s", F.explode("few").alias("v"))
-        else:
-            met = _block_pairs(docs, placed, reps, width, percent)
-        pairs = met.select(F.least("v", "s").alias("a"), F.greatest("v", "s").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        more = likely(pairs, f"more_{k}")
-        if more.limit(1).count():
-            labels = components(labels, confirmed(docs, more, width, percent), f"components_{k}")
-            tried = tried.union(more)
+        mixed = placed.groupBy("band", "hash").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("band", "hash")
+        placed = materialize(placed.join(mixed, ["band", "hash"]), "placed")
+        if sharp is None:
+            sharp = _sharp(docs, placed, reps, width)
+        met = _block_pairs(placed, sharp, percent, best)
+        met = materialize(met.select(F.least("s", "v").alias("a"), F.greatest("s", "v").alias("b")).distinct(), "met")
+        if met.limit(1).count() == 0:
+            break
+        labels = _moved(labels, confirmed(docs, met, width, percent), "components")
     of_set = signed.select("set_id", "doc_id").join(classes.withColumnRenamed("v", "rep"), "set_id").select("doc_id", "rep").join(labels.select(F.col("v").alias("rep"), "c"), "rep").select("doc_id", "c")
     out = signed.select("doc_id", "n_shingles").join(of_set, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("c", "doc_id"), F.lit(True)).alias("kept"))

@@ -5,7 +5,8 @@ that component. A query walks down the lists of its dimensions (up from the end
 where its own component is negative), scores what it meets, and stops when the
 score of a fictitious vector made of the components last seen in each list is
 below its kth best score: nothing further down can beat that. The best k of all
-blocks are then ranked per query.
+blocks are then ranked per query. Queries are cut into blocks too, and those of
+a block share what they read.
 """
 
 from __future__ import annotations
@@ -23,44 +24,51 @@ BLOCK, QUERY_BLOCK, STEP = 4_096, 512, 16
 def threshold_search(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query: its id, and ids and scores of its best k rows, own id left out; ties go to smaller ids.
 
-    ``rows`` and ``queries`` hold integers. Scores are exact as long as they
-    stay below 2**53; beyond that 64-bit integer products are used.
+    ``rows`` and ``queries`` hold integers. The queries of a block read the lists
+    together: what any of them meets is scored for all that still run, and each
+    stops by its own bound. Scores are exact integers; products that may leave
+    53 bits are done in 64-bit integers.
     """
-    if not len(rows):
+    if not len(rows) or not len(queries):
         return
-    biggest = float(np.abs(rows).max(initial=0)) * float(np.abs(queries).max(initial=0)) * rows.shape[1]
-    kind = np.float64 if biggest < 2**53 else np.int64
-    data = rows.astype(kind)
-    lists = np.argsort(-rows, axis=0, kind="stable")
-    dims = np.arange(rows.shape[1])
-    for q, own in zip(queries, query_ids):
-        used = np.flatnonzero(q)
-        vec = q.astype(kind)
-        seen = ids == own
-        scores, found = np.zeros(0, kind), np.zeros(0, np.int64)
-        walk = np.where((q[used] > 0)[None, :], lists[:, used], lists[::-1, used])
-        depth, step = 0, STEP
-        while depth < len(rows):
-            reach = min(depth + step, len(rows))
-            new = np.zeros(len(rows), bool)
-            new[walk[depth:reach].ravel()] = True
-            new &= ~seen
-            if not len(used):
-                new = ~seen
-            seen |= new
-            fresh = np.flatnonzero(new)
-            scores, found = np.concatenate([scores, data[fresh] @ vec]), np.concatenate([found, fresh])
-            if not len(used):
-                break
-            if len(found) > k:
-                best = np.lexsort((ids[found], -scores))[:k]
-                scores, found = scores[best], found[best]
-            bound = (data[walk[reach - 1], dims[used]] * vec[used]).sum()
-            if len(found) >= k and scores.min() > bound:
-                break
-            depth, step = reach, step * 2
-        best = np.lexsort((ids[found], -scores))[:k]
-        yield int(own), ids[found[best]], scores[best].astype(np.int64)
+    biggest = float(np.abs(rows).max()) * float(np.abs(queries).max()) * rows.shape[1]
+    kind = np.float32 if biggest < 2**24 else np.float64 if biggest < 2**53 else np.int64
+    n = len(rows)
+    if biggest * (n + 1) >= 2**62:  # score and place no longer share an integer
+        for own, q in zip(query_ids, queries):
+            scores, other = rows @ q, np.flatnonzero(ids != own)
+            top = other[np.lexsort((ids[other], -scores[other]))[:k]]
+            yield int(own), ids[top], scores[top]
+        return
+    place = np.empty(n, np.int64)
+    place[np.lexsort((np.arange(n), ids))] = np.arange(n)  # ties go to smaller ids
+    data, vecs = rows.astype(kind), queries.astype(kind)
+    up, down = np.maximum(vecs, 0), np.minimum(vecs, 0)
+    lists = np.argsort(rows, axis=0, kind="stable")
+    seen = np.zeros(n, bool)
+    worst = -(2**62)
+    best = np.full((len(queries), min(k, n)), worst)  # score, then place, in one integer
+    live = np.arange(len(queries))
+    depth, step = 0, STEP
+    while len(live) and not seen.all():
+        depth, step = min(depth + step, n), step * 2
+        new = np.zeros(n, bool)
+        new[lists[:depth].ravel()] = True
+        new[lists[n - depth :].ravel()] = True
+        fresh = np.flatnonzero(new & ~seen)
+        seen |= new
+        scores = (vecs[live] @ data[fresh].T).astype(np.int64)
+        both = np.where(query_ids[live][:, None] == ids[fresh][None, :], worst, scores * n + (n - 1 - place[fresh])[None, :])
+        both = np.concatenate([best[live], both], axis=1)
+        best[live] = -np.partition(-both, best.shape[1] - 1, axis=1)[:, : best.shape[1]] if both.shape[1] > best.shape[1] else both
+        highest, lowest = data[lists[n - depth], np.arange(rows.shape[1])], data[lists[depth - 1], np.arange(rows.shape[1])]
+        bound = (up[live] @ highest + down[live] @ lowest).astype(np.int64)
+        kth = best[live].min(axis=1)
+        live = live[(kth == worst) | (kth // n <= bound)]
+    owner = np.argsort(place)
+    for own, row in zip(query_ids, best):
+        row = np.sort(row[row > worst])[::-1]
+        yield int(own), ids[owner[n - 1 - row % n]], row // n
 
 
 def _packed(rows: DataFrame, key: Column, name: str) -> DataFrame:
