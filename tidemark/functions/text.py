@@ -10,6 +10,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import IntegerType, LongType, StringType
 
 #: What counts as a character of normalised text, and as a token.
 NOT_TEXT = "[^0-9a-zA-Z가-힣 ]"
@@ -98,7 +99,7 @@ def answer_tag(raw: Column) -> Column:
 # -- functions for which there is no built-in form ----------------------------
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Compatibility composition, trimmed, white space squeezed. Null stays null."""
     return text.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).split()), na_action=None)
@@ -139,7 +140,7 @@ def parse_won(text: str | None) -> int | None:
     return sign * int(round(value))
 
 
-@pandas_udf("long")
+@pandas_udf(LongType())
 def won(text: pd.Series) -> pd.Series:
     """``parse_won`` of each text."""
     return pd.Series([parse_won(t) for t in text], dtype="Int64")
@@ -164,11 +165,11 @@ def edit_distance(a: Sequence, b: Sequence) -> int:
     return row[-1]
 
 
-@pandas_udf("int")
+@pandas_udf(IntegerType())
 def sequence_lcs(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([lcs_length(x if x is not None else (), y if y is not None else ()) for x, y in zip(a, b)])
 
 
-@pandas_udf("int")
+@pandas_udf(IntegerType())
 def sequence_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([edit_distance(x if x is not None else (), y if y is not None else ()) for x, y in zip(a, b)])

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tidemark.plans import histories, metrics, relations, texts
+from tidemark.plans._base import QUERIES, SQL, Query
 
-from pyspark.sql import DataFrame, SparkSession
+#: The modules whose import registers queries.
+MODULES = (relations, histories, metrics, texts)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

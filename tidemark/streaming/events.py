@@ -1,10 +1,24 @@
-"""Structured Streaming forms of the event operators; each also takes a batch table."""
+"""Structured Streaming forms of the event operators; the transformations also take a batch table."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared ``spark.checkpoint.dir``; a temporary one where that is unset (local tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def source(folder: str, name: str) -> str:
+    """A path for ``readStream`` that may be a file or a folder: written as a pattern, it is not taken for a folder."""
+    return f"{folder}/{name[:-1]}[{name[-1]}]"
 
 
 def with_event_time(df: DataFrame, ts: str = "ts", late: str = "10 minutes") -> DataFrame:
@@ -13,12 +27,17 @@ def with_event_time(df: DataFrame, ts: str = "ts", late: str = "10 minutes") ->
 
 
 def tumbling(df: DataFrame, width: str, by: Sequence[str], aggs: Sequence[Column], ts: str = "ts", slide: str | None = None) -> DataFrame:
+    """Aggregates by tumbling windows, or sliding ones with ``slide``."""
     w = F.window(ts, width, slide) if slide else F.window(ts, width)
-    return df.groupBy(w.alias("w"), *by).agg(*aggs).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *by, *[c for c in df.groupBy(w.alias("w"), *by).agg(*aggs).columns if c not in ("w", *by)])
+    return _bounds(df.groupBy(w.alias("w"), *by).agg(*aggs))
 
 
 def sessions(df: DataFrame, gap: str, by: Sequence[str], aggs: Sequence[Column], ts: str = "ts") -> DataFrame:
-    out = df.groupBy(F.session_window(ts, gap).alias("w"), *by).agg(*aggs)
+    """Aggregates by sessions that end after ``gap`` without a row."""
+    return _bounds(df.groupBy(F.session_window(ts, gap).alias("w"), *by).agg(*aggs))
+
+
+def _bounds(out: DataFrame) -> DataFrame:
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *[c for c in out.columns if c != "w"])
 
 
@@ -27,15 +46,19 @@ def deduplicated(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.dropDuplicatesWithinWatermark(list(keys)) if df.isStreaming else df.dropDuplicates(list(keys))
 
 
-def run_available(spark: SparkSession, make: Callable[[DataFrame], DataFrame], source: str, schema, checkpoint: str, mode: str = "append", name: str = "out") -> DataFrame:
-    """Run ``make`` as a stream over the Parquet files below ``source`` until all are read; the rows as a table ``name``."""
+def write_available(spark: SparkSession, make: Callable[[DataFrame], DataFrame], source: str, schema: StructType, target: str, checkpoint: str) -> None:
+    """Stream the Parquet files of ``source`` through ``make`` into a Parquet table: exactly once, and a later run goes on where this one ended."""
     stream = spark.readStream.schema(schema).parquet(source)
-    q = make(stream).writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    make(stream).writeStream.outputMode("append").format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def write_available(spark: SparkSession, make: Callable[[DataFrame], DataFrame], source: str, schema, target: str, checkpoint: str) -> None:
-    """The same into a Parquet table: exactly once, and a later run goes on where this one ended."""
-    stream = spark.readStream.schema(schema).parquet(source)
-    make(stream).writeStream.outputMode("append").format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def totals_available(spark: SparkSession, make: Callable[[DataFrame], DataFrame], source: str, schema: StructType, target: str, checkpoint: str) -> DataFrame:
+    """The same for aggregates: each batch writes the complete totals so far into a folder of its own, the last one is returned."""
+
+    def put(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{target}/batch={batch}")
+
+    stream = make(spark.readStream.schema(schema).parquet(source))
+    stream.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    every = spark.read.schema(f"batch long, {', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema)}").option("basePath", target).parquet(target)
+    return every.join(every.agg(F.max("batch").alias("batch")), "batch", "left_semi").drop("batch")
