@@ -68,11 +68,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+_powers: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
+    """base**0 .. base**(n-1) modulo 2**64; a worker keeps the longest row so far."""
+    have = _powers.get(base)
+    if have is None or len(have) < n:
+        out = np.full(max(n, 200_000), base, np.uint64)
+        out[:1] = 1
+        have = _powers[base] = np.cumprod(out, dtype=np.uint64)
+    return have[:n]
 
 
 #: Odd multipliers of the rolling hashes and their inverses modulo 2**64.

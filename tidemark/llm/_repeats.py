@@ -17,10 +17,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm._common import materialize, mix64, parts, rolling, span_hash, text_batches
+from tidemark.llm._common import materialize, mix64, parts, rolling, text_batches
 
 #: Hashes of a flush, at least, and packed arrays for each shuffle partition.
 FLUSH, PARTS = 600_000, 8
+#: Bytes of text that are hashed at a time: their arrays fit a core's cache.
+CHUNK = 100_000
 
 _PACKED = pa.schema([("part", pa.int32()), ("flush", pa.int64()), ("hashes", pa.binary()), ("numbers", pa.binary()), ("docs", pa.binary())])
 _PACKED_DDL = "part int, flush long, hashes binary, numbers binary, docs binary"
@@ -39,8 +41,9 @@ def anchors(values: np.ndarray, stop: np.ndarray, width: int, gram: int) -> tupl
     if not len(starts):
         return starts, starts, np.zeros(0, np.uint64)
     prefix = rolling(values)
-    at = np.arange(n - gram + 1)
-    grams = span_hash(prefix, at, at + gram)
+    sums, down = prefix
+    at = np.arange(n - gram + 1, dtype=np.int32)
+    grams = mix64((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])
     span = width - gram + 1
     # running minimum of (hash, place) by doubling; the left one wins ties
     low, place, reach = grams, at, 1
@@ -48,7 +51,7 @@ def anchors(values: np.ndarray, stop: np.ndarray, width: int, gram: int) -> tupl
         step = min(reach, span - reach)
         right = low[step:] < low[:-step]
         low, place, reach = np.where(right, low[step:], low[:-step]), np.where(right, place[step:], place[:-step]), reach + step
-    return starts, place[starts], low[starts]
+    return starts, place[starts].astype(np.int64), low[starts]
 
 
 def text_symbols(texts: list[bytes], by_word: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -87,16 +90,17 @@ def repeated(docs: DataFrame, hasher: Hasher, across: bool, tag: str) -> DataFra
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, k = TaskContext.get().partitionId(), 0
-        held: list[tuple[np.ndarray, np.ndarray, list]] = []
+        size, held = 0, []  # held: hashes, document of each, ids
         for batch in batches:
             at = 0
-            for ids, texts in text_batches(batch, 2_000_000):
+            for ids, texts in text_batches(batch, CHUNK):
                 more = batch.column(2).slice(at, len(ids)).to_pylist() if batch.num_columns > 2 else []
                 at += len(ids)
                 held.append((*hasher(ids, [t.encode() for t in texts], more), ids))
-                if sum(len(h) for h, _, _ in held) >= FLUSH:
+                size += len(held[-1][0])
+                if size >= FLUSH:
                     yield from flush(held, (where << 24) + k)
-                    held, k = [], k + 1
+                    size, held, k = 0, [], k + 1
         if held:
             yield from flush(held, (where << 24) + k)
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm._common import materialize, parts, text_batches
-from tidemark.llm._repeats import anchors, repeated, text_symbols
+from tidemark.llm._repeats import CHUNK, anchors, repeated, text_symbols
 
 #: Bytes of a string, and of the spans that its anchor is chosen from.
 WIDTH, GRAM = 50, 16
@@ -66,36 +66,49 @@ def double(context: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
     return name[starts]
 
 
-def settle(docs: np.ndarray, starts: np.ndarray, counts: np.ndarray, contexts: list[bytes], width: int) -> list[tuple[int, np.ndarray]]:
-    """(document, bounds) of the windows that start in a smaller document too.
+def settle(docs: np.ndarray, starts: np.ndarray, counts: np.ndarray, contexts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents, starts and ends of the byte runs whose windows start in a smaller document too.
 
     Entry i holds ``counts[i]`` windows of document ``docs[i]``, from byte
-    ``starts[i]`` on, whose bytes are ``contexts[i]``.
+    ``starts[i]`` on, whose bytes are ``contexts[i]``. Equal contexts are ranked
+    once: all but those of the smallest document that has them are gone whole.
     """
     ids: dict[bytes, int] = {}
     kind = np.fromiter((ids.setdefault(c, len(ids)) for c in contexts), np.int64, len(contexts))
     least = np.full(len(ids), np.iinfo(np.int64).max)
     np.minimum.at(least, kind, docs)
-    distinct = list(ids)
-    lens = np.fromiter(map(len, distinct), np.int64, len(distinct))
-    whole = np.frombuffer(b"".join(distinct), np.uint8)
-    begin = np.cumsum(lens) - lens
+    lens = np.fromiter(map(len, ids), np.int64, len(ids))
+    whole = np.frombuffer(b"".join(ids), np.uint8)
     wins = lens - width + 1
     first = np.cumsum(wins) - wins
-    of = np.repeat(np.arange(len(distinct)), wins)
-    place = np.arange(int(wins.sum())) - first[of] + begin[of]
+    of = np.repeat(np.arange(len(ids)), wins)
+    place = np.arange(len(of)) - first[of] + (np.cumsum(lens) - lens)[of]
     rank = double(whole, place, width)
     lowest = np.full(int(rank.max()) + 1, np.iinfo(np.int64).max)
     np.minimum.at(lowest, rank, least[of])
-    lowest = lowest[rank]  # of each window, the smallest document that has it
-    out = []
-    for i in range(len(contexts)):
-        k = kind[i]
-        gone = lowest[first[k] : first[k] + wins[k]] < docs[i]
-        if gone.any():
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-            out.append((int(docs[i]), (starts[i] + edge.reshape(-1, 2) + [0, width - 1]).astype(np.int64)))
-    return out
+    gone = lowest[rank] < least[of]  # a smaller document has the window
+    same = of[1:] == of[:-1]
+    a = np.flatnonzero(gone & ~np.append(False, gone[:-1] & same))
+    b = np.flatnonzero(gone & ~np.append(gone[1:] & same, False))
+    run_of = of[a]
+    a, b = a - first[run_of], b - first[run_of] + width
+    times = np.bincount(run_of, minlength=len(ids))
+    copy = docs > least[kind]
+    own = np.flatnonzero(~copy)
+    n = times[kind[own]]
+    at = np.arange(int(n.sum())) + np.repeat((np.cumsum(times) - times)[kind[own]] - (np.cumsum(n) - n), n)
+    own = np.repeat(own, n)
+    return np.concatenate([docs[copy], docs[own]]), np.concatenate([starts[copy], starts[own] + a[at]]), np.concatenate([starts[copy] + counts[copy] + width - 1, starts[own] + b[at]])
+
+
+def _by_document(docs: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+    """One row of packed bounds for each document."""
+    order = np.lexsort((starts, docs))
+    docs, pairs = docs[order], np.stack([starts[order], ends[order]], axis=1).astype(np.int64)
+    cuts = np.flatnonzero(np.append(True, docs[1:] != docs[:-1])) if len(docs) else np.zeros(0, np.int64)
+    offsets = np.append(cuts, len(docs)).astype(np.int32) * 16
+    runs = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(pairs.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(docs[cuts], pa.int64()), runs], names=["doc_id", "runs"])
 
 
 def earlier_strings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
@@ -114,18 +127,19 @@ def earlier_strings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Da
         held, size = [], 0
         for batch in batches:
             at = 0
-            for ids, texts in text_batches(batch, 1_000_000):
+            for ids, texts in text_batches(batch, CHUNK):
                 flagged = batch.column(2).slice(at, len(ids)).to_pylist()
                 at += len(ids)
                 raws = [t.encode() for t in texts]
                 starts, count, low, of, ends, sizes = _runs(raws, width, gram)
                 first = np.searchsorted(of, np.arange(len(ids)))
                 for i, f in enumerate(flagged):
-                    off = int(ends[i] - sizes[i])
-                    for j in first[i] + np.frombuffer(f, np.uint32):
-                        a = int(starts[j]) - off
-                        held.append((int(low[j]), raws[i][a : a + int(count[j]) + width - 1], ids[i], a))
-                        size += len(held[-1][1])
+                    j = first[i] + np.frombuffer(f, np.uint32)
+                    a = starts[j] - (ends[i] - sizes[i])
+                    b = a + count[j] + width - 1
+                    raw, doc = raws[i], ids[i]
+                    held += [(p, raw[x:y], doc, x) for p, x, y in zip(((low[j] >> np.uint64(20)) % np.uint64(n_parts)).tolist(), a.tolist(), b.tolist())]
+                    size += int((b - a).sum())
                 if size >= FLUSH:
                     yield from pack(held)
                     held, size = [], 0
@@ -140,11 +154,11 @@ def earlier_strings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Da
                 least[c] = d
         gone: dict[int, list[int]] = {}
         by: dict[int, list[tuple[int, int, bytes]]] = {}
-        for low, c, d, a in held:
+        for p, c, d, a in held:
             if d > least[c]:
                 gone.setdefault(d, []).extend((a, a + len(c)))
             else:
-                by.setdefault((low >> 20) % n_parts, []).append((d, a, c))
+                by.setdefault(p, []).append((d, a, c))
         rows = [(p, *(np.array([x[k] for x in xs], np.int64).tobytes() for k in (0, 1)), np.array([len(x[2]) for x in xs], np.int32).tobytes(), b"".join(x[2] for x in xs)) for p, xs in by.items()]
         rows += [(-1, np.array([d], np.int64).tobytes(), None, None, np.array(xs, np.int64).tobytes()) for d, xs in gone.items()]
         for k in range(0, len(rows), 2_000):
@@ -169,8 +183,7 @@ def earlier_strings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Da
         sizes = np.concatenate([np.frombuffer(r[3], np.int32) for r in held]).astype(np.int64)
         cuts = np.cumsum(sizes)
         whole = b"".join(r[4] for r in held)
-        found = settle(docs_, starts, sizes - width + 1, [whole[b - n : b] for b, n in zip(cuts.tolist(), sizes.tolist())], width)
-        return pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([x.tobytes() for _, x in found], pa.binary())], names=["doc_id", "runs"])
+        return _by_document(*settle(docs_, starts, sizes - width + 1, [whole[b - n : b] for b, n in zip(cuts.tolist(), sizes.tolist())], width))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
