@@ -30,7 +30,7 @@ PERMS, ROWS, BITS = 128, 4, 2
 #: A pair whose estimate is this much below the threshold (six standard errors and more) is not confirmed.
 MARGIN = 0.27
 #: Signature for comparing blocks of a bucket: minima, margin (five standard errors), members in a block, best partners tried first.
-WIDE, WIDE_MARGIN, BLOCK, FIRST = 2048, 0.055, 256, 4
+WIDE, WIDE_MARGIN, BLOCK, FIRST = 2048, 0.055, 1024, 4
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _LANES = 64 // BITS
 _rng = np.random.default_rng(0x5EED)
