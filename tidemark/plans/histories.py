@@ -10,7 +10,7 @@ from tidemark.plans._base import query, table
 from tidemark.streaming import events as streams
 
 _N = "select *, row_number() over (partition by user_id order by ts) as no from events"
-_HIST = F.col("user_id").cast("string").alias("entity")
+_HIST = "cast(user_id as string) as entity"
 
 
 def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +110,7 @@ def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     kinds = {"signup": "create", "purchase": "update", "view": "set_pending", "error": "clear_pending"}
     op = F.coalesce(*[F.when(F.col("event_type") == a, b) for a, b in kinds.items()], F.element_at(F.array(*map(F.lit, ("mark_stale", "archive", "needs_verification", "reactivate", "set_not_applicable"))), k % 5 + 1))
-    return table(spark, sf_dir, "events").select(_HIST, F.concat(F.lit("p"), (k % 7).cast("string")).alias("path"), op.alias("op"), F.col("value").cast("string").alias("value"), F.dayofmonth("ts").alias("month"), F.col("event_id").cast("int").alias("seq"), (k % 3).cast("string").alias("source"), "event_type")
+    return table(spark, sf_dir, "events").select(F.expr(_HIST), F.concat(F.lit("p"), (k % 7).cast("string")).alias("path"), op.alias("op"), F.col("value").cast("string").alias("value"), F.dayofmonth("ts").alias("month"), F.col("event_id").cast("int").alias("seq"), (k % 3).cast("string").alias("source"), "event_type")
 
 
 @query()
@@ -160,7 +160,7 @@ def ledger_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def hallucination_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select(_HIST, F.col("event_type").alias("event"), F.dayofmonth("ts").alias("checkpoint"), F.get_json_object("props", "$.k").cast("int").alias("anchor"))
+    rows = table(spark, sf_dir, "events").select(F.expr(_HIST), F.col("event_type").alias("event"), F.dayofmonth("ts").alias("checkpoint"), F.get_json_object("props", "$.k").cast("int").alias("anchor"))
     return align.hallucination_chains(rows)
 
 

@@ -9,11 +9,10 @@ from tidemark.plans._base import query, table
 
 #: An event's outcome and the confidence in it, for the calibration queries.
 _CONF = "select user_id, event_id, event_type, (json_extract_string(props, '$.k')::int % 101) / 100.0::double as conf, event_type = 'purchase' as hit from events"
-_K = F.get_json_object("props", "$.k").cast("int")
 
 
 def _conf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", (_K % 101 / F.lit(100.0)).alias("conf"), (F.col("event_type") == "purchase").alias("hit"))
+    return table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", (F.get_json_object("props", "$.k").cast("int") % 101 / F.lit(100.0)).alias("conf"), (F.col("event_type") == "purchase").alias("hit"))
 
 
 _ITEMS = """select user_id, count_if(event_type = 'click' and event_id % 2 = 0) as m, count_if(event_type = 'click') as p, count_if(event_id % 2 = 0 and event_type <> 'view') as g from events where event_id % 30 = 0 group by 1"""

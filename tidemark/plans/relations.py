@@ -118,10 +118,10 @@ def ordered_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.ordered_pairs(table(spark, sf_dir, "region"), "r_name").toDF("left_name", "right_name")
 
 
-@query("select l_suppkey, l_partkey, l_orderkey from (select *, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber) as r from lineitem) where r = 1")
+@query("select l_suppkey, l_partkey, l_orderkey from (select *, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey) as r from lineitem) where r = 1")
 def first_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per supplier: its first line."""
-    return joins.first_mapping(table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey", "l_linenumber"), "l_suppkey", ["l_orderkey", "l_linenumber"]).select("l_suppkey", "l_partkey", "l_orderkey")
+    return joins.first_mapping(table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey", "l_linenumber"), "l_suppkey", ["l_orderkey", "l_linenumber", "l_partkey"]).select("l_suppkey", "l_partkey", "l_orderkey")
 
 
 @query("select o_custkey, count(*) as n from orders group by 1 having count(*) > 1")
