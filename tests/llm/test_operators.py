@@ -222,6 +222,22 @@ def test_lattice_is_best_path(spark):
         assert len(got[w]) == sum(1 if p in voc.ids else len(p.encode()) for p in best[1])
 
 
+def test_pieces_of_the_library(docs, rows, spark):
+    """The ids are those of the sentencepiece library, of texts and of words in the relational fold."""
+    import sentencepiece
+
+    file = public_tokenizers.path("piece_bpe_32k.model")
+    lib, voc = sentencepiece.SentencePieceProcessor(model_file=file), pieces.load(file)
+    more = [(100, "the model is running lower  than   the others "), (101, " baaa" + " " * 70 + "x"), (102, "supercalifragilistic" * 400), (103, "a\u2581b \U0001f600\x07 字字")]
+    texts = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    texts = texts.union(spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id") + 1_000, "text"))
+    want = {r["doc_id"]: lib.encode(r["text"] or "") for r in texts.collect()}
+    assert {r["doc_id"]: r["ids"] for r in pieces.encode(texts, file, most=500).collect()} == want
+    words = sorted({pieces.MARK + w for r in texts.limit(150).collect() for w in (r["text"] or "").split(" ") if 0 < len(w) < 24})
+    got = {r["word"]: r["ids"] for r in pieces.encode_words(spark.createDataFrame([(w,) for w in words], "word string"), pieces.piece_table(spark, voc), voc).collect()}
+    assert got == {w: lib.encode(w[1:]) for w in words}
+
+
 def test_mixing(docs, rows, spark):
     got = mixing.mix(docs, queries.domain_of(F.col("source")), queries.MIX_WEIGHTS, F.expr("total * 80 div 100"), 4, 17).collect()
     total = sum(len(brute.WORD.findall(t or "")) for _, t in rows)

@@ -1,11 +1,13 @@
-"""SentencePiece encoding and decoding over a relational lattice.
+"""SentencePiece encoding and decoding with a BPE model over a relational lattice.
 
 A text becomes one string with a mark (U+2581) for each space and one in front.
 No piece goes on past the last letter before a mark, so words (a mark and what
 follows) are encoded on their own. A word's lattice has an edge for every
-substring that is a piece, and a fall-back edge of one character where there is
-none; the encoding is the path with the highest sum of piece scores (Viterbi),
-the longer last piece winning ties. Fall-back characters become byte pieces.
+substring that is a piece. Scores of a BPE model are merge ranks and are not
+summed: from single characters on, of all neighbours that make a piece together
+the pair with the highest score is merged, the leftmost of equal ones, until no
+pair makes a piece. These are the ids of the sentencepiece library. Characters
+that are no piece become byte pieces.
 
 The lattice is built with relational operations: substrings of bounded length
 are exploded, joined to the piece table, grouped by word, and folded with
@@ -19,6 +21,7 @@ to a join and back would shuffle several times the input.
 from __future__ import annotations
 
 import functools
+import heapq
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -31,6 +34,8 @@ from tidemark.llm._common import materialize, text_batches
 MARK = "▁"
 #: Frequent words that are encoded ahead, at most, and their largest length; rare words kept by a worker.
 FREQUENT, FREQUENT_LENGTH, CACHE = 65_536, 24, 250_000
+#: Longer words are merged with a heap.
+LONG = 64
 
 
 class Pieces(NamedTuple):
@@ -75,31 +80,23 @@ def encode_words(words: DataFrame, table: DataFrame, pieces: Pieces) -> DataFram
     spans = starts.select("word", "a", F.explode(F.sequence(F.lit(1), F.least(n - F.col("a"), F.lit(pieces.longest)))).alias("k"))
     spans = spans.withColumn("piece", F.substring("word", F.col("a") + 1, F.col("k")))
     edges = spans.join(F.broadcast(table), "piece", "left").filter("id is not null or k = 1")
-    edge = F.struct((F.col("a") + F.col("k")).alias("b"), "a", F.coalesce("score", F.lit(pieces.fallback)).alias("score"), F.coalesce("id", F.lit(-1)).alias("id"))
-    lattice = edges.groupBy("word").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
-
-    def step(s, e):
-        cand = F.get(s["best"], e["a"]) + e["score"]
-        fresh = F.size(s["best"]) <= e["b"]
-        back = F.struct(e["a"].alias("a"), e["id"].alias("id"))
-        better = fresh | (cand > F.get(s["best"], e["b"]))
-        best = F.when(fresh, F.concat(s["best"], F.array(cand))).otherwise(F.concat(F.slice(s["best"], F.lit(1), e["b"]), F.array(F.greatest(cand, F.get(s["best"], e["b"])))))
-        path = F.when(fresh, F.concat(s["back"], F.array(back))).when(better, F.concat(F.slice(s["back"], F.lit(1), e["b"] - 1), F.array(back))).otherwise(s["back"])
-        return F.struct(best.alias("best"), path.alias("back"))
-
-    start = F.struct(F.array(F.lit(0.0)).alias("best"), F.expr("cast(array() as array<struct<a: int, id: int>>)").alias("back"))
-    folded = lattice.select("word", F.aggregate("edges", start, step)["back"].alias("back"))
-
-    def walk(s, k):
-        at = F.get(F.col("back"), k - 1)
-        taken = F.struct(at["a"].alias("at"), F.concat(F.array(F.struct(at["a"].alias("a"), at["id"].alias("id"))), s["path"]).alias("path"))
-        return F.when(k == s["at"], taken).otherwise(s)
-
-    end = F.struct(F.length("word").alias("at"), F.expr("cast(array() as array<struct<a: int, id: int>>)").alias("path"))
-    path = folded.select("word", F.aggregate(F.sequence(F.length("word"), F.lit(1), F.lit(-1)), end, walk)["path"].alias("path"))
+    at = lambda a, k: a * (pieces.longest + 1) + k
+    edge = F.struct(at(F.col("a"), F.col("k")).alias("at"), F.struct("score", "id").alias("edge"))
+    lattice = edges.groupBy("word").agg(F.map_from_entries(F.collect_list(edge)).alias("edges"))
+    found = lambda a, b, part: F.try_element_at(F.col("edges"), at(a, b - a))[part]
+
+    def step(cuts, _):
+        pair = lambda c, i: F.struct(F.coalesce(F.when(F.get(cuts, i + 2) - c <= pieces.longest, found(c, F.get(cuts, i + 2), "score")), F.lit(float("-inf"))).alias("score"), (-i).alias("left"))
+        best = F.array_max(F.transform(F.slice(cuts, F.lit(1), F.size(cuts) - 2), pair))
+        merge = lambda p: F.when(p["score"] > float("-inf"), F.concat(F.slice(cuts, F.lit(1), 1 - p["left"]), F.slice(cuts, 3 - p["left"], F.size(cuts)))).otherwise(cuts)
+        return F.get(F.transform(F.array(best), merge), F.lit(0))
+
+    merged = lattice.select("word", "edges", F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), F.sequence(F.lit(0), n), step).alias("cuts"))
+    spelt = lambda a, i: F.struct(a.alias("a"), found(a, F.get(F.col("cuts"), i + 1), "id").alias("id"))
+    path = merged.select("word", F.transform(F.slice("cuts", F.lit(1), F.size("cuts") - 1), spelt).alias("path"))
     byte_ids = F.array(*map(F.lit, pieces.bytes_))
     as_bytes = lambda c: F.transform(F.sequence(F.lit(1), F.octet_length(c)), lambda k: F.element_at(byte_ids, F.conv(F.substring(F.hex(F.encode(c, "UTF-8")), k * 2 - 1, F.lit(2)), 16, 10).cast("int") + 1))
-    ids = F.flatten(F.transform("path", lambda p: F.when(p["id"] >= 0, F.array(p["id"])).otherwise(as_bytes(F.substring(F.col("word"), p["a"] + 1, F.lit(1))))))
+    ids = F.flatten(F.transform("path", lambda p: F.when(p["id"].isNotNull(), F.array(p["id"])).otherwise(as_bytes(F.substring(F.col("word"), p["a"] + 1, F.lit(1))))))
     return path.select("word", ids.alias("ids"))
 
 
@@ -113,30 +110,54 @@ def frequent_words(docs: DataFrame, most: int = FREQUENT) -> DataFrame:
 # -- the lattice of one word --------------------------------------------------
 
 
+def merge_long(word: str, scores: dict[str, float]) -> list[str]:
+    """The merges of ``fold_word`` with a heap of pairs, for words of any length."""
+    n = len(word)
+    part, left, right = list(word), list(range(-1, n - 1)), list(range(1, n + 1))
+    heap: list[tuple[float, int, str]] = []
+
+    def pair(a: int, b: int) -> None:
+        if a >= 0 and b < n and (s := scores.get(p := part[a] + part[b])) is not None:
+            heapq.heappush(heap, (-s, a, p))
+
+    for a in range(n - 1):
+        pair(a, a + 1)
+    while heap:
+        _, a, p = heapq.heappop(heap)
+        b = right[a]
+        if b >= n or not part[a] or part[a] + part[b] != p:
+            continue  # one of the two was merged since
+        part[a], part[b], right[a] = p, "", right[b]
+        if right[b] < n:
+            left[right[b]] = a
+        pair(left[a], a)
+        pair(a, right[a])
+    return [p for p in part if p]
+
+
 def fold_word(word: str, pieces: Pieces) -> list[int]:
     """The same encoding of a single word."""
-    n, ids, scores = len(word), pieces.ids, pieces.scores
-    best, back = [0.0] + [None] * n, [None] * (n + 1)
-    for b in range(1, n + 1):
-        top = None
-        for a in range(max(0, b - pieces.longest), b):
-            p = word[a:b]
-            s = scores.get(p)
-            if s is None:
-                if a < b - 1:
-                    continue
-                s = pieces.fallback
-            s += best[a]
-            if top is None or s > top:
-                top, back[b] = s, a
-        best[b] = top
-    out, b = [], n
-    while b:
-        a = back[b]
-        p = word[a:b]
-        out.append([ids[p]] if p in ids else [pieces.bytes_[x] for x in p.encode()])
-        b = a
-    return [i for part in reversed(out) for i in part]
+    ids, scores, none = pieces.ids, pieces.scores, float("-inf")
+    if len(word) > LONG:
+        parts = merge_long(word, scores)
+    else:
+        parts = list(word)
+        pairs = [scores.get(a + b, none) for a, b in zip(parts, parts[1:])]
+        while pairs and (top := max(pairs)) > none:
+            i = pairs.index(top)
+            parts[i : i + 2] = [p := parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = scores.get(parts[i - 1] + p, none)
+            if i < len(pairs):
+                pairs[i] = scores.get(p + parts[i + 1], none)
+    out: list[int] = []
+    for p in parts:
+        if p in ids:
+            out.append(ids[p])
+        else:
+            out += [pieces.bytes_[x] for x in p.encode()]
+    return out
 
 
 def split_marked(text: str) -> list[str]:
