@@ -65,6 +65,26 @@ def test_bands():
     assert not quality.band_verdict(prose[:9_000] + b"spam " * 4_000, z)[3]
 
 
+def test_bands_of_encoded_text():
+    """Base64 and random letters and digits are rejected from 200 bytes on, also behind the last whole chunk; prose is not."""
+    import base64
+    import string
+
+    import zstandard
+
+    z, rnd = zstandard.ZstdCompressor(level=quality.LEVEL), random.Random(6)
+    alphabet = string.ascii_letters + string.digits
+    chars = lambda n: "".join(rnd.choices(alphabet, k=n)).encode()
+    words = lambda n: b" ".join(chars(rnd.randint(3, 10)) for _ in range(n // 4))[:n]
+    for n in (200, 299, 300, 499, 500, 699, 700, 999, 1_000, 1_999, 2_000, 3_999, 4_000, 8_000, 16_000, 40_000):
+        whole = base64.b64encode(rnd.randbytes(n))[:n]
+        lines = base64.encodebytes(rnd.randbytes(n))[:n]
+        assert not any(quality.band_verdict(x, z)[3] for x in (whole, lines, chars(n), words(n)))
+    prose = " ".join("".join(rnd.choice("etaoinshrdlu") for _ in range(5)) for _ in range(3_000)).encode()
+    assert all(quality.band_verdict(prose[:n], z)[3] for n in (200, 500, 1_000, 4_096, 4_396, 8_000, 16_000))
+    assert quality.band_verdict(prose[: 2 * 4_096] + words(4_000), z)[1:] == (3, 1, False)
+
+
 def test_substring(docs, rows, spark):
     got = substring.remove_repeats(docs)
     assert of(got, "n_words", "n_removed", "kept_sha256") == brute.substring(rows)

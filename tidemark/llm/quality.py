@@ -18,10 +18,12 @@ from pyspark.sql import DataFrame
 
 from tidemark.llm._common import text_batches
 
-#: (bytes from, lowest ratio, highest ratio) of whole documents: raw bytes by compressed bytes at LEVEL.
-BANDS = ((0, 0.0, float("inf")), (200, 1.02, 4.5), (1_000, 1.15, 4.5), (4_000, 1.25, 5.5), (16_000, 1.3, 6.0))
-#: Whole chunks of CHUNK bytes: a chunk outside of (low, high) is bad, and so is a document with over CHUNK_SHARE percent bad ones.
-CHUNK, CHUNK_LOW, CHUNK_HIGH, CHUNK_SHARE = 4_096, 1.2, 8.0, 25
+#: (bytes from, lowest ratio, highest ratio) of whole documents: raw bytes by compressed bytes at LEVEL. The lowest ratios are
+#: above those of base64 and of random letters and digits, in words or not, of any length in the band (1.39 at most).
+BANDS = ((0, 0.0, float("inf")), (200, 1.18, 4.5), (300, 1.4, 4.5), (500, 1.45, 4.5), (700, 1.5, 4.5), (1_000, 1.55, 4.5), (2_000, 1.6, 4.5), (4_000, 1.6, 5.5), (16_000, 1.6, 6.0))
+#: Chunks of CHUNK bytes: one outside of (low, high) is bad, and so is a document with over CHUNK_SHARE percent of its bytes in bad ones.
+#: The rest behind the whole chunks is one, too, from CHUNK_LEAST bytes on; its lowest ratio is that of its length in BANDS.
+CHUNK, CHUNK_LOW, CHUNK_HIGH, CHUNK_SHARE, CHUNK_LEAST = 4_096, 1.6, 8.0, 25, 200
 LEVEL = 3
 WINDOW = 5
 MOST_REPEATED = 20
@@ -56,15 +58,22 @@ def repeated_words(words: list[list[bytes]], window: int = WINDOW) -> list[int]:
     return np.bincount(of[np.cumsum(cover)[:-1] > 0], minlength=len(words)).tolist()
 
 
+def band(size: int) -> tuple[float, float]:
+    """The lowest and highest ratio of a text of ``size`` bytes."""
+    return next((lo, hi) for least, lo, hi in reversed(BANDS) if size >= least)
+
+
 def band_verdict(raw: bytes, zip_: zstandard.ZstdCompressor) -> tuple[float, int, int, bool]:
-    """(ratio, whole chunks, bad chunks, verdict) of one text in UTF-8."""
+    """(ratio, chunks, bad chunks, verdict) of one text in UTF-8; a text under one whole chunk has no chunks."""
     if not raw:
         return 0.0, 0, 0, False
     ratio = len(raw) / len(zip_.compress(raw))
-    low, high = next((lo, hi) for least, lo, hi in reversed(BANDS) if len(raw) >= least)
-    chunks = [raw[i : i + CHUNK] for i in range(0, len(raw) - CHUNK + 1, CHUNK)]
-    bad = sum(not CHUNK_LOW <= CHUNK / len(zip_.compress(c)) <= CHUNK_HIGH for c in chunks)
-    return ratio, len(chunks), bad, low <= ratio <= high and 100 * bad <= CHUNK_SHARE * len(chunks)
+    low, high = band(len(raw))
+    chunks = [raw[i : i + CHUNK] for i in range(0, len(raw), CHUNK)] if len(raw) >= CHUNK else []
+    if chunks and len(chunks[-1]) < CHUNK_LEAST:
+        chunks.pop()
+    bad = [len(c) for c in chunks if not (CHUNK_LOW if len(c) == CHUNK else band(len(c))[0]) <= len(c) / len(zip_.compress(c)) <= CHUNK_HIGH]
+    return ratio, len(chunks), len(bad), low <= ratio <= high and 100 * sum(bad) <= CHUNK_SHARE * sum(map(len, chunks))
 
 
 def quality(docs: DataFrame) -> DataFrame:
