@@ -86,6 +86,20 @@ def test_alignment_is_best():
         assert score == best(0, 0) and pairs == sorted(pairs)
 
 
+def test_ledgers_have_all_events(spark):
+    """Every event is in the alignment once, and a user's month has as many pairs as the plain longest common subsequence."""
+    got = QUERIES["ledger_alignment"](spark, SF).collect()
+    sides, pairs = {}, {}
+    events = spark.read.parquet(f"{SF}/events.parquet").selectExpr("event_id", "event_type", "concat(user_id, ':', date_format(ts, 'yyyy-MM')) as item", "day(ts) % 2 as odd")
+    for r in events.orderBy("event_id").collect():
+        sides.setdefault(r["item"], ([], []))[r["odd"]].append((r["event_id"], r["event_type"]))
+    for k, part in ((0, "gold_ord"), (1, "pred_ord")):
+        assert sorted((r["item"], r[part]) for r in got if r[part] is not None) == sorted((item, i) for item, s in sides.items() for i, _ in s[k])
+    for r in got:
+        pairs[r["item"]] = pairs.get(r["item"], 0) + (r["distance"] is not None)
+    assert pairs == {item: T.lcs_length([x for _, x in a], [x for _, x in b]) for item, (a, b) in sides.items()}
+
+
 def test_join_errors(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y")], "k long, v string")
     twice = a.union(a)

@@ -153,8 +153,8 @@ def dedupe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ledger_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's ledger of even days against that of odd days."""
-    e = table(spark, sf_dir, "events").filter("event_id % 10 = 0").select(F.col("user_id").cast("string").alias("item"), F.when(F.dayofmonth("ts") % 2 == 0, "gold").otherwise("pred").alias("side"), F.col("event_id").cast("int").alias("ord"), F.col("event_type").alias("event"), F.dayofmonth("ts").alias("anchor"), F.array("props").alias("evidence"))
+    """Each user's ledger of even days against that of odd days, month by month."""
+    e = table(spark, sf_dir, "events").select(F.concat_ws(":", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM")).alias("item"), F.when(F.dayofmonth("ts") % 2 == 0, "gold").otherwise("pred").alias("side"), F.col("event_id").cast("int").alias("ord"), F.col("event_type").alias("event"), F.dayofmonth("ts").alias("anchor"), F.array("props").alias("evidence"))
     return align.align_ledgers(e)
 
 
