@@ -193,6 +193,17 @@ def test_warc(spark):
     assert warc.round_trip(pages.filter("false")).count() == 0
 
 
+def test_warc_long_urls(spark):
+    """Pages come back whatever the length of their url, also as the stored response of a revisit."""
+    made = [(1, "http://a", "<p>x</p>"), (2, "data:" + "x y" * 33_332, "<p>x</p>"), (3, "u" * 100_000, "z")]
+    pages = spark.createDataFrame(made, "page_id long, url string, html string")
+    got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.round_trip(pages).collect()}
+    assert got == {1: ("revisit", 2), 2: ("response", None), 3: ("response", None)}
+    for _, url, html in made:
+        record, end = warc.parse_record(data := warc.encode_record("r", url, html.encode()), 0)
+        assert end == len(data) and record["uri"] == url.replace(" ", "%20")
+
+
 @pytest.mark.parametrize("packed", [True, False])
 def test_salvage(packed):
     """Damage costs the record it hits; all bytes are in a record or in a gap."""

@@ -107,7 +107,7 @@ def _header(data: bytes, pos: int) -> tuple[dict[str, str], int] | None:
     """Fields of the header at ``pos`` and where its block starts."""
     if data[pos : pos + 10] not in (b"WARC/1.0\r\n", b"WARC/1.1\r\n"):
         return None
-    end = data.find(_END, pos, pos + 65_536)
+    end = data.find(_END, pos)
     if end < 0:
         return None
     fields: dict[str, str] = {}
