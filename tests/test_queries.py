@@ -100,6 +100,17 @@ def test_ledgers_have_all_events(spark):
     assert pairs == {item: T.lcs_length([x for _, x in a], [x for _, x in b]) for item, (a, b) in sides.items()}
 
 
+def test_sequences_are_whole(spark):
+    """All of a user's month is compared, and no event with itself."""
+    kinds = {}
+    events = spark.read.parquet(f"{SF}/events.parquet").selectExpr("user_id", "date_format(ts, 'yyyy-MM') as month", "event_type", "ts", "event_id")
+    for r in events.orderBy("ts", "event_id").collect():
+        kinds.setdefault((r["user_id"], r["month"]), []).append(r["event_type"])
+    want = {k: (s[: (len(s) + 1) // 2], s[(len(s) + 1) // 2 :]) for k, s in kinds.items()}
+    got = {(r["user_id"], r["month"]): (r["lcs"], r["distance"]) for r in QUERIES["sequence_distances"](spark, SF).collect()}
+    assert got == {k: (T.lcs_length(a, b), T.edit_distance(a, b)) for k, (a, b) in want.items()}
+
+
 def test_join_errors(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y")], "k long, v string")
     twice = a.union(a)

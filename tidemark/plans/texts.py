@@ -67,10 +67,12 @@ def nfkc_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def sequence_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Longest common subsequence and edit distance of a user's first and last twenty kinds of event."""
-    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_type"))), lambda x: x["event_type"]).alias("s"))
-    a, b = F.slice("s", 1, 20), F.slice("s", -F.least(F.size("s"), F.lit(20)), F.lit(20))
-    return e.select("user_id", T.sequence_lcs(a, b).alias("lcs"), T.sequence_distance(a, b).alias("distance"))
+    """Longest common subsequence and edit distance of the first and second half of a user's kinds of event, month by month."""
+    month = F.date_format("ts", "yyyy-MM").alias("month")
+    e = table(spark, sf_dir, "events").groupBy("user_id", month).agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"]).alias("s"))
+    half = F.ceil(F.size("s") / 2).cast("int")
+    a, b = F.slice("s", F.lit(1), half), F.slice("s", half + 1, F.size("s") - half)
+    return e.select("user_id", "month", T.sequence_lcs(a, b).alias("lcs"), T.sequence_distance(a, b).alias("distance"))
 
 
 _BM = """d as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[가-힣]+|[a-z]+|[0-9]+(?:[.,][0-9]+)*') as t from documents), st as (select count(*) as nd, avg(len(t)) as al from d),
