@@ -9,28 +9,32 @@ pairs that are far off. The rest is confirmed on the full shingle sets.
 
 Not all pairs of a bucket are made. Every member meets the bucket's smallest
 member, and the links found give components. Where a bucket still holds several
-components, blocks of its members are compared by a longer signature, across
-components only: first each member's best partners are confirmed, then, between
-the components that remain, all pairs that pass. Pairs that are left out lie in
-one component already, so no component misses a link.
+components, blocks of its members are compared by a longer signature, the largest
+component with the rest and the rest with itself: first each member's best
+partners are confirmed, then, between the components that remain, all pairs that
+pass. Pairs that are left out lie in one component already, so no component
+misses a link.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm._common import materialize, mix64, text_batches
+from tidemark.llm._common import materialize, mix64, small, text_batches
 
 PERMS, ROWS, BITS = 128, 4, 2
 #: A pair whose estimate is this much below the threshold (six standard errors and more) is not confirmed.
 MARGIN = 0.27
 #: Signature for comparing blocks of a bucket: minima, margin (five standard errors), members in a block, best partners tried first.
 WIDE, WIDE_MARGIN, BLOCK, FIRST = 2048, 0.055, 1024, 4
+#: Rows of three numbers that are sent to all tasks at most (beyond it both sides are dealt by key); copies from which on a class is sent.
+BROADCAST, LARGE = 500_000, 1_000
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _LANES = 64 // BITS
 _rng = np.random.default_rng(0x5EED)
@@ -38,7 +42,7 @@ _MUL = _rng.integers(0, 2**63, PERMS + WIDE, dtype=np.uint64) * np.uint64(2) + n
 _ADD = _rng.integers(0, 2**63, PERMS + WIDE, dtype=np.uint64)
 _MIXER = _rng.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-SIGNED = "doc_id long, n_shingles long, set_id binary, bands array<long>, packed array<long>"
+SIGNED = "doc_id long, h long, n_shingles long, set_id binary, bands array<long>, packed array<long>"
 
 
 def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
@@ -77,8 +81,9 @@ def minima(sets: list[np.ndarray], perms: range = range(PERMS)) -> np.ndarray:
 
 
 def _signatures(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys, which hold the number of their band, and packed low bits."""
     groups = least.reshape(len(least), -1, ROWS).astype(np.uint64)
-    bands = np.zeros(groups.shape[:2], np.uint64)
+    bands = np.tile(np.arange(groups.shape[1], dtype=np.uint64), (len(least), 1))
     for k in range(ROWS):
         bands = mix64(bands * _MIXER[k] + groups[:, :, k])
     return bands.view(np.int64), pack(least).view(np.int64)
@@ -91,10 +96,11 @@ def pack(least: np.ndarray) -> np.ndarray:
 
 
 def sign(docs: DataFrame, width: int) -> DataFrame:
-    """Set size, set identity, band hashes and packed low bits of every document; empty sets have nulls."""
+    """Set size, set identity, band keys and packed low bits of every document; empty sets have nulls."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            at = 0
             for ids, texts in text_batches(batch, 2_000_000):
                 sets = shingle_sets(texts, width)
                 full = [i for i, x in enumerate(sets) if len(x)]
@@ -105,11 +111,17 @@ def sign(docs: DataFrame, width: int) -> DataFrame:
                 names = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets]
                 longs = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(names, pa.binary()), pa.array(bands, longs), pa.array(packed, longs)],
-                    names=["doc_id", "n_shingles", "set_id", "bands", "packed"],
+                    [pa.array(ids, pa.int64()), batch.column(2).slice(at, len(ids)), pa.array(map(len, sets), pa.int64()), pa.array(names, pa.binary()), pa.array(bands, longs), pa.array(packed, longs)],
+                    names=["doc_id", "h", "n_shingles", "set_id", "bands", "packed"],
                 )
+                at += len(ids)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SIGNED)
+    return _keyed(docs).select("doc_id", "text", "h").mapInArrow(run, SIGNED)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and h, a hash of the text: it tells rows with one id apart, and equal rows share both."""
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
 
 
 def estimate(a: str, b: str) -> Column:
@@ -136,7 +148,7 @@ def components(labels: DataFrame, links: DataFrame, tag: str) -> DataFrame:
     ends = links.join(labels.toDF("a", "x"), "a").join(labels.toDF("b", "y"), "b").filter("x <> y").select("x", "y")
     both = materialize(ends.union(ends.select("y", "x")).distinct(), f"{tag}_edges")
     now = both.select("x").distinct().select("x", F.col("x").alias("d"))
-    for k in range(1, 100):
+    for k in itertools.count(1):
         near = both.join(now.toDF("y", "dy"), "y").groupBy("x").agg(F.min("dy").alias("near"))
         new = now.join(near, "x", "left").select("x", "d", F.least("d", "near").alias("e"))
         new = new.join(now.toDF("e", "top"), "e", "left").select("x", "d", F.least("e", "top").alias("e"))
@@ -153,16 +165,23 @@ def _moved(labels: DataFrame, links: DataFrame, tag: str) -> DataFrame:
     return materialize(labels.join(new, "v", "left").select("v", F.coalesce("d", "c").alias("c")), tag)
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of document ids whose shingle sets share ``percent`` of their union."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+def _candidates(docs: DataFrame, wanted: DataFrame, repeated: bool, width: int) -> DataFrame:
+    """(v, members): the packed shingle sets of the classes in ``wanted`` (v, doc_id, h), made in one pass over the texts."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, texts in text_batches(batch, 4_000_000):
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x.tobytes() for x in shingle_sets(texts, width)], pa.binary())], names=["doc_id", "members"])
+            for vs, texts in text_batches(batch, 4_000_000):
+                yield pa.RecordBatch.from_arrays([pa.array(vs, pa.int64()), pa.array([x.tobytes() for x in shingle_sets(texts, width)], pa.binary())], names=["v", "members"])
+
+    rows = _keyed(docs).join(small(wanted, BROADCAST), ["doc_id", "h"])
+    rows = rows.groupBy("v").agg(F.first("text").alias("text")) if repeated else rows.select("v", "text")
+    return materialize(rows.mapInArrow(sets, "v long, members binary"), "sets")
 
-    full = materialize(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, members binary"), "sets")
+
+def confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose shingle sets share ``percent`` of their union."""
+    wanted = pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct()
+    full = sets.join(small(wanted, BROADCAST), "v", "left_semi")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,59 +193,73 @@ def confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Da
                 fine.append(100 * both >= percent * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(fine, pa.bool_()))
 
-    left = pairs.join(full.select(F.col("doc_id").alias("a"), F.col("members").alias("x")), "a")
-    return left.join(full.select(F.col("doc_id").alias("b"), F.col("members").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    left = pairs.join(full.select(F.col("v").alias("a"), F.col("members").alias("x")), "a")
+    return left.join(full.select(F.col("v").alias("b"), F.col("members").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def _sharp(docs: DataFrame, placed: DataFrame, reps: DataFrame, width: int) -> DataFrame:
-    """Longer signatures, and the bands, of the documents in ``placed``."""
-    wanted = placed.select(F.col("v").alias("doc_id")).distinct()
+def _sharp(sets: DataFrame, placed: DataFrame) -> DataFrame:
+    """Longer signatures of the classes in ``placed``."""
 
     def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, texts in text_batches(batch, 500_000):
-                sig = pack(minima(shingle_sets(texts, width), range(PERMS, PERMS + WIDE)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x.tobytes() for x in sig], pa.binary())], names=["v", "sig"])
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                sig = pack(minima([np.frombuffer(x, np.uint64) for x in part.column(1).to_pylist()], range(PERMS, PERMS + WIDE)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in sig], pa.binary())], names=["v", "sig"])
+
+    return materialize(sets.join(small(placed.select("v").distinct(), BROADCAST), "v", "left_semi").mapInArrow(wide, "v long, sig binary"), "sharp")
 
-    sharp = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(wide, "v long, sig binary")
-    return materialize(sharp.join(reps.select("v", "bands"), "v"), "sharp")
+
+def _mixed(placed: DataFrame) -> DataFrame:
+    """Buckets that hold several components: k, the component with most members, and block counts of it and of the rest."""
+    comps = placed.groupBy("k", "c").agg(F.count(F.lit(1)).alias("n"))
+    out = comps.groupBy("k").agg(F.max_by("c", F.struct("n", "c")).alias("top"), F.max("n").alias("n_top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("comps"))
+    return out.filter("comps > 1").select("k", "top", F.expr(f"(n_top - 1) div {BLOCK} + 1").alias("g_top"), F.expr(f"(n - n_top - 1) div {BLOCK} + 1").alias("g_rest"))
 
 
 def _block_pairs(placed: DataFrame, sharp: DataFrame, percent: int, best: int | None) -> DataFrame:
     """Pairs (s, v) of members of a bucket that lie in different components and pass the longer estimate.
 
-    ``placed``: band, hash, v, c, n_shingles. Large buckets are cut into blocks
-    of about BLOCK members; a task compares two blocks by their signatures and
-    returns only what passes: each pair under the first band that it shares, and
-    with ``best`` only that many of the closest partners of a member in a block.
+    ``placed``: k, v, c, n_shingles and the columns of ``_mixed``. The members of
+    a bucket's largest component meet those outside of it, and these meet each
+    other, so what the largest component shares is never compared. Both kinds are
+    cut into blocks of about BLOCK members; a task compares two blocks by their
+    signatures and returns only what passes, with ``best`` only that many of the
+    closest partners of a member in a block. A pair may come from several buckets.
     """
-    blocks = placed.groupBy("band", "hash").agg(F.expr(f"(count(*) - 1) div {BLOCK} + 1").alias("g"))
-    rows = placed.join(blocks, ["band", "hash"]).withColumn("x", F.pmod(F.xxhash64("v"), F.col("g")))
-    rows = rows.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
-    rows = rows.join(sharp, "v").select("band", "hash", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), F.struct("v", "c", "n_shingles", "x", "sig", "bands").alias("m"))
-    cells = rows.groupBy("band", "hash", "i", "j").agg(F.collect_list("m").alias("ms"))
+    x = F.pmod(F.xxhash64("v"), F.when(F.col("c") == F.col("top"), F.col("g_top")).otherwise(F.col("g_rest")))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    # kind 0: block i of the rest with block j of the largest component (for j = 0 also with itself); kind 1: two blocks of the rest
+    at_top = F.transform(upto("g_rest"), lambda i: cell(0, i, F.col("x")))
+    others = F.filter(upto("g_rest"), lambda y: y != F.col("x"))
+    at_rest = F.concat(F.transform(upto("g_top"), lambda j: cell(0, F.col("x"), j)), F.transform(others, lambda y: cell(1, F.least(F.col("x"), y), F.greatest(F.col("x"), y))))
+    rows = placed.withColumn("x", x).withColumn("cell", F.explode(F.when(F.col("c") == F.col("top"), at_top).otherwise(at_rest)))
+    rows = rows.join(sharp, "v").select("k", "cell", F.struct("v", "c", "n_shingles", "x", (F.col("c") == F.col("top")).alias("t"), "sig").alias("m"))
+    cells = rows.groupBy("k", "cell").agg(F.collect_list("m").alias("ms"))
     low = np.uint64(sum(1 << (BITS * k) for k in range(_LANES)))
     chance = 0.5**BITS
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                band, i, j = (batch.column(k)[row].as_py() for k in range(3))
+                kind, i, j = (batch.column(k)[row].as_py() for k in range(3))
                 ms = batch.column(3)[row].values
-                get = lambda k: np.asarray(ms.field(k))  # noqa: B023, E731
-                v, c, n, x = (get(k) for k in ("v", "c", "n_shingles", "x"))
+                v, c, n, x = (np.asarray(ms.field(k)) for k in ("v", "c", "n_shingles", "x"))
+                t = np.array(ms.field("t").to_pylist(), bool)
                 sig = np.frombuffer(b"".join(ms.field("sig").to_pylist()), np.uint64).reshape(len(v), -1)
-                bands = np.asarray(ms.field("bands").flatten()).reshape(len(v), -1)
-                xs, ys = np.flatnonzero(x == i), np.flatnonzero(x == j)
-                ok = (c[xs][:, None] != c[ys][None, :]) & (100 * np.minimum(n[xs][:, None], n[ys][None, :]) >= percent * np.maximum(n[xs][:, None], n[ys][None, :]))
-                if i == j:
-                    ok &= v[xs][:, None] < v[ys][None, :]
-                p, q = np.nonzero(ok)
+                near_size = lambda a, b: (c[a] != c[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))  # noqa: B023, E731
+                grid = lambda xs, ys: tuple(z.ravel() for z in np.meshgrid(xs, ys, indexing="ij"))
+                todo = [grid(np.flatnonzero(~t), np.flatnonzero(t))] if kind == 0 else [grid(np.flatnonzero(x == i), np.flatnonzero(x == j))]
+                if kind == 0 and j == 0:
+                    p, q = grid(np.flatnonzero(~t), np.flatnonzero(~t))
+                    todo.append((p[v[p] < v[q]], q[v[p] < v[q]]))
+                p, q = (np.concatenate(z) for z in zip(*todo))
+                ok = near_size(p, q)
+                p, q = p[ok], q[ok]
                 found = []
                 for at in range(0, len(p), 4_000):
-                    a, b = xs[p[at : at + 4_000]], ys[q[at : at + 4_000]]
-                    first = np.argmax(bands[a] == bands[b], axis=1) == band
-                    a, b = a[first], b[first]
+                    a, b = p[at : at + 4_000], q[at : at + 4_000]
                     diff = sig[a] ^ sig[b]
                     apart = diff.copy()
                     for s in range(1, BITS):
@@ -244,55 +277,82 @@ def _block_pairs(placed: DataFrame, sharp: DataFrame, percent: int, best: int |
                         a, b = a[rank < best], b[rank < best]
                     yield pa.RecordBatch.from_arrays([pa.array(v[a]), pa.array(v[b])], names=["s", "v"])
 
-    return cells.select("band", "i", "j", "ms").mapInArrow(compare, "s long, v long")
+    return cells.select("cell.kind", "cell.i", "cell.j", "ms").mapInArrow(compare, "s long, v long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """Component of near duplicates of every document: doc_id, n_shingles, component_id, kept.
-
-    ``docs`` has unique ``doc_id`` and ``text``; other columns are left alone.
-    ASCII letters count as lower case. A text with fewer words than ``width`` is
-    one shingle; null and empty texts have no shingles, link with nothing and
-    are kept. ``component_id`` is the smallest id reachable over links with at
-    least ``percent`` percent of shared shingles. Rows with a null id are their
-    own component. An empty table gives an empty result.
-    """
+def _labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, h, n_shingles of every row and, for those with an id and a set, the key of the row that stands for its component: first_id, first_h."""
     signed = materialize(sign(docs, width), "signed")
-    classes = signed.filter("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("v"))
-    reps = signed.join(classes.select(F.col("v").alias("doc_id")), "doc_id", "left_semi")
-    reps = materialize(reps.select(F.col("doc_id").alias("v"), "n_shingles", "bands", "packed"), "reps")
-    banded = reps.select("v", "n_shingles", F.posexplode("bands").alias("band", "hash"))
-    buckets = banded.groupBy("band", "hash").agg(F.min("v").alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = materialize(banded.join(buckets.drop("size"), ["band", "hash"]), "members")
+    usable = signed.filter("set_id is not null and doc_id is not null")
+    least = F.min_by(F.struct("doc_id", "h", "n_shingles", "bands", "packed"), F.struct("doc_id", "h"))
+    reps = usable.groupBy("set_id").agg(least.alias("r"), F.count(F.lit(1)).alias("size")).select(F.monotonically_increasing_id().alias("v"), "set_id", "size", "r.*")
+    reps = materialize(reps, "reps")
+    repeated = usable.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count() > 0
+    banded = reps.select("v", F.explode("bands").alias("k"))
+    buckets = banded.groupBy("k").agg(F.min("v").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("k", "first")
+    members = materialize(banded.join(buckets, "k"), "members")
     sizes = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
-
-    def likely(pairs: DataFrame, tag: str) -> DataFrame:
-        sig = reps.select("v", "packed", "n_shingles")
-        both = pairs.distinct().join(sig.toDF("a", "sig_a", "n_a"), "a").join(sig.toDF("b", "sig_b", "n_b"), "b")
-        both = both.filter(sizes).filter(estimate("sig_a", "sig_b") >= percent / 100 - MARGIN)
-        return materialize(both.select("a", "b"), tag)
-
-    star = likely(members.filter("v <> first").select(F.col("first").alias("a"), F.col("v").alias("b")), "star")
-    links = materialize(confirmed(docs, star, width, percent), "links")
-    own = reps.select("v", F.col("v").alias("c"))
-    labels = _moved(own, links, "star_components")
+    sig = reps.select("v", "packed", "n_shingles")
+    star = members.filter("v <> first").select(F.col("first").alias("a"), F.col("v").alias("b")).distinct()
+    star = star.join(sig.toDF("a", "sig_a", "n_a"), "a").join(sig.toDF("b", "sig_b", "n_b"), "b")
+    star = materialize(star.filter(sizes).filter(estimate("sig_a", "sig_b") >= percent / 100 - MARGIN).select("a", "b"), "star")
+    sets = _candidates(docs, reps.select("v", "doc_id", "h").join(members.select("v").distinct(), "v", "left_semi"), repeated, width)
+    labels = _moved(reps.select("v", F.col("v").alias("c")), materialize(confirmed(sets, star, percent), "links"), "star_components")
     sharp = None
     for best in (FIRST, None):
-        placed = members.select("band", "hash", "v", "n_shingles").join(labels, "v")
-        mixed = placed.groupBy("band", "hash").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("band", "hash")
-        placed = materialize(placed.join(mixed, ["band", "hash"]), "placed")
+        placed = members.select("k", "v").join(labels, "v")
+        placed = materialize(placed.join(_mixed(placed), "k").join(reps.select("v", "n_shingles"), "v"), "placed")
         if sharp is None:
-            sharp = _sharp(docs, placed, reps, width)
+            sharp = _sharp(sets, placed)
         met = _block_pairs(placed, sharp, percent, best)
         met = materialize(met.select(F.least("s", "v").alias("a"), F.greatest("s", "v").alias("b")).distinct(), "met")
         if met.limit(1).count() == 0:
             break
-        labels = _moved(labels, confirmed(docs, met, width, percent), "components")
-    of_set = signed.select("set_id", "doc_id").join(classes.withColumnRenamed("v", "rep"), "set_id").select("doc_id", "rep").join(labels.select(F.col("v").alias("rep"), "c"), "rep").select("doc_id", "c")
-    out = signed.select("doc_id", "n_shingles").join(of_set, "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("c", "doc_id"), F.lit(True)).alias("kept"))
+        labels = _moved(labels, confirmed(sets, met, percent), "components")
+    firsts = reps.join(labels, "v").groupBy("c").agg(F.min(F.struct("doc_id", "h")).alias("f"))
+    classes = reps.join(labels, "v").select("set_id", "size", "c").join(firsts, "c").select("set_id", "size", F.col("f.doc_id").alias("first_id"), F.col("f.h").alias("first_h"))
+    classes = materialize(classes, "classes")
+    # large classes go to every task, so that the rows of one are not dealt to a single task
+    large = small(classes.filter(f"size > {LARGE}").select("set_id", F.col("first_id").alias("large_id"), F.col("first_h").alias("large_h")), BROADCAST)
+    out = signed.select("doc_id", "h", "n_shingles", "set_id").join(large, "set_id", "left")
+    key = F.when(F.col("large_id").isNull() & F.col("doc_id").isNotNull(), F.col("set_id"))
+    rest = classes.filter(f"size <= {LARGE}").select(F.col("set_id").alias("key"), "first_id", "first_h")
+    out = out.withColumn("key", key).join(rest, "key", "left")
+    own = F.col("doc_id").isNotNull()
+    return out.select("doc_id", "h", "n_shingles", F.when(own, F.coalesce("large_id", "first_id")).alias("first_id"), F.when(own, F.coalesce("large_h", "first_h")).alias("first_h"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """Component of near duplicates of every document: doc_id, n_shingles, component_id, kept.
+
+    ``docs`` has ``doc_id`` and ``text``; other columns are left alone, whatever
+    their names. ASCII letters count as lower case. A text with fewer words than
+    ``width`` is one shingle; null and empty texts have no shingles, link with
+    nothing and are kept. ``component_id`` is the smallest id reachable over
+    links with at least ``percent`` percent of shared shingles. Rows with a null
+    id are their own component. Every row gives one row: repeated ids are
+    documents of their own, linked by their texts alone, and all of those with
+    the component's id are kept. An empty table gives an empty result.
+    """
+    out = _labelled(docs, width, percent)
+    c = F.coalesce("first_id", "doc_id")
+    return out.select("doc_id", "n_shingles", c.alias("component_id"), F.coalesce(F.col("doc_id") == c, F.lit(True)).alias("kept"))
 
 
 def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest id."""
-    return docs.join(near_duplicates(docs, width, percent).filter("kept").select("doc_id"), "doc_id", "left_semi")
+    """``docs`` with one document of each component, the one with the smallest id, all columns as they are.
+
+    Of rows with that id the one with the smallest hash of its text stays, of
+    equal ones any one. Rows with a null id and texts without words all stay.
+    """
+    found = materialize(_labelled(docs, width, percent), "verdicts")
+    mine = F.struct("doc_id", "h") == F.struct(F.col("first_id"), F.col("first_h"))
+    is_in = lambda keys: (docs["doc_id"] == keys["id_"]) & (F.xxhash64(docs["text"]) == keys["h_"])
+    gone = found.filter("first_id is not null").filter(~mine).select(F.col("doc_id").alias("id_"), F.col("h").alias("h_")).distinct()
+    out = docs.join(small(gone, BROADCAST), is_in(gone), "left_anti")
+    again = found.filter("first_id is not null").filter(mine).groupBy(F.col("doc_id").alias("id_"), F.col("h").alias("h_")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    again = materialize(again, "again")
+    if again.limit(1).count() == 0:
+        return out
+    one = docs.join(again, is_in(again), "left_semi").groupBy("doc_id", F.xxhash64("text")).agg(F.first(F.struct("*")).alias("row")).select("row.*")
+    return out.join(again, is_in(again), "left_anti").unionAll(one)
