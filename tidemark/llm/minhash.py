@@ -224,8 +224,9 @@ def _block_pairs(placed: DataFrame, sharp: DataFrame, percent: int, best: int |
     a bucket's largest component meet those outside of it, and these meet each
     other, so what the largest component shares is never compared. Both kinds are
     cut into blocks of about BLOCK members; a task compares two blocks by their
-    signatures and returns only what passes, with ``best`` only that many of the
-    closest partners of a member in a block. A pair may come from several buckets.
+    signatures and returns only what passes: each pair under the first of the
+    buckets that both are in, and with ``best`` only that many of the closest
+    partners of a member in a block.
     """
     x = F.pmod(F.xxhash64("v"), F.when(F.col("c") == F.col("top"), F.col("g_top")).otherwise(F.col("g_rest")))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
@@ -235,7 +236,8 @@ def _block_pairs(placed: DataFrame, sharp: DataFrame, percent: int, best: int |
     others = F.filter(upto("g_rest"), lambda y: y != F.col("x"))
     at_rest = F.concat(F.transform(upto("g_top"), lambda j: cell(0, F.col("x"), j)), F.transform(others, lambda y: cell(1, F.least(F.col("x"), y), F.greatest(F.col("x"), y))))
     rows = placed.withColumn("x", x).withColumn("cell", F.explode(F.when(F.col("c") == F.col("top"), at_top).otherwise(at_rest)))
-    rows = rows.join(sharp, "v").select("k", "cell", F.struct("v", "c", "n_shingles", "x", (F.col("c") == F.col("top")).alias("t"), "sig").alias("m"))
+    of = placed.groupBy("v").agg(F.collect_list("k").alias("ks"))  # a few buckets for each
+    rows = rows.join(sharp.join(of, "v"), "v").select("k", "cell", F.struct("v", "c", "n_shingles", "x", (F.col("c") == F.col("top")).alias("t"), "sig", "ks").alias("m"))
     cells = rows.groupBy("k", "cell").agg(F.collect_list("m").alias("ms"))
     low = np.uint64(sum(1 << (BITS * k) for k in range(_LANES)))
     chance = 0.5**BITS
@@ -243,8 +245,8 @@ def _block_pairs(placed: DataFrame, sharp: DataFrame, percent: int, best: int |
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                kind, i, j = (batch.column(k)[row].as_py() for k in range(3))
-                ms = batch.column(3)[row].values
+                here, kind, i, j = (batch.column(k)[row].as_py() for k in range(4))
+                ms = batch.column(4)[row].values
                 v, c, n, x = (np.asarray(ms.field(k)) for k in ("v", "c", "n_shingles", "x"))
                 t = np.array(ms.field("t").to_pylist(), bool)
                 sig = np.frombuffer(b"".join(ms.field("sig").to_pylist()), np.uint64).reshape(len(v), -1)
@@ -257,6 +259,7 @@ def _block_pairs(placed: DataFrame, sharp: DataFrame, percent: int, best: int |
                 p, q = (np.concatenate(z) for z in zip(*todo))
                 ok = near_size(p, q)
                 p, q = p[ok], q[ok]
+                before = [frozenset(k for k in ks if k < here) for ks in ms.field("ks").to_pylist()]
                 found = []
                 for at in range(0, len(p), 4_000):
                     a, b = p[at : at + 4_000], q[at : at + 4_000]
@@ -265,7 +268,8 @@ def _block_pairs(placed: DataFrame, sharp: DataFrame, percent: int, best: int |
                     for s in range(1, BITS):
                         apart |= diff >> np.uint64(s)
                     like = (1 - np.bitwise_count(apart & low).sum(axis=1) / WIDE - chance) / (1 - chance)
-                    near = like >= percent / 100 - WIDE_MARGIN
+                    near = np.flatnonzero(like >= percent / 100 - WIDE_MARGIN)
+                    near = near[[before[u].isdisjoint(before[w]) for u, w in zip(a[near], b[near])]] if len(near) else near
                     found.append((a[near], b[near], like[near]))
                 if found:
                     a, b, like = (np.concatenate(z) for z in zip(*found))
@@ -277,7 +281,7 @@ def _block_pairs(placed: DataFrame, sharp: DataFrame, percent: int, best: int |
                         a, b = a[rank < best], b[rank < best]
                     yield pa.RecordBatch.from_arrays([pa.array(v[a]), pa.array(v[b])], names=["s", "v"])
 
-    return cells.select("cell.kind", "cell.i", "cell.j", "ms").mapInArrow(compare, "s long, v long")
+    return cells.select("k", "cell.kind", "cell.i", "cell.j", "ms").mapInArrow(compare, "s long, v long")
 
 
 def _labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:
