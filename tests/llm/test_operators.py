@@ -184,6 +184,40 @@ def test_shard_lookup():
         sstable.Reader(data[:-60] + b"x" + data[-59:])
 
 
+def test_shard_lookup_table(docs, spark, tmp_path):
+    """Looking ids up gives what a scan gives, repeated and null ids included, and nothing for ids that are not there."""
+    file = public_tokenizers.path("word_bpe_49k.json")
+    more = docs.select("doc_id", "text").union(spark.createDataFrame([(7, "again"), (None, "no id"), (-3, "minus")], "doc_id long, text string"))
+    shards = sstable.write_shards(more, str(tmp_path / "sst"), file)
+    stored = {}
+    for r in sstable.read_shards(spark, str(tmp_path / "sst"), shards).collect():
+        stored.setdefault(r["doc_id"], []).append(r["ids"])
+    wanted = spark.createDataFrame([(i,) for i in (None, -3, 1, 7, 7, 11, 26, 999)], "doc_id long")
+    got = {}
+    for r in sstable.lookup(spark, str(tmp_path / "sst"), shards, wanted).collect():
+        got.setdefault(r["doc_id"], []).append(r["ids"])
+    norm = lambda d: {k: sorted(v) for k, v in d.items()}
+    assert len(stored[7]) == 2 and norm(got) == norm({k: v for k, v in stored.items() if k in (None, -3, 1, 7, 11, 26)})
+
+
+def test_ids_of_the_library(spark):
+    """Whatever the characters, ids are those of the tokenizers library, also when the kept words change."""
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(file)
+    odd = ["it's THEY'RE we'll 'sup o'clock''s", "ÀÉÎ ñandú İstanbul ſharp ŉ ª º µ ²³ ¼x x²y", "a\u0301b e\u0301", "x\u00a0y z\u2003w", "<|endoftext|> <|ENDOFTEXT|> a<|b", "Ünïcödé,ends. 3.14, v2.0.1 $$$%%% ...", "字a字1 ΣΑΣ ΟΔΟΣ ǅ ﬁ Ａ", "\u00ad\u00d7\u00f7 don't;can't!"]
+    odd += [r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    for cache in (sstable.CACHE, 50):
+        sstable._caches.clear()
+        old, sstable.CACHE = sstable.CACHE, cache
+        try:
+            got = [np.frombuffer(x, "<u2").tolist() for x in sstable.encode_texts(odd, file, "<u2")]
+        finally:
+            sstable.CACHE = old
+        assert got == [e.ids for e in tok.encode_batch(odd, add_special_tokens=False)]
+
+
 def test_warc(spark):
     made = [(1, "http://a", "<p>x</p>"), (2, "http://b", "<p>x</p>"), (3, None, None), (4, "http://d e", ""), (5, "u", "é\r\n\r\nz"), (6, "u", "y" * 200_000)]
     pages = spark.createDataFrame([(*r, "clash") for r in made], "page_id long, url string, html string, payload string")

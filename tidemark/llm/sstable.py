@@ -22,11 +22,14 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -37,8 +40,8 @@ from tidemark.llm._common import materialize, parts, scratch_dir
 BLOCK, SHARD, BLOOM_BITS, BLOOM_HASHES = 32_768, 8_000_000, 10, 7
 _MAGIC = b"TMSST001"
 _FOOTER = struct.Struct("<QIQIQQIII8s")  # index offset, length; bloom offset, length; entries; tokens; id width; block count; crc of index and bloom; magic
-#: Words whose ids a worker keeps at most.
-CACHE = 400_000
+#: Words whose ids a worker keeps at most; letters that are encoded at a time; ids looked up at a time.
+CACHE, CHUNK, LOOKUP = 1_000_000, 4_000_000, 1_000_000
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -116,15 +119,18 @@ def _bloom_bits(key: bytes, bits: int) -> Iterator[int]:
 
 
 class Reader:
-    """Reads one shard from its bytes."""
+    """Reads one shard from its bytes or from an open file, of which only the footer, the index, the filter and wanted blocks are read."""
 
-    def __init__(self, data: bytes):
-        if len(data) < _FOOTER.size or data[-8:] != _MAGIC:
+    def __init__(self, source: bytes | BinaryIO, size: int | None = None):
+        self.source = source
+        size = len(source) if isinstance(source, bytes) else size if size is not None else source.seek(0, 2)
+        foot = self._at(size - _FOOTER.size, _FOOTER.size) if size >= _FOOTER.size else b""
+        if foot[-8:] != _MAGIC:
             raise ValueError("not a shard: footer is missing")
-        self.data = data
-        at, n, bloom_at, bloom_n, self.entries, self.tokens, self.width, blocks, crc, _ = _FOOTER.unpack(data[-_FOOTER.size :])
-        index, self.bloom = data[at : at + n], data[bloom_at : bloom_at + bloom_n]
-        if zlib.crc32(self.bloom, zlib.crc32(index)) != crc:
+        at, n, bloom_at, bloom_n, self.entries, self.tokens, self.width, blocks, crc, _ = _FOOTER.unpack(foot)
+        both = self._at(at, n + bloom_n)
+        index, self.bloom = both[:n], both[n:]
+        if bloom_at != at + n or zlib.crc32(both) != crc:
             raise ValueError("damaged shard: index or Bloom filter does not have its checksum")
         self.first, self.where, pos = [], [], 0
         for _ in range(blocks):
@@ -135,9 +141,15 @@ class Reader:
             self.where.append((off, size, struct.unpack_from("<I", index, pos)[0]))
             pos += 4
 
+    def _at(self, offset: int, size: int) -> bytes:
+        if isinstance(self.source, bytes):
+            return self.source[offset : offset + size]
+        self.source.seek(offset)
+        return self.source.read(size)
+
     def block(self, i: int) -> Iterator[tuple[bytes, bytes]]:
         off, size, crc = self.where[i]
-        data = self.data[off : off + size]
+        data = self._at(off, size)
         if zlib.crc32(data) != crc:
             raise ValueError(f"damaged shard: block {i} does not have its checksum")
         key, pos = b"", 0
@@ -184,35 +196,129 @@ def _tokenizer(file: str):
     return Tokenizer.from_file(file)
 
 
-#: A full stop or comma after a letter or digit and before white space is a word of its own for this tokenizer.
-_POINT = re.compile(rb"(?<=[a-z0-9])([.,])(?=[\x20\x09-\x0D]|\Z)")
-_caches: dict[tuple[str, str], dict[bytes, bytes]] = {}
+#: Bytes that are white space, and letters and digits before which this tokenizer's words do not end.
+_SPACE, _ALNUM = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (b" \t\n\r\x0b\x0c", b"abcdefghijklmnopqrstuvwxyz0123456789"))
+#: Words of these characters are in normal form as they are, and their lower case is that of each character.
+_PLAIN = re.compile("[\x21-\x7e\u00a1-\u012f\u0131-\u017f]*")
+#: Fixed value: what the tokenizer takes for a part of a word.
+_PART = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+
+class _Kept:
+    """Ids by word: what was used lately stays when it is full, the rest goes."""
+
+    def __init__(self):
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, words: Iterable[str]) -> list[str]:
+        """Those of some distinct words that are not kept; the others will stay."""
+        if len(self.new) > CACHE // 2:
+            self.new, self.old = {}, self.new
+        new, old, out = self.new, self.old, []
+        for w in words:
+            if w not in new:
+                if (x := old.get(w)) is not None:
+                    new[w] = x
+                else:
+                    out.append(w)
+        return out
+
+
+_caches: dict[tuple[str, str], _Kept] = {}
+
+
+@functools.cache
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte from 128 on in a byte-level vocabulary: printable ones for themselves, others from U+0100 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(256 + hidden.index(b)) for b in hidden if b >= 128}
+
+
+def _encode_new(words: list[str], file: str, kind: str) -> Iterator[tuple[str, bytes]]:
+    """(word, packed ids) of each word.
+
+    Plain words are cut into parts here and go to the tokenizer's model, which
+    spares the normal forms of the whole way; all others take that.
+    """
+    tok = _tokenizer(file)
+    model, code, letters = tok.model.tokenize, {"<u2": "H", "<u4": "I"}[kind], _byte_letters()
+    other = []
+    for w in words:
+        if "<|" in w or not _PLAIN.fullmatch(w):
+            other.append(w)
+            continue
+        low = w if w.isascii() else w.lower()
+        ids = array(code)
+        for part in (low,) if low.isalpha() else _PART.findall(low):
+            ids.extend([t.id for t in model(part if part.isascii() else part.encode().decode("latin-1").translate(letters))])
+        yield w, ids.tobytes()
+    for w, e in zip(other, tok.encode_batch_fast(other, add_special_tokens=False)):
+        yield w, np.array(e.ids, kind).tobytes()
+
+
+def _words(texts: list[str]) -> tuple[pa.StringArray, np.ndarray]:
+    """The words of some texts, ASCII letters in lower case save in words that could hold a special token, and the end of each text among them.
+
+    A full stop or comma behind a letter or digit and before white space is a
+    word of its own, as it is for the tokenizer.
+    """
+    raws = [t.encode() for t in texts]
+    raws = [r.lower() if b"<|" not in r else b" ".join(w if b"<|" in w else w.lower() for w in r.split()) for r in raws]
+    data = np.frombuffer(b"\n".join([*raws, b""]), np.uint8)
+    solid = ~_SPACE[data]
+    begins = solid & np.append(True, ~solid[:-1])
+    points = np.flatnonzero((data == 46) | (data == 44))
+    points = points[(points > 0) & ~solid[np.minimum(points + 1, len(data) - 1)]]
+    begins[points[_ALNUM[data[points - 1]]]] = True
+    starts = np.flatnonzero(begins)
+    letters = data[solid]
+    offsets = np.append(np.cumsum(solid, dtype=np.int32)[starts] - 1, len(letters)).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(letters))
+    return words, np.searchsorted(starts, np.cumsum([len(r) + 1 for r in raws]))
 
 
 def encode_texts(texts: Iterable[str], file: str, kind: str) -> Iterator[bytes]:
     """Ids of each text as packed integers of numpy type ``kind``.
 
     For a tokenizer that drops white space, lower-cases, and never joins across
-    white space: words are encoded once for each worker and kept. ASCII letters
-    are lowered first, except in words that could hold a special token.
+    white space. The words of about CHUNK bytes of text are numbered, each
+    distinct one is looked up or encoded once, and the ids are gathered by number.
     """
-    tok, known = _tokenizer(file), _caches.setdefault((file, kind), {})
+    kept, width = _caches.setdefault((file, kind), _Kept()), int(kind[2:])
+
+    def done(held: list[str]) -> Iterator[bytes]:
+        words, last = _words(held)
+        numbered = words.dictionary_encode()
+        words = numbered.dictionary.to_pylist()
+        kept.new.update(_encode_new(kept.missing(words), file, kind))
+        packed = [*map(kept.new.__getitem__, words)]
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // width
+        which = np.asarray(numbered.indices)
+        counts = sizes[which]
+        ends = np.cumsum(counts)
+        # the ids of word i of the texts begin at first[which[i]] of all distinct words' ids
+        first = np.cumsum(sizes) - sizes
+        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first[which] - (ends - counts), counts)
+        ids = np.frombuffer(b"".join(packed), kind)[at]
+        bounds = np.append(0, np.append(0, ends)[last])
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            yield ids[a:b].tobytes()
+
+    held, size = [], 0
     for text in texts:
-        raw = text.encode()
-        raw = _POINT.sub(rb" \1", raw.lower() if b"<|" not in raw else b" ".join(w if b"<|" in w else w.lower() for w in raw.split()))
-        words = raw.split()
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            for w, e in zip(new, tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-                known[w] = np.array(e.ids, kind).tobytes()
-        yield b"".join(map(known.__getitem__, words))
+        held.append(text)
+        size += len(text)
+        if size >= CHUNK:
+            yield from done(held)
+            held, size = [], 0
+    if held:
+        yield from done(held)
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int = 1, vocabulary: int = 49_408) -> DataFrame:
-    """Encode ``docs`` (doc_id, text) and write shards in ascending id order; the table of shards: file, seq, n_docs, n_tokens.
+    """Encode ``docs`` (doc_id, text) and write shards in ascending id order; the table of shards: file, seq, n_docs, n_tokens, first_id, last_id.
 
     ``seq`` orders the shards. Every document ends with ``end_id``; a null text
     is empty. Repeated ids are stored side by side. Eager.
@@ -234,7 +340,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int
             name = f"{own}-{k:05d}.sst"
             with store.open_output_stream(f"{root}/{name}", compression=None) as out:
                 out.write(shard.finish())
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([(ctx.partitionId() << 24) + k], pa.int64()), pa.array([len(shard.keys)], pa.int64()), pa.array([shard.tokens], pa.int64())], names=["file", "seq", "n_docs", "n_tokens"])
+            numbers = ((ctx.partitionId() << 24) + k, len(shard.keys), shard.tokens, id_of(shard.keys[0]), id_of(shard.keys[-1]))
+            return pa.RecordBatch.from_arrays([pa.array([name]), *(pa.array([x], pa.int64()) for x in numbers)], names=["file", "seq", "n_docs", "n_tokens", "first_id", "last_id"])
 
         for batch in batches:
             texts = (batch.column(1)[i].as_py() or "" for i in range(batch.num_rows))
@@ -248,11 +355,11 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int
             yield close()
 
     rows = docs.select("doc_id", "text").repartitionByRange(parts(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    return materialize(rows.mapInArrow(write, "file string, seq long, n_docs long, n_tokens long"), "shards")
+    return materialize(rows.mapInArrow(write, "file string, seq long, n_docs long, n_tokens long, first_id long, last_id long"), "shards")
 
 
-def read_shards(spark, folder: str, shards: DataFrame) -> DataFrame:
-    """All documents of the shards in order: doc_id, start (ids before it), n_tokens, ids_crc32 (over 32-bit ids), ids."""
+def read_shards(spark, folder: str, shards: DataFrame, with_ids: bool = True) -> DataFrame:
+    """All documents of the shards in order: doc_id, start (ids before it), n_tokens, ids_crc32 (over 32-bit ids) and, if wanted, ids."""
     before = F.coalesce(F.sum("n_tokens").over(W.orderBy("seq").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     placed = materialize(shards.withColumn("base", before).select("file", "base"), "bases")  # one row for each shard
     raw = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
@@ -264,22 +371,61 @@ def read_shards(spark, folder: str, shards: DataFrame) -> DataFrame:
                 rows, size = [], 0
                 for key, value in shard:
                     ids = shard.ids(value)
-                    rows.append((id_of(key), start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), ids.astype(np.int32)))
+                    rows.append((id_of(key), start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), ids))
                     start, size = start + len(ids), size + len(ids)
                     if size > 500_000:
-                        yield _decoded(rows)
+                        yield _decoded(rows, with_ids)
                         rows, size = [], 0
                 if rows:
-                    yield _decoded(rows)
+                    yield _decoded(rows, with_ids)
+
+    return raw.join(placed, "file").select("base", "content").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+
 
-    return raw.join(placed, "file").select("base", "content").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")
+def _lists(ids: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *ids]).astype(np.int32)))
 
 
-def _decoded(rows: list) -> pa.RecordBatch:
-    long = pa.int64()
-    sizes = [len(r[4]) for r in rows]
-    ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(np.concatenate([r[4] for r in rows])))
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], long), *(pa.array([r[k] for r in rows], long) for k in (1, 2, 3)), ids], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+def _decoded(rows: list, with_ids: bool) -> pa.RecordBatch:
+    numbers = [pa.array([r[k] for r in rows], pa.int64()) for k in range(4)]
+    names = ["doc_id", "start", "n_tokens", "ids_crc32"]
+    return pa.RecordBatch.from_arrays([*numbers, _lists([r[4] for r in rows])], names=[*names, "ids"]) if with_ids else pa.RecordBatch.from_arrays(numbers, names=names)
+
+
+def lookup(spark, folder: str, shards: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The stored rows of the ids in ``wanted`` (doc_id): doc_id, ids; an id that is not stored has no row.
+
+    Each shard whose range of ids holds a wanted one is opened; its Bloom filter
+    and index tell which blocks are read. Wanted ids, each taken once, are dealt
+    to blocks of about LOOKUP, and those of a block go to all tasks; the shards
+    are gone through once for each block. A null id finds rows with a null id.
+    """
+    wanted = materialize(wanted.select("doc_id").distinct(), "wanted")
+    blocks = wanted.count() // LOOKUP + 1
+    out = []
+    for b in range(blocks):
+        rows = wanted.filter(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == b).toPandas()["doc_id"]  # about LOOKUP numbers
+        ids = np.sort(rows.dropna().to_numpy(np.int64))
+        shared = spark.sparkContext.broadcast((ids, bool(rows.isna().any())))
+
+        def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            from pyarrow import fs
+
+            store, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+            ids, with_null = shared.value
+            for batch in batches:
+                for name, first, last in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                    a = 0 if first is None else np.searchsorted(ids, first)
+                    z = 0 if last is None else np.searchsorted(ids, last, "right")
+                    mine = [*([None] if with_null and first is None else []), *ids[a:z].tolist()]
+                    if mine:
+                        with store.open_input_file(f"{root}/{name}") as f:
+                            reader = Reader(f, f.size())
+                            found = [(i, x) for i in mine for x in reader.lookup(i)]
+                        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), _lists([x for _, x in found])], names=["doc_id", "ids"])
+
+        out.append(shards.select("file", "first_id", "last_id").repartition(parts(spark), "file").mapInArrow(find, "doc_id long, ids array<int>"))
+    return functools.reduce(DataFrame.unionAll, out)
 
 
 def round_trip(docs: DataFrame, tokenizer_file: str, end_id: int = 1) -> DataFrame:
@@ -289,4 +435,4 @@ def round_trip(docs: DataFrame, tokenizer_file: str, end_id: int = 1) -> DataFra
     shards = write_shards(docs, folder, tokenizer_file, end_id)
     if not shards.limit(1).count():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    return read_shards(spark, folder, shards).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read_shards(spark, folder, shards, with_ids=False)
