@@ -85,11 +85,11 @@ def drift(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, hi
 
 def lag_bucket(lag: Column) -> Column:
     """Eight buckets of a distance in sessions."""
-    edges = ((0, "0"), (15, "1-15"), (30, "16-30"), (60, "31-60"), (90, "61-90"), (150, "91-150"), (225, "151-225"))
+    edges = ((0, "0"), (15, "1-15"), (30, "16-30"), (60, "31-60"), (120, "61-120"), (180, "121-180"), (240, "181-240"))
     out = F.when(lag <= edges[0][0], edges[0][1])
     for hi, name in edges[1:]:
         out = out.when(lag <= hi, name)
-    return out.otherwise("226+")
+    return out.otherwise("241+")
 
 
 def increasing_slots(df: DataFrame, by: Sequence[str], order: Sequence[str], wanted: str, most: int) -> DataFrame:

@@ -81,10 +81,10 @@ def drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", "lag", "hits", F.round("drift", 4).alias("drift"), F.round("retention", 6).alias("retention"))
 
 
-_EDGES = ((0, "0"), (15, "1-15"), (30, "16-30"), (60, "31-60"), (90, "61-90"), (150, "91-150"), (225, "151-225"))
+_EDGES = ((0, "0"), (15, "1-15"), (30, "16-30"), (60, "31-60"), (120, "61-120"), (180, "121-180"), (240, "181-240"))
 
 
-@query(f"select bucket, count(*) as n from (select case {' '.join(f"when no <= {hi} then '{b}'" for hi, b in _EDGES)} else '226+' end as bucket from ({_N})) group by 1")
+@query(f"select bucket, count(*) as n from (select case {' '.join(f"when no <= {hi} then '{b}'" for hi, b in _EDGES)} else '241+' end as bucket from ({_N})) group by 1")
 def lag_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _numbered(spark, sf_dir).groupBy(windows.lag_bucket(F.col("no")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -113,15 +113,63 @@ def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.expr(_HIST), F.concat(F.lit("p"), (k % 7).cast("string")).alias("path"), op.alias("op"), F.col("value").cast("string").alias("value"), F.dayofmonth("ts").alias("month"), F.col("event_id").cast("int").alias("seq"), (k % 3).cast("string").alias("source"), "event_type")
 
 
-@query()
+_CELL = "struct_pack(value := {0}, status := {1}, confidence := {2}::double, valid_from := {3}::int, valid_until := {4}::int, last_confirmed_at := {5}::int, source := {6})"
+_CELL_TYPE = "struct(value varchar, status varchar, confidence double, valid_from int, valid_until int, last_confirmed_at int, source varchar)[]"
+
+
+def _cell(**new: str) -> str:
+    """SQL of a cell: that of c with some fields new."""
+    fields = ("value", "status", "confidence", "valid_from", "valid_until", "last_confirmed_at", "source")
+    return _CELL.format(*(new.get(f, f"c.{f}") for f in fields))
+
+
+_GONE, _PAST = _cell(status="'cancelled'", valid_until="month"), _cell(status="'historical'", valid_until="month")
+_OWN, _OPEN = "c.status = 'pending' and c.source is not distinct from source", "c.status in ('current', 'needs_verification', 'stale', 'not_applicable', 'unknown')"
+_NEW = lambda value, status, confidence: f"[{_CELL.format(value, status, confidence, 'month', 'null', 'null', 'source')}]"
+_LAST = lambda cond: f"list_max(list_filter(range(1, len(cells) + 1), lambda k: {cond}))"
+_FOLD_SQL = f"""with recursive e as (select user_id::varchar as entity, json_extract_string(props, '$.k')::int as k, event_type, value::varchar as value, day(ts)::int as month, event_id from events),
+ch as (select entity, 'p' || (k % 7)::varchar as path, value, month, (k % 3)::varchar as source,
+        case event_type when 'signup' then 'create' when 'purchase' then 'update' when 'view' then 'set_pending' when 'error' then 'clear_pending' else ['mark_stale', 'archive', 'needs_verification', 'reactivate', 'set_not_applicable'][k % 5 + 1] end as op,
+        row_number() over (partition by entity, k % 7 order by month, event_id) as i from e),
+f as (select distinct entity, path, 0::bigint as i, []::{_CELL_TYPE} as cells from ch
+    union all
+    select entity, path, i, list_transform(cells, lambda c, k: case
+            when op in ('create', 'update') then case when k = own then {_cell(value="value", status="'current'", confidence="1", valid_from="month", valid_until="null", source="source")} when {_OWN} then {_GONE} when {_OPEN} then {_PAST} else c end
+            when op = 'mark_stale' and k = at_ then {_cell(status="'stale'", confidence="least(c.confidence, 0.4)")}
+            when op = 'archive' and k = at_ then {_PAST}
+            when op = 'needs_verification' and k = at_ then {_cell(status="'needs_verification'", confidence="least(c.confidence, 0.6)")}
+            when op = 'set_pending' then case when k = own then {_cell(value="value", valid_from="month")} when c.status = 'pending' and c.source is distinct from source then {_GONE} else c end
+            when op = 'clear_pending' then case when {_OWN} then {_GONE} when c.status = 'needs_verification' and c.source is not distinct from source then {_cell(status="'current'", confidence="1")} else c end
+            when op = 'reactivate' and past is not null then case when k = past then {_cell(status="'current'", valid_from="month", valid_until="null")} when {_OPEN} then {_PAST} else c end
+            when op = 'set_not_applicable' then case when {_OWN} then {_GONE} when {_OPEN} then {_PAST} else c end
+            else c end) || case when op in ('create', 'update') and own is null then {_NEW('value', "'current'", 1)} when op = 'needs_verification' and at_ is null then {_NEW('null::varchar', "'needs_verification'", 0.3)}
+            when op = 'set_pending' and own is null then {_NEW('value', "'pending'", 0.5)} when op = 'set_not_applicable' then {_NEW('null::varchar', "'not_applicable'", 1)} else []::{_CELL_TYPE} end as cells
+    from (select ch.*, f.cells, {_LAST("f.cells[k].status = 'pending' and f.cells[k].source is not distinct from ch.source")} as own,
+            {_LAST("f.cells[k].status not in ('pending', 'cancelled', 'historical')")} as at_, {_LAST("f.cells[k].status = 'historical'")} as past
+        from f join ch on f.entity = ch.entity and f.path = ch.path and ch.i = f.i + 1)),
+done as (select entity, path, max_by(cells, i) as cells from f group by 1, 2),
+cell as (select entity, path, (k - 1)::int as seq, cells[k] as c from (select *, unnest(range(1, len(cells) + 1)) as k from done))"""
+
+
+@query(f"{_FOLD_SQL} select entity, path, seq, c.value as value, c.status as status, c.confidence as confidence, c.valid_from as valid_from, c.valid_until as valid_until, c.last_confirmed_at as last_confirmed_at, c.source as source from cell")
 def memory_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All versions of all cells after folding every change."""
-    return memory.fold(_changes(spark, sf_dir))
+    return memory.fold(_changes(spark, sf_dir)).drop("evidence", "provenance")
 
 
-@query()
+@query(f"""{_FOLD_SQL}, g as (select entity, path, max_by(c, seq) filter (where c.status not in ('pending', 'cancelled', 'historical')) as a, max_by(c, seq) filter (where c.status not in ('pending', 'cancelled')) as b,
+list_sort(coalesce(list(c.value) filter (where c.status = 'pending' and c.value is not null), [])) as p, list(c.value order by seq) filter (where c.status = 'historical' and c.value is not null) as h, count_if(c.status = 'historical')::bigint as n_historical from cell group by 1, 2)
+select entity, path, case when coalesce(a, b).status not in ('not_applicable', 'unknown') then coalesce(a, b).value end as value, coalesce(a, b).status as status, coalesce(a, b).source as source, array_to_string(p, ',') as pending, n_historical, coalesce(array_to_string(h, ','), '') as historical_values from g""")
 def memory_effective(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memory.effective(memory_fold(spark, sf_dir))
+    """What counts of every path, with what counted before and live proposals."""
+    out = memory.serialized(memory.fold(_changes(spark, sf_dir)))
+    return out.select("entity", "path", "value", "status", "source", F.array_join("pending", ",").alias("pending"), "n_historical", F.array_join("historical_values", ",").alias("historical_values"))
+
+
+@query()
+def memory_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every change with the value it replaces and whether it changes anything."""
+    return memory.applied(_changes(spark, sf_dir))
 
 
 @query("""select user_id, event_id, row_number() over w as version, lead(event_id) over w as until from events where event_type = 'purchase' window w as (partition by user_id order by event_id)""")
@@ -160,14 +208,9 @@ def ledger_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def hallucination_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select(F.expr(_HIST), F.col("event_type").alias("event"), F.dayofmonth("ts").alias("checkpoint"), F.get_json_object("props", "$.k").cast("int").alias("anchor"))
-    return align.hallucination_chains(rows)
-
-
-@query()
-def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A simulated history of every customer."""
-    return simulate.trajectories(table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("entity")), {"move": 0.2, "job": 0.3, "loan": 0.4})
+    """Clicks and errors as unmatched predictions at the days of a user's events."""
+    e = table(spark, sf_dir, "events").select(F.expr(_HIST), F.col("event_type").alias("event"), F.dayofmonth("ts").alias("checkpoint"), F.col("event_id").alias("ord"), F.get_json_object("props", "$.k").cast("int").alias("anchor"))
+    return align.hallucination_chains(e.filter("event in ('click', 'error')"), e.select("entity", "checkpoint"))
 
 
 @query("""with m as (select o_custkey, o_orderkey, (year(o_orderdate) - 1992) * 12 + month(o_orderdate) - 1 as month from orders), s as (select *, max(month) over (partition by o_custkey) as span from m),

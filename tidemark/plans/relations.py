@@ -227,16 +227,16 @@ def filtered_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.export(s, ["s_suppkey", "s_name", "r_name"], ["s_acctbal"])
 
 
-_MASKED = {"full": "()", "mask_terminal": "('purchase')", "mask_upcoming": "('purchase', 'click')", "mask_all": "('purchase', 'click', 'view')"}
-_STATUS = {"purchase": "occurred", "click": "upcoming", "view": "weak_signal"}
+_MASKED = {"full": "()", "mask_terminal": "('purchase', 'error', 'signup')", "mask_upcoming": "('purchase', 'error', 'signup', 'click')", "mask_all": "('purchase', 'error', 'signup', 'click', 'view')"}
+_TYPE = {"purchase": "occurred_evidence", "error": "consequence_session", "signup": "stale_recall_session", "click": "upcoming_evidence", "view": "weak_signal_evidence"}
 
 
 @query(" union all ".join(f"select event_id, '{k}' as level, {'false' if v == '()' else f'event_type in {v}'} as masked, {'value' if v == '()' else f'case when event_type not in {v} then value end'} as value from events" for k, v in _MASKED.items()))
 def mask_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event at four nested mask levels."""
     e = table(spark, sf_dir, "events")
-    status = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in _STATUS.items()], F.lit("no_event"))
-    return masking.ladder(e.select("event_id", "value", status.alias("status")), "status", ["value"]).select("event_id", "level", "masked", "value")
+    kind = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in _TYPE.items()], F.lit("routine_financial"))
+    return masking.ladder(e.select("event_id", "value", kind.alias("kind")), "kind", ["value"]).select("event_id", "level", "masked", "value")
 
 
 @query("""select c.conv_id, c.turn, case when d.conv_id is not null then d.text else c.text end as text, d.conv_id is not null as replaced from conversations c
@@ -251,10 +251,12 @@ def replace_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def assign_donors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy donors without reuse: a user's purchases take errors of the nearest number."""
-    k = F.col("event_id").cast("string")
-    part = lambda kind, name: _of(spark, sf_dir, kind).select(F.col("user_id").cast("string").alias("user"), k.alias(name), F.col("event_id").cast("int").alias("month"))
-    return masking.assign_donors(part("purchase", "slot"), part("error", "donor"), "user", "m")
+    """Greedy donors without reuse: a user's purchases take errors and signups of the nearest day, then timeless ones."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", F.dayofmonth("ts").alias("month"))
+    slots = e.filter("event_type = 'purchase'").withColumnRenamed("event_id", "slot")
+    donors = e.filter("event_type in ('error', 'signup')").select("user_id", F.col("event_id").alias("donor"), "month")
+    reserve = slots.select("user_id", (-F.col("slot")).alias("donor"), F.lit(None).cast("int").alias("month"))
+    return masking.assign_donors(slots, donors.unionByName(reserve), ["user_id"], ["month", "slot"], "m")
 
 
 @query("""select 'D' || lpad((doc_id % 1000)::varchar, 3, '0') as public_id, doc_id, (doc_id % 1000)::int as number from documents""")
