@@ -74,16 +74,32 @@ def _word_hash(word: bytes) -> int:
 
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
-#: A unit of hashing: (ids, texts, further column values) -> (hashes, doc index of each hash)
+#: A unit of hashing: (ids, texts, further column values) -> (hashes, doc index of each hash); hashes have 64 bits, or two columns of 64.
 Hasher = Callable[[list, list[bytes], list], tuple[np.ndarray, np.ndarray]]
 
 
-def repeated(docs: DataFrame, hasher: Hasher, across: bool, tag: str) -> DataFrame:
-    """Numbers of each document's repeated hashes: (doc_id, numbers: packed unsigned 32-bit).
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and h, a hash of the text, of rows with an id: id and h tell rows with one id apart, and only equal rows share both."""
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).filter("doc_id is not null")
 
-    ``docs`` has doc_id, text and maybe a third column for the hasher, which
-    gives hashes in document order; they are numbered from 0 in each document.
-    Repeated: found in another document (``across``), or anywhere else.
+
+def _sorted(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by hash, where a new hash begins in it, and where each hash's first place is."""
+    order = np.argsort(hashes, kind="stable") if hashes.ndim == 1 else np.lexsort((hashes[:, 1], hashes[:, 0]))
+    h = hashes[order]
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1] if h.ndim == 1 else (h[1:] != h[:-1]).any(axis=1)
+    return order, new, np.flatnonzero(new)
+
+
+def repeated(docs: DataFrame, hasher: Hasher, across: bool, tag: str, width: int = 1) -> DataFrame:
+    """Numbers of each document's repeated hashes: (doc_id, h, numbers: packed unsigned 32-bit).
+
+    ``docs`` has doc_id, text, h (see ``keyed``) and maybe a column for the
+    hasher, which gives hashes of ``width`` times 64 bits in document order; they
+    are numbered from 0 in each document. Repeated: found in another row
+    (``across``), or anywhere else. Equal rows share one row of the result: all
+    their hashes are repeated, so it is the same for each.
     """
     spark = docs.sparkSession
     n_parts = PARTS * parts(spark)
@@ -94,9 +110,10 @@ def repeated(docs: DataFrame, hasher: Hasher, across: bool, tag: str) -> DataFra
         for batch in batches:
             at = 0
             for ids, texts in text_batches(batch, CHUNK):
-                more = batch.column(2).slice(at, len(ids)).to_pylist() if batch.num_columns > 2 else []
+                more = batch.column(3).slice(at, len(ids)).to_pylist() if batch.num_columns > 3 else []
+                keys = np.stack([np.array(ids, np.int64), np.asarray(batch.column(2).slice(at, len(ids)))], axis=1)
                 at += len(ids)
-                held.append((*hasher(ids, [t.encode() for t in texts], more), ids))
+                held.append((*hasher(ids, [t.encode() for t in texts], more), keys))
                 size += len(held[-1][0])
                 if size >= FLUSH:
                     yield from flush(held, (where << 24) + k)
@@ -108,33 +125,29 @@ def repeated(docs: DataFrame, hasher: Hasher, across: bool, tag: str) -> DataFra
         hashes = np.concatenate([h for h, _, _ in held])
         if not len(hashes):
             return
-        shift = np.cumsum([0, *(len(ids) for _, _, ids in held[:-1])])
+        shift = np.cumsum([0, *(len(keys) for _, _, keys in held[:-1])])
         of = np.concatenate([d + s for (_, d, _), s in zip(held, shift)])
-        ids = np.array([i for _, _, own in held for i in own], np.int64)
-        order = np.argsort(hashes, kind="stable")
-        h = hashes[order]
-        new = np.ones(len(h), bool)
-        new[1:] = h[1:] != h[:-1]
+        keys = np.concatenate([own for _, _, own in held])
+        order, new, first = _sorted(hashes)
         group = np.cumsum(new) - 1
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(h)) - 1
+        last = np.append(first[1:], len(order)) - 1
         again = (of[order[first]] != of[order[last]]) if across else (last > first)
         settled = again[group]
         sent = order[~settled | new]
         sent.sort()
-        part = (hashes[sent] >> np.uint64(20)) % np.uint64(n_parts)
+        part = ((hashes if hashes.ndim == 1 else hashes[:, 0])[sent] >> np.uint64(20)) % np.uint64(n_parts)
         by = np.argsort(part, kind="stable")
         sent, part = sent[by], part[by]
         cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
         ends = np.append(cuts[1:], len(sent))
-        counts = np.bincount(of, minlength=len(ids))
+        counts = np.bincount(of, minlength=len(keys))
         rows = [(int(part[a]), name, hashes[sent[a:b]].tobytes(), np.diff(sent[a:b], prepend=0).astype(np.uint32).tobytes(), None) for a, b in zip(cuts, ends)]
         own = np.sort(order[settled]).astype(np.uint32).tobytes()
-        rows.append((-1, name, None, own, ids.tobytes() + counts.astype(np.int64).tobytes()))
+        rows.append((-1, name, None, own, np.column_stack([keys, counts]).astype(np.int64).tobytes()))
         for a in range(0, len(rows), 2_000):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 2_000]), _PACKED.types)], schema=_PACKED)
 
-    packed = materialize(docs.filter("doc_id is not null").mapInArrow(collect, _PACKED_DDL), f"{tag}_hashes")
+    packed = materialize(docs.mapInArrow(collect, _PACKED_DDL), f"{tag}_hashes")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held = None, []
@@ -150,15 +163,11 @@ def repeated(docs: DataFrame, hasher: Hasher, across: bool, tag: str) -> DataFra
 
     def settle(held: list) -> Iterator[pa.RecordBatch]:
         hashes = np.concatenate([np.frombuffer(r[2], np.uint64) for r in held])
-        sizes = [len(r[2]) // 8 for r in held]
+        sizes = [len(r[2]) // (8 * width) for r in held]
         of = np.repeat(np.arange(len(held)), sizes)
-        order = np.argsort(hashes, kind="stable")
-        h = hashes[order]
-        new = np.ones(len(h), bool)
-        new[1:] = h[1:] != h[:-1]
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(h)) - 1
-        again = np.zeros(len(h), bool)  # the same hash from two flushes
+        order, new, first = _sorted(hashes if width == 1 else hashes.reshape(-1, width))
+        last = np.append(first[1:], len(order)) - 1
+        again = np.zeros(len(order), bool)  # the same hash from two flushes
         again[order] = (of[order[first]] != of[order[last]])[np.cumsum(new) - 1]
         ends = np.cumsum(sizes)
         out = []
@@ -176,8 +185,7 @@ def repeated(docs: DataFrame, hasher: Hasher, across: bool, tag: str) -> DataFra
     def hand_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for docs_, lists in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                both = np.frombuffer(docs_, np.int64)
-                ids, counts = both[: len(both) // 2], both[len(both) // 2 :]
+                ids, hs, counts = np.frombuffer(docs_, np.int64).reshape(-1, 3).T
                 ends = np.cumsum(counts)
                 numbers = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in lists])).astype(np.int64)
                 a = np.searchsorted(numbers, ends - counts)
@@ -185,6 +193,7 @@ def repeated(docs: DataFrame, hasher: Hasher, across: bool, tag: str) -> DataFra
                 has = np.flatnonzero(b > a)
                 if len(has):
                     own = [(numbers[a[i] : b[i]] - (ends[i] - counts[i])).astype(np.uint32).tobytes() for i in has]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[has]), pa.array(own, pa.binary())], names=["doc_id", "numbers"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[has]), pa.array(hs[has]), pa.array(own, pa.binary())], names=["doc_id", "h", "numbers"])
 
-    return materialize(owners.join(found, "flush").select("docs", "numbers").mapInArrow(hand_out, "doc_id long, numbers binary"), f"{tag}_repeated")
+    rows = owners.join(found, "flush").select("docs", "numbers").mapInArrow(hand_out, "doc_id long, h long, numbers binary")
+    return materialize(rows.groupBy("doc_id", "h").agg(F.first("numbers").alias("numbers")), f"{tag}_repeated")
