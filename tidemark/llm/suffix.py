@@ -5,9 +5,8 @@ in two documents if its anchor (the least hash among its 16-byte spans) is, so
 positions under other anchors are unique from the start. The rest is dealt by
 anchor, each with the bytes around it, so that equal strings meet in one
 partition. There positions are ranked by their first eight bytes, and ranks are
-paired at growing offsets (8, 16, ... up to the threshold) and ranked anew; a
-string drops out as soon as its rank occurs in one document only. Ranks compare
-bytes, so no hash decides what is removed.
+paired at growing offsets (8, 16, ... up to the threshold) and ranked anew. Ranks
+compare bytes, so no hash decides what is removed.
 """
 
 from __future__ import annotations
@@ -20,16 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm._common import materialize, parts, text_batches
-from tidemark.llm._repeats import CHUNK, anchors, repeated, text_symbols
+from tidemark.llm._repeats import CHUNK, anchors, keyed, repeated, text_symbols
 
 #: Bytes of a string, and of the spans that its anchor is chosen from.
 WIDTH, GRAM = 50, 16
 #: Bytes of context in a flush, and packed arrays for each shuffle partition.
 FLUSH, PARTS = 12_000_000, 4
 
-_PACKED = pa.schema([("part", pa.int32()), ("docs", pa.binary()), ("starts", pa.binary()), ("sizes", pa.binary()), ("bytes", pa.binary())])
-_PACKED_DDL = "part int, docs binary, starts binary, sizes binary, bytes binary"
-_GONE_DDL = "doc_id long, runs binary"
+_PACKED = pa.schema([("part", pa.int32()), ("docs", pa.binary()), ("hs", pa.binary()), ("starts", pa.binary()), ("sizes", pa.binary()), ("bytes", pa.binary())])
+_PACKED_DDL = "part int, docs binary, hs binary, starts binary, sizes binary, bytes binary"
+_GONE_DDL = "doc_id long, h long, runs binary"
 
 
 def _runs(texts: list[bytes], width: int, gram: int):
@@ -67,7 +66,7 @@ def double(context: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
 
 
 def settle(docs: np.ndarray, starts: np.ndarray, counts: np.ndarray, contexts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Documents, starts and ends of the byte runs whose windows start in a smaller document too.
+    """Entries, starts and ends of the byte runs whose windows start in a smaller document too.
 
     Entry i holds ``counts[i]`` windows of document ``docs[i]``, from byte
     ``starts[i]`` on, whose bytes are ``contexts[i]``. Equal contexts are ranked
@@ -98,22 +97,22 @@ def settle(docs: np.ndarray, starts: np.ndarray, counts: np.ndarray, contexts: l
     n = times[kind[own]]
     at = np.arange(int(n.sum())) + np.repeat((np.cumsum(times) - times)[kind[own]] - (np.cumsum(n) - n), n)
     own = np.repeat(own, n)
-    return np.concatenate([docs[copy], docs[own]]), np.concatenate([starts[copy], starts[own] + a[at]]), np.concatenate([starts[copy] + counts[copy] + width - 1, starts[own] + b[at]])
+    return np.append(np.flatnonzero(copy), own), np.concatenate([starts[copy], starts[own] + a[at]]), np.concatenate([starts[copy] + counts[copy] + width - 1, starts[own] + b[at]])
 
 
-def _by_document(docs: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+def _by_document(docs: np.ndarray, hs: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
     """One row of packed bounds for each document."""
-    order = np.lexsort((starts, docs))
-    docs, pairs = docs[order], np.stack([starts[order], ends[order]], axis=1).astype(np.int64)
-    cuts = np.flatnonzero(np.append(True, docs[1:] != docs[:-1])) if len(docs) else np.zeros(0, np.int64)
+    order = np.lexsort((starts, hs, docs))
+    docs, hs, pairs = docs[order], hs[order], np.stack([starts[order], ends[order]], axis=1).astype(np.int64)
+    cuts = np.flatnonzero(np.append(True, (docs[1:] != docs[:-1]) | (hs[1:] != hs[:-1]))) if len(docs) else np.zeros(0, np.int64)
     offsets = np.append(cuts, len(docs)).astype(np.int32) * 16
     runs = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(pairs.tobytes())])
-    return pa.RecordBatch.from_arrays([pa.array(docs[cuts], pa.int64()), runs], names=["doc_id", "runs"])
+    return pa.RecordBatch.from_arrays([pa.array(docs[cuts], pa.int64()), pa.array(hs[cuts], pa.int64()), runs], names=["doc_id", "h", "runs"])
 
 
 def earlier_strings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """Byte ranges of each document whose strings start in a document with a smaller id: doc_id, runs (packed 64-bit pairs, end exclusive)."""
-    slim = docs.select("doc_id", "text").filter("doc_id is not null")
+    """Byte ranges of each document whose strings start in a document with a smaller id: doc_id, h, runs (packed 64-bit pairs, end exclusive)."""
+    slim = keyed(docs)
     spark = docs.sparkSession
     n_parts = PARTS * parts(spark)
 
@@ -128,7 +127,8 @@ def earlier_strings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Da
         for batch in batches:
             at = 0
             for ids, texts in text_batches(batch, CHUNK):
-                flagged = batch.column(2).slice(at, len(ids)).to_pylist()
+                hs = batch.column(2).slice(at, len(ids)).to_pylist()
+                flagged = batch.column(3).slice(at, len(ids)).to_pylist()
                 at += len(ids)
                 raws = [t.encode() for t in texts]
                 starts, count, low, of, ends, sizes = _runs(raws, width, gram)
@@ -137,8 +137,8 @@ def earlier_strings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Da
                     j = first[i] + np.frombuffer(f, np.uint32)
                     a = starts[j] - (ends[i] - sizes[i])
                     b = a + count[j] + width - 1
-                    raw, doc = raws[i], ids[i]
-                    held += [(p, raw[x:y], doc, x) for p, x, y in zip(((low[j] >> np.uint64(20)) % np.uint64(n_parts)).tolist(), a.tolist(), b.tolist())]
+                    raw, doc, h = raws[i], ids[i], hs[i]
+                    held += [(p, raw[x:y], doc, h, x) for p, x, y in zip(((low[j] >> np.uint64(20)) % np.uint64(n_parts)).tolist(), a.tolist(), b.tolist())]
                     size += int((b - a).sum())
                 if size >= FLUSH:
                     yield from pack(held)
@@ -149,27 +149,28 @@ def earlier_strings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Da
     def pack(held: list) -> Iterator[pa.RecordBatch]:
         # within a flush only the smallest document that has a context passes it on; later ones lose it here
         least: dict[bytes, int] = {}
-        for _, c, d, _ in held:
+        for _, c, d, _, _ in held:
             if least.setdefault(c, d) > d:
                 least[c] = d
-        gone: dict[int, list[int]] = {}
-        by: dict[int, list[tuple[int, int, bytes]]] = {}
-        for p, c, d, a in held:
+        gone: dict[tuple[int, int], list[int]] = {}
+        by: dict[int, list[tuple[int, int, int, bytes]]] = {}
+        for p, c, d, h, a in held:
             if d > least[c]:
-                gone.setdefault(d, []).extend((a, a + len(c)))
+                gone.setdefault((d, h), []).extend((a, a + len(c)))
             else:
-                by.setdefault(p, []).append((d, a, c))
-        rows = [(p, *(np.array([x[k] for x in xs], np.int64).tobytes() for k in (0, 1)), np.array([len(x[2]) for x in xs], np.int32).tobytes(), b"".join(x[2] for x in xs)) for p, xs in by.items()]
-        rows += [(-1, np.array([d], np.int64).tobytes(), None, None, np.array(xs, np.int64).tobytes()) for d, xs in gone.items()]
+                by.setdefault(p, []).append((d, h, a, c))
+        packed = lambda xs, k, t: np.array([x[k] for x in xs], t).tobytes()
+        rows = [(p, packed(xs, 0, np.int64), packed(xs, 1, np.int64), packed(xs, 2, np.uint32), np.array([len(x[3]) for x in xs], np.int32).tobytes(), b"".join(x[3] for x in xs)) for p, xs in by.items()]
+        rows += [(-1, np.array([d], np.int64).tobytes(), np.array([h], np.int64).tobytes(), None, None, np.array(xs, np.int64).tobytes()) for (d, h), xs in gone.items()]
         for k in range(0, len(rows), 2_000):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 2_000]), _PACKED.types)], schema=_PACKED)
 
-    packed = materialize(slim.join(maybe, "doc_id").select("doc_id", "text", "numbers").mapInArrow(contexts, _PACKED_DDL), "contexts")
+    packed = materialize(slim.join(maybe, ["doc_id", "h"]).select("doc_id", "text", "h", "numbers").mapInArrow(contexts, _PACKED_DDL), "contexts")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held = None, []
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            for row in zip(*(batch.column(k).to_pylist() for k in range(6))):
                 if row[0] != part and held:
                     yield told(held)
                     held = []
@@ -179,19 +180,21 @@ def earlier_strings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Da
             yield told(held)
 
     def told(held: list) -> pa.RecordBatch:
-        docs_, starts = (np.concatenate([np.frombuffer(r[k], np.int64) for r in held]) for k in (1, 2))
-        sizes = np.concatenate([np.frombuffer(r[3], np.int32) for r in held]).astype(np.int64)
+        docs_, hs = (np.concatenate([np.frombuffer(r[k], np.int64) for r in held]) for k in (1, 2))
+        starts = np.concatenate([np.frombuffer(r[3], np.uint32) for r in held]).astype(np.int64)
+        sizes = np.concatenate([np.frombuffer(r[4], np.int32) for r in held]).astype(np.int64)
         cuts = np.cumsum(sizes)
-        whole = b"".join(r[4] for r in held)
-        return _by_document(*settle(docs_, starts, sizes - width + 1, [whole[b - n : b] for b, n in zip(cuts.tolist(), sizes.tolist())], width))
+        whole = b"".join(r[5] for r in held)
+        entry, a, b = settle(docs_, starts, sizes - width + 1, [whole[y - n : y] for y, n in zip(cuts.tolist(), sizes.tolist())], width)
+        return _by_document(docs_[entry], hs[entry], a, b)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [int(np.frombuffer(x, np.int64)[0]) for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column(1)], names=["doc_id", "runs"])
+            ids, hs = ([int(np.frombuffer(x, np.int64)[0]) for x in batch.column(k).to_pylist()] for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hs, pa.int64()), batch.column(2)], names=["doc_id", "h", "runs"])
 
     met = packed.filter("part >= 0").repartition(parts(spark), "part").sortWithinPartitions("part").mapInArrow(compare, _GONE_DDL)
-    met = met.union(packed.filter("part < 0").select("docs", "bytes").mapInArrow(local, _GONE_DDL))
+    met = met.union(packed.filter("part < 0").select("docs", "hs", "bytes").mapInArrow(local, _GONE_DDL))
     return materialize(met, "runs")
 
 
@@ -201,20 +204,20 @@ SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 def remove_earlier(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """Each document without the bytes of strings that start in a document with a smaller id.
 
-    Returned per row of ``docs`` (unique doc_id, text; other columns are left
-    alone): doc_id, n_bytes of the UTF-8 text, n_removed, n_spans (maximal
-    removed runs), kept_sha256 and kept, the remaining bytes, which may end
-    inside a character. A null text is empty; a null id neither loses nor
-    removes anything. Texts of under ``width`` bytes lose nothing. An empty
+    Returned per row of ``docs`` (doc_id, text; other columns are left alone):
+    doc_id, n_bytes of the UTF-8 text, n_removed, n_spans (maximal removed
+    runs), kept_sha256 and kept, the remaining bytes, which may end inside a
+    character. A null text is empty; a null id neither loses nor removes
+    anything. Rows with one id remove nothing from each other. Texts of under ``width`` bytes lose nothing. An empty
     table gives an empty result.
     """
-    runs = earlier_strings(docs, width, gram).groupBy("doc_id").agg(F.collect_list("runs").alias("runs"))
+    runs = earlier_strings(docs, width, gram).groupBy("doc_id", "h").agg(F.collect_list("runs").alias("runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for ids, texts in text_batches(batch):
-                marks = batch.column(2).slice(at, len(ids)).to_pylist()
+                marks = batch.column(3).slice(at, len(ids)).to_pylist()
                 at += len(ids)
                 rows = []
                 for doc_id, text, mark in zip(ids, texts, marks):
@@ -234,4 +237,5 @@ def remove_earlier(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.select("doc_id", "text").join(runs, "doc_id", "left").mapInArrow(cut, SCHEMA)
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(runs, ["doc_id", "h"], "left")
+    return rows.select("doc_id", "text", "h", "runs").mapInArrow(cut, SCHEMA)
