@@ -76,6 +76,10 @@ def band_verdict(raw: bytes, zip_: zstandard.ZstdCompressor) -> tuple[float, int
     return ratio, len(chunks), len(bad), low <= ratio <= high and 100 * sum(bad) <= CHUNK_SHARE * sum(map(len, chunks))
 
 
+def base_failed(n_words: int, n_repeat_words: int) -> bool:
+    return n_words < LEAST_WORDS or 100 * n_repeat_words > MOST_REPEATED * n_words
+
+
 def quality(docs: DataFrame) -> DataFrame:
     """One row of statistics and verdicts for each row of ``docs`` (doc_id, text; other columns are left alone).
 
@@ -93,7 +97,7 @@ def quality(docs: DataFrame) -> DataFrame:
                 rows = []
                 for doc_id, text, raw, ws, again in zip(ids, texts, raws, words, repeated_words(words)):
                     lines = [x for x in raw.split(b"\n") if x.strip(b" \t\r\x0b\x0c")]
-                    failed = len(ws) < LEAST_WORDS or 100 * again > MOST_REPEATED * len(ws)
+                    failed = base_failed(len(ws), again)
                     ratio, n, bad, fine = band_verdict(raw, zip_)
                     rows.append((doc_id, len(ws), len(text) - sum(map(text.count, " \t\n\r\x0b\x0c")), sum(map(text.count, "#*$%&|<>")), len(lines) - len(set(lines)), again, failed, fine and not failed, len(raw), ratio, n, bad))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), TYPES)], names=NAMES)
@@ -106,6 +110,21 @@ TYPES = [{"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}[x.s
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose document is kept, with their columns as they are; ids must be unique."""
-    kept = quality(docs).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    """The rows of ``docs`` whose text is kept, with all their columns as they are.
+
+    Every row is judged on its own, whatever its id. A map over the input
+    without any exchange.
+    """
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zip_ = zstandard.ZstdCompressor(level=LEVEL)
+        for batch in batches:
+            fine: list[bool] = []
+            for _, texts in text_batches(pa.RecordBatch.from_arrays([batch.column(at), batch.column(at)], names=["id", "text"])):
+                raws = [t.encode() for t in texts]
+                words = [r.split() for r in raws]
+                fine += [not base_failed(len(ws), again) and band_verdict(raw, zip_)[3] for raw, ws, again in zip(raws, words, repeated_words(words))]
+            yield batch.filter(pa.array(fine, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
