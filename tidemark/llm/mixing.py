@@ -84,43 +84,57 @@ def _fill(child: DataFrame, parent: list[str], name: str) -> DataFrame:
     return out.withColumn("given", F.when(F.col("full"), F.col("cap")).when(F.col("w") > 0, cut("w_to") - cut("(w_to - w)")).otherwise(F.lit(0)))
 
 
-def mix(docs: DataFrame, domain: Column, weights: Mapping[str, Mapping[str, int]], budget: Column, max_epochs: int = 4, seed: int = 1, tokens: Column | None = None) -> DataFrame:
-    """How often, and how far, each document is read: a row for each row of ``docs``.
+def _leaf(docs: DataFrame, domain: Column, tokens: Column | None, *more: Column) -> DataFrame:
+    """What the mixture needs of each row: doc_id, the leaf's names, tokens, and h, a hash of the text that orders rows of one id."""
+    named = [domain.alias("domain"), F.col("lang").alias("lang"), F.col("source").alias("source")]
+    count = word_count(F.col("text")) if tokens is None else tokens
+    return docs.select(*more, "doc_id", *[F.coalesce(c, F.lit("")).alias(n) for c, n in zip(named, PATH)], count.alias("tokens"), F.xxhash64("text").alias("h"))
 
-    ``docs`` needs ``doc_id``, ``text``, ``lang`` and ``source``; other columns
-    are not looked at. Returned: ``doc_id``, the leaf's ``domain``, ``lang`` and
-    ``source``, ``tokens``, ``full`` (whole epochs that hold the document) and
-    ``part`` (tokens taken from it in the last, partial epoch). Null labels
-    count as an empty name. Documents without tokens are never taken. Repeated
-    rows are separate documents; equal ids in one leaf are ordered by their
-    token counts. An empty table gives an empty result.
-    """
-    named = docs.withColumn("mix_domain", F.coalesce(domain, F.lit(""))).withColumn("mix_tokens", word_count(F.col("text")) if tokens is None else tokens)
-    slim = materialize(
-        named.select("doc_id", F.col("mix_domain").alias("domain"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.col("mix_tokens").alias("tokens")),
-        "mix_tokens",
-    )
+
+def _taken(slim: DataFrame, rows: DataFrame, weights: Mapping[str, Mapping[str, int]], budget: Column, max_epochs: int, seed: int) -> DataFrame:
+    """``rows`` with ``full`` and ``part``; ``slim`` has the same rows without further columns and is read several times."""
     leaves = slim.groupBy(*PATH).agg(F.sum("tokens").alias("tokens"))
     plan = budgets(leaves, weights, budget, max_epochs)
     plan = plan.select(*PATH, F.expr("coalesce(share div nullif(tokens, 0), 0)").alias("full"), F.expr("coalesce(share % nullif(tokens, 0), 0)").alias("rest"))
     plan = small(materialize(plan.coalesce(1), "mix_plan"))
-    at = slim.join(plan, list(PATH)).withColumn("at", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("full").cast("string"), F.col("doc_id").cast("string"))))
-    at = at.withColumn("b1", F.substring("at", 1, 2)).withColumn("b2", F.substring("at", 3, 2))
-    first = _ends_in(at.filter("rest > 0"), [], "b1")
-    second = _ends_in(at.filter("rest > 0").join(small(first.select(*PATH, "b1", "base")), [*PATH, "b1"]).withColumn("rest", F.col("rest") - F.col("base")).drop("base"), ["b1"], "b2")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.col("h").cast("string")))
+
+    def located(df: DataFrame) -> DataFrame:
+        out = df.join(plan, list(PATH)).withColumn("at", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("full").cast("string"), name)))
+        return out.withColumn("b1", F.substring("at", 1, 2)).withColumn("b2", F.substring("at", 3, 2))
+
+    at = located(slim).filter("rest > 0")
+    first = _ends_in(at, [], "b1")
+    second = _ends_in(at.join(small(first.select(*PATH, "b1", "base")), [*PATH, "b1"]).withColumn("rest", F.col("rest") - F.col("base")).drop("base"), ["b1"], "b2")
     ends = first.select(*PATH, F.col("b1").alias("e1"), F.col("base").alias("base1")).join(second.select(*PATH, F.col("b2").alias("e2"), F.col("base").alias("base2")), list(PATH), "left")
     ends = small(materialize(ends.coalesce(1), "mix_ends"))
-    got = at.join(ends, list(PATH), "left")
+    got = located(rows).join(ends, list(PATH), "left")
     edge = (F.col("b1") == F.col("e1")) & (F.col("b2") == F.col("e2"))
     inside = F.when(F.col("e1").isNull() | (F.col("b1") > F.col("e1")), 0).when(F.col("b1") < F.col("e1"), F.col("tokens")).when(F.col("b2") < F.col("e2"), F.col("tokens")).otherwise(0)
-    run = W.partitionBy(*PATH).orderBy("at", "doc_id", "tokens").rowsBetween(W.unboundedPreceding, -1)
+    run = W.partitionBy(*PATH).orderBy("at", "doc_id", "tokens", "h").rowsBetween(W.unboundedPreceding, -1)
     left = F.col("rest") - F.col("base1") - F.col("base2") - F.coalesce(F.sum("tokens").over(run), F.lit(0))
     exact = got.filter(edge).withColumn("part", F.greatest(F.lit(0), F.least(F.col("tokens"), left)))
     rest = got.filter(~F.coalesce(edge, F.lit(False))).withColumn("part", inside)
-    cols = ["doc_id", *PATH, "tokens", "full", "part"]
+    cols = [*rows.columns, "full", "part"]
     return exact.select(cols).unionByName(rest.select(cols))
 
 
+def mix(docs: DataFrame, domain: Column, weights: Mapping[str, Mapping[str, int]], budget: Column, max_epochs: int = 4, seed: int = 1, tokens: Column | None = None) -> DataFrame:
+    """How often, and how far, each document is read: a row for each row of ``docs``.
+
+    ``docs`` needs ``doc_id``, ``text``, ``lang`` and ``source``; other columns
+    are not looked at. Returned: ``doc_id``, the leaf's ``domain``, ``lang`` and
+    ``source``, ``tokens``, ``full`` (whole epochs that hold the document) and
+    ``part`` (tokens taken from it in the last, partial epoch). Null labels
+    count as an empty name. Documents without tokens are never taken. Repeated
+    rows are separate documents; equal ids in one leaf are ordered by their
+    token counts, then by a hash of their texts, and rows without an id are
+    placed by that hash. An empty table gives an empty result.
+    """
+    slim = materialize(_leaf(docs, domain, tokens), "mix_tokens")
+    return _taken(slim, slim, weights, budget, max_epochs, seed).select("doc_id", *PATH, "tokens", "full", "part")
+
+
 def _ends_in(rows: DataFrame, inside: list[str], bucket: str) -> DataFrame:
     """Per leaf, the bucket in which ``rest`` tokens end, and the tokens of the buckets before it."""
     sums = rows.groupBy(*PATH, *inside, bucket).agg(F.sum("tokens").alias("t"), F.max("rest").alias("rest"))
@@ -129,16 +143,20 @@ def _ends_in(rows: DataFrame, inside: list[str], bucket: str) -> DataFrame:
     return sums.filter("base < rest and upto >= rest and t > 0")
 
 
-def select_text(docs: DataFrame, picked: DataFrame) -> DataFrame:
-    """The mixture as documents: a row for each epoch that holds a document, the last one cut to its token-prefix.
+def selected(docs: DataFrame, domain: Column, weights: Mapping[str, Mapping[str, int]], budget: Column, max_epochs: int = 4, seed: int = 1, tokens: Column | None = None) -> DataFrame:
+    """The mixture of ``mix`` as documents: a row for each epoch that holds a document, the last one cut to its token-prefix.
 
-    ``docs`` must have unique ids here; its columns are returned, ``n_chars``
-    following the text where both exist.
+    The columns of ``docs`` are returned, whatever their names, ``n_chars``
+    following the text where both exist. Decisions are made row by row, so
+    repeated and null ids keep their rows apart; of equal rows any one is cut.
+    Only rows of the small buckets in which a leaf's budget ends are exchanged.
     """
-    text = F.when(F.col("mix_k") < F.col("mix_full"), F.col("text")).when(F.col("mix_part") >= F.col("mix_tokens"), F.col("text")).otherwise(
-        F.array_join(F.slice(F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+"), 1, F.greatest(F.col("mix_part"), F.lit(1)).cast("int")), " ")
-    )
-    how = picked.filter("full > 0 or part > 0").select("doc_id", F.col("full").alias("mix_full"), F.col("part").alias("mix_part"), F.col("tokens").alias("mix_tokens"))
-    out = docs.join(how, "doc_id").withColumn("mix_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mix_full") - F.when(F.col("mix_part") > 0, 0).otherwise(1)))).withColumn("text", text)
-    out = out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
-    return out.select(*docs.columns)
+    slim = materialize(_leaf(docs, domain, tokens), "mix_tokens")
+    rows = _taken(slim, _leaf(docs, domain, tokens, F.struct("*").alias("row")), weights, budget, max_epochs, seed).filter("tokens > 0 and (full > 0 or part > 0)")
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - F.when(F.col("part") > 0, 0).otherwise(1))))
+    whole = (F.col("k") < F.col("full")) | (F.col("part") >= F.col("tokens"))
+    words = F.split(F.regexp_replace("row.text", r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")
+    text = F.when(whole, F.col("row.text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("part"), F.lit(1)).cast("int")), " "))
+    rows = rows.withColumn("text", text)
+    changed = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return rows.select(*[(changed[c] if changed.get(c) is not None else F.col("row")[c]).alias(c) for c in docs.columns])
