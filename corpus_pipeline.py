@@ -30,8 +30,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mixture selects, a row for each epoch."""
-    picked = mixing.mix(docs, domain_of(F.col("source")), MIX_WEIGHTS, F.expr(f"total * {MIX_PERCENT} div 100"), MIX_EPOCHS, MIX_SEED)
-    return mixing.select_text(docs, picked)
+    return mixing.selected(docs, domain_of(F.col("source")), MIX_WEIGHTS, F.expr(f"total * {MIX_PERCENT} div 100"), MIX_EPOCHS, MIX_SEED)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
