@@ -254,7 +254,7 @@ def test_salvage(packed):
 def test_pieces(docs, rows, spark):
     file = public_tokenizers.path("piece_bpe_32k.model")
     voc = pieces.load(file)
-    got = {r["doc_id"]: r for r in pieces.encode(docs, file, most=200).collect()}
+    got = {r["doc_id"]: r for r in pieces.encode(docs, file, one_in=200).collect()}
     for doc_id, text in rows:
         assert got[doc_id]["ids"] == [i for w in pieces.split_marked(text or "") for i in pieces.fold_word(w, voc)]
         assert got[doc_id]["round_trip"]
@@ -262,10 +262,35 @@ def test_pieces(docs, rows, spark):
     assert back == {d: t or "" for d, t in rows}
 
 
-def test_lattice_is_best_path(spark):
-    """The relational fold gives the best-scoring split of every word, found here by trying all."""
-    file = public_tokenizers.path("piece_bpe_32k.model")
-    voc = pieces.load(file)
+def unigram_model(bpe: bytes) -> bytes:
+    """The same vocabulary as a unigram model: scores fall with the logarithm of the id, in steps of 1/64 so that sums are exact."""
+    number = lambda n: bytes([n & 127 | 128]) + number(n >> 7) if n > 127 else bytes([n])
+    field = lambda n, data: number(n << 3 | 2) + number(len(data)) + data
+    out, rank = [], 0
+    for n, value, a, b in pieces.fields(bpe):
+        if n == 1:  # a piece: its score is a float in field 2
+            rank += 1
+            kept = b"".join(value[x:y] for k, _, x, y in pieces.fields(value) if k != 2)
+            out.append(field(1, kept + b"\x15" + np.float32(-np.round(np.log(rank + 1) * 64) / 64).tobytes()))
+        elif n == 2:  # the training settings: the kind of model is field 3
+            out.append(field(2, b"".join(value[x:y] for k, _, x, y in pieces.fields(value) if k != 3) + b"\x18\x01"))
+        else:
+            out.append(bpe[a:b])
+    return b"".join(out)
+
+
+@pytest.fixture(scope="module")
+def unigram_file(tmp_path_factory):
+    file = tmp_path_factory.mktemp("model") / "unigram.model"
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        file.write_bytes(unigram_model(f.read()))
+    return str(file)
+
+
+def test_lattice_is_best_path(spark, unigram_file):
+    """With a unigram model the relational fold gives the best-scoring split of every word, found here by trying all."""
+    voc = pieces.load(unigram_file)
+    assert voc.unigram
     words = [pieces.MARK + w for w in ("lower", "é字x", "aaa", "running", "q")]
 
     def splits(w):
@@ -280,11 +305,22 @@ def test_lattice_is_best_path(spark):
     table = pieces.piece_table(spark, voc)
     got = {r["word"]: r["ids"] for r in pieces.encode_words(spark.createDataFrame([(w,) for w in words], "word string"), table, voc).collect()}
     for w in words:
-        best = max(splits(w), key=lambda x: x[0])
+        best = max(s for s, _ in splits(w))
         assert got[w] == pieces.fold_word(w, voc)
-        score = sum(voc.scores.get(p, voc.fallback) for p in best[1])
-        assert score == pytest.approx(best[0])
-        assert len(got[w]) == sum(1 if p in voc.ids else len(p.encode()) for p in best[1])
+        assert sum(voc.scores.get(p, voc.fallback) for p in pieces.best_split(w, voc)) == best
+
+
+def test_best_paths_of_the_library(spark, unigram_file):
+    """With a unigram model the ids are those of the library, of whole texts and of words in the relational fold."""
+    import sentencepiece
+
+    lib, voc = sentencepiece.SentencePieceProcessor(model_file=unigram_file), pieces.load(unigram_file)
+    texts = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(9_000, "\U0001f600 字x  zzzq qqq"), (9_001, "ab" * 300)], "doc_id long, text string"))
+    want = {r["doc_id"]: lib.encode(r["text"] or "") for r in texts.collect()}
+    assert {r["doc_id"]: r["ids"] for r in pieces.encode(texts, unigram_file, one_in=2_000).collect()} == want
+    words = sorted({pieces.MARK + w for r in texts.limit(40).collect() for w in (r["text"] or "").split(" ") if w})
+    got = {r["word"]: r["ids"] for r in pieces.encode_words(spark.createDataFrame([(w,) for w in words], "word string"), pieces.piece_table(spark, voc), voc).collect()}
+    assert got == {w: lib.encode(w[1:]) for w in words}
 
 
 def test_pieces_of_the_library(docs, rows, spark):
@@ -297,7 +333,7 @@ def test_pieces_of_the_library(docs, rows, spark):
     texts = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
     texts = texts.union(spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id") + 1_000, "text"))
     want = {r["doc_id"]: lib.encode(r["text"] or "") for r in texts.collect()}
-    assert {r["doc_id"]: r["ids"] for r in pieces.encode(texts, file, most=500).collect()} == want
+    assert {r["doc_id"]: r["ids"] for r in pieces.encode(texts, file, one_in=500).collect()} == want
     words = sorted({pieces.MARK + w for r in texts.limit(150).collect() for w in (r["text"] or "").split(" ") if 0 < len(w) < 24})
     got = {r["word"]: r["ids"] for r in pieces.encode_words(spark.createDataFrame([(w,) for w in words], "word string"), pieces.piece_table(spark, voc), voc).collect()}
     assert got == {w: lib.encode(w[1:]) for w in words}

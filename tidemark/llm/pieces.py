@@ -1,21 +1,22 @@
-"""SentencePiece encoding and decoding with a BPE model over a relational lattice.
+"""SentencePiece encoding and decoding over a relational lattice.
 
 A text becomes one string with a mark (U+2581) for each space and one in front.
 No piece goes on past the last letter before a mark, so words (a mark and what
 follows) are encoded on their own. A word's lattice has an edge for every
-substring that is a piece. Scores of a BPE model are merge ranks and are not
-summed: from single characters on, of all neighbours that make a piece together
-the pair with the highest score is merged, the leftmost of equal ones, until no
-pair makes a piece. These are the ids of the sentencepiece library. Characters
-that are no piece become byte pieces.
+substring that is a piece. With a unigram model the path with the largest sum of
+scores is folded over the ends of the edges (Viterbi). Scores of a BPE model are
+merge ranks and mean nothing when summed: from single characters on, of all
+neighbours that make a piece together the pair with the highest score is merged,
+the leftmost of equal ones, until no pair makes a piece. Both give the ids of the
+sentencepiece library. Characters that are no piece become byte pieces.
 
 The lattice is built with relational operations: substrings of bounded length
 are exploded, joined to the piece table, grouped by word, and folded with
-higher-order ``aggregate``. This encodes the most frequent words of the corpus.
-The table of their ids has a fixed largest size, goes to all tasks, and covers
-most of the text; the remaining rare words are folded by the same rule inside
-the tasks that put documents together, since dealing every word of the corpus
-to a join and back would shuffle several times the input.
+higher-order ``aggregate``. This encodes the words that make up at least a stated
+share of all words. Their number is bounded by that share, their ids go to all
+tasks and cover most of the text; the remaining rare words are folded by the same
+rule inside the tasks that put documents together, since dealing every word of
+the corpus to a join and back would shuffle several times the input.
 """
 
 from __future__ import annotations
@@ -27,25 +28,26 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.llm._common import materialize, text_batches
 
 MARK = "▁"
-#: Frequent words that are encoded ahead, at most, and their largest length; rare words kept by a worker.
-FREQUENT, FREQUENT_LENGTH, CACHE = 65_536, 24, 250_000
+#: Words that occur at least once in so many words are encoded ahead (there are at most so many of them); rare words kept by a worker.
+FREQUENT, CACHE = 1_000_000, 250_000
 #: Longer words are merged with a heap.
 LONG = 64
 
 
 class Pieces(NamedTuple):
-    """A vocabulary: normal pieces with ids and scores, ids of the 256 byte pieces, score of the fall-back."""
+    """A vocabulary: normal pieces with ids and scores, ids of the 256 byte pieces, score of the fall-back, whether scores add up."""
 
     ids: dict[str, int]
     scores: dict[str, float]
     bytes_: list[int]
     fallback: float
     longest: int
+    unigram: bool = False
 
     @staticmethod
     def of(model: bytes) -> Pieces:
@@ -55,7 +57,42 @@ class Pieces(NamedTuple):
         ids = {sp.id_to_piece(i): i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i) or sp.is_unused(i))}
         scores = {p: sp.get_score(i) for p, i in ids.items()}
         low = min(scores.values()) - 10
-        return Pieces(ids, scores, [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)], low, max(map(len, ids)))
+        kind = model_type(model)
+        if kind not in (UNIGRAM, BPE):
+            raise ValueError(f"neither a unigram nor a BPE model: type {kind}")
+        return Pieces(ids, scores, [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)], low, max(map(len, ids)), kind == UNIGRAM)
+
+
+#: Fixed values of the model file: kinds of model, and where the kind stands.
+UNIGRAM, BPE, _SPEC, _KIND = 1, 2, 2, 3
+
+
+def fields(message: bytes) -> Iterator[tuple[int, int | bytes, int, int]]:
+    """(number, value, start, end) of each field of a protocol-buffer message."""
+
+    def varint(pos: int) -> tuple[int, int]:
+        n = shift = 0
+        while True:
+            n, shift, pos = n | (message[pos] & 127) << shift, shift + 7, pos + 1
+            if message[pos - 1] < 128:
+                return n, pos
+
+    pos = 0
+    while pos < len(message):
+        start = pos
+        tag, pos = varint(pos)
+        if tag & 7 == 0:
+            value, pos = varint(pos)
+        else:
+            size, pos = varint(pos) if tag & 7 == 2 else ({1: 8, 5: 4}[tag & 7], pos)
+            value, pos = message[pos : pos + size], pos + size
+        yield tag >> 3, value, start, pos
+
+
+def model_type(model: bytes) -> int:
+    """The kind of a SentencePiece model; unigram where none is stated."""
+    spec = next((v for n, v, *_ in fields(model) if n == _SPEC), b"")
+    return next((v for n, v, *_ in fields(spec) if n == _KIND), UNIGRAM)
 
 
 @functools.lru_cache(maxsize=2)
@@ -83,28 +120,57 @@ def encode_words(words: DataFrame, table: DataFrame, pieces: Pieces) -> DataFram
     at = lambda a, k: a * (pieces.longest + 1) + k
     edge = F.struct(at(F.col("a"), F.col("k")).alias("at"), F.struct("score", "id").alias("edge"))
     lattice = edges.groupBy("word").agg(F.map_from_entries(F.collect_list(edge)).alias("edges"))
-    found = lambda a, b, part: F.try_element_at(F.col("edges"), at(a, b - a))[part]
+    found = lambda a, k, part: F.try_element_at(F.col("edges"), at(a, k))[part]
+    path = (_best_path if pieces.unigram else _merged_path)(lattice, found, n, pieces)
+    byte_ids = F.array(*map(F.lit, pieces.bytes_))
+    as_bytes = lambda c: F.transform(F.sequence(F.lit(1), F.octet_length(c)), lambda k: F.element_at(byte_ids, F.conv(F.substring(F.hex(F.encode(c, "UTF-8")), k * 2 - 1, F.lit(2)), 16, 10).cast("int") + 1))
+    ids = F.flatten(F.transform("path", lambda p: F.when(p["id"].isNotNull(), F.array(p["id"])).otherwise(as_bytes(F.substring(F.col("word"), p["a"] + 1, F.lit(1))))))
+    return path.select("word", ids.alias("ids"))
+
+
+def _best_path(lattice: DataFrame, found, n: Column, pieces: Pieces) -> DataFrame:
+    """Viterbi: for each end the best score of a way there, of equal ones that with the longest last piece; then the way back."""
+    first = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("k"), F.lit(None).cast("int").alias("id")))
+
+    def step(best, e):
+        def candidate(k):
+            score = F.coalesce(found(e - k, k, "score"), F.when(k == 1, F.lit(pieces.fallback)))
+            return F.struct((F.get(best, e - k)["score"] + score).alias("score"), k.alias("k"), found(e - k, k, "id").alias("id"))
+
+        ways = F.filter(F.transform(F.sequence(F.lit(1), F.least(e, F.lit(pieces.longest))), candidate), lambda c: c["score"].isNotNull())
+        return F.concat(best, F.array(F.array_max(ways)))
+
+    ends = lattice.select("word", F.aggregate(F.sequence(F.lit(1), n), first, step).alias("best"))
+    none = F.expr("cast(array() as array<struct<a:int,id:int>>)")
+
+    def back(way, e):
+        piece = F.get(F.col("best"), e)
+        here = F.when(F.size(way) == 0, e == n).otherwise(F.get(way, F.lit(0))["a"] == e)
+        return F.when(here, F.concat(F.array(F.struct((e - piece["k"]).alias("a"), piece["id"].alias("id"))), way)).otherwise(way)
+
+    return ends.select("word", F.aggregate(F.sequence(n, F.lit(1), F.lit(-1)), none, back).alias("path"))
+
+
+def _merged_path(lattice: DataFrame, found, n: Column, pieces: Pieces) -> DataFrame:
+    """Merges: of the cuts between pieces the one whose removal makes the best-ranked piece goes first."""
 
     def step(cuts, _):
-        pair = lambda c, i: F.struct(F.coalesce(F.when(F.get(cuts, i + 2) - c <= pieces.longest, found(c, F.get(cuts, i + 2), "score")), F.lit(float("-inf"))).alias("score"), (-i).alias("left"))
+        pair = lambda c, i: F.struct(F.coalesce(F.when(F.get(cuts, i + 2) - c <= pieces.longest, found(c, F.get(cuts, i + 2) - c, "score")), F.lit(float("-inf"))).alias("score"), (-i).alias("left"))
         best = F.array_max(F.transform(F.slice(cuts, F.lit(1), F.size(cuts) - 2), pair))
         merge = lambda p: F.when(p["score"] > float("-inf"), F.concat(F.slice(cuts, F.lit(1), 1 - p["left"]), F.slice(cuts, 3 - p["left"], F.size(cuts)))).otherwise(cuts)
         return F.get(F.transform(F.array(best), merge), F.lit(0))
 
     merged = lattice.select("word", "edges", F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), F.sequence(F.lit(0), n), step).alias("cuts"))
-    spelt = lambda a, i: F.struct(a.alias("a"), found(a, F.get(F.col("cuts"), i + 1), "id").alias("id"))
-    path = merged.select("word", F.transform(F.slice("cuts", F.lit(1), F.size("cuts") - 1), spelt).alias("path"))
-    byte_ids = F.array(*map(F.lit, pieces.bytes_))
-    as_bytes = lambda c: F.transform(F.sequence(F.lit(1), F.octet_length(c)), lambda k: F.element_at(byte_ids, F.conv(F.substring(F.hex(F.encode(c, "UTF-8")), k * 2 - 1, F.lit(2)), 16, 10).cast("int") + 1))
-    ids = F.flatten(F.transform("path", lambda p: F.when(p["id"].isNotNull(), F.array(p["id"])).otherwise(as_bytes(F.substring(F.col("word"), p["a"] + 1, F.lit(1))))))
-    return path.select("word", ids.alias("ids"))
+    spelt = lambda a, i: F.struct(a.alias("a"), found(a, F.get(F.col("cuts"), i + 1) - a, "id").alias("id"))
+    return merged.select("word", F.transform(F.slice("cuts", F.lit(1), F.size("cuts") - 1), spelt).alias("path"))
 
 
-def frequent_words(docs: DataFrame, most: int = FREQUENT) -> DataFrame:
-    """The most frequent words of all texts, counted in full; ties go to the smaller word."""
-    words = docs.select(F.explode(F.split("text", " ")).alias("w")).filter(f"w <> '' and length(w) < {FREQUENT_LENGTH}")
-    counts = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return counts.orderBy(F.desc("n"), "w").limit(most).select(F.concat(F.lit(MARK), "w").alias("word"))
+def frequent_words(docs: DataFrame, one_in: int = FREQUENT) -> DataFrame:
+    """The words that occur once in ``one_in`` words of all texts, or more often, counted in full: at most ``one_in`` of them."""
+    words = docs.select(F.explode(F.split("text", " ")).alias("w")).filter("w <> ''")
+    counts = materialize(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")), "words")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return counts.filter(F.col("n") * one_in >= total).select(F.concat(F.lit(MARK), "w").alias("word"))
 
 
 # -- the lattice of one word --------------------------------------------------
@@ -135,10 +201,30 @@ def merge_long(word: str, scores: dict[str, float]) -> list[str]:
     return [p for p in part if p]
 
 
+def best_split(word: str, pieces: Pieces) -> list[str]:
+    """The pieces with the largest sum of scores; of equal ways to an end the one with the longest last piece."""
+    best, last = [0.0], [0]
+    for e in range(1, len(word) + 1):
+        top, length = float("-inf"), 1
+        for a in range(max(0, e - pieces.longest), e):
+            s = pieces.scores.get(word[a:e], pieces.fallback if a == e - 1 else None)
+            if s is not None and best[a] + s > top:
+                top, length = best[a] + s, e - a
+        best.append(top)
+        last.append(length)
+    out, e = [], len(word)
+    while e:
+        out.append(word[e - last[e] : e])
+        e -= last[e]
+    return out[::-1]
+
+
 def fold_word(word: str, pieces: Pieces) -> list[int]:
     """The same encoding of a single word."""
     ids, scores, none = pieces.ids, pieces.scores, float("-inf")
-    if len(word) > LONG:
+    if pieces.unigram:
+        parts = best_split(word, pieces)
+    elif len(word) > LONG:
         parts = merge_long(word, scores)
     else:
         parts = list(word)
@@ -196,7 +282,7 @@ _rare: dict[str, dict[str, bytes]] = {}
 SCHEMA = "doc_id long, n_pieces long, n_bytes long, round_trip boolean, ids array<int>"
 
 
-def encode(docs: DataFrame, model_file: str, most: int = FREQUENT) -> DataFrame:
+def encode(docs: DataFrame, model_file: str, one_in: int = FREQUENT) -> DataFrame:
     """Piece ids of each row of ``docs`` (doc_id, text; other columns are left alone).
 
     Returned: doc_id, n_pieces, n_bytes of the text, round_trip (whether decoding
@@ -207,8 +293,8 @@ def encode(docs: DataFrame, model_file: str, most: int = FREQUENT) -> DataFrame:
     """
     spark = docs.sparkSession
     pieces = load(model_file)
-    ahead = materialize(encode_words(frequent_words(docs, most), piece_table(spark, pieces), pieces), "frequent")
-    known = {r[0]: np.array(r[1], "<i4").tobytes() for r in ahead.collect()}  # at most FREQUENT words
+    ahead = materialize(encode_words(frequent_words(docs, one_in), piece_table(spark, pieces), pieces), "frequent")
+    known = {r[0]: np.array(r[1], "<i4").tobytes() for r in ahead.collect()}  # at most ``one_in`` words
     shared = spark.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
