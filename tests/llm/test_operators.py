@@ -262,6 +262,48 @@ def test_pieces(docs, rows, spark):
     assert back == {d: t or "" for d, t in rows}
 
 
+def test_members_of_many_records():
+    """Whole-file archives: all records of a whole member, those before the damage of a cut one, in time that grows with the bytes."""
+    import time
+
+    record = lambda k: warc.encode_record(f"urn:r:{k}", "u", f"body {k} ".encode() * 50)
+    names = lambda data: [x[2]["record_id"] for x in warc.salvage(data) if x[0] == "record"]
+    whole = warc.gzip_member(b"".join(map(record, range(5))))
+    assert names(whole) == [f"urn:r:{k}" for k in range(5)] and names(whole + whole) == names(whole) * 2
+    long = warc.gzip_member(b"".join(map(record, range(200))))
+    for cut in (len(long) // 2, len(long) - 4):
+        found = list(warc.salvage(long[:cut] + whole))
+        got = [x[2]["record_id"] for x in found if x[0] == "record"]
+        kept = len(got) - 5
+        assert kept > 50 and got == [f"urn:r:{k}" for k in (*range(kept), *range(5))]
+        assert [(at, x[0]) for kind, at, x in found if kind == "gap"] == [(0, cut)]
+    bad = warc.gzip_member(record(0) + record(1)[:-30] + b"x" * 30 + record(2))
+    found = list(warc.salvage(bad))
+    assert [x[2]["record_id"] for x in found if x[0] == "record"] == ["urn:r:0", "urn:r:2"] and [x[0] for x in found] == ["record", "gap", "record"]
+    assert found[1][2][0] == len(record(1)) and found[1][2][2] == len(record(0))
+    took = []
+    for n in (2_000, 8_000):
+        data = b"".join(warc.gzip_member(record(k)) for k in range(n))
+        began = time.process_time()
+        assert len(names(data)) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0]
+
+
+def test_damaged_archives_as_a_table(spark, tmp_path):
+    """The table has the records that can be read and a row for each gap."""
+    folder = str(tmp_path / "warc")
+    rows = spark.createDataFrame([(f"urn:page:{k}", "u", bytearray(f"body {k}".encode() * 30), None) for k in range(20)], "record_id string, uri string, payload binary, refers_to string").repartition(2)
+    files = warc.write_archives(rows, folder)
+    name = sorted(r["file"] for r in files.collect())[0]
+    data = bytearray((tmp_path / "warc" / name).read_bytes())
+    data[len(data) // 2] ^= 0xFF
+    (tmp_path / "warc" / name).write_bytes(bytes(data))
+    got = warc.read_archives(spark, folder, files).collect()
+    assert sum(r["kind"] == "record" for r in got) == 19 and {r["file"] for r in got if r["kind"] == "gap"} == {name}
+    assert all(r["reason"] and r["payload_bytes"] > 0 for r in got if r["kind"] == "gap")
+
+
 def unigram_model(bpe: bytes) -> bytes:
     """The same vocabulary as a unigram model: scores fall with the logarithm of the id, in steps of 1/64 so that sums are exact."""
     number = lambda n: bytes([n & 127 | 128]) + number(n >> 7) if n > 127 else bytes([n])

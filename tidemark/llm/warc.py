@@ -6,7 +6,7 @@ table which the finished job returns, so a repeated or lost attempt leaves no
 record twice. Reading: a record is checked (version line, header, length, end
 mark, digest). Where a check fails, the reader looks for the next gzip member or
 version line that starts a valid record, goes on there, and returns the bytes
-between as a quarantined gap.
+between as a quarantined gap. Members may hold one record or many.
 """
 
 from __future__ import annotations
@@ -22,17 +22,19 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm._common import materialize, scratch_dir
+from tidemark.llm._common import materialize, scratch_dir, small
 
-#: Bytes after which a task begins its next archive.
-ARCHIVE = 8_000_000
+#: Bytes after which a task begins its next archive; bytes that are inflated at a time; copies from which on a payload's revisits are found without an exchange.
+ARCHIVE, SLICE, LARGE = 8_000_000, 65_536, 1_000
 _VERSION = b"WARC/1."
 _MEMBER = b"\x1f\x8b\x08"
 _END = b"\r\n\r\n"
 _DATE = "2000-01-01T00:00:00Z"
+#: Names of pages are this and their number.
+NAME = "urn:page:"
 
-RECORD_DDL = "file string, offset long, kind string, record_type string, record_id string, refers_to string, uri string, payload_bytes long, payload_digest string, payload binary, reason string"
-_RECORD = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("kind", pa.string()), ("record_type", pa.string()), ("record_id", pa.string()), ("refers_to", pa.string()), ("uri", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("reason", pa.string())])
+RECORD_DDL = "file string, offset long, inner long, kind string, record_type string, record_id string, refers_to string, uri string, payload_bytes long, payload_digest string, payload binary, reason string"
+_RECORD = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("inner", pa.int64()), ("kind", pa.string()), ("record_type", pa.string()), ("record_id", pa.string()), ("refers_to", pa.string()), ("uri", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("reason", pa.string())])
 
 
 def sha1_base32(data: bytes) -> str:
@@ -149,31 +151,57 @@ def parse_record(data: bytes, pos: int) -> tuple[dict, int] | str:
     }, stop + 4
 
 
-def _member(data: bytes, pos: int) -> tuple[bytes, int] | None:
-    """The whole gzip member at ``pos``, checked by its own checksum, and where it ends."""
-    z = zlib.decompressobj(31)
-    try:
-        out = z.decompress(memoryview(data)[pos:])
-    except zlib.error:
-        return None
-    return (out, len(data) - len(z.unused_data)) if z.eof else None
+def _inflate(data: bytes, pos: int) -> tuple[bytes, int | None]:
+    """What the gzip member at ``pos`` holds, and where it ends; null if it is cut or damaged, with what came before the damage."""
+    z, out, at = zlib.decompressobj(31), [], pos
+    for size in (SLICE, 4_096, 256, 16, 1):  # smaller steps up to the damage
+        while at < len(data):
+            before = z.copy()
+            try:
+                out.append(z.decompress(data[at : at + size]))
+            except zlib.error:
+                z = before
+                break
+            at = min(at + size, len(data))
+            if z.eof:
+                return b"".join(out), at - len(z.unused_data)
+    return b"".join(out), None
+
+
+def _records(data: bytes, offset: int, trusted: bool) -> Iterator[tuple[str, int, object]]:
+    """Records and gaps of the inflated member at ``offset``. What is not ``trusted`` needs its digest, or to be followed by another record."""
+    pos, start, reason = 0, None, ""
+    while pos < len(data):
+        got = parse_record(data, pos)
+        if isinstance(got, str) or not (trusted or got[0]["payload_digest"] or got[0]["record_type"] == "revisit" or data[got[1] : got[1] + 7] == _VERSION):
+            start, reason = (pos, got if isinstance(got, str) else "not to be trusted") if start is None else (start, reason)
+            pos = data.find(_VERSION, pos + 1)
+            pos = len(data) if pos < 0 else pos
+            continue
+        if start is not None:
+            yield "gap", offset, (pos - start, reason, start)
+            start = None
+        yield "record", offset, got[0] | {"inner": pos}
+        pos = got[1]
+    if start is not None and trusted:
+        yield "gap", offset, (len(data) - start, reason, start)
 
 
-def _at(data: bytes, pos: int) -> tuple[dict, int] | str:
+def _read(data: bytes, pos: int) -> tuple[list, int | None, str]:
+    """Records and inner gaps at ``pos``, where what holds them ends (null: damaged), and what is wrong if there is no record."""
     if data[pos : pos + 3] == _MEMBER:
-        got = _member(data, pos)
-        if got is None:
-            return "damaged gzip member"
-        record = parse_record(got[0], 0)
-        if isinstance(record, str):
-            return record
-        return (record[0], got[1]) if record[1] == len(got[0]) else "more than one record in a gzip member"
-    return parse_record(data, pos)
+        inside, end = _inflate(data, pos)
+        found = [*_records(inside, pos, end is not None)]
+        if end is None:
+            return [x for x in found if x[0] == "record"], None, "damaged gzip member"
+        return (found if any(k == "record" for k, *_ in found) else []), end, "no valid record in a gzip member"
+    got = parse_record(data, pos)
+    return ([], None, got) if isinstance(got, str) else ([("record", pos, got[0] | {"inner": 0})], got[1], "")
 
 
 def _starts_record(data: bytes, pos: int) -> bool:
     if data[pos : pos + 3] == _MEMBER:
-        try:  # a look at the first bytes is enough here; _at() checks all
+        try:  # a look at the first bytes is enough here; _read() checks all
             return zlib.decompressobj(31).decompress(memoryview(data)[pos : pos + 512], 7) == _VERSION
         except zlib.error:
             return False
@@ -181,26 +209,29 @@ def _starts_record(data: bytes, pos: int) -> bool:
 
 
 def salvage(data: bytes) -> Iterator[tuple[str, int, object]]:
-    """("record", offset, fields) and ("gap", offset, (length, reason)), in the order of the archive.
+    """("record", offset, fields) and ("gap", offset, (length, reason, inner)), in the order of the archive.
 
-    An empty archive gives nothing. All bytes are in a record or in a gap.
+    ``inner`` is the place in the inflated member at ``offset``; a gap outside of
+    members has none. A member may hold several records; of a cut or damaged one
+    those before the damage are kept, and the member is a gap all the same. An
+    empty archive gives nothing. All bytes are in a record, its member, or a gap.
     """
-    pos = 0
+    pos, start, reason = 0, None, ""
     while pos < len(data):
-        got = _at(data, pos)
-        if not isinstance(got, str):
-            yield "record", pos, got[0]
-            pos = got[1]
-            continue
-        start, reason = pos, got
-        pos += 1
-        while pos < len(data):
-            marks = [p for p in (data.find(_MEMBER, pos), data.find(_VERSION, pos)) if p >= 0]
+        events, end, why = _read(data, pos) if start is None or _starts_record(data, pos) else ([], None, "")
+        if events and start is not None:
+            yield "gap", start, (pos - start, reason, None)
+            start = None
+        yield from events
+        if not events or end is None:
+            start, reason = (pos, why) if start is None else (start, reason)
+        if end is not None:
+            pos = end
+        else:
+            marks = [p for p in (data.find(_MEMBER, pos + 1), data.find(_VERSION, pos + 1)) if p >= 0]
             pos = min(marks, default=len(data))
-            if pos < len(data) and _starts_record(data, pos) and not isinstance(_at(data, pos), str):
-                break
-            pos = min(pos + 1, len(data))
-        yield "gap", start, (pos - start, reason)
+    if start is not None:
+        yield "gap", start, (len(data) - start, reason, None)
 
 
 def read_archives(spark: SparkSession, folder: str, files: DataFrame | None = None) -> DataFrame:
@@ -223,7 +254,7 @@ def read_archives(spark: SparkSession, folder: str, files: DataFrame | None = No
                         rows.append({"file": name, "offset": offset, "kind": kind} | x)
                         size += len(x["payload"] or b"")
                     else:
-                        rows.append({"file": name, "offset": offset, "kind": kind, "payload_bytes": x[0], "reason": x[1]})
+                        rows.append({"file": name, "offset": offset, "kind": kind, "payload_bytes": x[0], "reason": x[1], "inner": x[2]})
                     if size > 8_000_000:
                         yield pa.RecordBatch.from_pylist(rows, _RECORD)
                         rows, size = [], 0
@@ -234,12 +265,21 @@ def read_archives(spark: SparkSession, folder: str, files: DataFrame | None = No
 
 
 def with_revisits(pages: DataFrame, page_id: str = "page_id", uri: str = "url", html: str = "html", least: int = 0) -> DataFrame:
-    """Rows for ``write_archives``: of equal payloads of at least ``least`` bytes the one with the largest id is stored, others refer to it."""
-    rows = pages.select(F.col(page_id).cast("string").alias("record_id"), F.col(page_id).alias("n"), F.coalesce(uri, F.lit("")).alias("uri"), F.encode(F.coalesce(html, F.lit("")), "UTF-8").alias("payload"))
-    rows = rows.withColumn("sha", F.sha1("payload"))
-    kept = rows.filter(F.octet_length("payload") >= least).groupBy("sha").agg(F.max("n").alias("last"), F.count(F.lit(1)).alias("times")).filter("times > 1 and last is not null").drop("times")
-    out = rows.join(kept, "sha", "left")
-    return out.withColumn("refers_to", F.when(~F.col("n").eqNullSafe(F.col("last")), F.col("last").cast("string"))).select("record_id", "uri", "payload", "refers_to")
+    """Rows for ``write_archives``: of equal payloads of at least ``least`` bytes the one with the largest id is stored, others refer to it.
+
+    Payloads are equal if their length and SHA-256 are. Records are named by URIs.
+    """
+    name = lambda c: F.concat(F.lit(NAME), F.col(c).cast("string"))
+    rows = pages.select(name(page_id).alias("record_id"), F.col(page_id).alias("n"), F.coalesce(uri, F.lit("")).alias("uri"), F.encode(F.coalesce(html, F.lit("")), "UTF-8").alias("payload"))
+    rows = rows.withColumn("sha", F.concat_ws(":", F.octet_length("payload").cast("string"), F.sha2("payload", 256)))
+    kept = rows.filter(F.octet_length("payload") >= least).groupBy("sha").agg(F.max("n").alias("last"), F.count(F.lit(1)).alias("times")).filter("times > 1 and last is not null")
+    kept = materialize(kept, "stored")
+    # payloads with many copies go to every task, so that copies are not dealt to a single one
+    large = small(kept.filter(f"times > {LARGE}").select("sha", F.col("last").alias("large")))
+    few = kept.filter(f"times <= {LARGE}").select(F.col("sha").alias("key"), "last")
+    out = rows.join(large, "sha", "left").withColumn("key", F.when(F.col("large").isNull(), F.col("sha"))).join(small(few, 200_000), "key", "left")
+    stored = F.coalesce("large", "last")
+    return out.withColumn("last", stored).withColumn("refers_to", F.when(~F.col("n").eqNullSafe(F.col("last")), name("last"))).select("record_id", "uri", "payload", "refers_to")
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
@@ -254,5 +294,5 @@ def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
     if not files.limit(1).count():
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
     got = read_archives(spark, folder, files).filter("kind = 'record'")
-    number = lambda c: F.expr(f"try_cast({c} as long)")
+    number = lambda c: F.expr(f"try_cast(replace({c}, '{NAME}', '') as long)")
     return got.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
