@@ -410,6 +410,44 @@ def test_top_k(spark):
     assert topk.top_k(vecs.filter("false"), vecs.filter("false")).count() == 0
 
 
+def test_search_stops_early():
+    """Lists are left when the bound says so, with a floor at once; results are those of scoring all."""
+    rng = np.random.default_rng(3)
+    rows = rng.integers(-20, 21, (5_000, 8)) * (rng.random((5_000, 1)) < 0.02) + rng.integers(-2, 3, (5_000, 8))
+    ids, queries = rng.permutation(5_000), rows[:6] * 2
+    want = [np.sort(rows @ q)[::-1][:5].tolist() for q in queries]
+    read: list[int] = []
+    got = [s.tolist() for _, _, s in topk.threshold_search(rows, ids, queries, -1 - np.arange(6), 5, read=read)]
+    assert got == want and read[0] < 2_500
+    over = np.array([w[0] + 10**6 for w in want])
+    assert [len(s) for _, _, s in topk.threshold_search(rows, ids, queries, -1 - np.arange(6), 5, over, read)] == [0] * 6 and read[1] == 0
+
+
+def test_large_numbers(spark):
+    """Products beyond 64 bits are exact; what does not fit in a score or a component raises."""
+    rows = np.array([[10**13, 3], [10**13, 4], [-(10**13), 1], [5, 5]])
+    got = list(topk.threshold_search(rows, np.array([1, 2, 3, 4]), np.array([[10**13, 10**13]]), np.array([9]), 3))
+    assert [int(x) for x in got[0][2]] == [10**26 + 4 * 10**13, 10**26 + 3 * 10**13, 10**14] and got[0][1].tolist() == [2, 1, 4]
+    far = spark.createDataFrame([(20, [1e17]), (1, [1e17])], "vec_id long, embedding array<double>")
+    vecs = topk.quantized(far, "vec_id", "embedding", 64)
+    with pytest.raises(Exception, match="int64|large|overflow"):
+        topk.top_k(vecs, vecs.filter("id = 20")).collect()
+    with pytest.raises(Exception, match="does not fit"):
+        topk.quantized(far.withColumn("embedding", F.array(F.lit(1e300))), "vec_id", "embedding", 64).collect()
+
+
+def test_blocks_with_floors(spark, monkeypatch):
+    """Many blocks of rows and queries, repeated query ids included, give what one block gives."""
+    rnd = random.Random(6)
+    data = [(i if i % 7 else 20, [rnd.randint(-9, 9) for _ in range(4)], 4) for i in range(400)]
+    df = spark.createDataFrame(data, "id long, vec array<long>, dim int")
+    run = lambda: sorted(map(tuple, topk.top_k(df, df.filter("id % 20 = 0"), 5).collect()))
+    one = run()
+    monkeypatch.setattr(topk, "BLOCK", 40)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 10)
+    assert run() == one
+
+
 def duck():
     con = duckdb.connect()
     for t in ("documents", "pages", "embeddings"):
