@@ -3,10 +3,10 @@
 The patterns find what has a fixed form (e-mail, IP address, card, telephone).
 The random field labels runs of words with digits or at-signs by their shapes
 and neighbours and adds what the patterns miss, such as telephone numbers
-without a country code. It is trained on the driver from a small labelled table
-that a seeded generator writes; its weights are a few thousand numbers. Words
-without a digit or at-sign are outside by construction, so decoding touches only
-the runs between them.
+without a country code. It looks at the plain words around a run as well. It is
+trained on the driver from a small labelled table that a seeded generator writes;
+its weights are a few thousand numbers. Words without a digit or at-sign are
+outside by construction, so decoding touches only the runs between them.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import functools
 import hashlib
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from tidemark.llm._common import text_batches
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
 #: Rows of the labelled table, passes and step of the training.
-TRAIN_ROWS, TRAIN_STEPS, TRAIN_RATE = 800, 150, 0.15
+TRAIN_ROWS, TRAIN_STEPS, TRAIN_RATE = 2_400, 150, 0.15
 _SPACE = " \t\n\r\x0b\x0c"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -96,23 +97,42 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def shape(word: str) -> str:
     """Digits become 9, letters a, runs of over four are cut to four."""
-    out = "".join("9" if "0" <= c <= "9" else "a" if c.isalpha() else c for c in word[:48])
+    out = "".join("9" if "0" <= c <= "9" else "a" if c.isalpha() else c for c in word)
     return re.sub(r"(.)\1{4,}", r"\1\1\1\1", out)
 
 
-def features(words: list[str]) -> list[list[str]]:
-    """The features of each word of a run: its own shape and counts, and the shapes beside it."""
+#: Plain words that say what comes next.
+CUES = {
+    "email": ("mail", "email", "e-mail", "contact", "write", "address"),
+    "ip": ("ip", "host", "server", "from", "gateway", "ping"),
+    "card": ("card", "visa", "mastercard", "credit", "debit", "pay"),
+    "phone": ("call", "tel", "phone", "telephone", "fax", "mobile", "dial", "text"),
+    "other": ("in", "the", "of", "and", "page", "year", "order", "version", "room", "about", "number", "chapter"),
+}
+_CUES = {w for words in CUES.values() for w in words}
+
+
+def cue(word: str) -> str:
+    """A plain word as a feature: itself if it is a cue, else unknown; nothing at the edge of a text."""
+    low = word.lower().strip(".,;:!?()[]\"'")
+    return low if low in _CUES else "?" if word else ""
+
+
+def features(words: list[str], before: str = "", after: str = "") -> list[list[str]]:
+    """The features of each word of a run: its own shape and counts, the shapes beside it, and the plain words around the run."""
     row = ["", *words, ""]
     shapes = [shape(w.strip(".,;:!?")) for w in row]
+    near, far = f"b={cue(before)}", f"f={cue(after)}"
     out = []
     for k, w in enumerate(words, 1):
         n = sum("0" <= c <= "9" for c in w)
-        out.append([f"s={shapes[k]}", f"d={n if n < 12 else 12}", f"l={shapes[k - 1][:12] if any(c.isdigit() for c in row[k - 1]) else ''}", f"r={shapes[k + 1][:12] if any(c.isdigit() for c in row[k + 1]) else ''}", f"at={'@' in w}", f"plus={'+' in w}", f"par={'(' in w}", f"dot={min(w.strip('.').count('.'), 4)}", f"dash={min(w.count('-'), 4)}", f"slash={'/' in w or ':' in w}", f"alpha={any(c.isalpha() for c in w)}"])
+        size = n if n < 12 else 12
+        out.append([f"s={shapes[k]}", f"d={size}", f"l={shapes[k - 1] if any(c.isdigit() for c in row[k - 1]) else ''}", f"r={shapes[k + 1] if any(c.isdigit() for c in row[k + 1]) else ''}", f"at={'@' in w}", f"plus={'+' in w}", f"par={'(' in w}", f"dot={min(w.strip('.').count('.'), 4)}", f"dash={min(w.count('-'), 4)}", f"slash={'/' in w or ':' in w}", f"alpha={any(c.isalpha() for c in w)}", near, far, f"{near} d={size} {len(words)}"])
     return out
 
 
-def labelled_rows(n: int = TRAIN_ROWS, seed: int = 5) -> list[tuple[list[str], list[str]]]:
-    """The labelled table: runs of words with digits or at-signs, each word with its kind."""
+def labelled_rows(n: int = TRAIN_ROWS, seed: int = 5) -> list[tuple[list[str], list[str], str, str]]:
+    """The labelled table: runs of words with digits or at-signs, each word with its kind, and the plain words before and behind."""
     rnd = random.Random(seed)
     d = lambda k: "".join(rnd.choice("0123456789") for _ in range(k))
     a = lambda lo, hi: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(lo, hi)))
@@ -120,7 +140,7 @@ def labelled_rows(n: int = TRAIN_ROWS, seed: int = 5) -> list[tuple[list[str], l
         "email": [lambda: [f"{a(2, 8)}.{d(2)}@{a(3, 8)}{d(1)}.example.com"], lambda: [f"{a(3, 8)}@{a(3, 9)}.{a(2, 3)}"], lambda: [f"{a(2, 6)}_{d(2)}@{a(3, 8)}.{a(2, 3)}"]],
         "ip": [lambda: [".".join(str(rnd.randint(0, 255)) for _ in range(4))]],
         "card": [lambda: [d(16)], lambda: [d(4) for _ in range(4)], lambda: ["-".join(d(4) for _ in range(4))]],
-        "phone": [lambda: [f"+{rnd.randint(1, 99)}", f"({d(3)})", f"{d(3)}-{d(4)}"], lambda: [f"({d(3)})", f"{d(3)}-{d(4)}"], lambda: [f"{d(3)}-{d(3)}-{d(4)}"], lambda: [f"{d(3)}.{d(3)}.{d(4)}"], lambda: [f"+{d(2)}", d(3), d(3), d(4)], lambda: [f"+{d(11)}"]],
+        "phone": [lambda: [f"+{rnd.randint(1, 99)}", f"({d(3)})", f"{d(3)}-{d(4)}"], lambda: [f"({d(3)})", f"{d(3)}-{d(4)}"], lambda: [f"{d(3)}-{d(3)}-{d(4)}"], lambda: [f"{d(3)}.{d(3)}.{d(4)}"], lambda: [f"+{d(2)}", d(3), d(3), d(4)], lambda: [f"+{d(11)}"], lambda: [f"0{d(2)}", d(7)]],
         "other": [lambda: [d(rnd.randint(1, 9))], lambda: [f"{d(4)}-{d(2)}-{d(2)}"], lambda: [f"{d(2)}:{d(2)}"], lambda: [f"{d(1)}.{d(rnd.randint(1, 4))}"], lambda: [f"{d(1)}.{d(2)}.{d(1)}"], lambda: [f"{a(2, 8)}{d(rnd.randint(1, 8))}"], lambda: [f"{d(2)}/{d(2)}/{d(4)}"], lambda: [f"${d(3)}.{d(2)}"], lambda: [f"{d(3)}%"], lambda: [f"@{a(3, 9)}"], lambda: [f"{a(3, 8)}_{a(2, 5)}{d(6)}{a(3, 9)}{d(4)}"], lambda: [f"{d(3)}-{d(1)}-{d(2)}-{d(6)}-{d(1)}"], lambda: [f"{a(2, 4).upper()}{d(16)}"], lambda: [f"{d(5)}", f"{d(2)}"], lambda: [f"https://{a(4, 9)}.example.net/{a(2, 5)}/{d(5)}"]],
     }
     out = []
@@ -132,7 +152,12 @@ def labelled_rows(n: int = TRAIN_ROWS, seed: int = 5) -> list[tuple[list[str], l
             got[-1] += rnd.choice(("", "", "", ".", ","))
             words += got
             tags += [kind] * len(got)
-        out.append((words, tags))
+        # half of the runs have a plain word before them that fits the first kind, or any; bare long numbers count as telephone numbers behind such a word only
+        before = rnd.choice(CUES[tags[0]]) if rnd.random() < 0.5 else rnd.choice(("", a(2, 8), a(2, 8)))
+        if rnd.random() < 0.12:
+            dial = rnd.random() < 0.5
+            words, tags, before = [d(rnd.choice((7, 9, 10, 10, 11)))], ["phone" if dial else "other"], rnd.choice(CUES["phone" if dial else "other"])
+        out.append((words, tags, before, rnd.choice(("", a(2, 8)))))
     return out
 
 
@@ -141,6 +166,11 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
+def unknown(feature: str) -> str:
+    """The name under which rare features of a kind are learnt."""
+    return f"{feature.partition('=')[0]}=unknown"
+
+
 class Field:
     """Weights of the field: one row per feature and label, and label transitions."""
 
@@ -148,12 +178,10 @@ class Field:
         self.names, self.emit, self.step = names, emit, step
 
     def scores(self, rows: list[list[str]]) -> np.ndarray:
-        """Label scores of each word. An unknown shape is outside."""
+        """Label scores of each word. What training did not see, or saw once, has the weights of the unknown."""
         out = np.zeros((len(rows), len(LABELS)))
         for k, row in enumerate(rows):
-            out[k] = self.emit[[self.names[f] for f in row if f in self.names]].sum(axis=0)
-            if row[0] not in self.names:
-                out[k, 0] += 5
+            out[k] = self.emit[[self.names[x] for f in row if (x := f if f in self.names else unknown(f)) in self.names]].sum(axis=0)
         return out
 
     def decode(self, runs: list[np.ndarray]) -> list[np.ndarray]:
@@ -186,7 +214,9 @@ class Field:
 def train(rows: int = TRAIN_ROWS, seed: int = 5) -> Field:
     """Maximum likelihood with a small penalty: forward-backward and Adam over the labelled table."""
     data = labelled_rows(rows, seed)
-    seqs = [(features(w), [LABELS.index(t) for t in tags]) for w, tags in data]
+    seqs = [(features(w, before, after), [LABELS.index(t) for t in tags]) for w, tags, before, after in data]
+    times = Counter(x for f, _ in seqs for row in f for x in row)
+    seqs = [([[x if times[x] > 1 else unknown(x) for x in row] for row in f], y) for f, y in seqs]
     names: dict[str, int] = {}
     for f, _ in seqs:
         for row in f:
@@ -203,8 +233,10 @@ def train(rows: int = TRAIN_ROWS, seed: int = 5) -> Field:
             X[i, t], Y[i, t], on[i, t] = [names[x] for x in row], y[t], True
     emit, step = np.zeros((len(names) + 1, L)), np.zeros((L, L))
     moments = [np.zeros_like(w) for w in (emit, step, emit, step)]
+    used = X[on]  # the features of each word
     for it in range(1, TRAIN_STEPS + 1):
-        s = emit[X].sum(axis=2)
+        s = np.zeros((*on.shape, L))
+        s[on] = emit[used].sum(axis=1)
         a, b = np.zeros_like(s), np.zeros_like(s)
         a[:, 0] = s[:, 0]
         for t in range(1, longest):
@@ -216,9 +248,8 @@ def train(rows: int = TRAIN_ROWS, seed: int = 5) -> Field:
             b[:, t] = np.where(on[:, t + 1, None], nxt, 0)
         post = np.where(on[:, :, None], np.exp(a + b - z[:, None, None]), 0)
         gold = np.where(on[:, :, None], np.eye(L)[Y], 0)
-        g_emit = np.zeros_like(emit)
-        for k in range(width):
-            np.add.at(g_emit, X[:, :, k], gold - post)
+        miss = (gold - post)[on]
+        g_emit = np.stack([np.bincount(used.ravel(), np.repeat(miss[:, y], width), len(emit)) for y in range(L)], axis=1)
         g_step = np.zeros_like(step)
         for t in range(1, longest):
             pair = np.exp(a[:, t - 1, :, None] + step[None] + (s[:, t] + b[:, t])[:, None, :] - z[:, None, None])
@@ -249,13 +280,24 @@ def runs_of(text: str) -> list[list[tuple[int, int]]]:
     return runs
 
 
+def _beside(text: str, at: int, step: int) -> str:
+    """The word that ends before ``at``, or begins from it on."""
+    edge = at - 1 if step < 0 else at
+    while 0 <= edge < len(text) and text[edge] in _SPACE:
+        edge += step
+    far = edge
+    while 0 <= far < len(text) and text[far] not in _SPACE:
+        far += step
+    return text[far + 1 : edge + 1] if step < 0 else text[edge:far]
+
+
 def field_spans(texts: list[str], field: Field) -> list[list[tuple[str, int, int]]]:
     """What the field finds in each text: neighbouring words of one kind are one span, outer punctuation left out."""
     where, words = [], []
     for i, text in enumerate(texts):
         for run in runs_of(text):
             where.append((i, run))
-            words.append(features([text[a:b] for a, b in run]))
+            words.append(features([text[a:b] for a, b in run], _beside(text, run[0][0], -1), _beside(text, run[-1][1], 1)))
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     for (i, run), labels in zip(where, field.decode([field.scores(w) for w in words])):
         k = 0
