@@ -6,7 +6,7 @@ entries beside it count. All checks are expressions over variants and arrays.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -21,6 +21,11 @@ _NO_TEXT = "cast(array() as array<string>)"
 _none = lambda: F.expr(_NO_TEXT)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def unfenced(raw: Column) -> Column:
     """The answer without its lines of code fences, if it begins with one."""
     bare = F.trim(F.coalesce(raw, F.lit("")))
@@ -60,14 +65,21 @@ def _session_code(sid: Column, visible: Column, field: str) -> Column:
     return F.when(F.coalesce(F.array_contains(F.map_keys(visible), sid), F.lit(False)), None).when(F.coalesce(sid.rlike(SESSION), F.lit(False)), f"{field}:not_visible").otherwise(f"{field}:malformed")
 
 
-def _entries(raw: Column, name: str) -> tuple[Column, Column]:
-    """(parse error, entries as variants) of an answer that should be an object with a list ``name``."""
-    text = unfenced(raw)
-    whole = F.coalesce(F.try_parse_json(text), F.try_parse_json(outer_object(text)))
-    found = F.try_variant_get(whole, f"$.{name}", "variant")
-    fine = _is(whole, "OBJECT") & _is(found, "ARRAY")
-    error = F.when(whole.isNull(), "invalid_json").when(~fine, f"missing_{name}_list")
-    return error, F.when(error.isNull(), F.try_variant_get(found, "$", "array<variant>"))
+def _parsed(raw: Column) -> Column:
+    """The answer as a variant, unfenced; else the object in it; else null."""
+    return let(unfenced(raw), lambda text: F.coalesce(F.try_parse_json(text), F.try_parse_json(outer_object(text))))
+
+
+def _entries(raw: Column, name: str, use: Callable[[Column, Column], Column]) -> Column:
+    """``use(parse error, entries as variants)`` of an answer that should be an object with a list ``name``."""
+
+    def of(whole: Column) -> Column:
+        found = F.try_variant_get(whole, f"$.{name}", "variant")
+        error = F.when(whole.isNull(), "invalid_json").when(~(_is(whole, "OBJECT") & _is(found, "ARRAY")), f"missing_{name}_list")
+        both = F.struct(error.alias("error"), F.try_variant_get(found, "$", "array<variant>").alias("entries"))
+        return let(both, lambda x: use(x["error"], F.when(x["error"].isNull(), x["entries"])))
+
+    return let(_parsed(raw), of)
 
 
 def _indexed(errors: Column, i: Column, name: str) -> Column:
@@ -87,46 +99,60 @@ def ledger(raw: Column, visible: Column, taxonomy: Sequence[str]) -> Column:
     that are none or hold such ids. A confidence outside of [0, 1] becomes null
     and is only noted, as is an order that is not that of the first evidence.
     """
-    error, entries = _entries(raw, "events")
-
-    def sessions(e: Column, field: str) -> tuple[Column, Column]:
-        v = _field(e, field)
-        absent = _absent(e, field)
-        bad_list = ~absent & ~_is(v, "ARRAY")
-        ids = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.when(_kind(x) == "STRING", F.try_variant_get(x, "$", "string")))
-        ids = F.when(absent | bad_list, _none()).otherwise(ids)
-        codes = F.filter(F.transform(ids, lambda s: _session_code(s, visible, field)), lambda c: c.isNotNull())
-        canonical = F.array_distinct(F.transform(ids, lambda s: F.try_element_at(visible, s)))
-        return F.concat(_code(bad_list, f"{field}:not_a_list"), codes), canonical
+
+    def sessions(e: Column, field: str) -> Column:
+        """struct(errors, ids) of a list of sessions."""
+
+        def of(v: Column) -> Column:
+            absent = v.isNull() | (_kind(v) == "VOID")
+            bad_list = ~absent & ~_is(v, "ARRAY")
+            ids = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.when(_kind(x) == "STRING", F.try_variant_get(x, "$", "string")))
+
+            def checked(ids: Column) -> Column:
+                codes = F.filter(F.transform(ids, lambda s: _session_code(s, visible, field)), lambda c: c.isNotNull())
+                return F.struct(F.concat(_code(bad_list, f"{field}:not_a_list"), codes).alias("errors"), F.array_distinct(F.transform(ids, lambda s: F.try_element_at(visible, s))).alias("ids"))
+
+            return let(F.when(absent | bad_list, _none()).otherwise(ids), checked)
+
+        return let(_field(e, field), of)
+
+    names = ("event_id", "status", "first_evidence_session_id", "status_anchor_session_id")
 
     def entry(e: Column, i: Column) -> Column:
-        event, status, first, anchor = (_text(e, f) for f in ("event_id", "status", "first_evidence_session_id", "status_anchor_session_id"))
-        core_errors, core = sessions(e, "core_evidence_session_ids")
-        supporting_errors, supporting = sessions(e, "supporting_session_ids")
+        read = F.struct(*[_text(e, f).alias(f) for f in names], sessions(e, "core_evidence_session_ids").alias("core"), sessions(e, "supporting_session_ids").alias("supporting"), _is(e, "OBJECT").alias("is_object"))
+        return let(read, lambda x: judged(e, i, x))
+
+    def judged(e: Column, i: Column, x: Column) -> Column:
+        event, status, first, anchor = (x[f] for f in names)
+        core_errors, core = x["core"]["errors"], x["core"]["ids"]
+        supporting_errors, supporting = x["supporting"]["errors"], x["supporting"]["ids"]
         one = lambda sid, field: F.array_compact(F.array(_session_code(sid, visible, field)))
         number = F.when(_kind(_field(e, "confidence")).rlike("^(BIGINT|DECIMAL.*|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)"), F.try_variant_get(e, "$.confidence", "double"))
         confidence = F.when(number.between(0.0, 1.0), number)
         fatal = F.when(
-            _is(e, "OBJECT"),
+            x["is_object"],
             F.concat(
                 _code(~F.coalesce(event.isin(*taxonomy), F.lit(False)), "unknown_event_id"), _code(~F.coalesce(status.isin(*STATUSES), F.lit(False)), "invalid_status"),
                 one(first, "first_evidence_session_id"), one(anchor, "status_anchor_session_id"), core_errors, supporting_errors,
             ),
         ).otherwise(F.array(F.lit("not_an_object")))
-        noted = _code(_is(e, "OBJECT") & confidence.isNull(), "invalid_confidence")
+        noted = _code(x["is_object"] & confidence.isNull(), "invalid_confidence")
         name = F.coalesce(F.try_variant_get(e, "$.prediction_id", "string"), F.format_string("P%03d", i + 1))
         made = F.struct(
             name.alias("prediction_id"), event.alias("event_id"), status.alias("status"), F.try_element_at(visible, first).alias("first_evidence_session"), F.try_element_at(visible, anchor).alias("status_anchor_session"),
             core.alias("core_evidence_sessions"), supporting.alias("supporting_sessions"), confidence.alias("confidence"),
         )
-        return F.struct(F.size(fatal).alias("n_fatal"), _indexed(F.concat(noted, fatal), i, "events").alias("errors"), made.alias("made"))
+        return let(fatal, lambda f: F.struct(F.size(f).alias("n_fatal"), _indexed(F.concat(noted, f), i, "events").alias("errors"), made.alias("made")))
 
-    checked = F.transform(entries, entry)
-    events = F.transform(F.filter(checked, lambda x: x["n_fatal"] == 0), lambda x: x["made"])
     number = lambda x: F.regexp_extract(x["first_evidence_session"], "([0-9]+)$", 1).cast("int")
-    late = _code(~_ordered(F.transform(events, number)), "events_not_ordered_by_first_evidence")
-    rejected = F.size(F.filter(checked, lambda x: x["n_fatal"] > 0))
-    return F.struct(error.alias("parse_error"), events.alias("events"), F.concat(F.flatten(F.transform(checked, lambda x: x["errors"])), late).alias("errors"), F.when(error.isNull(), rejected).otherwise(0).alias("n_rejected"))
+
+    def told(error: Column, checked: Column) -> Column:
+        events = F.transform(F.filter(checked, lambda x: x["n_fatal"] == 0), lambda x: x["made"])
+        late = _code(~_ordered(F.transform(events, number)), "events_not_ordered_by_first_evidence")
+        rejected = F.size(F.filter(checked, lambda x: x["n_fatal"] > 0))
+        return F.struct(error.alias("parse_error"), events.alias("events"), F.concat(F.flatten(F.transform(checked, lambda x: x["errors"])), late).alias("errors"), F.when(error.isNull(), rejected).otherwise(0).alias("n_rejected"))
+
+    return _entries(raw, "events", lambda error, entries: let(F.transform(entries, entry), lambda checked: told(error, checked)))
 
 
 def pairs(raw: Column, visible: Column, taxonomy: Sequence[str]) -> Column:
@@ -136,7 +162,6 @@ def pairs(raw: Column, visible: Column, taxonomy: Sequence[str]) -> Column:
     unknown or not shown, is one invalid record. Further fields and a wrong order
     are only noted.
     """
-    error, entries = _entries(raw, "pairs")
 
     def named(e: Column, field: str, known: Column, form: str | None, unknown: str) -> Column:
         v = _text(e, field)
@@ -150,14 +175,18 @@ def pairs(raw: Column, visible: Column, taxonomy: Sequence[str]) -> Column:
         keys = F.json_object_keys(F.when(_is(e, "OBJECT"), F.to_json(e)))
         extra = F.array_sort(F.array_except(F.coalesce(keys, _none()), F.array(*map(F.lit, PAIR_FIELDS))))
         noted = F.transform(extra, lambda k: F.concat(F.lit("unexpected_field:"), k))
-        return F.struct(F.size(fatal).alias("n_fatal"), _indexed(F.concat(noted, fatal), i, "pairs").alias("errors"), F.struct(event.alias("event_id"), session.alias("evidence_session_id")).alias("made"))
+        made = F.struct(event.alias("event_id"), session.alias("evidence_session_id"))
+        return let(fatal, lambda f: F.struct(F.size(f).alias("n_fatal"), _indexed(F.concat(noted, f), i, "pairs").alias("errors"), made.alias("made")))
 
-    checked = F.transform(entries, entry)
-    made = F.transform(F.filter(checked, lambda x: x["n_fatal"] == 0), lambda x: x["made"])
     at = lambda x: F.struct(F.regexp_extract(x["evidence_session_id"], "([0-9]+)$", 1).cast("int").alias("n"), x["event_id"].alias("e"))
-    late = _code(~_ordered(F.transform(made, at)), "pairs_not_ordered_by_evidence_session")
-    invalid = F.size(F.filter(checked, lambda x: x["n_fatal"] > 0))
-    return F.struct(error.alias("parse_error"), made.alias("pairs"), F.concat(F.flatten(F.transform(checked, lambda x: x["errors"])), late).alias("errors"), F.when(error.isNull(), invalid).otherwise(0).alias("n_invalid"))
+
+    def told(error: Column, checked: Column) -> Column:
+        made = F.transform(F.filter(checked, lambda x: x["n_fatal"] == 0), lambda x: x["made"])
+        late = _code(~_ordered(F.transform(made, at)), "pairs_not_ordered_by_evidence_session")
+        invalid = F.size(F.filter(checked, lambda x: x["n_fatal"] > 0))
+        return F.struct(error.alias("parse_error"), made.alias("pairs"), F.concat(F.flatten(F.transform(checked, lambda x: x["errors"])), late).alias("errors"), F.when(error.isNull(), invalid).otherwise(0).alias("n_invalid"))
+
+    return _entries(raw, "pairs", lambda error, entries: let(F.transform(entries, entry), lambda checked: told(error, checked)))
 
 
 def state(raw: Column, checkpoint: Column, version: str, paths: Sequence[str], statuses: Sequence[str], closed: Mapping[str, Sequence[str]] | None = None) -> Column:
@@ -169,19 +198,15 @@ def state(raw: Column, checkpoint: Column, version: str, paths: Sequence[str], s
     ``checkpoint``, or its value is not among the ``closed`` values of its path
     (every element of a list must be).
     """
-    text = unfenced(raw)
-    whole = F.coalesce(F.try_parse_json(text), F.try_parse_json(outer_object(text)))
-    found = _field(whole, "state")
-    error = F.when(~(_is(whole, "OBJECT") & _is(found, "OBJECT")), "invalid_json_or_missing_state").when(~F.coalesce(_text(whole, "schema_version") == version, F.lit(False)), "schema_version_mismatch")
-    keys = F.coalesce(F.json_object_keys(F.to_json(F.when(_is(found, "OBJECT"), found))), _none())
-    extras = F.transform(F.array_sort(F.array_except(keys, F.array(*map(F.lit, paths)))), lambda k: F.concat(F.lit("unknown_path:"), k))
-
-    def cell(path: str) -> Column:
-        c = F.try_variant_get(found, f"$['{path}']", "variant")
+
+    def cell(found: Column, path: str) -> Column:
+        return let(F.try_variant_get(found, f"$['{path}']", "variant"), lambda c: judged(c, path))
+
+    fine = lambda s: F.coalesce(s.rlike(SESSION) & (F.substring(s, 2, 9).cast("int") <= checkpoint), F.lit(False))
+
+    def judged(c: Column, path: str) -> Column:
         status, proof, value = _text(c, "status"), _field(c, "evidence_session_ids"), _field(c, "value")
-        absent = proof.isNull()
-        ids = F.when(absent, _none()).otherwise(F.transform(F.try_variant_get(proof, "$", "array<variant>"), lambda x: F.when(_kind(x) == "STRING", F.try_variant_get(x, "$", "string"))))
-        fine = lambda s: F.coalesce(s.rlike(SESSION) & (F.substring(s, 2, 9).cast("int") <= checkpoint), F.lit(False))
+        ids = F.when(proof.isNull(), _none()).otherwise(F.transform(F.try_variant_get(proof, "$", "array<variant>"), lambda x: F.when(_kind(x) == "STRING", F.try_variant_get(x, "$", "string"))))
         wrong_value = F.lit(False)
         if closed and path in closed:
             allowed = lambda x: F.coalesce(F.try_variant_get(x, "$", "string").isin(*closed[path]), F.lit(False))
@@ -189,13 +214,23 @@ def state(raw: Column, checkpoint: Column, version: str, paths: Sequence[str], s
         reason = (
             F.when(~_is(c, "OBJECT"), "missing_or_invalid_cell")
             .when(~F.coalesce(status.isin(*statuses), F.lit(False)), "invalid_status")
-            .when(~absent & ~_is(proof, "ARRAY"), "evidence_not_list")
+            .when(proof.isNotNull() & ~_is(proof, "ARRAY"), "evidence_not_list")
             .when(F.exists(ids, lambda s: ~fine(s)), "invalid_or_future_evidence")
             .when(wrong_value, "invalid_closed_value")
         )
         return F.struct(F.lit(path).alias("path"), reason.alias("reason"), F.to_json(value).alias("value"), status.alias("status"), F.array_distinct(ids).alias("evidence"))
 
-    cells = F.when(error.isNull(), F.array(*map(cell, paths)))
-    good = F.transform(F.filter(cells, lambda c: c["reason"].isNull()), lambda c: F.struct(c["path"], c["value"], c["status"], c["evidence"]))
-    bad = F.transform(F.filter(cells, lambda c: c["reason"].isNotNull()), lambda c: F.concat_ws(":", c["path"], c["reason"]))
-    return F.struct(error.alias("parse_error"), good.alias("cells"), F.when(error.isNull(), F.concat(extras, bad)).alias("errors"))
+    def told(error: Column, extras: Column, cells: Column) -> Column:
+        good = F.transform(F.filter(cells, lambda c: c["reason"].isNull()), lambda c: F.struct(c["path"], c["value"], c["status"], c["evidence"]))
+        bad = F.transform(F.filter(cells, lambda c: c["reason"].isNotNull()), lambda c: F.concat_ws(":", c["path"], c["reason"]))
+        return F.struct(error.alias("parse_error"), good.alias("cells"), F.when(error.isNull(), F.concat(extras, bad)).alias("errors"))
+
+    def of(whole: Column) -> Column:
+        found = _field(whole, "state")
+        error = F.when(~(_is(whole, "OBJECT") & _is(found, "OBJECT")), "invalid_json_or_missing_state").when(~F.coalesce(_text(whole, "schema_version") == version, F.lit(False)), "schema_version_mismatch")
+        keys = F.coalesce(F.json_object_keys(F.to_json(F.when(_is(found, "OBJECT"), found))), _none())
+        extras = F.transform(F.array_sort(F.array_except(keys, F.array(*map(F.lit, paths)))), lambda k: F.concat(F.lit("unknown_path:"), k))
+        read = F.struct(error.alias("error"), extras.alias("extras"), F.when(error.isNull(), F.array(*[cell(found, p) for p in paths])).alias("cells"))
+        return let(read, lambda x: told(x["error"], x["extras"], x["cells"]))
+
+    return let(_parsed(raw), of)
