@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from tidemark.operators.windows import numbered_whole
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -146,4 +148,4 @@ def retrieval_recall(df: DataFrame, wanted: str, found: str) -> DataFrame:
 def histogram(df: DataFrame, column: str) -> DataFrame:
     """Counts by value with nulls as "unknown", and each value's rank by count."""
     out = df.groupBy(F.coalesce(F.col(column).cast("string"), F.lit("unknown")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    return out.withColumn("place", F.row_number().over(W.orderBy(F.desc("n"), "value")))
+    return numbered_whole(out, [F.desc("n"), "value"], "place").withColumn("place", F.col("place") + 1)

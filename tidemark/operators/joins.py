@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tidemark.operators._stage import bounded, staged
+
 
 class JoinError(ValueError):
     """A keyed join found what it must not find."""
@@ -91,7 +93,7 @@ def first_impacts(transitions: DataFrame, actions: DataFrame, specs: DataFrame,
 
     ``specs`` (event, kind, spec_order) is small by its nature: a registry.
     """
-    hits = transitions.join(F.broadcast(specs), "event").join(actions, [entity, "kind"])
+    hits = transitions.join(bounded(specs), "event").join(actions, [entity, "kind"])
     first = F.row_number().over(W.partitionBy(entity, "action_id").orderBy(*order, "spec_order"))
     return hits.withColumn("_r", first).filter("_r = 1").drop("_r")
 
@@ -113,7 +115,7 @@ def nearest(left: DataFrame, right: DataFrame, by: Sequence[str], at: str, other
 def ordered_pairs(df: DataFrame, column: str) -> DataFrame:
     """All pairs left < right of the distinct values of a dimension column, which must be few (methods, regions)."""
     v = df.select(column).distinct()
-    return v.select(F.col(column).alias("left")).join(F.broadcast(v.select(F.col(column).alias("right"))), F.col("left") < F.col("right"))
+    return v.select(F.col(column).alias("left")).join(bounded(v.select(F.col(column).alias("right"))), F.col("left") < F.col("right"))
 
 
 def similar_sets(sets: DataFrame, key: str, items: str, percent: int) -> DataFrame:
@@ -141,9 +143,13 @@ def similar_sets(sets: DataFrame, key: str, items: str, percent: int) -> DataFra
 def set_classes(sets: DataFrame, key: str, items: str) -> DataFrame:
     """Class of each row: the smallest key with the same set. Empty sets stand alone."""
     s = F.sha2(F.array_join(F.array_sort(items), "\n"), 256)
-    named = sets.select(key, F.when(F.size(items) > 0, s).alias("s"))
-    least = named.filter("s is not null").groupBy("s").agg(F.min(key).alias("class_id"))
-    return named.join(least, "s", "left").select(key, F.coalesce("class_id", key).alias("class_id"))
+    named = staged(sets.select(key, F.when(F.size(items) > 0, s).alias("s")))
+    # only sets that occur twice need a join; those of many rows go to all tasks, so that no task gets all rows of one
+    least = staged(named.filter("s is not null").groupBy("s").agg(F.min(key).alias("class_id"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    large = bounded(least.filter("n > 1000").select("s", F.col("class_id").alias("_large")))
+    out = named.join(large, "s", "left").withColumn("_s", F.when(F.col("_large").isNull(), F.col("s")))
+    out = out.join(bounded(least.filter("n <= 1000").select(F.col("s").alias("_s"), "class_id")), "_s", "left")
+    return out.select(key, F.coalesce("_large", "class_id", key).alias("class_id"))
 
 
 def grounded(claims: DataFrame, evidence: DataFrame, on: Sequence[tuple[str, Column]]) -> DataFrame:

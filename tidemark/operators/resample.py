@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions.text import hash_mod, hash_pick
+from tidemark.operators._stage import bounded, staged
+from tidemark.operators.windows import numbered_whole
 
 
 def cluster_sums(df: DataFrame, cluster: str, value: str) -> DataFrame:
     """(i from 0, s, n) of each cluster in cluster order; resampling only needs these."""
-    from pyspark.sql import Window as W
-
     out = df.filter(F.col(value).isNotNull()).groupBy(cluster).agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("n"))
-    return out.select((F.row_number().over(W.orderBy(cluster)) - 1).cast("long").alias("i"), "s", "n")
+    return staged(numbered_whole(out, [cluster], "i").select("i", "s", "n"))
 
 
 def bootstrap_means(spark: SparkSession, clusters: DataFrame, draws: int, seed: str) -> DataFrame:
@@ -21,10 +21,11 @@ def bootstrap_means(spark: SparkSession, clusters: DataFrame, draws: int, seed:
     Every draw is a hash of seed, replicate and slot, so results do not depend
     on partitioning and other engines can repeat them.
     """
-    k = clusters.count()
-    slots = spark.range(draws).select(F.col("id").alias("rep")).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(max(k - 1, 0)))))
-    drawn = slots.withColumn("i", hash_mod(hash_pick(seed, F.col("rep"), F.col("slot")), max(k, 1)))
-    return drawn.join(clusters, "i").groupBy("rep").agg((F.sum("s") / F.sum("n")).alias("mean"))
+    k = max(clusters.count(), 1)
+    drawn = spark.range(draws * k).select(F.expr(f"id div {k}").alias("rep"), (F.col("id") % k).alias("slot"))
+    drawn = drawn.withColumn("i", hash_mod(hash_pick(seed, F.col("rep"), F.col("slot")), k)).groupBy("rep", "i").agg(F.count(F.lit(1)).alias("times"))
+    sums = drawn.join(bounded(clusters), "i").groupBy("rep").agg(F.sum(F.col("s") * F.col("times")).alias("s"), F.sum(F.col("n") * F.col("times")).alias("n"))
+    return sums.select("rep", (F.col("s") / F.col("n")).alias("mean"))
 
 
 def interval(means: DataFrame, alpha: float = 0.05, inner: bool = False) -> DataFrame:
@@ -43,7 +44,7 @@ def interval(means: DataFrame, alpha: float = 0.05, inner: bool = False) -> Data
 def sign_flip(spark: SparkSession, clusters: DataFrame, draws: int, seed: str) -> DataFrame:
     """Two-sided p-value of a mean of zero: clusters change sign by hash; (hits + 1) / (draws + 1)."""
     total = clusters.agg((F.sum("s") / F.sum("n")).alias("observed"), F.sum("n").alias("n_all"))
-    flips = spark.range(draws).select(F.col("id").alias("rep")).join(F.broadcast(clusters))  # clusters are sums, few and small
+    flips = clusters.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
     flips = flips.withColumn("sign", F.when(hash_mod(hash_pick(seed, F.col("rep"), F.col("i")), 2) == 0, 1).otherwise(-1))
     reps = flips.groupBy("rep").agg((F.sum(F.col("s") * F.col("sign")) / F.sum("n")).alias("m"))
     hit = F.abs("m") >= F.abs("observed") - 1e-12

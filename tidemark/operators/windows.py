@@ -12,6 +12,22 @@ def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str =
     return df.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order)).cast("long"))
 
 
+def numbered_whole(df: DataFrame, order: Sequence[Column | str], name: str = "no") -> DataFrame:
+    """Adds the place of each row in the whole table, from 0: rows are dealt by range, and each range starts behind the rows of those before it.
+
+    Ties have no stated order; give ``order`` enough columns.
+    """
+    from tidemark.operators._stage import staged
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    rows = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    rows = staged(rows.withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(2**33 - 1)))
+    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row for each range
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(sizes.select("_part", before.alias("_start")))
+    return rows.join(starts, "_part").withColumn(name, F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
+
+
 def checkpoints(df: DataFrame, by: Sequence[str], no: str, stride: int, aggs: Sequence[Column]) -> DataFrame:
     """State of every prefix that ends at a multiple of ``stride``: rows are summed per block, and blocks run up.
 

@@ -89,12 +89,12 @@ def lag_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _numbered(spark, sf_dir).groupBy(windows.lag_bucket(F.col("no")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""with w as (select user_id, event_id, year(ts) * 12 + month(ts) - 1 as m, ts, ('0x' || substr(sha256('d:' || event_id::varchar), 1, 8))::bigint % 28 + 1 as wish from events where event_id % 40 = 0),
+@query("""with w as (select user_id, event_id, ts::date as m, ts, ('0x' || substr(sha256('d:' || event_id::varchar), 1, 8))::bigint % 28 + 1 as wish from events),
 n as (select *, row_number() over p as i, count(*) over (partition by user_id, m) as c from w window p as (partition by user_id, m order by ts))
 select event_id, least(max(wish - i) over (partition by user_id, m order by ts) + i, 28 - c + i)::bigint as slot from n""")
 def increasing_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seeded days of the month, strictly increasing in the order of the events of one in 40."""
-    e = table(spark, sf_dir, "events").filter("event_id % 40 = 0").withColumn("m", dates.month_ordinal(F.col("ts"))).withColumn("wish", dates.seeded_day("d", 28, F.col("event_id")))
+    """Seeded slots, strictly increasing in the order of a user's events of a day."""
+    e = table(spark, sf_dir, "events").withColumn("m", F.to_date("ts")).withColumn("wish", dates.seeded_day("d", 28, F.col("event_id")))
     return windows.increasing_slots(e, ["user_id", "m"], ["ts"], "wish", 28).select("event_id", F.col("slot").cast("long").alias("slot"))
 
 

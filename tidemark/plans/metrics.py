@@ -15,17 +15,17 @@ def _conf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", (F.get_json_object("props", "$.k").cast("int") % 101 / F.lit(100.0)).alias("conf"), (F.col("event_type") == "purchase").alias("hit"))
 
 
-_ITEMS = """select user_id, count_if(event_type = 'click' and event_id % 2 = 0) as m, count_if(event_type = 'click') as p, count_if(event_id % 2 = 0 and event_type <> 'view') as g from events where event_id % 30 = 0 group by 1"""
+_ITEMS = """select user_id, day(ts)::int as day, count_if(event_type = 'click' and value < 30) as m, count_if(event_type = 'click') as p, count_if(value < 30 and event_type <> 'view') as g from events group by 1, 2"""
 
 
-@query(f"""with i as ({_ITEMS}), r as (select user_id, case when p = 0 and g = 0 then 1.0 when p = 0 then 0.0 else m / p end as pr, case when p = 0 and g = 0 then 1.0 when g = 0 then 0.0 else m / g end as re from i)
-select user_id, round(pr, 9)::double as precision, round(re, 9)::double as recall, round(case when pr + re > 0 then 2 * pr * re / (pr + re) else 0 end, 9)::double as f1 from r""")
+@query(f"""with i as ({_ITEMS}), r as (select user_id, day, case when p = 0 and g = 0 then 1.0 when p = 0 then 0.0 else m / p end as pr, case when p = 0 and g = 0 then 1.0 when g = 0 then 0.0 else m / g end as re from i)
+select user_id, day, round(pr, 9)::double as precision, round(re, 9)::double as recall, round(case when pr + re > 0 then 2 * pr * re / (pr + re) else 0 end, 9)::double as f1 from r""")
 def prf_by_item(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Precision, recall and F1 with their rules for empty sides."""
-    e = table(spark, sf_dir, "events").filter("event_id % 30 = 0")
-    i = e.groupBy("user_id").agg(F.count_if(F.expr("event_type = 'click' and event_id % 2 = 0")).alias("m"), F.count_if(F.expr("event_type = 'click'")).alias("p"), F.count_if(F.expr("event_id % 2 = 0 and event_type <> 'view'")).alias("g"))
+    e = table(spark, sf_dir, "events")
+    i = e.groupBy("user_id", F.dayofmonth("ts").alias("day")).agg(F.count_if(F.expr("event_type = 'click' and value < 30")).alias("m"), F.count_if(F.expr("event_type = 'click'")).alias("p"), F.count_if(F.expr("value < 30 and event_type <> 'view'")).alias("g"))
     p, r, f = A.prf(F.col("m"), F.col("p"), F.col("g"))
-    return i.select("user_id", F.round(p, 9).alias("precision"), F.round(r, 9).alias("recall"), F.round(f, 9).alias("f1"))
+    return i.select("user_id", "day", F.round(p, 9).alias("precision"), F.round(r, 9).alias("recall"), F.round(f, 9).alias("f1"))
 
 
 @query("""select user_id, round(hits / nullif(sales, 0), 9)::double as ratio from (select user_id, count_if(event_type = 'click') as hits, count_if(event_id % 7 = 0 and event_type = 'purchase') as sales from events group by 1)""")
@@ -129,10 +129,10 @@ def first_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", r.alias("reason"))
 
 
-@query("""with e as (select user_id, list(distinct event_type) filter (where event_id % 50 = 0) as w, list(distinct event_type) filter (where event_id % 33 = 1) as f from events group by 1), x as (select user_id, coalesce(w, []) as w, coalesce(f, []) as f from e), h as (select *, len(list_intersect(w, f)) as hit from x)
+@query("""with e as (select user_id, list(distinct json_extract_string(props, '$.k')) filter (where event_type = 'error') as w, list(distinct json_extract_string(props, '$.k')) filter (where event_type = 'click') as f from events group by 1), x as (select user_id, coalesce(w, []) as w, coalesce(f, []) as f from e), h as (select *, len(list_intersect(w, f)) as hit from x)
 select user_id, hit > 0 as any_hit, len(w) > 0 and hit = len(w) as all_found, case when len(w) > 0 then round(hit / len(w), 9) end as recall from h""")
 def retrieval_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set(F.when(F.col("event_id") % 50 == 0, F.col("event_type"))).alias("w"), F.collect_set(F.when(F.col("event_id") % 33 == 1, F.col("event_type"))).alias("f"))
+    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set(F.when(F.col("event_type") == "error", F.get_json_object("props", "$.k"))).alias("w"), F.collect_set(F.when(F.col("event_type") == "click", F.get_json_object("props", "$.k"))).alias("f"))
     return A.retrieval_recall(e, "w", "f").select("user_id", "any_hit", "all_found", F.round("recall", 9).alias("recall"))
 
 
@@ -166,10 +166,13 @@ def bootstrap_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.bootstrap_means(spark, _clusters(spark, sf_dir), _DRAWS, "7").select("rep", F.round("mean", 6).alias("mean"))
 
 
-@query(f"with m as (select list_sort(list(mean)) as m from ({_MEANS})) select round(m[{int(0.025 * _DRAWS) + 1}], 6) as low, round(m[{min(_DRAWS - 1, int(0.975 * _DRAWS)) + 1}], 6) as high from m")
+@query(f"""with m as (select list_sort(list(mean)) as m from ({_MEANS})) select round(m[{int(0.025 * _DRAWS) + 1}], 6) as low, round(m[{min(_DRAWS - 1, int(0.975 * _DRAWS)) + 1}], 6) as high,
+round(m[{int(0.025 * (_DRAWS - 1)) + 1}], 6) as inner_low, round(m[{int(0.975 * (_DRAWS - 1)) + 1}], 6) as inner_high from m""")
 def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds of the replicates by both index rules."""
     means = resample.bootstrap_means(spark, _clusters(spark, sf_dir), _DRAWS, "7")
-    return resample.interval(means).select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+    both = resample.interval(means).join(resample.interval(means, inner=True).toDF("inner_low", "inner_high"))  # one row each
+    return both.select(*[F.round(c, 6).alias(c) for c in both.columns])
 
 
 @query(f"""with c as (select i, s - 11000 * n as s, n from ({_CLUSTERS})), o as (select sum(s) / sum(n) as observed from c),

@@ -129,11 +129,15 @@ def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.duplicates(table(spark, sf_dir, "orders"), ["o_custkey"])
 
 
-@query("""select c_custkey as k, 'left' as side from customer where c_custkey not in (select o_custkey from orders)
-union all select distinct o_custkey, 'right' from orders where o_custkey not in (select c_custkey from customer)""")
+_KEYED = "select distinct user_id, json_extract_string(props, '$.k') as k from events where event_type = "
+
+
+@query(f"""with c as ({_KEYED} 'click'), p as ({_KEYED} 'purchase')
+select *, 'left' as side from (select * from c except select * from p) union all select *, 'right' from (select * from p except select * from c)""")
 def key_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, o = (table(spark, sf_dir, t).select(F.col(k).alias("k")) for t, k in (("customer", "c_custkey"), ("orders", "o_custkey")))
-    return joins.key_mismatch(c, o, ["k"])
+    """Users and keys that were only clicked or only bought."""
+    c, p = (_of(spark, sf_dir, kind).select("user_id", F.get_json_object("props", "$.k").alias("k")) for kind in ("click", "purchase"))
+    return joins.key_mismatch(c, p, ["user_id", "k"])
 
 
 _A = "select l_returnflag as f, l_linenumber as n from lineitem where l_quantity < 25"
@@ -147,12 +151,12 @@ def multiset_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.multiset_diff(rows.filter("l_quantity < 25").drop("l_quantity"), rows.filter("l_quantity >= 25").drop("l_quantity"))
 
 
-@query("""with a as (select distinct user_id from events where event_type = 'click' and event_id < 1000), b as (select distinct user_id from events where event_type = 'error' and event_id < 1500)
-select coalesce(a.user_id, b.user_id) as user_id, case when a.user_id is null then 'new' when b.user_id is null then 'lost' else 'retained' end as fate from a full join b on a.user_id = b.user_id""")
+@query(f"""with a as ({_KEYED} 'click'), b as ({_KEYED} 'error')
+select coalesce(a.user_id, b.user_id) as user_id, coalesce(a.k, b.k) as k, case when a.user_id is null then 'new' when b.user_id is null then 'lost' else 'retained' end as fate from a full join b on a.user_id = b.user_id and a.k = b.k""")
 def set_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which users of one event set the next one retains, loses or adds."""
-    e = table(spark, sf_dir, "events")
-    return sets.changes(e.filter("event_type = 'click' and event_id < 1000").select("user_id"), e.filter("event_type = 'error' and event_id < 1500").select("user_id"))
+    """Which keys of a user's clicks the errors retain, lose or add."""
+    click, error = (_of(spark, sf_dir, kind).select("user_id", F.get_json_object("props", "$.k").alias("k")) for kind in ("click", "error"))
+    return sets.changes(click, error)
 
 
 @query("""select c_custkey, c_mktsegment from (select *, row_number() over (partition by c_mktsegment order by sha256('9:' || c_custkey::varchar), c_custkey) as r from customer)
@@ -207,9 +211,10 @@ def violation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.code_counts(violations(spark, sf_dir), [*_RULES, "none"])
 
 
-@query("select conv_id, turn, role from (select *, lag(role) over (partition by conv_id order by turn) as b from conversations) where role = b")
+@query("select user_id, event_id, event_type from (select *, lag(event_type) over (partition by user_id order by event_id) as b from events) where event_type = b")
 def not_alternating(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.not_alternating(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), ["conv_id"], "turn", "role")
+    """Events of the same kind as the user's event before."""
+    return audit.not_alternating(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), ["user_id"], "event_id", "event_type")
 
 
 @query("""select l_orderkey, count(*) as n, min(l_linenumber) as lowest, max(l_linenumber) as highest, count(distinct l_linenumber) as n_distinct from lineitem group by 1

@@ -31,9 +31,9 @@ def shingle_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""select conv_id, turn, (length(regexp_replace(text, '\\s+', '', 'g')) >= 12 or len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) >= 5) as substantive,
-trim(regexp_replace(lower(left(text, 30)), '[^0-9a-z]+', '_', 'g'), '_') as slug from conversations""")
+trim(regexp_replace(lower(text), '[^0-9a-z]+', '_', 'g'), '_') as slug from conversations""")
 def text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.is_substantive(F.col("text")).alias("substantive"), T.slug(F.substring("text", 1, 30)).alias("slug"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.is_substantive(F.col("text")).alias("substantive"), T.slug(F.col("text")).alias("slug"))
 
 
 _PHRASES = ("the", "there", "ent", "lement", "tion", "qui")
@@ -97,12 +97,12 @@ def fused_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("g", "doc_id", F.col("place").cast("long").alias("place"))
 
 
-@query("""with q as (select vec_id, embedding as e from embeddings where vec_id < 5) select q.vec_id as query_id, x.vec_id, round(list_dot_product(q.e::double[], x.embedding::double[]) / (sqrt(list_dot_product(q.e::double[], q.e::double[])) * sqrt(list_dot_product(x.embedding::double[], x.embedding::double[]))), 6) as cosine from q, embeddings x""")
+@query("""with q as (select vec_id, embedding as e from embeddings where vec_id % 100 = 0) select q.vec_id as query_id, x.vec_id, round(list_dot_product(q.e::double[], x.embedding::double[]) / (sqrt(list_dot_product(q.e::double[], q.e::double[])) * sqrt(list_dot_product(x.embedding::double[], x.embedding::double[]))), 6) as cosine from q, embeddings x""")
 def cosine_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every vector's cosine with each of a stated set of five query vectors."""
+    """Every vector's cosine with each query vector, those whose id is divisible by 100."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    q = e.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))  # the stated queries
-    return e.join(F.broadcast(q)).select("query_id", "vec_id", F.round(retrieval.cosine(F.col("q"), F.col("embedding")), 6).alias("cosine"))
+    out = retrieval.cosine_search(e, e.filter("vec_id % 100 = 0"), "vec_id", "embedding")
+    return out.withColumn("cosine", F.round("cosine", 6))
 
 
 @query(f"select item_id, ('0x' || substr(sha256(tok), 1, 8))::bigint % 64 as bucket, count(*) as n from (select item_id, unnest({_TOKENS}) as tok from benchmark) group by 1, 2")

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+import re
+import uuid
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 #: Folders that a recursive scan leaves out.
 SKIPPED = ("images", ".cache")
@@ -23,20 +25,18 @@ def read_json_documents(spark: SparkSession, path: str, schema: StructType | str
 
 
 def read_any(spark: SparkSession, root: str, schema: StructType, formats: Sequence[str] = ("parquet", "jsonl", "json", "csv")) -> DataFrame:
-    """All files below ``root`` of the four formats as one table; columns that a format lacks are null. None is an error."""
-    from pyspark.errors import AnalysisException
+    """All files below ``root`` of the four formats as one table; columns that a format lacks are null.
 
+    No file of any format is an error, and so is a bad record or an unreadable file.
+    """
+    left_out = "/(" + "|".join(s.replace(".", r"\.") for s in SKIPPED) + ")/"
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path").filter(~F.col("path").rlike(left_out))
+    there = {r[0] for r in listed.select(F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))).distinct().collect()}  # a few formats
     found = []
-    for kind in formats:
-        reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{kind}").schema(schema)
-        df = {"parquet": lambda r: r.parquet(root), "jsonl": lambda r: r.option("mode", "FAILFAST").json(root), "json": lambda r: r.option("mode", "FAILFAST").option("multiLine", True).json(root), "csv": lambda r: r.option("header", True).csv(root)}[kind](reader)
-        name = F.col("_metadata.file_path")
-        df = df.withColumn("_path", name).filter(~F.col("_path").rlike("/(" + "|".join(s.replace(".", r"\.") for s in SKIPPED) + ")/")).drop("_path")
-        try:
-            if df.inputFiles():
-                found.append(df)
-        except AnalysisException:
-            continue
+    for kind in (k for k in formats if k in there):
+        reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{kind}").option("mode", "FAILFAST").schema(schema)
+        df = {"parquet": lambda r: r.parquet(root), "jsonl": lambda r: r.json(root), "json": lambda r: r.option("multiLine", True).json(root), "csv": lambda r: r.option("header", True).csv(root)}[kind](reader)
+        found.append(df.filter(~F.col("_metadata.file_path").rlike(left_out)))
     if not found:
         raise FileNotFoundError(f"no records below {root}")
     out = found[0]
@@ -63,28 +63,57 @@ def unique_by_key(df: DataFrame, keys: Sequence[str], wanted: DataFrame | None =
 
 
 def registry(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A small registry file (JSON array) as a table."""
-    text = "\n".join(r[0] for r in spark.read.text(path).collect())
-    return spark.createDataFrame(json.loads(text), schema)
-
-
-def canonical_json(columns: Sequence[str]) -> Column:
-    """JSON of the columns in name order, nulls kept: equal rows have equal text, so it can be hashed."""
-    return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
-
-
-def write_jsonl(df: DataFrame, path: str) -> None:
-    """JSON Lines, keys in name order, nulls kept. The committer puts files in place when all tasks are done."""
-    df.select(canonical_json(df.columns).alias("value")).write.mode("overwrite").text(path)
+    """A small registry file (one JSON array of objects) as a table. What is no array, or lacks or repeats a column's name, raises."""
+    rows = json.loads(spark.read.option("wholetext", True).text(path).first()[0])
+    names = [c.split()[0] for c in schema.split(",")]
+    if not isinstance(rows, list) or any(not isinstance(r, dict) or set(r) - set(names) for r in rows):
+        raise ValueError(f"not a registry of {names}: {path}")
+    return spark.createDataFrame([[r.get(n) for n in names] for r in rows], schema)
+
+
+def _in_order(c: Column, kind: DataType) -> Column:
+    """A value with its struct fields and map keys in name order, at all depths."""
+    match kind:
+        case StructType():
+            made = F.struct(*[_in_order(c[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)])
+            return F.when(c.isNotNull(), made)
+        case ArrayType():
+            return F.transform(c, lambda x: _in_order(x, kind.elementType))
+        case MapType():
+            return F.map_from_entries(F.transform(F.array_sort(F.map_keys(c)), lambda k: F.struct(k, _in_order(F.element_at(c, k), kind.valueType))))
+    return c
+
+
+def canonical_json(df: DataFrame) -> Column:
+    """JSON of all columns in name order at all depths, nulls kept: equal rows have equal text, so it can be hashed."""
+    return F.to_json(F.struct(*[_in_order(F.col(f"`{c}`"), df.schema[c].dataType).alias(c) for c in sorted(df.columns)]), {"ignoreNullFields": "false"})
+
+
+def replaced(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """Write a new table beside the old one and put it in its place when it is complete; a crash before leaves the old one."""
+    new = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    write(new)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(hadoop(path), True)
+    if not fs.rename(hadoop(new), hadoop(path)):
+        raise OSError(f"{new} is complete but could not be put in place as {path}")
+
+
+def write_jsonl(df: DataFrame, path: str) -> int:
+    """JSON Lines, keys in name order, nulls kept; the number of rows is returned."""
+    spark = df.sparkSession
+    replaced(spark, path, lambda new: df.select(canonical_json(df).alias("value")).write.text(new))
+    return spark.read.text(path).count()
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    replaced(df.sparkSession, path, lambda new: df.write.option("header", True).csv(new))
 
 
 def write_by_key(df: DataFrame, path: str, keys: Sequence[str], compression: str = "gzip") -> None:
     """Compressed JSON in one folder for each key."""
-    df.write.mode("overwrite").partitionBy(*keys).option("compression", compression).json(path)
+    replaced(df.sparkSession, path, lambda new: df.write.partitionBy(*keys).option("compression", compression).json(new))
 
 
 def write_tables(tables: Mapping[str, DataFrame], path: str) -> None:
@@ -93,14 +122,37 @@ def write_tables(tables: Mapping[str, DataFrame], path: str) -> None:
         write_csv(df, f"{path}/{name}")
 
 
+def table_digest(df: DataFrame) -> DataFrame:
+    """One row: row count and a digest that does not depend on the order of rows."""
+    digest = F.sum(F.conv(F.substring(F.sha2(canonical_json(df), 256), 1, 8), 16, 10).cast("long"))
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(digest, F.lit(0)).alias("digest"))
+
+
+def tree_digest(spark: SparkSession, root: str) -> DataFrame:
+    """Name below ``root``, size and sha256 of every file."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    at = F.col("path").cast("string")
+    name = F.regexp_replace(at, "^.*?" + re.escape(root.rstrip("/").split("://")[-1]) + "/", "")
+    return files.select(name.alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
 def write_with_manifest(df: DataFrame, path: str, facts: Mapping[str, str]) -> DataFrame:
-    """Write ``df`` as Parquet, then a manifest: facts, row count, an order-free digest. The manifest is last, so its presence means a complete table."""
-    df.write.mode("overwrite").parquet(path)
-    back = df.sparkSession.read.parquet(path)
-    digest = F.sum(F.conv(F.substring(F.sha2(canonical_json(df.columns), 256), 1, 8), 16, 10).cast("long"))
-    manifest = back.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(digest, F.lit(0)).alias("digest")).withColumns({k: F.lit(v) for k, v in facts.items()})
-    manifest.coalesce(1).write.mode("overwrite").json(f"{path}.manifest")
-    return df.sparkSession.read.json(f"{path}.manifest")
+    """Write ``df`` as Parquet, then a manifest: facts, status, row count, digest. The manifest is last, so COMPLETE means a complete table.
+
+    If writing fails the manifest says FAILED, and the error goes on.
+    """
+    spark = df.sparkSession
+
+    def put(manifest: DataFrame) -> None:
+        manifest.withColumns({k: F.lit(v) for k, v in facts.items()}).coalesce(1).write.mode("overwrite").json(f"{path}.manifest")
+
+    try:
+        replaced(spark, path, lambda new: df.write.parquet(new))
+    except Exception as error:
+        put(spark.createDataFrame([("FAILED", type(error).__name__)], "status string, reason string"))
+        raise
+    put(table_digest(spark.read.schema(df.schema).parquet(path)).withColumn("status", F.lit("COMPLETE")))
+    return spark.read.json(f"{path}.manifest")
 
 
 def export(df: DataFrame, allowed: Sequence[str], forbidden: Sequence[str] = ()) -> DataFrame:

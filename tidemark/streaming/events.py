@@ -11,8 +11,11 @@ from pyspark.sql.types import StructType
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared ``spark.checkpoint.dir``; a temporary one where that is unset (local tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
+    """A new folder in the shared ``spark.checkpoint.dir``; a temporary one where that is unset and Spark runs on this machine alone."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: executors and driver need a shared folder")
+    base = base or tempfile.mkdtemp(prefix="tidemark-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
