@@ -21,10 +21,12 @@ _own_dir: list[str] = []
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which all executors share.
 
-    Where that setting is missing (local tests) one temporary folder per
-    process is used.
+    Where that setting is missing and Spark runs on this machine alone (local
+    tests) one temporary folder per process is used.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: executors and driver need a shared folder")
     if not base:
         if not _own_dir:
             _own_dir.append(tempfile.mkdtemp(prefix="tidemark-"))
