@@ -4,9 +4,10 @@ The positions to be ranked are thinned out first: a 50-byte string can only be
 in two documents if its anchor (the least hash among its 16-byte spans) is, so
 positions under other anchors are unique from the start. The rest is dealt by
 anchor, each with the bytes around it, so that equal strings meet in one
-partition. There positions are ranked by their first eight bytes, and ranks are
-paired at growing offsets (8, 16, ... up to the threshold) and ranked anew. Ranks
-compare bytes, so no hash decides what is removed.
+partition. There strings whose hash is in one context only drop out, since they
+are in no other. Positions of the rest are ranked by their first eight bytes, and
+ranks are paired at growing offsets (8, 16, ... up to the threshold) and ranked
+anew. Ranks compare bytes, so no hash decides what is removed.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm._common import materialize, parts, text_batches
-from tidemark.llm._repeats import CHUNK, anchors, keyed, repeated, text_symbols
+from tidemark.llm._common import materialize, parts, rolling, span_hash, text_batches
+from tidemark.llm._repeats import _BYTE, CHUNK, anchors, keyed, repeated, text_symbols
 
 #: Bytes of a string, and of the spans that its anchor is chosen from.
 WIDTH, GRAM = 50, 16
@@ -65,6 +66,24 @@ def double(context: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
     return name[starts]
 
 
+def _in_several(context: np.ndarray, of: np.ndarray, place: np.ndarray, width: int) -> np.ndarray:
+    """Which strings may be in several contexts: those whose hash is. Others cannot be, whatever hashes collide."""
+    hashes = np.empty(len(place), np.uint64)
+    for a in range(0, len(place), CHUNK * 10):
+        b = min(a + CHUNK * 10, len(place))
+        at = int(place[a])
+        prefix = rolling(_BYTE[context[at : int(place[b - 1]) + width]])
+        hashes[a:b] = span_hash(prefix, place[a:b] - at, place[a:b] - at + width)
+    order = np.argsort(hashes)
+    h = hashes[order]
+    first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    owners = of[order]
+    several = np.minimum.reduceat(owners, first) != np.maximum.reduceat(owners, first)
+    out = np.empty(len(place), bool)
+    out[order] = np.repeat(several, np.diff(np.append(first, len(place))))
+    return out
+
+
 def settle(docs: np.ndarray, starts: np.ndarray, counts: np.ndarray, contexts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Entries, starts and ends of the byte runs whose windows start in a smaller document too.
 
@@ -82,10 +101,19 @@ def settle(docs: np.ndarray, starts: np.ndarray, counts: np.ndarray, contexts: l
     first = np.cumsum(wins) - wins
     of = np.repeat(np.arange(len(ids)), wins)
     place = np.arange(len(of)) - first[of] + (np.cumsum(lens) - lens)[of]
-    rank = double(whole, place, width)
-    lowest = np.full(int(rank.max()) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(lowest, rank, least[of])
-    gone = lowest[rank] < least[of]  # a smaller document has the window
+    gone = np.zeros(len(of), bool)
+    shared = _in_several(whole, of, place, width)
+    if shared.any():
+        # only contexts with such windows are ranked
+        has = np.zeros(len(ids), bool)
+        has[of[shared]] = True
+        part = whole[np.repeat(has, lens)]
+        shift = (np.cumsum(lens) - lens) - (np.cumsum(lens * has) - lens * has)
+        rank = double(part, place[shared] - shift[of[shared]], width)
+        owner = least[of[shared]]
+        lowest = np.full(int(rank.max()) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(lowest, rank, owner)
+        gone[shared] = lowest[rank] < owner  # a smaller document has the window
     same = of[1:] == of[:-1]
     a = np.flatnonzero(gone & ~np.append(False, gone[:-1] & same))
     b = np.flatnonzero(gone & ~np.append(gone[1:] & same, False))
