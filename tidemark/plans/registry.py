@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.plans import histories, metrics, relations, scores, shapes, texts
+from tidemark.plans import cases, histories, metrics, relations, scores, shapes, texts
 from tidemark.plans._base import QUERIES, SQL, Query
 
 #: The modules whose import registers queries.
-MODULES = (relations, histories, metrics, scores, shapes, texts)
+MODULES = (relations, histories, metrics, scores, shapes, texts, cases)
 
 
 def queries() -> dict[str, Query]:

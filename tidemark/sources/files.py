@@ -64,7 +64,7 @@ def unique_by_key(df: DataFrame, keys: Sequence[str], wanted: DataFrame | None =
 
 def registry(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A small registry file (one JSON array of objects) as a table. What is no array, or lacks or repeats a column's name, raises."""
-    rows = json.loads(spark.read.option("wholetext", True).text(path).first()[0])
+    rows = json.loads(spark.read.text(path, wholetext=True).first()[0])
     names = [c.split()[0] for c in schema.split(",")]
     if not isinstance(rows, list) or any(not isinstance(r, dict) or set(r) - set(names) for r in rows):
         raise ValueError(f"not a registry of {names}: {path}")
