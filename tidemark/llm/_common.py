@@ -52,6 +52,17 @@ def materialize(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lean_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Let at most ``rows`` rows go to Python at a time in this session, unless it asks for fewer already.
+
+    A row carries a whole text here, and Arrow holds a batch several times over,
+    outside of the heap.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def small(df: DataFrame, most_rows: int = 20_000) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``most_rows`` rows; else as it is."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.llm import minhash, mixing, pieces, pii, quality, sstable, substring, suffix, topk, warc
+from tidemark.llm._common import lean_batches
 
 #: The mixture: integer weights by name at each level; a name that is not listed weighs 1.
 MIX_WEIGHTS = {"domain": {"web": 5, "books": 3, "code": 2}, "lang": {"en": 6, "de": 2, "fr": 2}, "source": {"src0": 4}}
@@ -15,6 +16,7 @@ MIX_PERCENT, MIX_EPOCHS, MIX_SEED = 80, 4, 17
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    lean_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
