@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm import minhash, mixing, pieces, pii, quality
-from tidemark.llm._common import materialize
+from tidemark.llm._common import lean_batches, materialize
 from tidemark.llm.queries import MIX_WEIGHTS, domain_of
 
 #: The mixture takes this share of its input's tokens, from at most two epochs of a source.
@@ -15,16 +15,19 @@ MIX_PERCENT, MIX_EPOCHS, MIX_SEED = 80, 2, 23
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
+    lean_batches(spark)
     return quality.keep_good(docs)
 
 
 def first_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, a similarity of 0.8 or more."""
+    lean_batches(spark)
     return minhash.keep_first(docs, width=5, percent=80)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by its kind."""
+    lean_batches(spark)
     return pii.mask(docs)
 
 
@@ -35,6 +38,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each row."""
+    lean_batches(spark)
     return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
