@@ -43,6 +43,7 @@ def test_runs(spark, name):
 
 
 def test_fold_against_replay(spark):
+    """The SQL of the query is an independent fold; here the same rows go through the operations one by one, without Spark."""
     changes = QUERIES["memory_fold"].__globals__["_changes"](spark, SF)
     got = {}
     for r in memory.fold(changes).collect():
@@ -127,5 +128,56 @@ def test_won(text, won):
     assert T.parse_won(text) == won
 
 
+def test_quota_shortage(spark):
+    from tidemark.operators import sets
+
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "k int, band string")
+    assert sets.quota_sample(df, "band", {"a": 2, "b": 1}, "s", "k", strict=True).count() == 3
+    with pytest.raises(ValueError, match="too few"):
+        sets.quota_sample(df, "band", {"a": 2, "b": 2}, "s", "k", strict=True)
+
+
+def test_pinned_documents(spark):
+    from tidemark.operators import retrieval
+
+    g = spark.createDataFrame([(1, d, float(d)) for d in range(9)], "q int, d int, score double")
+    got = retrieval.fuse(g, ["q"], "d", 3, spark.createDataFrame([(1, 0)], "q int, d int")).orderBy("place").collect()
+    assert [r["d"] for r in got] == [0, 7, 8]
+
+
+def test_canonical_json(spark):
+    """Fields and map keys come in name order at all depths."""
+    from tidemark.sources import files
+
+    df = spark.sql("select named_struct('z', 1, 'a', array(named_struct('y', null, 'b', 2))) as s, map('q', 1, 'c', 2) as m, 5 as k")
+    assert df.select(files.canonical_json(df)).first()[0] == '{"k":5,"m":{"c":2,"q":1},"s":{"a":[{"b":2,"y":null}],"z":1}}'
+
+
+def test_bad_records_raise(spark, tmp_path):
+    from tidemark.sources import files
+
+    (tmp_path / "a.jsonl").write_text('{"k": 1}\n{"k": \n')
+    with pytest.raises(Exception, match="(?i)malformed|parse"):
+        files.read_jsonl(spark, str(tmp_path / "a.jsonl"), "k int").collect()
+    (tmp_path / "r.json").write_text('[{"k": 1, "other": 2}]')
+    with pytest.raises(ValueError, match="not a registry"):
+        files.registry(spark, str(tmp_path / "r.json"), "k int, v string")
+    with pytest.raises(FileNotFoundError):
+        files.read_any(spark, str(tmp_path / "a.jsonl"), spark.createDataFrame([], "k int").schema, formats=("parquet",))
+
+
+def test_failed_manifest(spark, tmp_path):
+    """A table that cannot be written leaves a manifest that says so, and the old table."""
+    from pyspark.sql import functions as F
+
+    from tidemark.sources import files
+
+    path, good = str(tmp_path / "t"), spark.range(3)
+    assert files.write_with_manifest(good, path, {"by": "test"}).first()["status"] == "COMPLETE"
+    with pytest.raises(Exception, match="stop"):
+        files.write_with_manifest(good.select(F.raise_error(F.lit("stop")).alias("id")), path, {"by": "test"})
+    assert spark.read.json(f"{path}.manifest").first()["status"] == "FAILED" and spark.read.parquet(path).count() == 3
+
+
 def test_sequences():
     assert T.lcs_length("abcbdab", "bdcaba") == 4 and T.edit_distance("kitten", "sitting") == 3 and T.edit_distance((), "ab") == 2

@@ -138,6 +138,19 @@ def first_reason(*rules: tuple[Column, str]) -> Column:
     return out
 
 
+def most_common(df: DataFrame, by: Sequence[str], value: str, order: str) -> DataFrame:
+    """Counts of each value with its place: more first, of equal ones the value seen first."""
+    from pyspark.sql import Window as W
+
+    out = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("_first"))
+    return out.withColumn("place", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("n"), "_first"))).drop("_first")
+
+
+def verdict_counts(df: DataFrame, by: Sequence[str], verdict: str, verdicts: Sequence[str]) -> DataFrame:
+    """Number of rows of each stated verdict, side by side, zeros kept."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("cases"), *[F.count_if(F.col(verdict) == v).alias(v) for v in verdicts])
+
+
 def retrieval_recall(df: DataFrame, wanted: str, found: str) -> DataFrame:
     """Adds any_hit, all_found (of a non-empty wanted set) and recall (null if nothing is wanted)."""
     n = F.size(wanted)

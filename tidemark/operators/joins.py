@@ -158,3 +158,33 @@ def grounded(claims: DataFrame, evidence: DataFrame, on: Sequence[tuple[str, Col
     ev = evidence.select(*[e.alias(f"_e{i}") for i, (_, e) in enumerate(on)]).distinct().withColumn("_hit", F.lit(True))
     cond = [F.col(c).eqNullSafe(F.col(f"_e{i}")) for i, c in enumerate(keys)]
     return claims.join(ev, cond, "left").select(*claims.columns, F.coalesce("_hit", F.lit(False)).alias("grounded"))
+
+
+def impacts(transitions: DataFrame, specs: DataFrame, actions: DataFrame, entity: str, order: Sequence[str]) -> DataFrame:
+    """Impacts of transitions on standing actions: each action is hit once, by the first transition whose spec selects it.
+
+    ``specs`` (a registry): event, spec_no, label and path (null: not stated),
+    decision. ``actions``: entity, action_id, kind, paths, status, moves_funds.
+    Cancelled and historical actions are left out. What moves funds must not be
+    executed by itself: a decision to execute becomes one to ask.
+    """
+    from tidemark.operators.projections import selects
+
+    live = actions.filter(~F.col("status").isin("cancelled", "historical"))
+    hits = transitions.join(bounded(specs), "event").join(live, entity).filter(selects(F.col("label"), F.col("path"), F.col("kind"), F.col("paths")))
+    first = F.row_number().over(W.partitionBy(entity, "action_id").orderBy(*order, "spec_no"))
+    ask = F.when(F.col("moves_funds") & (F.col("decision") == "execute"), "ask_confirmation").otherwise(F.col("decision"))
+    out = hits.withColumn("_r", first).filter("_r = 1").withColumn("decision", ask).withColumn("must_not_execute", F.coalesce("moves_funds", F.lit(False)))
+    return out.select(entity, "action_id", *order, "spec_no", "decision", "must_not_execute")
+
+
+def identity_join(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``validated_one_to_one`` of two sides whose other common columns must agree row by row; they appear once."""
+    return validated_one_to_one(a, b, keys, [c for c in b.columns if c in a.columns and c not in keys])
+
+
+def running_firsts(df: DataFrame, by: Sequence[str], key: Sequence[str], order: Sequence[str], item: str) -> DataFrame:
+    """The first row of each key, with all items of its ``by`` up to it, in order."""
+    first = F.row_number().over(W.partitionBy(*by, *key).orderBy(*order))
+    upto = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    return df.withColumn("_r", first).filter("_r = 1").drop("_r").withColumn("so_far", F.collect_list(item).over(upto))

@@ -23,8 +23,12 @@ def changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return n.select(*cols, F.when(F.col("b") == 3, "retained").when(F.col("b") == 1, "lost").otherwise("new").alias("fate"))
 
 
-def quota_sample(df: DataFrame, band: str, quota: dict[str, int], seed: str, key: str) -> DataFrame:
-    """Exactly ``quota[band]`` rows of each band (all, if fewer), by seeded hash order."""
+def quota_sample(df: DataFrame, band: str, quota: dict[str, int], seed: str, key: str, strict: bool = False) -> DataFrame:
+    """Exactly ``quota[band]`` rows of each band by seeded hash order; all if there are fewer, or an error with ``strict``."""
+    if strict:
+        have = {r[0]: r[1] for r in df.filter(F.col(band).isin(*quota)).groupBy(band).agg(F.count(F.lit(1))).collect()}  # a row for each quota
+        if short := {b: have.get(b, 0) for b, n in quota.items() if have.get(b, 0) < n}:
+            raise ValueError(f"too few rows: {short}")
     most = F.coalesce(*[F.when(F.col(band) == b, n) for b, n in quota.items()], F.lit(0))
     r = F.row_number().over(W.partitionBy(band).orderBy(hash_pick(seed, F.col(key)), key))
     return df.withColumn("_r", r).filter(F.col("_r") <= most).drop("_r")

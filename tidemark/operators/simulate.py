@@ -15,6 +15,14 @@ def monthly_hazard(annual: Column) -> Column:
     return F.least(F.greatest(annual / 12, F.lit(0.0)), F.lit(0.5))
 
 
+def annual_propensity(base: Column, *factors: Column, low: float = 0.0, high: float = 1.0) -> Column:
+    """A base rate times its factors (a null one is 1), kept in [low, high]."""
+    out = base
+    for f in factors:
+        out = out * F.coalesce(f, F.lit(1.0))
+    return F.least(F.greatest(out, F.lit(low)), F.lit(high))
+
+
 def lifecycle(start: int, horizon: int, skip_weak: float, cancel: float, waits: tuple[int, int], rnd: random.Random, forced: bool = False) -> list[tuple[str, int]]:
     """(status, month) of one instance: weak signal, upcoming, then occurred or cancelled. A forced one is never cancelled."""
     out, month = [], start

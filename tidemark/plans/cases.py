@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from tidemark.operators import audit, cases as C, joins
+from tidemark.operators import aggregates as A, audit, cases as C, joins, masking, scoring as S, simulate
 from tidemark.plans._base import query, table
 from tidemark.sources import files
 from tidemark.streaming.events import scratch
@@ -162,6 +162,78 @@ def diverse_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.diverse_sample(o, ["o_orderpriority", "o_orderstatus"], 5, "d", "o_orderkey").select("o_orderkey")
 
 
+_IMPACTS = f"""with t as (select user_id, event_id, event_type as event from events), sp as (select * from (values ('click', 1, null, 'p1', 'execute'), ('click', 2, 'k0', null, 'review'), ('purchase', 1, 'k1', 'p1', 'execute'), ('view', 1, null, null, 'review')) s(event, spec_no, label, path, decision)),
+a as (select user_id, event_id as action_id, 'k' || {_K} % 2 as kind, 'p' || {_K} % 3 as path_of, case when event_type = 'error' then 'cancelled' else 'live' end as status, {_K} % 5 = 0 as moves_funds from events where event_type in ('signup', 'error')),
+h as (select t.user_id, a.action_id, t.event_id, spec_no, case when moves_funds and decision = 'execute' then 'ask_confirmation' else decision end as decision, moves_funds as must_not_execute, row_number() over (partition by t.user_id, action_id order by t.event_id, spec_no) as r
+    from t join sp using (event) join a on a.user_id = t.user_id where status = 'live' and (label is not null or path is not null) and (label is null or label = kind) and (path is null or path = path_of))"""
+
+
+@query(f"{_IMPACTS} select user_id, action_id, event_id, spec_no::int as spec_no, decision, must_not_execute from h where r = 1")
+def impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first event that impacts each signup, by selectors of label and path."""
+    e, k = table(spark, sf_dir, "events"), _k()
+    specs = spark.createDataFrame([("click", 1, None, "p1", "execute"), ("click", 2, "k0", None, "review"), ("purchase", 1, "k1", "p1", "execute"), ("view", 1, None, None, "review")], "event string, spec_no int, label string, path string, decision string")
+    name = lambda p, m: F.concat(F.lit(p), (k % m).cast("string"))
+    actions = e.filter("event_type in ('signup', 'error')").select("user_id", F.col("event_id").alias("action_id"), name("k", 2).alias("kind"), F.array(name("p", 3)).alias("paths"), F.when(F.col("event_type") == "error", "cancelled").otherwise("live").alias("status"), (k % 5 == 0).alias("moves_funds"))
+    return joins.impacts(e.select("user_id", "event_id", F.col("event_type").alias("event")), specs, actions, "user_id", ["event_id"])
+
+
+@query("select n_nationkey::int as n_nationkey, n_name, n_regionkey::int as n_regionkey from nation")
+def identity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sides whose common columns agree; a difference would raise."""
+    n = table(spark, sf_dir, "nation")
+    return joins.identity_join(n.select("n_nationkey", "n_regionkey"), n.select("n_nationkey", "n_name", "n_regionkey"), ["n_nationkey"]).select("n_nationkey", "n_name", "n_regionkey")
+
+
+@query("""with f as (select user_id, event_type, min(event_id) as event_id from events group by 1, 2) select user_id, event_type, event_id, array_to_string(list(event_type) over (partition by user_id order by event_id rows between unbounded preceding and current row), ',') as so_far from f""")
+def running_firsts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first event of each kind with all kinds so far."""
+    out = joins.running_firsts(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id"), ["user_id"], ["event_type"], ["event_id"], "event_type")
+    return out.withColumn("so_far", F.array_join("so_far", ","))
+
+
+@query("select user_id, event_type, n, row_number() over (partition by user_id order by n desc, f)::int as place from (select user_id, event_type, count(*) as n, min(event_id) as f from events group by 1, 2)")
+def most_common(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's kinds of event by number, ties to the one seen first."""
+    return A.most_common(table(spark, sf_dir, "events"), ["user_id"], "event_type", "event_id")
+
+
+_WHICH = f"case when {_K} % 4 = 0 then 'no_retraction_opportunity' when {_K} % 4 = 1 then 'evidence_dependent' else 'inconsistent_persistence' end"
+
+
+@query(f"select event_type, count(*) as cases, count_if(v = 'no_retraction_opportunity')::bigint as no_retraction_opportunity, count_if(v = 'evidence_dependent')::bigint as evidence_dependent, count_if(v = 'structural_or_unsupported_persistence')::bigint as structural_or_unsupported_persistence from (select event_type, {_WHICH} as v from events) group by 1")
+def verdict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases by verdict, zeros kept."""
+    v = F.when(_k() % 4 == 0, "no_retraction_opportunity").when(_k() % 4 == 1, "evidence_dependent").otherwise("inconsistent_persistence")
+    return A.verdict_counts(table(spark, sf_dir, "events").withColumn("v", v), ["event_type"], "v", ("no_retraction_opportunity", "evidence_dependent", "structural_or_unsupported_persistence"))
+
+
+@query("""with f as (select user_id, event_id, event_type from events), m as (select user_id, event_id, case when event_type = 'error' then 'view' else event_type end as event_type from events where event_type <> 'click' or event_id % 2 = 0)
+select user_id, event_id, event_type, 'target_remains' as code from m where event_type = 'click' union all select user_id, event_id, event_type, 'drift' from (select * from f where event_type <> 'click' except all select * from m where event_type <> 'click')
+union all select user_id, event_id, event_type, 'drift' from (select * from m where event_type <> 'click' except all select * from f where event_type <> 'click')""")
+def counterfactual_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a counterfactual must not show: target rows that stay, other rows that change."""
+    f = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    m = f.filter("event_type <> 'click' or event_id % 2 = 0").withColumn("event_type", F.when(F.col("event_type") == "error", "view").otherwise(F.col("event_type")))
+    return masking.target_retracted(f, m, F.col("event_type") == "click")
+
+
+@query(f"select event_id, round(least(greatest(0.2 * (value / 50) * case when event_type = 'click' then 1.5 else 1.0 end * ({_K} / 50.0), 0.0), 1.0), 9) as annual, round(least(greatest(least(greatest(0.2 * (value / 50) * case when event_type = 'click' then 1.5 else 1.0 end * ({_K} / 50.0), 0.0), 1.0) / 12, 0.0), 0.5), 9) as monthly from events")
+def propensities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annual propensities by their factors, and monthly hazards."""
+    annual = simulate.annual_propensity(F.lit(0.2), F.col("value") / 50, F.when(F.col("event_type") == "click", 1.5), _k() / 50.0)
+    return table(spark, sf_dir, "events").select("event_id", F.round(annual, 9).alias("annual"), F.round(simulate.monthly_hazard(annual), 9).alias("monthly"))
+
+
+@query(f"""with s as (select user_id, list_distinct(list({_K} % 20) filter (where event_type = 'click')) as f, list_distinct(list({_K} % 20) filter (where event_type = 'purchase')) as w from events group by 1), x as (select user_id, coalesce(f, []) as f, coalesce(w, []) as w from s), h as (select *, len(list_intersect(f, w)) as m from x)
+select user_id, round(case when len(f) = 0 and len(w) = 0 then 1.0 when len(f) = 0 or len(w) = 0 then 0.0 else 2 * m / (len(f) + len(w)) end::double, 6) as f1 from h""")
+def set_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1 of two sets for each user."""
+    keys = lambda kind: F.collect_set(F.when(F.col("event_type") == kind, (_k() % 20).cast("string")))
+    s = table(spark, sf_dir, "events").groupBy("user_id").agg(keys("click").alias("f"), keys("purchase").alias("w"))
+    return s.select("user_id", F.round(S.set_prf(F.col("f"), F.col("w"))[2], 6).alias("f1"))
+
+
 # -- resuming and sharing ------------------------------------------------------------------
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark.functions import dates
 from tidemark.operators import align, memory, simulate, windows
 from tidemark.plans._base import query, table
-from tidemark.streaming import events as streams
+from tidemark.streaming import events as streams, state
 
 _N = "select *, row_number() over (partition by user_id order by ts) as no from events"
 _HIST = "cast(user_id as string) as entity"
@@ -260,3 +260,12 @@ def stream_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
     make = lambda s: streams.deduplicated(streams.with_event_time(s), ["event_id"]).select("event_id", "user_id")
     streams.write_available(spark, make, source, spark.read.parquet(source).schema, f"{at}/out", f"{at}/state")
     return spark.read.schema("event_id long, user_id long").parquet(f"{at}/out")
+
+
+@query(f"{_FOLD_SQL} select entity, path, seq, c.value as value, c.status as status, c.valid_from as valid_from, c.valid_until as valid_until from cell")
+def stream_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fold of all changes as a stream with its state."""
+    changes, at = _changes(spark, sf_dir).drop("event_type"), streams.scratch(spark)
+    changes.coalesce(1).write.parquet(f"{at}/in")
+    out = state.fold_available(spark, f"{at}/in", changes.schema, f"{at}/out", f"{at}/state")
+    return out.select("entity", "path", "seq", "value", "status", "valid_from", "valid_until")

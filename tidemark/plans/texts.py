@@ -65,7 +65,16 @@ def nfkc_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.nfkc(F.col("text")).alias("clean"))
 
 
-@query()
+_SEQUENCES = """with recursive s as (select user_id, strftime(ts, '%Y-%m') as month, list(event_type order by ts, event_id) as s from events group by 1, 2),
+h as (select user_id, month, s[1:((len(s) + 1) // 2)::int] as a, s[((len(s) + 1) // 2 + 1)::int:] as b from s),
+r as (select user_id, month, 0 as i, list_transform(b, lambda x: 0) as row from h
+    union all select user_id, month, i + 1, list_transform(range(1, len(b) + 1), lambda k: list_max(cand[1:k])) from (
+        select r.user_id, r.month, r.i, h.b, list_transform(range(1, len(h.b) + 1), lambda j: case when h.b[j] = h.a[r.i + 1] then coalesce(r.row[j - 1], 0) + 1 else r.row[j] end) as cand
+        from r join h on h.user_id = r.user_id and h.month = r.month where r.i < len(h.a)))"""
+
+
+@query(f"""{_SEQUENCES}, e as (select user_id, month, coalesce(list_max(max_by(row, i)), 0)::int as lcs from r group by 1, 2)
+select user_id, month, lcs, levenshtein(array_to_string(list_transform(a, lambda x: x[1]), ''), array_to_string(list_transform(b, lambda x: x[1]), ''))::int as distance from h join e using (user_id, month)""")
 def sequence_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Longest common subsequence and edit distance of the first and second half of a user's kinds of event, month by month."""
     month = F.date_format("ts", "yyyy-MM").alias("month")
