@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections.abc import Sequence
 from functools import reduce
@@ -10,7 +9,10 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import IntegerType, LongType, StringType
+from pyspark.sql.types import IntegerType, StringType
+
+from tidemark.functions.answers import parse_won, won  # noqa: F401
+
 
 #: What counts as a character of normalised text, and as a token.
 NOT_TEXT = "[^0-9a-zA-Z가-힣 ]"
@@ -105,47 +107,6 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).split()), na_action=None)
 
 
-#: Korean digits, small units and large units.
-HANGUL_DIGITS = {"일": 1, "이": 2, "삼": 3, "사": 4, "오": 5, "육": 6, "칠": 7, "팔": 8, "구": 9}
-SMALL_UNITS = {"십": 10, "백": 100, "천": 1_000}
-LARGE_UNITS = {"만": 10_000, "억": 100_000_000}
-
-
-def parse_won(text: str | None) -> int | None:
-    """An amount in won: digits with commas or Hangul digits, units 십 백 천 below 만 and 억; "약", "정도" and "원" around it are ignored. Null if there is none."""
-    if text is None:
-        return None
-    t = re.sub(r"[\s,]|약|정도|원", "", unicodedata.normalize("NFKC", text))
-    if not t or re.search(r"[^0-9.십백천만억일이삼사오육칠팔구-]", t):
-        return None
-    sign = -1 if t.startswith("-") else 1
-    total = part = 0.0
-    number: float | None = None
-    for m in re.finditer(r"[0-9]+(?:\.[0-9]+)?|.", t.lstrip("-")):
-        x = m[0]
-        if x[0].isdigit():
-            number = float(x)
-        elif x in HANGUL_DIGITS:
-            number = HANGUL_DIGITS[x]
-        elif x in SMALL_UNITS:
-            part += (1 if number is None else number) * SMALL_UNITS[x]
-            number = None
-        elif x in LARGE_UNITS:
-            whole = part + (number or 0)
-            total += (whole or 1) * LARGE_UNITS[x]
-            part, number = 0.0, None
-        else:
-            return None
-    value = total + part + (number or 0)
-    return sign * int(round(value))
-
-
-@pandas_udf(LongType())
-def won(text: pd.Series) -> pd.Series:
-    """``parse_won`` of each text."""
-    return pd.Series([parse_won(t) for t in text], dtype="Int64")
-
-
 def lcs_length(a: Sequence, b: Sequence) -> int:
     """Length of the longest common subsequence of two id sequences."""
     row = [0] * (len(b) + 1)

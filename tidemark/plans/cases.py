@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from tidemark.operators import aggregates as A, audit, cases as C, joins, masking, scoring as S, simulate
+from tidemark.operators import aggregates as A, audit, cases as C, joins, masking, reports as R, scoring as S, simulate
 from tidemark.plans._base import query, table
 from tidemark.sources import files
 from tidemark.streaming.events import scratch
@@ -391,3 +391,54 @@ def utterance_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def call_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens by their price, cached and fresh apart."""
     return table(spark, sf_dir, "part").select("p_partkey", F.round(F.col("p_size") * 0.002 + F.col("p_retailprice") * 0.00001, 6).alias("cost"))
+
+
+# -- reports ---------------------------------------------------------------------------------------
+
+
+@query("""with n as (select l_returnflag, l_linenumber, count(*) as n from lineitem group by 1, 2) select l_returnflag, sum(n)::bigint as rows, count(*) as distinct_values, arg_max(l_linenumber, n * 1000 - l_linenumber)::int as top_value, round(max(n) / sum(n), 6) as top_share from n group by 1""")
+def concentrations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most frequent value of each group and its share."""
+    out = R.concentrations(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_linenumber")
+    return out.withColumn("top_share", F.round("top_share", 6))
+
+
+@query("select role, count(*) as rows, count_if(length(text) >= 100)::bigint as long_turns, count_if(text like '%?%')::bigint as questions, coalesce(sum(ceil(length(text) / 2.5)), 0)::bigint as tokens from conversations group by 1")
+def corpus_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters and token sums of each speaker in one pass."""
+    out = R.counters(table(spark, sf_dir, "conversations"), ["role"], {"long_turns": F.length("text") >= 100, "questions": F.col("text").contains("?")}, {"tokens": F.ceil(F.length("text") / F.lit(2.5)).cast("long")})
+    return out
+
+
+_FAMILY = ("tion", "ing", "th", "e")
+
+
+@query("select phrase, count(case when x is not null then 1 end) as n from (values ('tion'), ('ing'), ('th'), ('e')) p(phrase) left join (select case when contains(text, 'tion') then 'tion' when contains(text, 'ing') then 'ing' when contains(text, 'th') then 'th' when contains(text, 'e') then 'e' end as x from conversations) c on x = phrase group by 1")
+def phrase_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns by the longest phrase that they hold."""
+    return R.phrase_counts(table(spark, sf_dir, "conversations"), "text", _FAMILY)
+
+
+@query("""with f as (select o_orderkey, 'price' as code from orders where o_totalprice > 200000 union all select o_orderkey, 'status' from orders where o_orderstatus = 'P')
+select code, count(o_orderkey) as n, count(distinct o_orderkey) as hit, round(count(distinct o_orderkey) / (select count(distinct o_orderkey) from orders), 6) as share from (values ('price'), ('status'), ('never')) c(code) left join f using (code) group by 1""")
+def violation_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Violations of each code, and the share of orders with one."""
+    o = table(spark, sf_dir, "orders")
+    found = audit.violations(o, ["o_orderkey"], {"price": F.col("o_totalprice") > 200_000, "status": F.col("o_orderstatus") == "P"})
+    return R.violation_rates(found, o, ["o_orderkey"], ["price", "status", "never"]).withColumn("share", F.round("share", 6))
+
+
+@query("""with h as (select distinct user_id, day(ts)::bigint as checkpoint from events), u as (select distinct user_id from events), w as (select user_id, unnest(range(5, 31, 5)) as checkpoint from u)
+select user_id, checkpoint, 'missing' as code from (select * from w except select * from h) union all select user_id, checkpoint, 'off_grid' from h where checkpoint % 5 <> 0 or checkpoint not between 5 and 30""")
+def grid_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of a user that are missing on the grid of fives, or beside it."""
+    return R.grid_errors(table(spark, sf_dir, "events").withColumn("day", F.dayofmonth("ts")), ["user_id"], "day", 5, 30)
+
+
+@query(f"""select event_id, case when {_K} % 3 = 0 then 'kind=' || event_type else 'kind=' || event_type end as slots, case when {_K} % 3 = 0 then 'dropped:extra,set:kind' else 'dropped:extra' end as repairs from events""")
+def repaired_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slots reconciled with what is true, and what that took."""
+    e = table(spark, sf_dir, "events")
+    said = F.create_map(F.lit("kind"), F.when(_k() % 3 == 0, "wrong").otherwise(F.col("event_type")), F.lit("extra"), F.lit("x"))
+    out = R.repaired(e.select("event_id", said.alias("slots")), e.select("event_id", F.create_map(F.lit("kind"), "event_type", F.lit("more"), F.lit("y")).alias("slots")), ["event_id"], "slots")
+    return out.select("event_id", F.concat(F.lit("kind="), F.col("slots.kind")).alias("slots"), F.array_join("repairs", ",").alias("repairs"))
