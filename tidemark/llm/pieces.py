@@ -166,11 +166,11 @@ def _merged_path(lattice: DataFrame, found, n: Column, pieces: Pieces) -> DataFr
 
 
 def frequent_words(docs: DataFrame, one_in: int = FREQUENT) -> DataFrame:
-    """The words that occur once in ``one_in`` words of all texts, or more often, counted in full: at most ``one_in`` of them."""
+    """The words that occur once in ``one_in`` words of all texts, or more often, and twice at least, counted in full: at most ``one_in`` of them."""
     words = docs.select(F.explode(F.split("text", " ")).alias("w")).filter("w <> ''")
     counts = materialize(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")), "words")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return counts.filter(F.col("n") * one_in >= total).select(F.concat(F.lit(MARK), "w").alias("word"))
+    return counts.filter((F.col("n") > 1) & (F.col("n") * one_in >= total)).select(F.concat(F.lit(MARK), "w").alias("word"))
 
 
 # -- the lattice of one word --------------------------------------------------
