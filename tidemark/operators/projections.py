@@ -272,3 +272,9 @@ def unique(values: Column) -> Column:
 def canonical_numbers(v: Column) -> Column:
     """A number as text without a fraction that is zero."""
     return F.when(v == F.floor(v), v.cast("long").cast("string")).otherwise(v.cast("string"))
+
+
+def canonical_list(values: Column, as_set: bool = True) -> Column:
+    """A list in the form in which it is compared: texts trimmed and squeezed, in order, as a set or with repeats."""
+    clean = F.transform(values, lambda v: F.trim(F.regexp_replace(v, r"\s+", " ")))
+    return F.array_sort(F.array_distinct(clean) if as_set else clean)

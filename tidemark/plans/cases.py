@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from tidemark.operators import aggregates as A, audit, cases as C, joins, masking, reports as R, scoring as S, simulate
+from tidemark.operators import aggregates as A, audit, cases as C, joins, masking, memory, projections, reports as R, scoring as S, simulate
 from tidemark.plans._base import query, table
 from tidemark.sources import files
 from tidemark.streaming.events import scratch
@@ -442,3 +442,47 @@ def repaired_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.create_map(F.lit("kind"), F.when(_k() % 3 == 0, "wrong").otherwise(F.col("event_type")), F.lit("extra"), F.lit("x"))
     out = R.repaired(e.select("event_id", said.alias("slots")), e.select("event_id", F.create_map(F.lit("kind"), "event_type", F.lit("more"), F.lit("y")).alias("slots")), ["event_id"], "slots")
     return out.select("event_id", F.concat(F.lit("kind="), F.col("slots.kind")).alias("slots"), F.array_join("repairs", ",").alias("repairs"))
+
+
+# -- further sources and engine inputs -----------------------------------------------------------
+
+
+@query("select c_custkey from customer where c_nationkey between 5 and 17 order by sha256('p:' || c_custkey::varchar), c_custkey limit 40")
+def sampled_personas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty customers of an age range, by seeded order after the range."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    return files.sampled_personas(c, "c_nationkey", "c_custkey", 40, "p", 5, 17).select("c_custkey")
+
+
+@query("select p_partkey, p_name from part where p_partkey in (3, 5, 8, 13)")
+def pushed_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four parts by key: the keys and the columns reach the scan."""
+    return files.pushed_keys(spark, f"{sf_dir}/part.parquet", "p_partkey", [3, 5, 8, 13], ["p_name"])
+
+
+@query("select item_id, length(text)::int as size from benchmark")
+def checked_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bank of passages of which none is empty; an empty one would raise."""
+    return files.checked_bank(table(spark, sf_dir, "benchmark"), F.length("text") > 0, "an empty passage").select("item_id", F.length("text").alias("size"))
+
+
+@query(f"""select user_id::varchar as entity, 'home.city' as path, 'update' as op, {_K}::varchar as value, event_id::varchar as source, 1 as spec_no from events where event_type = 'purchase'
+union all select user_id::varchar, 'home.lease', 'create', 'yes', event_id::varchar, 2 from events where event_type = 'purchase' and {_K} % 3 in (0, 1)
+union all select user_id::varchar, 'job.title', 'set_pending', 'plain', event_id::varchar, 1 from events where event_type = 'click'""")
+def template_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes that events cause by their templates, where the conditions hold."""
+    e, k = table(spark, sf_dir, "events"), _k()
+    params = F.create_map(F.lit("k"), k.cast("string"), F.lit("third"), (k % 3).cast("string"))
+    status = F.when(F.col("event_type") == "purchase", "occurred").otherwise("upcoming")
+    t = e.select(F.col("user_id").cast("string").alias("entity"), F.col("event_type").alias("event"), status.alias("hook"), status.alias("status"), params.alias("params"), F.dayofmonth("ts").alias("month"), F.col("event_id").cast("string").alias("instance"), F.col("event_id").alias("order"))
+    kinds = "event string, hook string, spec_no int, path string, op string, value_from string, wanted map<string,array<string>>"
+    specs = [("purchase", "occurred", 1, "home.city", "update", "param:k", {}), ("purchase", "occurred", 2, "home.lease", "create", "literal:yes", {"third": ["0", "1"]}), ("purchase", "occurred", 3, "home.pet", "create", "x", {"pet": ["dog"]}), ("click", "upcoming", 1, "job.title", "set_pending", "plain", {})]
+    return memory.template_changes(t, spark.createDataFrame(specs, kinds)).select("entity", "path", "op", "value", "source", "spec_no")
+
+
+@query("select o_custkey, array_to_string(list_sort(list_distinct(list(trim(regexp_replace(' ' || o_orderpriority || '  x ', '\\s+', ' ', 'g'))))), ',') as kinds, case when bool_and(o_orderpriority in ('1-URGENT', '2-HIGH', '3-MEDIUM')) then 0 else count_if(o_orderpriority not in ('1-URGENT', '2-HIGH', '3-MEDIUM')) end::int as bad from orders group by 1")
+def canonical_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists as they are compared, and how many elements are not allowed."""
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list("o_orderpriority").alias("p"))
+    wide = F.transform("p", lambda x: F.concat(F.lit(" "), x, F.lit("  x ")))
+    return o.select("o_custkey", F.array_join(projections.canonical_list(wide), ",").alias("kinds"), F.size(projections.closed_value_errors(F.col("p"), ["1-URGENT", "2-HIGH", "3-MEDIUM"])).alias("bad"))

@@ -51,6 +51,36 @@ def age_between(df: DataFrame, age: str, low: int = 18, high: int | None = None)
     return df.filter((n >= low) & (n <= high) if high is not None else n >= low)
 
 
+def sampled_personas(df: DataFrame, age: str, key: str, n: int | None = None, seed: str | None = None, low: int = 18, high: int | None = None) -> DataFrame:
+    """Rows of the age range, then the first ``n`` by key, or ``n`` in seeded order: the range is applied before the limit."""
+    from tidemark.operators.sets import hash_sample
+
+    out = age_between(df, age, low, high)
+    return out if n is None else out.orderBy(key).limit(n) if seed is None else hash_sample(out, n, seed, key)
+
+
+def pushed_keys(spark: SparkSession, path: str, key: str, wanted: Sequence, columns: Sequence[str]) -> DataFrame:
+    """Rows of a short stated list of keys from Parquet: the keys reach the scan as a filter, and only ``columns`` are read. A missing key raises."""
+    out = spark.read.parquet(path).filter(F.col(key).isin(*wanted)).select(*dict.fromkeys([key, *columns]))
+    have = {r[0] for r in out.select(key).distinct().collect()}  # at most as many as were asked for
+    if lost := [k for k in wanted if k not in have]:
+        raise KeyError(f"no rows for {lost}")
+    return out
+
+
+def checked_bank(df: DataFrame, fine: Column, what: str) -> DataFrame:
+    """``df`` if every row is ``fine``; else an error with an example."""
+    from tidemark.operators.audit import assert_none
+
+    assert_none(df.filter(~F.coalesce(fine, F.lit(False))), what)
+    return df
+
+
+def schema_json(df: DataFrame) -> str:
+    """The schema of a table as JSON, fields in their order."""
+    return json.dumps(json.loads(df.schema.json()), ensure_ascii=False, indent=2)
+
+
 def unique_by_key(df: DataFrame, keys: Sequence[str], wanted: DataFrame | None = None) -> DataFrame:
     """``df`` if its keys are unique and hold all ``wanted`` ones; else an error with an example."""
     from tidemark.operators.audit import assert_none
