@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidemark.llm import minhash, mixing, pieces, pii, quality, sstable, substring, suffix, topk, warc
+from tidemark.llm import importance, minhash, mixing, pieces, pii, quality, sstable, substring, suffix, topk, warc
 from tidemark.llm._common import lean_batches
 
 #: The mixture: integer weights by name at each level; a name that is not listed weighs 1.
@@ -123,8 +123,12 @@ select query_id, rank::int as rank, vec_id, score from (select *, row_number() o
 """
 
 
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, seed=42)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_quality": op2_quality, "op3_substring": op3_substring, "op4_suffix": op4_suffix, "op5_pieces": op5_pieces, "op6_minhash": op6_minhash, "op7_warc": op7_warc, "op8_sstable": op8_sstable, "op9_pii": op9_pii, "op10_topk": op10_topk}
+    return {"op1_mixing": op1_mixing, "op2_quality": op2_quality, "op3_substring": op3_substring, "op4_suffix": op4_suffix, "op5_pieces": op5_pieces, "op6_minhash": op6_minhash, "op7_warc": op7_warc, "op8_sstable": op8_sstable, "op9_pii": op9_pii, "op10_topk": op10_topk, "op13_importance": op13_importance}
 
 
 def oracle_sql() -> dict[str, str]:
