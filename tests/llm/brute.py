@@ -100,3 +100,30 @@ def personal(text):
             out.append(("card", *m.span()))
     out += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 8 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
     return out
+
+
+def trie(rows):
+    """(conv_id, turn, role, text) rows -> sorted rows of the trie's nodes"""
+    import zlib
+
+    own = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            own[c].append((turn is not None, turn or 0, role or "", sha((text or "").encode()), text or ""))
+    turns = {c: [(x[2], x[4]) for x in sorted(xs)] for c, xs in own.items()}
+    members, ends, kids = defaultdict(list), defaultdict(list), defaultdict(set)
+    for c, xs in turns.items():
+        h = zlib.crc32(str(c).encode()) % 4
+        base = c - (c % 20 if c >= 0 else -(-c % 20))
+        seq = tuple(turns.get(base, [])[:h] + xs[h:])
+        for d in range(len(seq) + 1):
+            members[seq[:d]].append(c)
+            if d:
+                kids[seq[: d - 1]].add(seq[:d])
+        ends[seq].append(c)
+    leaves, saved = Counter(), Counter()
+    for s, cs in members.items():
+        for d in range(len(s) + 1):
+            leaves[s[:d]] += s not in kids
+            saved[s[:d]] += (len(cs) - 1) * len(WORD.findall(s[-1][1])) if s else 0
+    return sorted((min(cs), len(s), min(members[s[:-1]]) if s else None, len(cs), len(kids.get(s, ())), leaves[s], saved[s], sha(",".join(map(str, sorted(ends.get(s, [])))).encode())) for s, cs in members.items())

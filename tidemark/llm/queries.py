@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidemark.llm import importance, minhash, mixing, pieces, pii, quality, sstable, substring, suffix, topk, warc
+from tidemark.llm import importance, minhash, mixing, pieces, pii, prefixes, quality, sstable, substring, suffix, topk, warc
 from tidemark.llm._common import lean_batches
 
 #: The mixture: integer weights by name at each level; a name that is not listed weighs 1.
@@ -123,13 +123,67 @@ select query_id, rank::int as rank, vec_id, score from (select *, row_number() o
 """
 
 
+def op11_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.trie(table(spark, sf_dir, "conversations"))
+
+
+#: crc32 of a list of bytes, a step for each bit in the table of 256 and one for each byte.
+CRC_TABLE = "select list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, x: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as crc"
+CRC = "xor(list_reduce(list_prepend(4294967295, {bytes}), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295)"
+
+OP11_SQL = f"""
+with k as ({CRC_TABLE}),
+    t as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+            row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), sha256(coalesce(text, ''))) as p from conversations where conv_id is not null),
+    n as (select conv_id, count(*) as n, conv_id - conv_id % 20 as head from t group by conv_id),
+    c as (select n.*, least(h, coalesce(m.n, 0)) as got, h from (select n.*, {CRC.format(bytes="list_transform(string_split(conv_id::varchar, ''), lambda x: unicode(x)::bigint)")} % 4 as h from n, k) n
+            left join (select conv_id, n from n) m on m.conv_id = n.head),
+    r as (select c.conv_id, p as d, role, text from c join t on t.conv_id = c.head and p <= h
+        union all select c.conv_id, p - h + got, role, text from c join t on t.conv_id = c.conv_id and p > h),
+    s as (select conv_id, d, text, md5(string_agg(md5(strlen(role)::varchar || ':' || role || text), '' order by d) over w) as node, d = max(d) over (partition by conv_id) as ends
+        from r window w as (partition by conv_id order by d rows between unbounded preceding and current row)),
+    x as (select conv_id, d, text, node, lag(node, 1, '') over (partition by conv_id order by d) as up, ends from s
+        union all select conv_id, 0, '', '', null, conv_id not in (select conv_id from r) from c),
+    v as (select node, d, up, min(conv_id) as conv_id, count(*) as n_convs, coalesce(len(regexp_extract_all(any_value(text), '[^\x20\x09-\x0D]+')), 0) as words,
+        sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (ends), '')) as ends_sha256 from x group by node, d, up),
+    kids as (select up as node, count(*) as n_children from v where d > 0 group by up),
+    a as (select x.node, count(*) filter (kids.node is null) as n_leaves, sum((n_convs - 1) * words) as saved
+        from v left join kids using (node) join x on x.conv_id = v.conv_id and x.d <= v.d group by x.node)
+select v.conv_id, v.d::bigint as depth, p.conv_id as parent_conv_id, v.n_convs::bigint as n_convs, coalesce(n_children, 0)::bigint as n_children,
+    n_leaves::bigint as n_leaves, saved::bigint as saved_tokens, v.ends_sha256 from v left join kids using (node) join a using (node) left join v p on p.node = v.up
+"""
+
+
 def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, seed=42)
 
 
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_UTF8 = """flatten(list_transform(string_split(f, ''), lambda x: case when unicode(x) < 128 then [unicode(x)::bigint]
+    when unicode(x) < 2048 then [192 + (unicode(x) >> 6), 128 + (unicode(x) & 63)]
+    when unicode(x) < 65536 then [224 + (unicode(x) >> 12), 128 + ((unicode(x) >> 6) & 63), 128 + (unicode(x) & 63)]
+    else [240 + (unicode(x) >> 18), 128 + ((unicode(x) >> 12) & 63), 128 + ((unicode(x) >> 6) & 63), 128 + (unicode(x) & 63)] end))"""
+
+OP13_SQL = f"""
+with k as ({CRC_TABLE}),
+    w as materialized (select row_number() over () as r, src, doc_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+        from (select 's' as src, doc_id, text from documents union all select 't', null, text from benchmark)),
+    f as materialized (select r, src, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) as f from w),
+    n as materialized (select r, src, f, count(*) as n from f group by all),
+    b as materialized (select f, {CRC.format(bytes=_UTF8)} % 10000 as bucket from (select distinct f from n), k),
+    g as (select bucket, floor(1000 * ln(((coalesce(sum(n) filter (src = 't'), 0) + 1)::double * ((select coalesce(sum(n), 0) from n where src = 's') + 10000)::double)
+        / ((coalesce(sum(n) filter (src = 's'), 0) + 1)::double * ((select coalesce(sum(n), 0) from n where src = 't') + 10000)::double)))::bigint as gain from n join b using (f) group by bucket),
+    d as (select r, sum(n * gain) as weight from n join b using (f) join g using (bucket) where src = 's' group by r),
+    s as (select doc_id, len(w) as n_words, (len(w) + greatest(len(w) - 1, 0) + greatest(len(w) - 2, 0))::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+        coalesce(weight, 0)::bigint + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5::double) / 4294967296::double)))::bigint as score from w left join d using (r) where src = 's'),
+    q as (select *, row_number() over (order by n_words < 20, score desc, doc_id nulls last, n_features) as place, (5 * count(*) filter (n_words >= 20) over ()) // 100 as draw from s)
+select doc_id, n_features, weight, score, case when place <= draw then place end::bigint as rank from q
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_quality": op2_quality, "op3_substring": op3_substring, "op4_suffix": op4_suffix, "op5_pieces": op5_pieces, "op6_minhash": op6_minhash, "op7_warc": op7_warc, "op8_sstable": op8_sstable, "op9_pii": op9_pii, "op10_topk": op10_topk, "op13_importance": op13_importance}
+    return {"op1_mixing": op1_mixing, "op2_quality": op2_quality, "op3_substring": op3_substring, "op4_suffix": op4_suffix, "op5_pieces": op5_pieces, "op6_minhash": op6_minhash, "op7_warc": op7_warc, "op8_sstable": op8_sstable, "op9_pii": op9_pii, "op10_topk": op10_topk, "op11_prefixes": op11_prefixes, "op13_importance": op13_importance}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op7_warc": OP7_SQL, "op10_topk": OP10_SQL}
+    return {"op1_mixing": OP1_SQL, "op7_warc": OP7_SQL, "op10_topk": OP10_SQL, "op11_prefixes": OP11_SQL, "op13_importance": OP13_SQL}
