@@ -127,3 +127,54 @@ def trie(rows):
             leaves[s[:d]] += s not in kids
             saved[s[:d]] += (len(cs) - 1) * len(WORD.findall(s[-1][1])) if s else 0
     return sorted((min(cs), len(s), min(members[s[:-1]]) if s else None, len(cs), len(kids.get(s, ())), leaves[s], saved[s], sha(",".join(map(str, sorted(ends.get(s, [])))).encode())) for s, cs in members.items())
+
+
+def language_model(rows, order, held=1):
+    """doc_id -> held_out, n_tokens, n_known, train_tokens, base_score, score; from (doc_id, text)"""
+    import math
+    import zlib
+
+    low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+    toks = lambda t: [*WORD.findall(low(t)), "</s>"]
+    is_held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 5 == held
+    top, raw = Counter(), Counter()
+    for d, t in rows:
+        if not is_held(d):
+            w = ["<s>"] * (order - 1) + toks(t)
+            raw.update(w[order - 1 :])
+            top.update(tuple(w[i : i + order]) for i in range(len(w) - order + 1))
+    used = {order: top}
+    for m in range(order - 1, 0, -1):
+        used[m] = Counter(g[1:] for g in used[m + 1])
+    disc, follow = {}, {}
+    for m, cs in used.items():
+        n = [sum(c == k for c in cs.values()) for k in (1, 2, 3, 4)]
+        ds = (0.5, 1.0, 1.5)
+        if all(n):
+            y = n[0] / (n[0] + 2 * n[1])
+            got = tuple(k + 1 - (k + 2) * y * n[k + 1] / n[k] for k in range(3))
+            ds = got if all(0 <= x <= k + 1 for k, x in enumerate(got)) else ds
+        disc[m], follow[m] = ds, defaultdict(lambda: [0, 0])
+        for g, c in cs.items():
+            follow[m][g[:-1]][0] += c
+            follow[m][g[:-1]][1] += ds[min(c, 3) - 1]
+    v = len(raw)
+
+    def prob(ctx, w):
+        p = 1 / (v + 1)
+        for m in range(1, order + 1):
+            c = ctx[len(ctx) - (m - 1) :]
+            after = follow[m].get(c)
+            if after:
+                own = used[m][(*c, w)]
+                p = (own - (disc[m][min(own, 3) - 1] if own else 0) + after[1] * p) / after[0]
+        return p
+
+    n = sum(raw.values())
+    out = []
+    for d, t in rows:
+        w = ["<s>"] * (order - 1) + toks(t)
+        score = sum(math.log10(prob(tuple(w[i - order + 1 : i]), w[i])) for i in range(order - 1, len(w)))
+        own = w[order - 1 :]
+        out.append((d, is_held(d), len(own), sum(raw[x] > 0 for x in own), n, sum(math.log10((raw[x] + 0.5) / (n + 0.5 * (v + 1))) for x in own), score))
+    return out, prob, set(raw)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidemark.llm import importance, minhash, mixing, pieces, pii, prefixes, quality, sstable, substring, suffix, topk, warc
+from tidemark.llm import importance, minhash, mixing, ngrams, pieces, pii, prefixes, quality, sstable, substring, suffix, topk, warc
 from tidemark.llm._common import lean_batches
 
 #: The mixture: integer weights by name at each level; a name that is not listed weighs 1.
@@ -158,6 +158,10 @@ def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, seed=42)
 
 
+def op12_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.score_documents(table(spark, sf_dir, "documents"))
+
+
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _UTF8 = """flatten(list_transform(string_split(f, ''), lambda x: case when unicode(x) < 128 then [unicode(x)::bigint]
     when unicode(x) < 2048 then [192 + (unicode(x) >> 6), 128 + (unicode(x) & 63)]
@@ -182,7 +186,7 @@ select doc_id, n_features, weight, score, case when place <= draw then place end
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_quality": op2_quality, "op3_substring": op3_substring, "op4_suffix": op4_suffix, "op5_pieces": op5_pieces, "op6_minhash": op6_minhash, "op7_warc": op7_warc, "op8_sstable": op8_sstable, "op9_pii": op9_pii, "op10_topk": op10_topk, "op11_prefixes": op11_prefixes, "op13_importance": op13_importance}
+    return {"op1_mixing": op1_mixing, "op2_quality": op2_quality, "op3_substring": op3_substring, "op4_suffix": op4_suffix, "op5_pieces": op5_pieces, "op6_minhash": op6_minhash, "op7_warc": op7_warc, "op8_sstable": op8_sstable, "op9_pii": op9_pii, "op10_topk": op10_topk, "op11_prefixes": op11_prefixes, "op12_ngrams": op12_ngrams, "op13_importance": op13_importance}
 
 
 def oracle_sql() -> dict[str, str]:
