@@ -404,9 +404,9 @@ def lookup(spark, folder: str, shards: DataFrame, wanted: DataFrame) -> DataFram
     blocks = wanted.count() // LOOKUP + 1
     out = []
     for b in range(blocks):
-        rows = wanted.filter(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == b).toPandas()["doc_id"]  # about LOOKUP numbers
-        ids = np.sort(rows.dropna().to_numpy(np.int64))
-        shared = spark.sparkContext.broadcast((ids, bool(rows.isna().any())))
+        rows = wanted.filter(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == b).toArrow().column(0)  # about LOOKUP numbers
+        ids = np.sort(rows.drop_null().to_numpy())
+        shared = spark.sparkContext.broadcast((ids, rows.null_count > 0))
 
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             from pyarrow import fs

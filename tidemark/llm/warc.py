@@ -105,6 +105,10 @@ def _made(name: str, n: int, size: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64()), pa.array([size], pa.int64())], names=["file", "n_records", "n_bytes"])
 
 
+#: A length: decimal digits of a number that 64 bits hold.
+_SIZE = re.compile(r"[0-9]{1,18}")
+
+
 def _header(data: bytes, pos: int) -> tuple[dict[str, str], int] | None:
     """Fields of the header at ``pos`` and where its block starts."""
     if data[pos : pos + 10] not in (b"WARC/1.0\r\n", b"WARC/1.1\r\n"):
@@ -128,7 +132,7 @@ def parse_record(data: bytes, pos: int) -> tuple[dict, int] | str:
         return "no valid header"
     fields, start = head
     size = fields.get("content-length", "")
-    if not size.isdigit():
+    if not _SIZE.fullmatch(size):
         return "no valid length"
     stop = start + int(size)
     if data[stop : stop + 4] != _END:
@@ -137,16 +141,17 @@ def parse_record(data: bytes, pos: int) -> tuple[dict, int] | str:
     http, sep, payload = block.partition(_END)
     digest = fields.get("warc-payload-digest", "").removeprefix("sha1:") or None
     kind = fields.get("warc-type", "")
-    length = re.search(rb"(?im)^content-length:[ \t]*([0-9]+)[ \t]*\r?$", http) if sep else None
+    stated = re.search(rb"(?im)^content-length:[ \t]*([0-9]+)[ \t]*\r?$", http) if sep else None
+    length = int(stated[1]) if stated and len(stated[1]) <= 18 else None
     if kind == "response" and sep:
         if digest and sha1_base32(payload) != digest:
             return "payload does not have its digest"
-        if length and int(length[1]) != len(payload):
+        if stated and length != len(payload):
             return "payload does not have its length"
     bare = lambda k: fields[k].strip("<>") if k in fields else None
     return {
         "record_type": kind, "record_id": bare("warc-record-id"), "refers_to": bare("warc-refers-to"), "uri": fields.get("warc-target-uri"),
-        "payload_bytes": int(length[1]) if length else len(payload if sep else block), "payload_digest": digest,
+        "payload_bytes": len(payload if sep else block) if length is None else length, "payload_digest": digest,
         "payload": None if kind == "revisit" else payload if sep else block,
     }, stop + 4
 
