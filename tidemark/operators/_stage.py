@@ -17,3 +17,10 @@ def staged(df: DataFrame) -> DataFrame:
 def bounded(df: DataFrame, most: int = 100_000) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``most`` rows; else as it is."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def free(base: str, *tables: DataFrame) -> str:
+    """A column name that none of ``tables`` has."""
+    while any(base in t.columns for t in tables):
+        base += "_"
+    return base

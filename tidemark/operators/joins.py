@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tidemark.operators._stage import bounded, staged
+from tidemark.operators._stage import bounded, free, staged
 
 
 class JoinError(ValueError):
@@ -63,10 +63,11 @@ def validated_one_to_one(a: DataFrame, b: DataFrame, keys: Sequence[str], same:
 
 def left_overwrite(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left outer join in which a matched right row overwrites columns of the same name, with nulls too."""
-    right = b.select(*keys, F.struct(*[c for c in b.columns if c not in keys]).alias("_b"), F.lit(True).alias("_hit"))
+    r, hit = free("right", a, b), free("hit", a, b)
+    right = b.select(*keys, F.struct(*[c for c in b.columns if c not in keys]).alias(r), F.lit(True).alias(hit))
     out = a.join(right, list(keys), "left")
-    cols = [F.when(F.col("_hit"), F.col(f"_b.{c}")).otherwise(F.col(c)).alias(c) if c in b.columns and c not in keys else F.col(c) for c in a.columns]
-    return out.select(*cols, *[F.col(f"_b.{c}").alias(c) for c in b.columns if c not in a.columns])
+    cols = [F.when(F.col(hit), F.col(f"{r}.{c}")).otherwise(F.col(c)).alias(c) if c in b.columns and c not in keys else F.col(c) for c in a.columns]
+    return out.select(*cols, *[F.col(f"{r}.{c}").alias(c) for c in b.columns if c not in a.columns])
 
 
 def merge_upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], protected: Sequence[str] = ()) -> DataFrame:

@@ -260,6 +260,6 @@ def template_changes(transitions: DataFrame, specs: DataFrame) -> DataFrame:
         allowed = F.when(F.col("status") == s, F.col("op").isin(*ops)).otherwise(allowed)
     bad = F.raise_error(F.concat_ws(" ", F.lit("operation not allowed:"), "event", "hook", "op", "status")).cast("string")
     source = F.col("value_from")
-    value = F.when(source.startswith("literal:"), F.substring(source, 9, 1_000_000)).when(source.startswith("param:"), F.try_element_at("params", F.substring(source, 7, 1_000_000))).otherwise(source)
+    value = F.when(source.startswith("literal:"), F.expr("substring(value_from, 9)")).when(source.startswith("param:"), F.try_element_at("params", F.expr("substring(value_from, 7)"))).otherwise(source)
     out = hits.filter(holds).withColumn("op", F.when(allowed, F.col("op")).otherwise(bad))
     return out.select("entity", "path", "op", value.alias("value"), "month", F.col("instance").alias("source"), "status", F.col("order"), "spec_no")

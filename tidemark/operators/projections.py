@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.operators._stage import free, staged
+
 #: The observable fields of a property.
 PROPERTY_FIELDS = ("address", "ownership_status", "mortgage_status", "role")
 PRIMARY, SECONDARY = "primary_residence", "secondary_property"
@@ -228,21 +231,25 @@ def contract_errors(params: Column, contract: Mapping[str, Sequence[str]]) -> Co
 # -- arrays and maps ---------------------------------------------------------------------
 
 
-def flattened(value: Column) -> Column:
-    """Scalars of a JSON text as paths and text, in order: array of struct(path, value). Four levels of nesting, deeper ones stay JSON."""
-    return _leaves(F.try_parse_json(value), F.lit("$"), 4)
-
+def flattened(df: DataFrame, keep: Sequence[str], text: str) -> DataFrame:
+    """Scalars of the JSON in column ``text``: a row for each, with the columns of ``keep``, path and value (text).
 
-def _leaves(v: Column, at: Column, depth: int) -> Column:
-    kind = F.coalesce(F.schema_of_variant(v), F.lit(""))
-    leaf = F.array(F.struct(at.alias("path"), F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v)).alias("value")))
-    none = F.expr("cast(array() as array<struct<path:string,value:string>>)")
-    if not depth:
-        return F.when(v.isNotNull(), leaf).otherwise(none)
-    entries = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
-    inner = F.flatten(F.transform(entries, lambda e: _leaves(e["value"], F.concat(at, F.lit("."), e["key"]), depth - 1)))
-    items = F.flatten(F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x, i: _leaves(x, F.concat(at, F.lit("["), i.cast("string"), F.lit("]")), depth - 1)))
-    return F.when(kind.startswith("OBJECT"), inner).when(kind.startswith("ARRAY"), items).when(v.isNotNull() & (kind != "VOID"), leaf).otherwise(none)
+    Any depth: containers are taken apart level by level until none is left, and
+    each level is worked out once. Nulls, empty containers and texts that are no
+    JSON have no row.
+    """
+    v, path = free("variant", df), free("path_", df)
+    rows, out = df.select(*keep, F.lit("$").alias(path), F.try_parse_json(text).alias(v)).filter(F.col(v).isNotNull()), []
+    while True:
+        kind = F.schema_of_variant(v)
+        inner = kind.startswith("OBJECT") | kind.startswith("ARRAY")
+        out.append(rows.filter(~inner & (kind != "VOID")).select(*keep, F.col(path).alias("path"), F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v)).alias("value")))
+        held = rows.filter(inner)
+        if held.isEmpty():
+            return reduce(DataFrame.unionAll, out)
+        parts = held.lateralJoin(df.sparkSession.tvf.variant_explode(F.col(v).outer()).toDF("pos_", "key_", "item_"))
+        step = F.when(F.col("key_").isNull(), F.concat(F.lit("["), F.col("pos_").cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("."), F.col("key_")))
+        rows = staged(parts.select(*keep, F.concat(path, step).alias(path), F.col("item_").alias(v)))
 
 
 def merged(a: Column, b: Column) -> Column:

@@ -36,7 +36,7 @@ def quota_sample(df: DataFrame, band: str, quota: dict[str, int], seed: str, key
 
 def hash_sample(df: DataFrame, n: int, seed: str, key: str) -> DataFrame:
     """``n`` rows without replacement in seeded hash order: a distributed top-n."""
-    return df.withColumn("_h", hash_pick(seed, F.col(key))).orderBy("_h", key).limit(n).drop("_h")
+    return df.orderBy(hash_pick(seed, F.col(key)), key).limit(n)
 
 
 def bin_representatives(df: DataFrame, by: Sequence[str], order: Sequence[str], bins: int, seed: str, key: str) -> DataFrame:

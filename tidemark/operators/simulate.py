@@ -1,72 +1,20 @@
-"""Simulated histories: lifecycles that start by monthly hazards and go through their stages."""
+"""Propensities and time lines."""
 
 from __future__ import annotations
 
-import random
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-STEPS = "entity string, instance int, event string, status string, month int, transition_order int"
-
-
 def monthly_hazard(annual: Column) -> Column:
     """A twelfth of an annual propensity, kept in [0, 0.5]."""
     return F.least(F.greatest(annual / 12, F.lit(0.0)), F.lit(0.5))
 
 
-def annual_propensity(base: Column, *factors: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    """A base rate times its factors (a null one is 1), kept in [low, high]."""
+def annual_propensity(base: Column, *factors: Column) -> Column:
+    """A base rate times its factors (a null one is 1): a weight, so it may well be above 1."""
     out = base
     for f in factors:
         out = out * F.coalesce(f, F.lit(1.0))
-    return F.least(F.greatest(out, F.lit(low)), F.lit(high))
-
-
-def lifecycle(start: int, horizon: int, skip_weak: float, cancel: float, waits: tuple[int, int], rnd: random.Random, forced: bool = False) -> list[tuple[str, int]]:
-    """(status, month) of one instance: weak signal, upcoming, then occurred or cancelled. A forced one is never cancelled."""
-    out, month = [], start
-    for stage in ("weak_signal", "upcoming"):
-        if stage == "weak_signal" and rnd.random() < skip_weak:
-            continue
-        out.append((stage, month))
-        month += max(1, rnd.randint(*waits))
-        if not forced and rnd.random() < cancel:
-            out.append(("cancelled", month))
-            return [x for x in out if x[1] < horizon]
-    out.append(("occurred", month))
-    return [x for x in out if x[1] < horizon]
-
-
-def trajectories(entities: DataFrame, hazards: dict[str, float], months: int = 60, most_active: int = 2, most_events: int = 40, gap: int = 2, seed: str = "t") -> DataFrame:
-    """Monthly simulation of each entity: at most one hazard start a month, ``most_active`` at a time, ``gap`` months between starts.
-
-    Draws depend on seed and entity only, so results do not depend on
-    partitioning. Rows are transitions, numbered within each month.
-    """
-
-    def run(key, _: pd.DataFrame) -> pd.DataFrame:
-        rnd = random.Random(f"{seed}:{key[0]}")
-        steps: list[tuple[int, int, str, str]] = []
-        ends: list[int] = []
-        last, n = -gap, 0
-        for month in range(months):
-            if n >= most_events or month - last < gap or sum(e > month for e in ends) >= most_active:
-                continue
-            for event, annual in hazards.items():
-                if rnd.random() < min(max(annual / 12, 0.0), 0.5):
-                    path = lifecycle(month, months, 0.3, 0.15, (1, 4), rnd)
-                    if path:
-                        steps += [(m, n, event, s) for s, m in path]
-                        ends.append(path[-1][1])
-                        last, n = month, n + 1
-                    break
-        steps.sort(key=lambda s: (s[0], s[1]))
-        out = pd.DataFrame([(key[0], i, e, s, m) for m, i, e, s in steps], columns=["entity", "instance", "event", "status", "month"])
-        out["transition_order"] = out.groupby("month").cumcount() + 1 if len(out) else pd.Series(dtype="int32")
-        return out
-
-    return entities.select("entity").groupBy("entity").applyInPandas(run, STEPS)
+    return out
 
 
 def compress_timeline(events: DataFrame, by: str, month: str, horizon: int) -> DataFrame:

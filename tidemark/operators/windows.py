@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tidemark.operators._stage import free
+
 
 def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "no") -> DataFrame:
     """Adds the place of each row in its key, from 1."""
@@ -52,14 +54,16 @@ def carry_forward(df: DataFrame, by: Sequence[str], order: Sequence[str], column
     """Fills ``columns`` of rows flagged ``repeats`` from the last row that is not flagged."""
     run = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     held = F.last(F.when(~F.coalesce(F.col(repeats), F.lit(False)), F.struct(*columns)), ignorenulls=True).over(run)
-    return df.withColumn("_h", held).withColumns({c: F.col(f"_h.{c}") for c in columns}).drop("_h")
+    h = free("held", df)
+    return df.withColumn(h, held).withColumns({c: F.col(f"{h}.{c}") for c in columns}).drop(h)
 
 
 def flag_repeats(df: DataFrame, by: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """The inverse: blanks ``columns`` and sets ``repeats`` where they equal those of the row before."""
     digest = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
-    out = df.withColumn("_d", digest).withColumn("repeats", F.coalesce(F.col("_d") == F.lag("_d").over(W.partitionBy(*by).orderBy(*order)), F.lit(False)))
-    return out.withColumns({c: F.when(~F.col("repeats"), F.col(c)) for c in columns}).drop("_d")
+    d = free("digest", df)
+    out = df.withColumn(d, digest).withColumn("repeats", F.coalesce(F.col(d) == F.lag(d).over(W.partitionBy(*by).orderBy(*order)), F.lit(False)))
+    return out.withColumns({c: F.when(~F.col("repeats"), F.col(c)) for c in columns}).drop(d)
 
 
 def latest_at(df: DataFrame, by: Sequence[str], within: Sequence[str], no: str, stride: int, value: str) -> DataFrame:
@@ -76,7 +80,8 @@ def latest_at(df: DataFrame, by: Sequence[str], within: Sequence[str], no: str,
 def newly_seen(df: DataFrame, by: Sequence[str], order: str, items: str) -> DataFrame:
     """Items of each row's set that the row before did not have, and those that went."""
     before = F.coalesce(F.lag(items).over(W.partitionBy(*by).orderBy(order)), F.expr(f"filter({items}, x -> false)"))
-    return df.withColumn("_b", before).withColumn("came", F.array_sort(F.array_except(items, "_b"))).withColumn("went", F.array_sort(F.array_except("_b", items))).drop("_b")
+    b = free("before", df)
+    return df.withColumn(b, before).withColumn("came", F.array_sort(F.array_except(items, b))).withColumn("went", F.array_sort(F.array_except(b, items))).drop(b)
 
 
 def regressions(df: DataFrame, by: Sequence[str], order: Sequence[str], rank: Column) -> DataFrame:
@@ -108,17 +113,42 @@ def lag_bucket(lag: Column) -> Column:
     return out.otherwise("241+")
 
 
-def increasing_slots(df: DataFrame, by: Sequence[str], order: Sequence[str], wanted: str, most: int) -> DataFrame:
-    """Strictly increasing slots as close to ``wanted`` as order allows: each takes the later of its wish and the slot after the one before, at most ``most`` less what must follow.
+def spread_slot(place: Column, count: Column, most: int, draw: Column) -> Column:
+    """A slot in the ``place``-th (from 0) of ``count`` equal stretches of 1..most; ``draw`` (0 or more) picks it, modulo the stretch's width."""
+    low = F.floor(place * most / count) + 1
+    high = F.floor((place + 1) * most / count)
+    return (low + F.pmod(draw, high - low + 1)).cast("int")
+
+
+def increasing_slots(df: DataFrame, by: Sequence[str], order: Sequence[str], wanted: str, most: int, earliest: str | None = None) -> DataFrame:
+    """Slots in 1..most in the order of a key's rows: adds slot, shifted (not the wanted one) and tied (the slot of the row before).
 
-    A running maximum of (wish - place) gives the greedy result without a fold.
+    A row takes the latest of its wish, its ``earliest`` slot (null: none) and
+    the slot after the one before it, as long as that leaves a slot for each row
+    to come. Where it does not, the row keeps its wish and its floor, and may
+    share the slot before it, but never passes ``most``. A key with more than
+    ``most`` rows raises, so that the rows of a key are few.
     """
     w = W.partitionBy(*by).orderBy(*order)
-    n = F.row_number().over(w)
-    total = F.count(F.lit(1)).over(W.partitionBy(*by))
-    base = F.max(F.col(wanted) - F.col("_n")).over(w.rowsBetween(W.unboundedPreceding, 0))
-    out = df.withColumn("_n", n).withColumn("_t", total)
-    return out.withColumn("slot", F.least(base + F.col("_n"), F.lit(most) - F.col("_t") + F.col("_n"))).drop("_n", "_t")
+    n, row, total, steps = (free(c, df) for c in ("n", "row", "total", "steps"))
+    size = F.count(F.lit(1)).over(W.partitionBy(*by)).cast("int")
+    too_many = F.raise_error(F.concat(F.lit(f"more than {most} rows of a key: "), F.to_json(F.struct(*by)))).cast("int")
+    rows = df.select(F.struct(*df.columns).alias(row), *by, F.row_number().over(w).alias(n), size.alias(total))
+    floor = F.greatest(F.col(f"{row}.{wanted}"), F.coalesce(F.col(f"{row}.{earliest}"), F.lit(1)) if earliest else F.lit(1)).cast("int")
+    each = F.struct(F.col(n).alias("n"), F.col(f"{row}.{wanted}").cast("int").alias("wish"), floor.alias("floor"), F.when(F.col(total) > most, too_many).otherwise(F.col(total)).alias("total"), F.col(row).alias("row"))
+    keys = rows.groupBy(*by).agg(F.array_sort(F.collect_list(each), lambda a, b: a["n"] - b["n"]).alias(steps))
+    none = F.expr("cast(array() as array<struct<slot:int,shifted:boolean,tied:boolean>>)")
+
+    def step(acc: Column, x: Column) -> Column:
+        after = F.greatest(x["floor"], acc["last"] + 1)
+        fits = after <= most - (x["total"] - x["n"])
+        slot = F.when(fits, after).otherwise(F.least(F.greatest(x["floor"], acc["last"]), F.lit(most)))
+        made = F.struct(slot.alias("slot"), (slot != x["wish"]).alias("shifted"), (~fits & (slot == acc["last"])).alias("tied"))
+        return F.struct(slot.alias("last"), F.concat(acc["out"], F.array(made)).alias("out"))
+
+    placed = F.aggregate(steps, F.struct(F.lit(0).alias("last"), none.alias("out")), step, lambda acc: acc["out"])
+    pairs = keys.select(F.explode(F.zip_with(steps, placed, lambda x, y: F.struct(x["row"].alias("row"), y.alias("at")))).alias(row))
+    return pairs.select(f"{row}.row.*", f"{row}.at.*")
 
 
 def not_increasing(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, gap: int = 0) -> DataFrame:

@@ -218,10 +218,11 @@ def counterfactual_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masking.target_retracted(f, m, F.col("event_type") == "click")
 
 
-@query(f"select event_id, round(least(greatest(0.2 * (value / 50) * case when event_type = 'click' then 1.5 else 1.0 end * ({_K} / 50.0), 0.0), 1.0), 9) as annual, round(least(greatest(least(greatest(0.2 * (value / 50) * case when event_type = 'click' then 1.5 else 1.0 end * ({_K} / 50.0), 0.0), 1.0) / 12, 0.0), 0.5), 9) as monthly from events")
+@query(f"""with a as (select event_id, 0.9::double * (value / 50) * (case when event_type = 'click' then 1.5 when event_type = 'error' then -1 else 1 end) * ({_K} / 10.0) + 0.0::double as annual from events)
+select event_id, round(annual, 9) as annual, round(case when annual / 12 < 0 then 0 when annual / 12 > 0.5 then 0.5 else annual / 12 end, 9) as monthly from a""")
 def propensities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Annual propensities by their factors, and monthly hazards."""
-    annual = simulate.annual_propensity(F.lit(0.2), F.col("value") / 50, F.when(F.col("event_type") == "click", 1.5), _k() / 50.0)
+    """Annual propensities by their factors, many above 1 and some below 0, and monthly hazards, which are kept in [0, 0.5]."""
+    annual = simulate.annual_propensity(F.lit(0.9), F.col("value") / 50, F.when(F.col("event_type") == "click", 1.5).when(F.col("event_type") == "error", -1.0), _k() / 10.0) + F.lit(0.0)  # no negative zero
     return table(spark, sf_dir, "events").select("event_id", F.round(annual, 9).alias("annual"), F.round(simulate.monthly_hazard(annual), 9).alias("monthly"))
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from tidemark.functions import dates
+from tidemark.functions import dates, text as T
 from tidemark.operators import align, memory, simulate, windows
 from tidemark.plans._base import query, table
 from tidemark.streaming import events as streams, state
@@ -89,13 +89,24 @@ def lag_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _numbered(spark, sf_dir).groupBy(windows.lag_bucket(F.col("no")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""with w as (select user_id, event_id, ts::date as m, ts, ('0x' || substr(sha256('d:' || event_id::varchar), 1, 8))::bigint % 28 + 1 as wish from events),
-n as (select *, row_number() over p as i, count(*) over (partition by user_id, m) as c from w window p as (partition by user_id, m order by ts))
-select event_id, least(max(wish - i) over (partition by user_id, m order by ts) + i, 28 - c + i)::bigint as slot from n""")
+@query("""with recursive d as (select user_id, event_id, ts::date as m, ts, ('0x' || substr(sha256('d:' || event_id::varchar), 1, 8))::bigint as h from events),
+n as (select *, row_number() over (partition by user_id, m order by ts, event_id) as i, count(*) over (partition by user_id, m) as c from d),
+w as (select *, ((i - 1) * 12) // c + 1 + h % ((i * 12) // c - ((i - 1) * 12) // c) as wish, case when h % 5 = 0 then 4 + h % 9 end as earliest from n),
+f as (select *, greatest(wish, coalesce(earliest, 1)) as fl, 12 - (c - i) as cap from w),
+s as (select user_id, m, 0::bigint as i, 0::bigint as event_id, 0::bigint as slot, false as shifted, false as tied from (select distinct user_id, m from d)
+    union all select f.user_id, f.m, f.i, f.event_id, case when greatest(fl, slot + 1) <= cap then greatest(fl, slot + 1) else least(greatest(fl, slot), 12) end,
+        case when greatest(fl, slot + 1) <= cap then greatest(fl, slot + 1) else least(greatest(fl, slot), 12) end <> wish,
+        greatest(fl, slot + 1) > cap and least(greatest(fl, slot), 12) = slot from s join f on f.user_id = s.user_id and f.m = s.m and f.i = s.i + 1)
+select event_id, slot, shifted, tied from s where i > 0""")
 def increasing_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seeded slots, strictly increasing in the order of a user's events of a day."""
-    e = table(spark, sf_dir, "events").withColumn("m", F.to_date("ts")).withColumn("wish", dates.seeded_day("d", 28, F.col("event_id")))
-    return windows.increasing_slots(e, ["user_id", "m"], ["ts"], "wish", 28).select("event_id", F.col("slot").cast("long").alias("slot"))
+    """Hours of a user's events of a day in 1..12: spread over the day, some not before a stated hour, in order, with ties where there is no room."""
+    w = W.partitionBy("user_id", "m")
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", F.to_date("ts").alias("m"))
+    h = F.conv(F.substring(T.hash_pick("d", F.col("event_id")), 1, 8), 16, 10).cast("long")
+    e = e.withColumns({"h": h, "n": F.row_number().over(w.orderBy("ts", "event_id")) - 1, "c": F.count(F.lit(1)).over(w)})
+    e = e.withColumns({"wish": windows.spread_slot(F.col("n"), F.col("c"), 12, F.col("h")), "earliest": F.when(F.col("h") % 5 == 0, 4 + F.col("h") % 9)})
+    out = windows.increasing_slots(e, ["user_id", "m"], ["ts", "event_id"], "wish", 12, "earliest")
+    return out.select("event_id", F.col("slot").cast("long").alias("slot"), "shifted", "tied")
 
 
 @query("select o_orderkey from (select o_orderkey, o_orderdate, o_custkey, lag(o_orderdate) over (partition by o_custkey order by o_orderkey) as b from orders) where datediff('day', b, o_orderdate) < 30")

@@ -184,12 +184,15 @@ def merged_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("o_orderkey", F.concat(F.lit("a="), F.col("m.a"), F.lit(",b="), F.col("m.b"), F.lit(",c="), F.coalesce("m.c", F.lit(""))).alias("entries"))
 
 
-@query("select n_nationkey::int as n_nationkey, path, value from (select n_nationkey, unnest(['$.id', '$.in.r', '$.tags[0]', '$.tags[1]']) as path, unnest([n_nationkey::varchar, n_regionkey::varchar, n_name, 'x']) as value from nation)")
+@query("""with recursive n as (select event_id, '$' as path, ('{"a":{"b":[' || props || ',{"c":{"d":[[' || event_id || ',null],{"e":{"f":"' || event_type || '","g":[],"h":true}}]}}]}}')::json as v from events
+union all select event_id, case when json_type(v) = 'OBJECT' then path || '.' || k else path || '[' || k || ']' end, case when json_type(v) = 'OBJECT' then v -> ('$."' || k || '"') else v -> ('$[' || k || ']') end
+from (select *, unnest(case json_type(v) when 'OBJECT' then json_keys(v) when 'ARRAY' then list_transform(range(json_array_length(v)::bigint), lambda x: x::varchar) else [] end) as k from n))
+select event_id, path, v ->> '$' as value from n where json_type(v) not in ('OBJECT', 'ARRAY', 'NULL')""")
 def flattened_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All scalars of a nested JSON text with their paths."""
-    n = table(spark, sf_dir, "nation")
-    js = F.to_json(F.struct(F.col("n_nationkey").alias("id"), F.struct(F.col("n_regionkey").alias("r")).alias("in"), F.array("n_name", F.lit("x")).alias("tags")))
-    return n.select("n_nationkey", F.explode(P.flattened(js)).alias("e")).select("n_nationkey", "e.path", "e.value")
+    """All scalars of nested JSON texts with their paths, seven levels deep."""
+    e = table(spark, sf_dir, "events")
+    js = F.concat(F.lit('{"a":{"b":['), "props", F.lit(',{"c":{"d":[['), F.col("event_id").cast("string"), F.lit(',null],{"e":{"f":"'), "event_type", F.lit('","g":[],"h":true}}]}}]}}'))
+    return P.flattened(e.select("event_id", js.alias("js")), ["event_id"], "js")
 
 
 @query("select c_nationkey::int as c_nationkey, c_mktsegment as segment, 'n' as what, count(*)::varchar as value from customer group by 1, 2")
