@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -142,7 +142,7 @@ def shuffled_options(correct: Column, wrong: Column, seed: str, key: Column) ->
 
 
 def diverse_sample(df: DataFrame, kinds: Sequence[str], n_each: int, seed: str, key: str) -> DataFrame:
-    """Rows that cover each value of each kind ``n_each`` times, as far as there are any: a row is taken if one of its values still lacks rows by seeded order."""
+    """Rows that cover each value of each kind ``n_each`` times, as far as there are any: a row is taken if it is among the first of one of its values in seeded order. For a quota see ``diverse_quota``."""
     out = df
     for c in kinds:
         out = out.withColumn(f"_r_{c}", F.row_number().over(W.partitionBy(c).orderBy(hash_pick(f"{seed}:{c}", F.col(key)), key)))
@@ -152,6 +152,61 @@ def diverse_sample(df: DataFrame, kinds: Sequence[str], n_each: int, seed: str,
     return out.filter(take).drop(*[f"_r_{c}" for c in kinds])
 
 
+def diverse_quota(df: DataFrame, key: str, number: str, stratum: str, kinds: Sequence[str], targets: Mapping[str, int], total: int, required: Mapping[str, Column] | None = None, most: int = 500_000) -> DataFrame:
+    """``total`` rows (all, if there are fewer), chosen greedily for diversity: key, reason, place (from 1).
+
+    First one row for each condition of ``required`` that has any, then rows of
+    each stratum up to its share of ``targets`` (rounded to ``total``), then any.
+    Each choice takes the row that brings most values of ``kinds`` not seen yet,
+    then one whose number is not next to a chosen one, then the largest key.
+
+    Of rows that agree in stratum, kinds and conditions, a choice only ever takes
+    one of the largest 3 * total keys: each chosen row makes itself and two
+    neighbours unattractive. So Spark keeps these of each combination, and the
+    greedy runs over what is left, the same as over all rows. More than ``most``
+    of them (combinations times 3 * total) raise.
+    """
+    flags = {f"is_{k}": F.coalesce(c, F.lit(False)) for k, c in enumerate((required or {}).values())}
+    rows = df.select(F.col(key).alias("key"), F.col(number).cast("long").alias("number"), F.col(stratum).cast("string").alias("stratum"), *[F.col(c).cast("string").alias(f"kind_{i}") for i, c in enumerate(kinds)], *[c.alias(n) for n, c in flags.items()])
+    alike = ["stratum", *[f"kind_{i}" for i in range(len(kinds))], *flags]
+    best = F.row_number().over(W.partitionBy(*alike).orderBy(F.desc("key")))
+    kept = rows.withColumn("best", best).filter(F.col("best") <= 3 * total).drop("best").limit(most + 1).collect()
+    if len(kept) > most:
+        raise ValueError(f"more than {most} candidates: too many combinations of {list(kinds)}")
+    chosen, seen = _greedy(kept, len(kinds), list(flags), list(required or {}), targets, total)
+    made = [(r["key"], reason, k + 1) for k, (r, reason) in enumerate(zip(chosen, seen))]
+    return df.sparkSession.createDataFrame(made, f"key {df.schema[key].dataType.simpleString()}, reason string, place int").withColumnRenamed("key", key)
+
+
+def _greedy(rows: list, n_kinds: int, flags: list[str], names: list[str], targets: Mapping[str, int], total: int) -> tuple[list, list[str]]:
+    free, chosen, reasons = {r["key"]: r for r in rows}, [], []
+    have: list[set] = [set() for _ in range(n_kinds)]
+    numbers: set[int] = set()
+
+    def take(fits, reason: str) -> bool:
+        worth = lambda r: (sum(r[f"kind_{i}"] not in have[i] for i in range(n_kinds)), not {r["number"] - 1, r["number"] + 1} & numbers, r["key"])
+        if len(chosen) >= total or not (may := [r for r in free.values() if fits(r)]):
+            return False
+        row = max(may, key=worth)
+        del free[row["key"]]
+        chosen.append(row)
+        reasons.append(reason)
+        numbers.add(row["number"])
+        for i in range(n_kinds):
+            have[i].add(row[f"kind_{i}"])
+        return True
+
+    for flag, name in zip(flags, names):
+        take(lambda r: r[flag], name)  # noqa: B023
+    all_parts = sum(targets.values())
+    for name, part in targets.items():
+        while sum(r["stratum"] == name for r in chosen) < round(part * total / all_parts) and take(lambda r: r["stratum"] == name, f"stratum:{name}"):  # noqa: B023
+            pass
+    while take(lambda r: True, "rest"):
+        pass
+    return chosen, reasons
+
+
 # -- resuming and sharing work -------------------------------------------------------
 
 

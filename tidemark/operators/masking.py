@@ -105,6 +105,25 @@ def assign_donors(slots: DataFrame, donors: DataFrame, by: Sequence[str], order:
     return rows.repartition(*by).sortWithinPartitions(*by, "side", "at").mapInArrow(run, schema)
 
 
+def unseen_donors(cases: DataFrame, donors: DataFrame, by: Sequence[str], until: str, place: str) -> DataFrame:
+    """The donors that each case may use: those of its ``by`` that stand behind the case's ``until``, so none of what the case has read, and those without a place.
+
+    ``cases`` has by, further columns that name the case, and ``until``.
+    """
+    return cases.join(donors, list(by)).filter(F.col(place).isNull() | (F.col(place) > F.col(until))).drop(until)
+
+
+def placebo_slots(targets: DataFrame, rows: DataFrame, by: Sequence[str], place: str, key: str) -> DataFrame:
+    """For each target the nearest free row by place, in the order of the targets: by, slot, donor.
+
+    ``targets`` and ``rows`` have by, ``place`` and ``key``; a row is taken once,
+    ties go to the smaller key. Where a key has more targets than rows it raises.
+    """
+    slots = targets.select(*by, F.col(key).alias("slot"), F.col(place).alias("month"))
+    donors = rows.filter(F.col(place).isNotNull()).select(*by, F.col(key).alias("donor"), F.col(place).alias("month"))
+    return assign_donors(slots, donors, by, ["month", "slot"])
+
+
 def neutral(rows: DataFrame, donors: DataFrame, on: Sequence[str], keep: Sequence[str], reset: Mapping[str, object]) -> DataFrame:
     """Rows whose slot has a donor take its columns and lose their own identity as evidence.
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from tidemark.operators import branching, memory
-from tidemark.plans._base import query
+from tidemark.operators import branching, masking, memory, replay
+from tidemark.plans._base import query, table
 from tidemark.plans.histories import _FOLD_SQL, _changes
 
 _AT = _FOLD_SQL.index("f as (select distinct")
@@ -23,8 +23,6 @@ _RUNS_SQL = f"""{_CH}, r as (select entity as user, 'v' || v as run, path, op, m
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's changes in three variants, which say something else after 5 and after 10 changes."""
-    from pyspark.sql import Window as W
-
     n = F.row_number().over(W.partitionBy("entity").orderBy("month", "seq"))
     rows = _changes(spark, sf_dir).drop("event_type").withColumn("n", n).withColumn("v", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     value = F.when((F.col("v") > 0) & (F.col("n") > 5 * F.col("v")), F.concat("value", F.lit("v"), F.col("v").cast("string"))).otherwise(F.col("value"))
@@ -81,3 +79,82 @@ select entity, event, n_own, n_left = 0 as target_gone, coalesce(n_moved, 0)::bi
 def masked_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether an event's own cells are gone at the last level, and how many cells of others are not as they were."""
     return branching.counterfactual_verdicts(_states(spark, sf_dir), "full", "mask_all")
+
+
+_SNAP_SQL = f"""{_FOLD_SQL}, tm(t) as (values (10), (20), (31)), upto as (select ch.entity, ch.path, t, max(i) as i from ch, tm where month <= t group by 1, 2, 3),
+st as (select u.entity, u.path, t, coalesce(f.cells[list_max(list_filter(range(1, len(f.cells) + 1), lambda k: f.cells[k].status not in ('pending', 'cancelled', 'historical')))],
+        f.cells[list_max(list_filter(range(1, len(f.cells) + 1), lambda k: f.cells[k].status not in ('pending', 'cancelled')))]) as c from upto u join f on f.entity = u.entity and f.path = u.path and f.i = u.i),
+h as (select *, ('0x' || substr(sha256(entity || ':' || path || ':' || t), 1, 8))::bigint % 40 as h from st where c is not null)"""
+
+
+def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of each user's paths after days 10, 20 and 31, with planted faults."""
+    changes, out = _changes(spark, sf_dir), None
+    for t in (10, 20, 31):
+        state = memory.effective(memory.fold(changes.filter(F.col("month") <= t))).filter("status is not null").select("entity", "path", F.lit(t).alias("month"), "value", "status")
+        out = state if out is None else out.unionByName(state)
+    h = F.conv(F.substring(F.sha2(F.concat_ws(":", "entity", "path", "month"), 256), 1, 8), 16, 10).cast("long") % 40
+    out = out.withColumn("h", h).filter("h <> 1")
+    out = out.withColumns({"value": F.when(F.col("h") == 0, F.concat(F.coalesce("value", F.lit("")), F.lit("!"))).otherwise(F.col("value")), "status": F.when(F.col("h") == 2, F.lit("planted")).otherwise(F.col("status"))}).drop("h")
+    unknown = changes.select("entity").distinct().filter("entity % 25 = 0").select("entity", F.lit("p9").alias("path"), F.lit(31).alias("month"), F.lit("x").alias("value"), F.lit("current").alias("status"))
+    return out.unionByName(unknown)
+
+
+@query(f"""{_SNAP_SQL} select entity, path, t::int as month, case h when 0 then 'value_differs' when 1 then 'missing_in_snapshot' else 'status_differs' end as code from h where h < 3
+union all select distinct entity, 'p9', 31, 'unknown_path' from ch where entity::bigint % 25 = 0
+union all select entity, path, month, 'orphan_update' from ch where entity::bigint % 10 = 7 and source = '2'""")
+def replay_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The planted faults of stored snapshots and changes, found by replaying all changes, and nothing else."""
+    changes = _changes(spark, sf_dir)
+    instances = changes.select("entity", "source").distinct().filter("not (entity % 10 = 7 and source = '2')")
+    return replay.replay_audit(changes, _snapshots(spark, sf_dir), instances)
+
+
+def _greedy_sql(slots: str, donors: str, by: str, seed: str) -> str:
+    """SQL of greedy donors: a step for each slot of a key, all keys at once."""
+    return f"""with recursive s as (select *, row_number() over (partition by {by} order by month, slot) as i from ({slots})), d as ({donors}),
+r as (select {by}, 0::bigint as i, 0::bigint as slot, 0::bigint as donor, []::bigint[] as used from (select distinct {by} from s)
+    union all select {by}, i, slot, donor, list_append(used, donor) from (
+        select {by}, s.i, s.slot, r.used, arg_min(d.donor, row(d.month is null, case when d.month is null then 0 else abs(d.month - s.month) end, case when d.month is null then sha256('{seed}:' || s.slot || ':' || d.donor) else '' end, d.donor)) as donor
+        from r join s using ({by}) join d using ({by}) where s.i = r.i + 1 and not list_contains(r.used, d.donor) group by all))
+select {by}, slot, donor from r where i > 0"""
+
+
+@query(_greedy_sql("select user_id, event_id as slot, day(ts) as month from events where event_type = 'purchase'", "select user_id, event_id as donor, day(ts) as month from events where event_type in ('error', 'signup') union all select user_id, -event_id, null from events where event_type = 'purchase'", "user_id", "m"))
+def assign_donors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy donors without reuse: a user's purchases take errors and signups of the nearest day, then timeless ones."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", F.dayofmonth("ts").alias("month"))
+    slots = e.filter("event_type = 'purchase'").withColumnRenamed("event_id", "slot")
+    donors = e.filter("event_type in ('error', 'signup')").select("user_id", F.col("event_id").alias("donor"), "month")
+    reserve = slots.select("user_id", (-F.col("slot")).alias("donor"), F.lit(None).cast("int").alias("month"))
+    return masking.assign_donors(slots, donors.unionByName(reserve), ["user_id"], ["month", "slot"], "m")
+
+
+_PLACES = "(select user_id, event_id, event_type, row_number() over (partition by user_id order by ts, event_id) as place from events)"
+
+
+@query(_greedy_sql(f"select user_id, event_id as slot, place as month from {_PLACES} where event_type = 'purchase' and place % 3 = 0", f"select user_id, event_id as donor, place as month from {_PLACES} where event_type <> 'purchase'", "user_id", ""))
+def placebo_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every third place's purchase the nearest other event of the user's history, none twice."""
+    e = _placed(spark, sf_dir)
+    return masking.placebo_slots(e.filter("event_type = 'purchase' and place % 3 = 0"), e.filter("event_type <> 'purchase'"), ["user_id"], "place", "event_id")
+
+
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
+    return table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", place.alias("place"), F.floor(F.col("value") % 3).cast("int").alias("instance"))
+
+
+_CASES = "(select user_id, floor(value % 3)::int as instance, max(place) as until from (select *, row_number() over (partition by user_id order by ts, event_id) as place from events) where event_type = 'error' group by 1, 2)"
+_ALL = "(select user_id, event_id, event_type, floor(value % 3)::int as instance, row_number() over (partition by user_id order by ts, event_id) as place from events)"
+
+
+@query(_greedy_sql(f"select user_id, instance, event_id as slot, place as month from {_ALL} where event_type = 'error'", f"select c.user_id, c.instance, e.event_id as donor, e.place as month from {_CASES} c join {_ALL} e using (user_id) where e.event_type = 'view' and e.place > c.until union all select user_id, instance, -event_id, null from {_ALL} where event_type = 'error'", "user_id, instance", "u"))
+def case_donors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Donors fixed once for each case: only what stands behind the case's last session, the nearest first, then timeless ones."""
+    e = _placed(spark, sf_dir)
+    slots = e.filter("event_type = 'error'").select("user_id", "instance", F.col("event_id").alias("slot"), F.col("place").alias("month"))
+    cases = slots.groupBy("user_id", "instance").agg(F.max("month").alias("until"))
+    seen = masking.unseen_donors(cases, e.filter("event_type = 'view'").select("user_id", F.col("event_id").alias("donor"), F.col("place").alias("month")), ["user_id"], "until", "month")
+    reserve = slots.select("user_id", "instance", (-F.col("slot")).alias("donor"), F.lit(None).cast("long").alias("month"))
+    return masking.assign_donors(slots, seen.unionByName(reserve), ["user_id", "instance"], ["month", "slot"], "u")

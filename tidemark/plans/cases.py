@@ -162,6 +162,16 @@ def diverse_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.diverse_sample(o, ["o_orderpriority", "o_orderstatus"], 5, "d", "o_orderkey").select("o_orderkey")
 
 
+_QUOTA_TARGETS = {"view": 20, "click": 12, "purchase": 8, "error": 6, "signup": 2}
+
+
+@query()
+def diverse_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """48 events by quotas of their types, chosen for diversity of users and sizes."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", (F.col("user_id") % 7).alias("user_k"), (F.col("value") > 90).alias("big"), (F.col("value") > 99).alias("req"))
+    return C.diverse_quota(e, "event_id", "event_id", "event_type", ["user_k", "big"], _QUOTA_TARGETS, 48, {"large": F.col("req")})
+
+
 _IMPACTS = f"""with t as (select user_id, event_id, event_type as event from events), sp as (select * from (values ('click', 1, null, 'p1', 'execute'), ('click', 2, 'k0', null, 'review'), ('purchase', 1, 'k1', 'p1', 'execute'), ('view', 1, null, null, 'review')) s(event, spec_no, label, path, decision)),
 a as (select user_id, event_id as action_id, 'k' || {_K} % 2 as kind, 'p' || {_K} % 3 as path_of, case when event_type = 'error' then 'cancelled' else 'live' end as status, {_K} % 5 = 0 as moves_funds from events where event_type in ('signup', 'error')),
 h as (select t.user_id, a.action_id, t.event_id, spec_no, case when moves_funds and decision = 'execute' then 'ask_confirmation' else decision end as decision, moves_funds as must_not_execute, row_number() over (partition by t.user_id, action_id order by t.event_id, spec_no) as r

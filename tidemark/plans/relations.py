@@ -254,16 +254,6 @@ def replace_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masking.replace_slots(c.drop("role"), donors, ["conv_id", "turn"], ["text"]).select("conv_id", "turn", "text", "replaced")
 
 
-@query()
-def assign_donors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy donors without reuse: a user's purchases take errors and signups of the nearest day, then timeless ones."""
-    e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", F.dayofmonth("ts").alias("month"))
-    slots = e.filter("event_type = 'purchase'").withColumnRenamed("event_id", "slot")
-    donors = e.filter("event_type in ('error', 'signup')").select("user_id", F.col("event_id").alias("donor"), "month")
-    reserve = slots.select("user_id", (-F.col("slot")).alias("donor"), F.lit(None).cast("int").alias("month"))
-    return masking.assign_donors(slots, donors.unionByName(reserve), ["user_id"], ["month", "slot"], "m")
-
-
 @query("""select 'D' || lpad((doc_id % 1000)::varchar, 3, '0') as public_id, doc_id, (doc_id % 1000)::int as number from documents""")
 def public_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.format_string("S%03d", F.col("doc_id") % 1000)
