@@ -65,6 +65,22 @@ def test_bands():
     assert not quality.band_verdict(prose[:9_000] + b"spam " * 4_000, z)[3]
 
 
+def test_bands_of_short_text():
+    """Below 200 bytes, too: repeats are rejected at any length, base64 from 130 bytes on, prose never."""
+    import base64
+
+    import zstandard
+
+    z, rnd = zstandard.ZstdCompressor(level=quality.LEVEL), random.Random(8)
+    prose = b"The clerk wrote down every parcel that left the yard before noon, and whoever asked later could read who had carried it, where it went and what the weather was like on the road that day."
+    for n in range(40, len(prose) + 1):
+        assert quality.band_verdict(prose[:n], z)[3], n
+        if n > 100:
+            assert not quality.band_verdict((b"buy now " * 40)[:n], z)[3], n
+        if n >= 130:
+            assert not any(quality.band_verdict(base64.b64encode(rnd.randbytes(n))[:n], z)[3] for _ in range(20)), n
+
+
 def test_bands_of_encoded_text():
     """Base64 and random letters and digits are rejected from 200 bytes on, also behind the last whole chunk; prose is not."""
     import base64

@@ -19,11 +19,12 @@ from pyspark.sql import DataFrame
 from tidemark.llm._common import text_batches
 
 #: (bytes from, lowest ratio, highest ratio) of whole documents: raw bytes by compressed bytes at LEVEL. The lowest ratios are
-#: above those of base64 and of random letters and digits, in words or not, of any length in the band (1.39 at most).
-BANDS = ((0, 0.0, float("inf")), (200, 1.18, 4.5), (300, 1.4, 4.5), (500, 1.45, 4.5), (700, 1.5, 4.5), (1_000, 1.55, 4.5), (2_000, 1.6, 4.5), (4_000, 1.6, 5.5), (16_000, 1.6, 6.0))
+#: above those of base64 and of random letters and digits, in words or not, of any length in the band (1.39 at most). Below 130
+#: bytes prose often does not compress either (0.82 to 1.1, like base64), so only the highest ratio says anything there.
+BANDS = ((0, 0.0, 2.5), (60, 0.0, 3.0), (80, 0.0, 3.5), (100, 0.0, 4.0), (130, 1.0, 4.0), (140, 1.02, 4.0), (150, 1.035, 4.5), (170, 1.045, 4.5), (180, 1.07, 4.5), (200, 1.18, 4.5), (300, 1.4, 4.5), (500, 1.45, 4.5), (700, 1.5, 4.5), (1_000, 1.55, 4.5), (2_000, 1.6, 4.5), (4_000, 1.6, 5.5), (16_000, 1.6, 6.0))
 #: Chunks of CHUNK bytes: one outside of (low, high) is bad, and so is a document with over CHUNK_SHARE percent of its bytes in bad ones.
-#: The rest behind the whole chunks is one, too, from CHUNK_LEAST bytes on; its lowest ratio is that of its length in BANDS.
-CHUNK, CHUNK_LOW, CHUNK_HIGH, CHUNK_SHARE, CHUNK_LEAST = 4_096, 1.6, 8.0, 25, 200
+#: The rest behind the whole chunks is one, too; its lowest ratio is that of its length in BANDS.
+CHUNK, CHUNK_LOW, CHUNK_HIGH, CHUNK_SHARE = 4_096, 1.6, 8.0, 25
 LEVEL = 3
 WINDOW = 5
 MOST_REPEATED = 20
@@ -70,8 +71,6 @@ def band_verdict(raw: bytes, zip_: zstandard.ZstdCompressor) -> tuple[float, int
     ratio = len(raw) / len(zip_.compress(raw))
     low, high = band(len(raw))
     chunks = [raw[i : i + CHUNK] for i in range(0, len(raw), CHUNK)] if len(raw) >= CHUNK else []
-    if chunks and len(chunks[-1]) < CHUNK_LEAST:
-        chunks.pop()
     bad = [len(c) for c in chunks if not (CHUNK_LOW if len(c) == CHUNK else band(len(c))[0]) <= len(c) / len(zip_.compress(c)) <= CHUNK_HIGH]
     return ratio, len(chunks), len(bad), low <= ratio <= high and 100 * sum(bad) <= CHUNK_SHARE * sum(map(len, chunks))
 
