@@ -351,28 +351,11 @@ def test_damaged_archives_as_a_table(spark, tmp_path):
     assert all(r["reason"] and r["payload_bytes"] > 0 for r in got if r["kind"] == "gap")
 
 
-def unigram_model(bpe: bytes) -> bytes:
-    """The same vocabulary as a unigram model: scores fall with the logarithm of the id, in steps of 1/64 so that sums are exact."""
-    number = lambda n: bytes([n & 127 | 128]) + number(n >> 7) if n > 127 else bytes([n])
-    field = lambda n, data: number(n << 3 | 2) + number(len(data)) + data
-    out, rank = [], 0
-    for n, value, a, b in pieces.fields(bpe):
-        if n == 1:  # a piece: its score is a float in field 2
-            rank += 1
-            kept = b"".join(value[x:y] for k, _, x, y in pieces.fields(value) if k != 2)
-            out.append(field(1, kept + b"\x15" + np.float32(-np.round(np.log(rank + 1) * 64) / 64).tobytes()))
-        elif n == 2:  # the training settings: the kind of model is field 3
-            out.append(field(2, b"".join(value[x:y] for k, _, x, y in pieces.fields(value) if k != 3) + b"\x18\x01"))
-        else:
-            out.append(bpe[a:b])
-    return b"".join(out)
-
-
 @pytest.fixture(scope="module")
 def unigram_file(tmp_path_factory):
     file = tmp_path_factory.mktemp("model") / "unigram.model"
     with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
-        file.write_bytes(unigram_model(f.read()))
+        file.write_bytes(pieces.as_unigram(f.read()))
     return str(file)
 
 
@@ -407,6 +390,7 @@ def test_best_paths_of_the_library(spark, unigram_file):
     texts = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(9_000, "\U0001f600 字x  zzzq qqq"), (9_001, "ab" * 300)], "doc_id long, text string"))
     want = {r["doc_id"]: lib.encode(r["text"] or "") for r in texts.collect()}
     assert {r["doc_id"]: r["ids"] for r in pieces.encode(texts, unigram_file, one_in=2_000).collect()} == want
+    assert {r["doc_id"]: r["ids"] for r in pieces.encode(texts, public_tokenizers.path("piece_bpe_32k.model"), best_path=True).collect()} == want
     words = sorted({pieces.MARK + w for r in texts.limit(40).collect() for w in (r["text"] or "").split(" ") if w})
     got = {r["word"]: r["ids"] for r in pieces.encode_words(spark.createDataFrame([(w,) for w in words], "word string"), pieces.piece_table(spark, voc), voc).collect()}
     assert got == {w: lib.encode(w[1:]) for w in words}

@@ -95,11 +95,29 @@ def model_type(model: bytes) -> int:
     return next((v for n, v, *_ in fields(spec) if n == _KIND), UNIGRAM)
 
 
+def as_unigram(model: bytes) -> bytes:
+    """The same vocabulary as a unigram model: scores fall with the logarithm of a piece's rank, in steps of 1/64 so that sums are exact."""
+    number = lambda n: bytes([n & 127 | 128]) + number(n >> 7) if n > 127 else bytes([n])
+    field = lambda n, data: number(n << 3 | 2) + number(len(data)) + data
+    out, rank = [], 0
+    for n, value, a, b in fields(model):
+        if n == 1:  # a piece: its score is a float in field 2
+            rank += 1
+            kept = b"".join(value[x:y] for k, _, x, y in fields(value) if k != 2)
+            out.append(field(1, kept + b"\x15" + np.float32(-np.round(np.log(rank + 1) * 64) / 64).tobytes()))
+        elif n == _SPEC:
+            out.append(field(_SPEC, b"".join(value[x:y] for k, _, x, y in fields(value) if k != _KIND) + bytes([_KIND << 3, UNIGRAM])))
+        else:
+            out.append(model[a:b])
+    return b"".join(out)
+
+
 @functools.lru_cache(maxsize=2)
-def load(file: str) -> Pieces:
-    """The vocabulary of a SentencePiece model file; the file is there on every machine."""
+def load(file: str, best_path: bool = False) -> Pieces:
+    """The vocabulary of a SentencePiece model file, with ``best_path`` as a unigram model; the file is there on every machine."""
     with open(file, "rb") as f:
-        return Pieces.of(f.read())
+        model = f.read()
+    return Pieces.of(as_unigram(model) if best_path else model)
 
 
 # -- the lattice as relations -------------------------------------------------
@@ -277,14 +295,17 @@ def byte_table(pieces: Pieces, size: int) -> list[bytes]:
     return table
 
 
-_rare: dict[str, dict[str, bytes]] = {}
+_rare: dict[tuple[str, bool], dict[str, bytes]] = {}
 
 SCHEMA = "doc_id long, n_pieces long, n_bytes long, round_trip boolean, ids array<int>"
 
 
-def encode(docs: DataFrame, model_file: str, one_in: int = FREQUENT) -> DataFrame:
+def encode(docs: DataFrame, model_file: str, one_in: int = FREQUENT, best_path: bool = False) -> DataFrame:
     """Piece ids of each row of ``docs`` (doc_id, text; other columns are left alone).
 
+    With ``best_path`` the vocabulary is taken as a unigram model (``as_unigram``)
+    whatever its kind, so that ids are those of the Viterbi fold.
+
     Returned: doc_id, n_pieces, n_bytes of the text, round_trip (whether decoding
     gives the text back; a text that holds the mark itself decodes to a space
     there) and ids. A null or empty text has no pieces. Texts are encoded whole,
@@ -292,13 +313,13 @@ def encode(docs: DataFrame, model_file: str, one_in: int = FREQUENT) -> DataFram
     each.
     """
     spark = docs.sparkSession
-    pieces = load(model_file)
+    pieces = load(model_file, best_path)
     ahead = materialize(encode_words(frequent_words(docs, one_in), piece_table(spark, pieces), pieces), "frequent")
     known = {r[0]: np.array(r[1], "<i4").tobytes() for r in ahead.collect()}  # at most ``one_in`` words
     shared = spark.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc, frequent, rare = load(model_file), shared.value, _rare.setdefault(model_file, {})
+        voc, frequent, rare = load(model_file, best_path), shared.value, _rare.setdefault((model_file, best_path), {})
         table = byte_table(voc, max(*voc.ids.values(), *voc.bytes_) + 1)
         for batch in batches:
             for doc_ids, texts in text_batches(batch, 2_000_000):
