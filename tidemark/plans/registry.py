@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import branches, cases, histories, metrics, relations, scores, shapes, texts
+from tidemark.plans import audits, branches, cases, histories, metrics, relations, scores, shapes, texts
 from tidemark.plans._base import QUERIES, SQL, Query
 
 #: The modules whose import registers queries.
