@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import joins, projections, sets, windows
+from tidemark.sources import files
 
 
 def plain_slots(rows, most):
@@ -91,3 +92,29 @@ def test_names_that_operators_use_themselves(spark):
     assert sets.hash_sample(a, 1, "s", "k").first()["hit"] == 5
     out = windows.carry_forward(a.withColumn("repeats", F.lit(False)), ["k"], ["hit"], ["v"], "repeats").first()
     assert out["held"] == 7 and windows.flag_repeats(a, ["k"], ["hit"], ["v"]).first()["digest"] == 8
+
+
+def test_exact_windows(spark):
+    rows = [("a", w, p, p == 3, 10 * w + p) for w in (0, 1) for p in (1, 2, 3)]
+    make = lambda rows: windows.exact_windows(spark.createDataFrame(rows, "u string, w int, p int, hit boolean, id int"), ["u"], "w", "p", 3, F.col("hit"), "id").collect()
+    assert sorted((r["w"], r["target"], r["last"]) for r in make(rows)) == [(0, 3, 3), (1, 13, 13)]
+    for bad in (rows[:-1], [*rows, ("a", 1, 3, False, 99)], [*rows[:-1], ("a", 1, 4, True, 14)], [*rows[:-1], ("a", 1, 3, False, 13)], [*rows[:-2], ("a", 1, 2, True, 12), ("a", 1, 3, True, 13)], [*rows[:-1], ("a", 1, 3, None, 13)]):
+        with pytest.raises(Exception, match="positions 1 to 3"):
+            make(bad)
+
+
+def test_rows_for_a_table_of_keys(spark):
+    rows = spark.range(1000).selectExpr("id % 100 as k", "id")
+    keys = spark.createDataFrame([(3,), (7,), (7,), (None,)], "k long")
+    assert files.rows_for(rows, keys, "k").count() == 20
+    with pytest.raises(KeyError, match="500"):
+        files.rows_for(rows, spark.createDataFrame([(3,), (500,)], "k long"), "k")
+
+
+def test_impacts_by_what_specs_state(spark):
+    """Label, path and both are told apart; conditions and hooks hold; the first transition wins, then the lower spec; a repeated path counts once."""
+    specs = spark.createDataFrame([("e", "h", 1, "L", None, "execute", {}, "t1", "low"), ("e", "h", 2, None, "p", "review", {"a": ["1"]}, "t2", "low"), ("f", "h", 1, "L", "p", "execute", {}, "t3", "high"), ("f", "h", 2, None, None, "review", {}, "t4", "high")], "event string, hook string, spec_no int, label string, path string, decision string, wanted map<string,array<string>>, impact_type string, risk string")
+    steps = spark.createDataFrame([("x", 1, "e", "h", {"a": "2"}), ("x", 2, "f", "h", {}), ("x", 3, "e", "h", {"a": "1"}), ("x", 0, "e", "other", {"a": "1"})], "u string, t int, event string, hook string, params map<string,string>")
+    actions = spark.createDataFrame([("x", 1, "L", ["p", "p"], "live", True), ("x", 2, "M", ["p"], "live", None), ("x", 3, "L", ["p"], "cancelled", True), ("x", 4, "M", None, "live", False), ("x", 5, "L", [], None, False)], "u string, action_id int, kind string, paths array<string>, status string, moves_funds boolean")
+    got = {r["action_id"]: (r["t"], r["spec_no"], r["decision"], r["must_not_execute"], r["impact_type"]) for r in joins.impacts(steps, specs, actions, "u", ["t"]).collect()}
+    assert got == {1: (1, 1, "ask_confirmation", True, "t1"), 2: (3, 2, "review", False, "t2"), 5: (1, 1, "execute", False, "t1")}

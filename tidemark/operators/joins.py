@@ -164,19 +164,33 @@ def grounded(claims: DataFrame, evidence: DataFrame, on: Sequence[tuple[str, Col
 def impacts(transitions: DataFrame, specs: DataFrame, actions: DataFrame, entity: str, order: Sequence[str]) -> DataFrame:
     """Impacts of transitions on standing actions: each action is hit once, by the first transition whose spec selects it.
 
-    ``specs`` (a registry): event, spec_no, label and path (null: not stated),
-    decision. ``actions``: entity, action_id, kind, paths, status, moves_funds.
+    ``transitions``: entity, event, columns of ``order``, with ``hook`` and
+    ``params`` (map of text) if specs ask for them. ``specs`` (a registry): event,
+    spec_no, label and path (null: not stated; one of them must be), decision;
+    maybe hook, ``wanted`` (map of a parameter to its allowed values), impact_type
+    and risk. ``actions``: entity, action_id, kind, paths, status, moves_funds.
     Cancelled and historical actions are left out. What moves funds must not be
     executed by itself: a decision to execute becomes one to ask.
-    """
-    from tidemark.operators.projections import selects
 
-    live = actions.filter(~F.col("status").isin("cancelled", "historical"))
-    hits = transitions.join(bounded(specs), "event").join(live, entity).filter(selects(F.col("label"), F.col("path"), F.col("kind"), F.col("paths")))
-    first = F.row_number().over(W.partitionBy(entity, "action_id").orderBy(*order, "spec_no"))
+    Of an entity's transitions only the first that meets a spec counts, so that is
+    found before actions are joined; what a spec states (label, path, both) makes
+    three joins on equal keys. An entity has at most specs times actions rows.
+    """
+    more = [c for c in ("impact_type", "risk") if c in specs.columns]
+    hits = transitions.join(bounded(specs), ["event", *(["hook"] if "hook" in specs.columns else [])])
+    if "wanted" in specs.columns:
+        hits = hits.filter(F.forall(F.map_entries("wanted"), lambda e: F.coalesce(F.array_contains(e["value"], F.try_element_at("params", e["key"])), F.lit(False))))
+    what = ["spec_no", "label", "path", "decision", *more]
+    first = hits.filter("label is not null or path is not null").groupBy(entity, "event", *what).agg(F.min(F.struct(*order)).alias("at"))
+    live = actions.filter(~F.coalesce(F.col("status").isin("cancelled", "historical"), F.lit(False))).select(entity, "action_id", F.col("kind").alias("label"), "paths", F.coalesce("moves_funds", F.lit(False)).alias("moves_funds"))
+    by_path = live.select(entity, "action_id", "label", "moves_funds", F.explode(F.array_distinct("paths")).alias("path"))
+    kept = [entity, "action_id", "moves_funds", "at", "spec_no", "decision", *more]
+    found = first.filter("path is null").drop("path").join(live.drop("paths"), [entity, "label"]).select(kept)
+    found = found.unionByName(first.filter("label is null").drop("label").join(by_path.drop("label"), [entity, "path"]).select(kept))
+    found = found.unionByName(first.filter("label is not null and path is not null").join(by_path, [entity, "label", "path"]).select(kept))
+    hit = found.groupBy(entity, "action_id").agg(F.min_by(F.struct("at", "spec_no", "decision", "moves_funds", *more), F.struct("at", "spec_no")).alias("hit")).select(entity, "action_id", "hit.*")
     ask = F.when(F.col("moves_funds") & (F.col("decision") == "execute"), "ask_confirmation").otherwise(F.col("decision"))
-    out = hits.withColumn("_r", first).filter("_r = 1").withColumn("decision", ask).withColumn("must_not_execute", F.coalesce("moves_funds", F.lit(False)))
-    return out.select(entity, "action_id", *order, "spec_no", "decision", "must_not_execute")
+    return hit.select(entity, "action_id", "at.*", "spec_no", ask.alias("decision"), F.col("moves_funds").alias("must_not_execute"), *more)
 
 
 def identity_join(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:

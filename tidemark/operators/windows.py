@@ -50,6 +50,22 @@ def tumbling_blocks(df: DataFrame, by: Sequence[str], no: str, size: int) -> Dat
     return out.withColumn("whole", (F.col("n") == size) & (F.col("last_no") - F.col("first_no") == size - 1))
 
 
+def exact_windows(df: DataFrame, by: Sequence[str], window: str, position: str, size: int, target: Column, key: str) -> DataFrame:
+    """Windows that hold each position 1..size once, and one target: by, window, target (its ``key``), last (the key at the last position).
+
+    A window with other positions, or with no target or several, raises; nothing
+    is gathered to find out.
+    """
+    wrong = F.raise_error(F.concat(F.lit(f"not positions 1 to {size} with one target: "), F.to_json(F.struct(*by, window)))).cast("boolean")
+    hit = F.coalesce(target, F.lit(False))
+    sums = df.groupBy(*by, window).agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct(position).alias("n_distinct"), F.min(position).alias("low"), F.max(position).alias("high"), F.count_if(hit).alias("n_targets"),
+        F.max(F.when(hit, F.col(key))).alias("target"), F.max_by(key, position).alias("last"),
+    )
+    fine = (F.col("n") == size) & (F.col("n_distinct") == size) & (F.col("low") == 1) & (F.col("high") == size) & (F.col("n_targets") == 1)
+    return sums.filter(F.when(F.coalesce(fine, F.lit(False)), True).otherwise(wrong)).select(*by, window, "target", "last")
+
+
 def carry_forward(df: DataFrame, by: Sequence[str], order: Sequence[str], columns: Sequence[str], repeats: str) -> DataFrame:
     """Fills ``columns`` of rows flagged ``repeats`` from the last row that is not flagged."""
     run = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)

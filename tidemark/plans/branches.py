@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from tidemark.operators import branching, masking, memory, replay
+from tidemark.operators import branching, joins, masking, memory, replay, windows
 from tidemark.plans._base import query, table
 from tidemark.plans.histories import _FOLD_SQL, _changes
+from tidemark.sources import files
 
 _AT = _FOLD_SQL.index("f as (select distinct")
 #: SQL of the events as changes, and of the fold of a table ch (entity, path, op, value, month, source, i).
@@ -158,3 +159,45 @@ def case_donors(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = masking.unseen_donors(cases, e.filter("event_type = 'view'").select("user_id", F.col("event_id").alias("donor"), F.col("place").alias("month")), ["user_id"], "until", "month")
     reserve = slots.select("user_id", "instance", (-F.col("slot")).alias("donor"), F.lit(None).cast("long").alias("month"))
     return masking.assign_donors(slots, seen.unionByName(reserve), ["user_id", "instance"], ["month", "slot"], "u")
+
+
+_K_SQL = "json_extract_string(props, '$.k')::int"
+
+
+@query(f"""with t as (select user_id, event_id, event_type as event, case when {_K_SQL} % 3 = 0 then 'on_upcoming' else 'on_occurred' end as hook, ({_K_SQL} % 5)::varchar as size from events),
+sp(event, hook, spec_no, label, path, decision, sizes, impact_type, risk) as (values ('click', 'on_occurred', 1, null, 'p1', 'execute', ['0', '1'], 'stale_address', 'high'), ('click', 'on_upcoming', 2, 'k0', null, 'review', null, 'limit', 'low'), ('purchase', 'on_occurred', 1, 'k1', 'p1', 'execute', null, 'stale_amount', 'high'), ('view', 'on_occurred', 1, null, null, 'review', null, 'none', 'low')),
+a as (select user_id, event_id as action_id, 'k' || {_K_SQL} % 2 as kind, ['p' || {_K_SQL} % 3, 'q'] as paths, event_type = 'error' as gone, {_K_SQL} % 5 = 0 as moves_funds from events where event_type in ('signup', 'error')),
+h as (select a.user_id, action_id, t.event_id, sp.*, moves_funds, row_number() over (partition by a.user_id, action_id order by t.event_id, spec_no) as r from a join t using (user_id) join sp on sp.event = t.event and sp.hook = t.hook
+    where not gone and (sizes is null or list_contains(sizes, size)) and (label is not null or path is not null) and (label is null or label = kind) and (path is null or list_contains(paths, path)))
+select user_id, action_id, event_id, spec_no::int as spec_no, case when moves_funds and decision = 'execute' then 'ask_confirmation' else decision end as decision, moves_funds as must_not_execute, impact_type, risk from h where r = 1""")
+def impacts_when(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Impacts by specs with hooks, conditions on parameters, impact type and risk."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    e = table(spark, sf_dir, "events").withColumn("k", k)
+    specs = spark.createDataFrame(
+        [("click", "on_occurred", 1, None, "p1", "execute", {"size": ["0", "1"]}, "stale_address", "high"), ("click", "on_upcoming", 2, "k0", None, "review", {}, "limit", "low"), ("purchase", "on_occurred", 1, "k1", "p1", "execute", {}, "stale_amount", "high"), ("view", "on_occurred", 1, None, None, "review", {}, "none", "low")],
+        "event string, hook string, spec_no int, label string, path string, decision string, wanted map<string,array<string>>, impact_type string, risk string",
+    )
+    hook = F.when(F.col("k") % 3 == 0, "on_upcoming").otherwise("on_occurred")
+    steps = e.select("user_id", "event_id", F.col("event_type").alias("event"), hook.alias("hook"), F.create_map(F.lit("size"), (F.col("k") % 5).cast("string")).alias("params"))
+    name = lambda p, m: F.concat(F.lit(p), (F.col("k") % m).cast("string"))
+    actions = e.filter("event_type in ('signup', 'error')").select("user_id", F.col("event_id").alias("action_id"), name("k", 2).alias("kind"), F.array(name("p", 3), F.lit("q")).alias("paths"), F.when(F.col("event_type") == "error", "cancelled").otherwise("live").alias("status"), (F.col("k") % 5 == 0).alias("moves_funds"))
+    return joins.impacts(steps, specs, actions, "user_id", ["event_id"])
+
+
+@query("""with n as (select user_id, event_id, row_number() over (partition by user_id order by ts, event_id) as no, count(*) over (partition by user_id) as c from events), w as (select *, (no - 1) // 15 as w, (no - 1) % 15 + 1 as p from n where no <= c // 15 * 15)
+select user_id, w::bigint as win, max(event_id) filter (p = 15) as target, max(event_id) filter (p = 15) as last from w group by 1, 2""")
+def exact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole windows of 15 events with their target, the last one; a gap or a second target would raise."""
+    own = W.partitionBy("user_id")
+    e = table(spark, sf_dir, "events").withColumns({"no": F.row_number().over(own.orderBy("ts", "event_id")), "c": F.count(F.lit(1)).over(own)})
+    e = e.filter("no <= c div 15 * 15").select("user_id", "event_id", F.expr("(no - 1) div 15").alias("win"), ((F.col("no") - 1) % 15 + 1).alias("p"))
+    return windows.exact_windows(e, ["user_id"], "win", "p", 15, F.col("p") == 15, "event_id")
+
+
+@query("select l_orderkey, l_linenumber, l_partkey from lineitem where l_orderkey in (select o_orderkey from orders where o_orderstatus = 'P' and o_orderkey in (select l_orderkey from lineitem))")
+def rows_for_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a table of orders; an order without a line would raise."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    keys = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return files.rows_for(lines, keys.join(lines, "l_orderkey", "left_semi"), "l_orderkey")

@@ -68,6 +68,18 @@ def pushed_keys(spark: SparkSession, path: str, key: str, wanted: Sequence, colu
     return out
 
 
+def rows_for(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose ``key`` is in the table ``keys``; a key without a row raises, with an example.
+
+    The keys stay a table: Spark joins them, behind a Bloom filter of its own
+    where they are few beside ``rows``, and none comes to the driver.
+    """
+    wanted = keys.select(key).filter(F.col(key).isNotNull()).distinct()
+    if lost := wanted.join(rows.select(key), key, "left_anti").limit(1).collect():
+        raise KeyError(f"no rows for {lost[0][0]!r}")
+    return rows.join(wanted, key, "left_semi")
+
+
 def checked_bank(df: DataFrame, fine: Column, what: str) -> DataFrame:
     """``df`` if every row is ``fine``; else an error with an example."""
     from tidemark.operators.audit import assert_none
