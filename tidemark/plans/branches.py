@@ -8,6 +8,7 @@ from tidemark.operators import branching, joins, masking, memory, replay, window
 from tidemark.plans._base import query, table
 from tidemark.plans.histories import _FOLD_SQL, _changes
 from tidemark.sources import files
+from tidemark.streaming import events as streams, versions
 
 _AT = _FOLD_SQL.index("f as (select distinct")
 #: SQL of the events as changes, and of the fold of a table ch (entity, path, op, value, month, source, i).
@@ -201,3 +202,17 @@ def rows_for_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     keys = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
     return files.rows_for(lines, keys.join(lines, "l_orderkey", "left_semi"), "l_orderkey")
+
+
+@query(f"""{_FOLD_SQL}, upto as (select ch.entity, ch.path, t, max(i) as i from ch, (values (15), (31)) tm(t) where month <= t group by 1, 2, 3),
+st as (select t, f.entity, f.path, unnest(range(1, len(f.cells) + 1)) as k, f.cells from upto u join f on f.entity = u.entity and f.path = u.path and f.i = u.i)
+select t::int as day, entity, path, (k - 1)::int as seq, cells[k].value as value, cells[k].status as status, cells[k].valid_from as valid_from, cells[k].valid_until as valid_until, cells[k].source as source from st""")
+def checkpoint_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream that takes in half a month, answers from its stored state, and goes on: the cells after either half."""
+    changes, at = _changes(spark, sf_dir).drop("event_type"), streams.scratch(spark)
+    for half in ("month <= 15", "month > 15"):
+        changes.filter(half).write.mode("append").parquet(f"{at}/in")
+        versions.take_in(spark, f"{at}/in", changes.schema, f"{at}/state", f"{at}/out")
+    first, last = versions.cells_at(spark, f"{at}/state", 0), versions.cells_at(spark, f"{at}/state")
+    both = first.withColumn("day", F.lit(15)).unionByName(last.withColumn("day", F.lit(31)))
+    return both.select("day", "entity", "path", "seq", "value", "status", "valid_from", "valid_until", "source")
