@@ -123,11 +123,6 @@ def test_join_errors(spark):
         joins.merge_upsert(a.filter("k = 1"), a, ["k"])
 
 
-@pytest.mark.parametrize(("text", "won"), [("3억 5천만원", 350_000_000), ("약 120만원 정도", 1_200_000), ("삼천", 3_000), ("1,500", 1_500), ("없음", None), (None, None)])
-def test_won(text, won):
-    assert T.parse_won(text) == won
-
-
 def test_quota_shortage(spark):
     from tidemark.operators import sets
 

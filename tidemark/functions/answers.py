@@ -1,7 +1,8 @@
 """Answers in free text, in a form that can be compared, and what a text states in numbers.
 
-Unicode normal forms and Korean numerals have no built-in expression; they are
-Arrow-batched functions. Everything else is plain column expressions.
+Unicode normal forms have no built-in expression and are Arrow-batched functions,
+and so are answers whose form depends on their kind. Numerals and everything else
+are plain column expressions.
 """
 
 from __future__ import annotations
@@ -10,7 +11,6 @@ import json
 import re
 import unicodedata
 from collections.abc import Callable, Mapping, Sequence
-from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -24,13 +24,6 @@ DIGITS = {"영": 0, "공": 0, "일": 1, "이": 2, "삼": 3, "사": 4, "오": 5,
 SMALL_UNITS = {"십": 10, "백": 100, "천": 1_000}
 LARGE_UNITS = {"억": 100_000_000, "만": 10_000}
 
-_DIGIT, _UNIT = f"[{''.join(DIGITS)}]", f"[{''.join(SMALL_UNITS)}]"
-_COEFFICIENT = rf"\d+(?:\.\d+)?|{_DIGIT}"
-_WITH_UNITS = re.compile(rf"(?:{_COEFFICIENT}|{_UNIT})+")
-_TERM = re.compile(rf"({_COEFFICIENT})?({_UNIT})")
-_NUMBER = re.compile(r"-?\d+(?:\.\d+)?")
-
-
 def squashed(text: str) -> str:
     """Compatibility form, lower case, without any white space."""
     return "".join(unicodedata.normalize("NFKC", text).lower().split())
@@ -42,53 +35,6 @@ def first_integer(text: str) -> int | None:
     return int(m[0]) if m else None
 
 
-def _worth(coefficient: str) -> float:
-    return float(DIGITS.get(coefficient, coefficient))
-
-
-def _below_large(text: str) -> float | None:
-    """A number without 만 and 억: nothing is one, a run of Hangul digits is read digit by digit, units add up."""
-    if not text:
-        return 1.0
-    if _NUMBER.fullmatch(text):
-        return float(text)
-    if not re.search(_UNIT, text):
-        return float("".join(str(DIGITS[c]) for c in text)) if set(text) <= DIGITS.keys() else None
-    if not _WITH_UNITS.fullmatch(text):
-        return None
-    last = [*re.finditer(_UNIT, text)][-1].end()
-    rest = re.findall(_COEFFICIENT, text[last:])
-    return sum(_worth(c or "1") * SMALL_UNITS[u] for c, u in _TERM.findall(text)) + (_worth(rest[-1]) if rest else 0.0)
-
-
-def parse_won(text: str | None) -> int | None:
-    """An amount in won, or null.
-
-    Commas, spaces and 원 are left out, "약" or "대략" in front and "정도" or "쯤"
-    behind too. 억 and 만 each take the number before them; what cannot be read so
-    falls back to its first integer. Null and surfaces of "nothing" give null.
-    """
-    if text is None:
-        return None
-    t = re.sub("[, 원]", "", unicodedata.normalize("NFKC", text).lower())
-    t = re.sub("(?:정도|쯤)$", "", re.sub("^(?:약|대략)", "", t))
-    if squashed(t) in NONE_SURFACES:
-        return None
-    if _NUMBER.fullmatch(t):
-        return int(float(t))
-    sign, t = (-1, t[1:]) if t.startswith("-") else (1, t)
-    left, worths, units = t, [], [u for u in LARGE_UNITS if u in t]
-    for u in units:
-        if u in left:
-            head, _, left = left.partition(u)
-            worths.append((_below_large(head), LARGE_UNITS[u]))
-    if left or not worths:
-        worths.append((_below_large(left), 1))
-    if any(w is None for w, _ in worths):
-        return first_integer(t)
-    return int(sign * sum(w * u for w, u in worths))
-
-
 def as_list(text: str) -> list[str]:
     """Elements of a JSON array, or the parts between commas, slashes, middle dots, "및" and "그리고"."""
     try:
@@ -101,14 +47,14 @@ def as_list(text: str) -> list[str]:
 
 
 def normalize_answer(text: str | None, kind: str | None, aliases: Mapping[str, str] | None = None) -> str:
-    """One comparable string for an answer; ``kind``: krw, integer, integer_list, string_list or any other for text."""
+    """One comparable string for an answer; ``kind``: integer, integer_list, string_list or any other for text."""
     if text is None or squashed(text) in NONE_SURFACES:
         return NONE
     known = {squashed(k): v for k, v in (aliases or {}).items()}
     canonical = lambda t: squashed(known.get(squashed(t), t))
     packed = lambda xs: json.dumps(sorted(xs), ensure_ascii=False, separators=(",", ":"))
-    if kind in ("krw", "integer"):
-        n = parse_won(text) if kind == "krw" else first_integer(text)
+    if kind == "integer":
+        n = first_integer(text)
         return NONE if n is None else str(n)
     if kind == "integer_list":
         return packed(n for n in map(first_integer, as_list(text)) if n is not None)
@@ -127,20 +73,20 @@ def _typed(f: Callable, kind: DataType) -> Callable:
 
 
 _nullable = lambda f: lambda t: None if t is None else f(t)
-won = _typed(parse_won, LongType())
+compatible = _typed(_nullable(lambda t: unicodedata.normalize("NFKC", t)), StringType())
 normal_text = _typed(_nullable(squashed), StringType())
 integer_of = _typed(_nullable(first_integer), LongType())
 list_of = _typed(_nullable(as_list), ArrayType(StringType()))
 
 
 def normalized_answer(answer: Column, kind: Column, aliases: Mapping[str, str] | None = None) -> Column:
-    """``normalize_answer`` of two columns; the aliases are a small stated table."""
+    """``normalize_answer`` of two columns, and amounts for the kind krw; the aliases are a small stated table."""
 
     @pandas_udf(StringType())
     def run(a: pd.Series, k: pd.Series) -> pd.Series:
         return pd.Series([normalize_answer(x, y, aliases) for x, y in zip(a, k)])
 
-    return run(answer, kind)
+    return F.when(kind == "krw", F.coalesce(won(answer).cast("string"), F.lit(NONE))).otherwise(run(answer, kind))
 
 
 def choice_key(value: Column, aliases: Mapping[str, str]) -> Column:
@@ -151,37 +97,90 @@ def choice_key(value: Column, aliases: Mapping[str, str]) -> Column:
     return key
 
 
-# -- numbers that a text states ------------------------------------------------
+# -- numerals ------------------------------------------------------------------
 
-#: Units behind a number in digits; words before a magnitude that make it vague.
-NUMBER_UNITS = {"천만": 10_000_000, "백만": 1_000_000, "십만": 100_000, "억": 100_000_000, "만": 10_000, "천": 1_000, "백": 100}
+#: Units behind a number in digits, as powers of ten; words before a magnitude that make it vague.
+NUMBER_UNITS = {"천만": 7, "백만": 6, "십만": 5, "억": 8, "만": 4, "천": 3, "백": 2}
 VAGUE = ("몇", "수", "여러")
-_STATED = re.compile(rf"(?<![0-9A-Za-z_])(\d[\d,]*(?:\.\d+)?)\s*({'|'.join(NUMBER_UNITS)})?")
-_SPELT_DIGITS = "일이삼사오육칠팔구"
-_SPELT = re.compile(rf"(?<![0-9가-힣])([{_SPELT_DIGITS}십백천]{{1,8}})\s*(억|만)\s*(?:([{_SPELT_DIGITS}십백천]{{1,8}})\s*)?원")
+_ATOM = rf"\d+(?:\.\d+)?|[{''.join(DIGITS)}{''.join(SMALL_UNITS)}]"
+_SMALL = f"[{''.join(SMALL_UNITS)}]"
+
 
+def numeral(text: Column) -> Column:
+    """A numeral below 만, in digits or Hangul or both, as a double: null if it is none.
 
-def spelt_integer(text: str) -> int | None:
-    """A numeral below 10,000 in Hangul; of digits in a row the last counts. Null for nothing."""
-    total = sum((DIGITS[c] if c else 1) * SMALL_UNITS[u] for c, u in re.findall(rf"([{_SPELT_DIGITS}])?({_UNIT})", text))
-    tail = re.search(rf"([{_SPELT_DIGITS}])$", text)
-    return (total + (DIGITS[tail[1]] if tail else 0)) or None
+    One token after the other changes (sum, number that waits for a unit): a
+    number waits, a unit takes what waits, or one. Without units a row of Hangul
+    digits is a number in digits.
+    """
+    names, units = "".join(DIGITS), F.create_map(*[F.lit(x) for kv in SMALL_UNITS.items() for x in kv])
+    plain = F.translate(text, names, "".join(map(str, DIGITS.values())))
+
+    def step(acc: Column, token: Column) -> Column:
+        unit = F.try_element_at(units, token)
+        waits = F.translate(token, names, "".join(map(str, DIGITS.values()))).try_cast("double")
+        return F.struct(F.when(unit.isNull(), acc["sum"]).otherwise(acc["sum"] + F.coalesce(acc["waits"], F.lit(1.0)) * unit).alias("sum"), F.when(unit.isNull(), waits).alias("waits"))
 
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("waits"))
+    summed = F.aggregate(F.regexp_extract_all(text, F.lit(f"({_ATOM})")), start, step, lambda acc: acc["sum"] + F.coalesce(acc["waits"], F.lit(0.0)))
+    return F.when(text.rlike(_SMALL), F.when(text.rlike(f"^(?:{_ATOM})+$"), summed)).when(text.rlike(rf"^(?:\d+(?:\.\d+)?|[{names}]+)$"), plain.try_cast("double"))
 
-def stated_numbers(text: str) -> list[str]:
-    """All numbers of a text, exact, as plain decimals: those in digits with their unit, then amounts in Hangul that are not vague."""
-    shown = lambda d: format(d.normalize(), "f")
-    out = [shown(Decimal(n.replace(",", "")) * NUMBER_UNITS.get(u, 1)) for n, u in _STATED.findall(text)]
-    for m in _SPELT.finditer(text):
-        if text[: m.start()].rstrip().endswith(VAGUE):
-            continue
-        head, tail = spelt_integer(m[1]), spelt_integer(m[3]) if m[3] else 0
-        if head is not None and tail is not None:
-            out.append(shown(Decimal(head * LARGE_UNITS[m[2]] + tail)))
-    return out
 
+def won(text: Column) -> Column:
+    """An amount in won as a long, or null.
 
-numbers_in = _typed(_nullable(stated_numbers), ArrayType(StringType()))
+    Commas, spaces and 원 are left out, "약" or "대략" in front and "정도" or "쯤"
+    behind too. What stands before 억, between it and 만, and behind, is a numeral
+    each, nothing before a unit being one; what cannot be read so falls back to
+    its first integer. Null and surfaces of "nothing" give null, and so does what
+    64 bits do not hold.
+    """
+    t = F.regexp_replace(F.lower(compatible(text)), "[, 원]", "")
+    t = F.regexp_replace(F.regexp_replace(t, "^(?:약|대략)", ""), "(?:정도|쯤)$", "")
+    part = lambda k: F.regexp_extract(t, r"^(-?)(?:([^억]*)(억))?(?:([^만]*)(만))?(.*)$", k)
+    head = lambda k: F.when(part(k + 1) == "", F.lit(0.0)).when(part(k) == "", F.lit(1.0)).otherwise(numeral(part(k)))
+    tail = F.when((part(6) == "") & (F.concat(part(3), part(5)) != ""), F.lit(0.0)).otherwise(numeral(part(6)))
+    worth = head(2) * LARGE_UNITS["억"] + head(4) * LARGE_UNITS["만"] + tail
+    worth = F.when(part(1) == "-", -worth).otherwise(worth)
+    first = F.regexp_extract(t, r"^-?(.*)$", 1)
+    read = F.coalesce(F.when(F.abs(worth) < 9.2e18, worth).cast("long"), F.regexp_extract(F.when(t.rlike(r"^-?\d+(?:\.\d+)?$"), t).otherwise(first), r"-?\d+", 0).try_cast("long"))
+    nothing = F.regexp_replace(t, r"\s", "").isin(*NONE_SURFACES)
+    return F.when(~nothing, read)
+
+
+def _shifted(number: Column, places: Column) -> Column:
+    """A decimal in digits times ten to the power of ``places``, exact whatever its length, without needless zeros."""
+    whole, rest = F.substring_index(number, ".", 1), F.when(number.contains("."), F.substring_index(number, ".", -1)).otherwise("")
+    rest = F.rpad(rest, F.greatest(F.length(rest), places), "0")
+    up = F.regexp_replace(F.concat(whole, F.substring(rest, F.lit(1), places)), r"^0+(?=\d)", "")
+    down = F.regexp_replace(F.substring(rest, places + 1, F.length(rest)), "0+$", "")
+    return F.when(down == "", up).otherwise(F.concat_ws(".", up, down))
+
+
+def numbers_in(text: Column) -> Column:
+    """All numbers of a text, exact, as plain decimals: those in digits with their unit, then amounts of won in Hangul that are not vague."""
+    digits = rf"(?<![0-9A-Za-z_])(\d[\d,]*(?:\.\d+)?)\s*({'|'.join(NUMBER_UNITS)})?"
+    powers = F.create_map(*[F.lit(x) for kv in NUMBER_UNITS.items() for x in kv])
+    found = lambda pattern, k: F.regexp_extract_all(text, F.lit(pattern), F.lit(k))
+    plain = F.zip_with(found(digits, 1), found(digits, 2), lambda n, u: _shifted(F.replace(n, F.lit(","), F.lit("")), F.coalesce(F.try_element_at(powers, u), F.lit(0))))
+    spelt = f"[{''.join(d for d, n in DIGITS.items() if n)}{''.join(SMALL_UNITS)}]{{1,8}}"
+    amount = rf"({'|'.join(VAGUE)})?\s*(?<![0-9가-힣])({spelt})\s*(억|만)\s*(?:({spelt})\s*)?원"
+    large = F.create_map(*[F.lit(x) for kv in LARGE_UNITS.items() for x in kv])
+    value = lambda x: _last_digits(x["head"]) * F.element_at(large, x["unit"]) + F.when(x["tail"] == "", F.lit(0.0)).otherwise(_last_digits(x["tail"]))
+    amounts = F.arrays_zip(found(amount, 1).alias("vague"), found(amount, 2).alias("head"), found(amount, 3).alias("unit"), found(amount, 4).alias("tail"))
+    spelt_out = F.transform(F.filter(amounts, lambda x: x["vague"] == ""), lambda x: value(x).cast("long").cast("string"))
+    return F.concat(plain, spelt_out)
+
+
+def _last_digits(text: Column) -> Column:
+    """``numeral`` of Hangul where of digits in a row only the last counts."""
+    return numeral(F.regexp_replace(text, f"[{''.join(DIGITS)}]+([{''.join(DIGITS)}])", "$1"))
+
+
+def grounded_numbers(text: Column, sources: Column) -> Column:
+    """Numbers that both ``text`` and one of the texts in the array ``sources`` state, each once, in order."""
+    none = F.expr("cast(array() as array<string>)")
+    return F.array_intersect(F.coalesce(numbers_in(text), none), F.coalesce(numbers_in(F.array_join(sources, "\n")), none))
 
 
 def ungrounded_numbers(text: Column, sources: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import IntegerType, StringType
 
-from tidemark.functions.answers import parse_won, won  # noqa: F401
+from tidemark.functions.answers import won  # noqa: F401
 
 
 #: What counts as a character of normalised text, and as a token.
