@@ -10,6 +10,7 @@ from tidemark.functions.text import hash_pick
 from tidemark.operators._stage import bounded
 from tidemark.operators.audit import assert_none
 from tidemark.operators.joins import JoinError
+from tidemark.operators.windows import numbered_whole
 
 
 def occurred_anchors(links: DataFrame, visible: DataFrame, by: Sequence[str], instance: str, session: str, no: str) -> DataFrame:
@@ -55,7 +56,7 @@ def paired_differences(a: DataFrame, b: DataFrame, keys: Sequence[str], value: s
 def product_plans(variants: DataFrame, tasks: DataFrame, order: Sequence[str]) -> DataFrame:
     """Every variant with every task, numbered in order; both are registries, the smaller side of a checked size."""
     out = variants.join(bounded(tasks, 10_000))
-    return out.withColumn("ordinal", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*order)))
+    return numbered_whole(out, order, "ordinal").withColumn("ordinal", (F.col("ordinal") + 1).cast("int"))
 
 
 def covered(selectors: DataFrame, actions: DataFrame, keys: Sequence[str], holder: str, seed: str, most: int) -> tuple[DataFrame, DataFrame]:
@@ -65,6 +66,25 @@ def covered(selectors: DataFrame, actions: DataFrame, keys: Sequence[str], holde
     return hits.withColumn("place", r).filter(F.col("place") <= most), selectors.join(actions.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def selected_holders(selectors: DataFrame, actions: DataFrame, holder: str, seed: str, most: int) -> DataFrame:
+    """Up to ``most`` holders of each selector, in seeded order, and a row without holder for a selector that nobody matches: selector, place, holder.
+
+    ``selectors``: selector, label and path (null: not stated; one that states
+    nothing matches nobody). ``actions``: holder, label, paths (array). What a
+    selector states makes three joins on equal keys, so no action meets a
+    selector that it does not match.
+    """
+    by_label = actions.select(holder, "label").distinct()
+    by_path = actions.select(holder, "label", F.explode(F.array_distinct("paths")).alias("path"))
+    kept = ["selector", holder]
+    hits = selectors.filter("label is not null and path is null").join(by_label, "label").select(kept)
+    hits = hits.unionByName(selectors.filter("label is null and path is not null").drop("label").join(by_path.select(holder, "path").distinct(), "path").select(kept))
+    hits = hits.unionByName(selectors.filter("label is not null and path is not null").join(by_path.distinct(), ["label", "path"]).select(kept))
+    r = F.row_number().over(W.partitionBy("selector").orderBy(hash_pick(seed, F.col(holder)), holder))
+    took = hits.withColumn("place", r).filter(F.col("place") <= most)
+    return selectors.select("selector").join(took, "selector", "left").select("selector", "place", holder)
+
+
 def patched(rows: DataFrame, patch: DataFrame, keys: Sequence[str], swaps: Sequence[str]) -> DataFrame:
     """``rows`` with the columns ``swaps`` of their patch. A patch without a row, or one that differs in anything else, raises."""
     if set(patch.columns) - {*keys, *swaps} - set(rows.columns):

@@ -9,7 +9,7 @@ where no change was said.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -356,3 +356,13 @@ def dynamic_paths(cells: DataFrame, by: Sequence[str], path: str, checkpoint: st
     """Paths whose value differs from that of the checkpoint before anywhere; checkpoint 0 holds the initial state."""
     before = F.lag(F.struct(value)).over(W.partitionBy(*by, path).orderBy(checkpoint))
     return cells.withColumn("_b", before).filter(F.col("_b").isNotNull() & ~F.col(f"_b.{value}").eqNullSafe(F.col(value))).select(path).distinct()
+
+
+def call_cost(tokens_in: Column, tokens_cached: Column, tokens_out: Column, prices: Mapping[str, float]) -> Column:
+    """What a call costs: fresh and cached input and output tokens by their prices for a million (input, cached, output).
+
+    Cached tokens are part of the input and never more than it; nulls are none.
+    """
+    n = lambda c: F.greatest(F.coalesce(c, F.lit(0)), F.lit(0))
+    cached = F.least(n(tokens_cached), n(tokens_in))
+    return ((n(tokens_in) - cached) * prices["input"] + cached * prices["cached"] + n(tokens_out) * prices["output"]) / 1e6

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from tidemark.operators import branching, joins, masking, memory, replay, windows
+from tidemark.operators import branching, cases, joins, masking, memory, replay, scoring, windows
 from tidemark.plans._base import query, table
 from tidemark.plans.histories import _FOLD_SQL, _changes
 from tidemark.sources import files
@@ -216,3 +216,24 @@ def checkpoint_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, last = versions.cells_at(spark, f"{at}/state", 0), versions.cells_at(spark, f"{at}/state")
     both = first.withColumn("day", F.lit(15)).unionByName(last.withColumn("day", F.lit(31)))
     return both.select("day", "entity", "path", "seq", "value", "status", "valid_from", "valid_until", "source")
+
+
+@query("""select p_partkey, round(((p_size * 1000 - least(p_partkey % 60 * 1000, p_size * 1000)) * 2.5::double + least(p_partkey % 60 * 1000, p_size * 1000) * 0.25::double + floor(p_retailprice) * 10) / 1000000, 9) as cost from part""")
+def priced_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls by the price of fresh and cached input and of output."""
+    p = table(spark, sf_dir, "part")
+    cost = scoring.call_cost(F.col("p_size") * 1000, F.col("p_partkey") % 60 * 1000, F.floor("p_retailprice"), {"input": 2.5, "cached": 0.25, "output": 10.0})
+    return p.select("p_partkey", F.round(cost, 9).alias("cost"))
+
+
+@query(f"""with s as (select distinct event_type || ':' || {_K_SQL} % 40 || ':' || event_id % 3 as selector, case when event_id % 3 <> 1 then event_type end as label, case when event_id % 3 <> 0 then 'p' || {_K_SQL} % 40 end as path from events where event_id < 400),
+h as (select distinct selector, user_id from s join events e on (label is null or e.event_type = label) and (path is null or path in ('p' || {_K_SQL} % 37, 'q'))),
+r as (select *, row_number() over (partition by selector order by sha256('c:' || user_id::varchar), user_id) as place from h)
+select selector, place::int as place, user_id from (select selector from s) left join (select * from r where place <= 2) using (selector)""")
+def selected_holders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two users for each selector of a kind, a path, or both, and the selectors that nobody matches."""
+    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    third = F.col("event_id") % 3
+    selectors = e.filter("event_id < 400").select(F.concat_ws(":", "event_type", F.col("k") % 40, third).alias("selector"), F.when(third != 1, F.col("event_type")).alias("label"), F.when(third != 0, F.concat(F.lit("p"), (F.col("k") % 40).cast("string"))).alias("path")).distinct()
+    actions = e.select("user_id", F.col("event_type").alias("label"), F.array(F.concat(F.lit("p"), (F.col("k") % 37).cast("string")), F.lit("q")).alias("paths"))
+    return cases.selected_holders(selectors, actions, "user_id", "c", 2)
