@@ -98,7 +98,7 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = 5, seed: int = 4
     count = sum((F.greatest(n - k, F.lit(0)) for k in range(1, LONGEST)), n)
     rows = materialize(slim.select("doc_id", n.alias("n_words"), count.alias("n_features"), hashed(F.col("words")).alias("buckets"), F.monotonically_increasing_id().alias("row")), "buckets")
     wanted = target.select(terms(F.col("text")).alias("words")).select(hashed(F.col("words")).alias("buckets"))
-    gain = F.broadcast(materialize(gains(rows, wanted).coalesce(1), "gains"))
+    gain = F.broadcast(materialize(gains(rows, wanted), "gains"))  # ``BUCKETS`` rows
     keys = ["row", "doc_id", "n_words", "n_features"]
     summed = rows.select(*keys, F.explode_outer("buckets").alias("bucket")).join(gain, "bucket", "left").groupBy(*keys).agg(F.coalesce(F.sum("gain"), F.lit(0)).alias("weight"))
     scored = materialize(summed.withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed)), "scores")
