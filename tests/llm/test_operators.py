@@ -481,7 +481,7 @@ def test_blocks_with_floors(spark, monkeypatch):
 
 def duck():
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "conversations", "benchmark"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return con
 
