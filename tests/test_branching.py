@@ -88,3 +88,12 @@ def test_masks(runs):
     assert norm(got, "event", "level", *CELL[:-1]) == sorted(want)
     verdicts = branching.counterfactual_verdicts(got, "full", "all").collect()
     assert all(r["target_gone"] for r in verdicts) and any(r["n_own"] for r in verdicts)
+
+
+def test_all_paths(spark):
+    """Stated paths that an entity lacks are unknown; those without any state are there too; others are left out."""
+    ddl = "entity string, path string, op string, value string, month int, seq int, source string"
+    changes = spark.createDataFrame([("a", "p", "create", "x", 1, 1, "e"), ("a", "q", "create", "y", 1, 2, "e"), ("b", "r", "set_pending", "z", 1, 3, "e")], ddl)
+    states = memory.effective(memory.fold(changes))
+    got = memory.with_all_paths(states, ["p", "r"], spark.createDataFrame([("c",), ("a",)], "entity string"))
+    assert sorted((r["entity"], r["path"], r["value"], r["status"]) for r in got.collect()) == [("a", "p", "x", "current"), ("a", "r", None, "unknown"), ("b", "p", None, "unknown"), ("b", "r", None, "unknown"), ("c", "p", None, "unknown"), ("c", "r", None, "unknown")]

@@ -204,6 +204,17 @@ def effective(cells: DataFrame) -> DataFrame:
     return out.select("entity", "path", shown.alias("value"), e["status"].alias("status"), e["source"].alias("source"), "pending", "n_historical")
 
 
+def with_all_paths(states: DataFrame, paths: Sequence[str], entities: DataFrame | None = None) -> DataFrame:
+    """``states`` (of ``effective``) with a row for each stated path of each entity: a path that has none has status unknown and no value.
+
+    ``entities`` (entity) adds those without any state. Paths that are not stated
+    are left out.
+    """
+    every = states.select("entity") if entities is None else states.select("entity").union(entities.select("entity"))
+    grid = every.distinct().select("entity", F.explode(F.array(*map(F.lit, paths))).alias("path"))
+    return grid.join(states, ["entity", "path"], "left").withColumn("status", F.coalesce("status", F.lit("unknown")))
+
+
 def update_intervals(updates: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The fold of plain updates: each holds from its number until the next one's (null: still)."""
     w = W.partitionBy(*by).orderBy(*order)

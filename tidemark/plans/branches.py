@@ -237,3 +237,25 @@ def selected_holders(spark: SparkSession, sf_dir: str) -> DataFrame:
     selectors = e.filter("event_id < 400").select(F.concat_ws(":", "event_type", F.col("k") % 40, third).alias("selector"), F.when(third != 1, F.col("event_type")).alias("label"), F.when(third != 0, F.concat(F.lit("p"), (F.col("k") % 40).cast("string"))).alias("path")).distinct()
     actions = e.select("user_id", F.col("event_type").alias("label"), F.array(F.concat(F.lit("p"), (F.col("k") % 37).cast("string")), F.lit("q")).alias("paths"))
     return cases.selected_holders(selectors, actions, "user_id", "c", 2)
+
+
+@query(f"""{_FOLD_SQL}, g as (select entity, path, coalesce(max_by(c, seq) filter (where c.status not in ('pending', 'cancelled', 'historical')), max_by(c, seq) filter (where c.status not in ('pending', 'cancelled'))) as c from cell group by 1, 2),
+every as (select distinct user_id::varchar as entity from events)
+select entity, path, case when c.status not in ('not_applicable', 'unknown') then c.value end as value, coalesce(c.status, 'unknown') as status from (select * from every, (select unnest(['p0', 'p2', 'p4', 'p8', 'p9']) as path)) left join g using (entity, path)""")
+def all_paths_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five stated paths of every user, those without a value as unknown."""
+    changes = _changes(spark, sf_dir)
+    states = memory.effective(memory.fold(changes))
+    return memory.with_all_paths(states, ["p0", "p2", "p4", "p8", "p9"], changes).select("entity", "path", "value", "status")
+
+
+_SHAM = "select user_id, case when event_id % 50 = 0 then 'changed' else event_type end as event_type, ts::date as d from events where event_id % 70 <> 0"
+
+
+@query(f"""with b as (select user_id, event_type, ts::date as d from events), a as ({_SHAM})
+select *, 'before' as side from (select * from b except all select * from a) union all select *, 'after' from (select * from a except all select * from b)""")
+def changed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a sham must not do: rows that only one of two tables has, as often as it has more of them."""
+    e = table(spark, sf_dir, "events").withColumn("d", F.to_date("ts"))
+    after = e.filter("event_id % 70 <> 0").withColumn("event_type", F.when(F.col("event_id") % 50 == 0, "changed").otherwise(F.col("event_type")))
+    return masking.changed_rows(e.select("user_id", "event_type", "d"), after.select("user_id", "event_type", "d"))
