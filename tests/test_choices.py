@@ -9,34 +9,26 @@ from tidemark.operators import cases, masking, memory, replay
 
 
 def plain_quota(rows, kinds, targets, total, required):
-    chosen, have, numbers = [], [set() for _ in kinds], set()
-
-    def take(may, reason):
-        may = [r for r in may if r["key"] not in {c["key"] for c, _ in chosen}]
-        if not may or len(chosen) >= total:
-            return False
-        row = max(may, key=lambda r: (sum(r[k] not in h for k, h in zip(kinds, have)), not any(abs(r["number"] - n) == 1 for n in numbers), r["key"]))
-        chosen.append((row, reason))
-        numbers.add(row["number"])
-        for k, h in zip(kinds, have):
-            h.add(row[k])
-        return True
-
-    for name, fits in required.items():
-        take([r for r in rows if fits(r)], name)
-    for s, part in targets.items():
-        while sum(c["stratum"] == s for c, _ in chosen) < round(part * total / sum(targets.values())) and take([r for r in rows if r["stratum"] == s], f"stratum:{s}"):
-            pass
-    while take(rows, "rest"):
-        pass
-    return [(r["key"], reason, k + 1) for k, (r, reason) in enumerate(chosen)]
-
-
-@pytest.mark.parametrize("total", [1, 9, 40, 500])
+    """The same over all rows: a queue of conditions, each asked for its best row until it is content."""
+    parts, out = sum(targets.values()), []
+    queue = [(name, f, None) for name, f in required.items()]
+    queue += [(f"stratum:{s}", lambda r, s=s: r["stratum"] == s, round(n * total / parts)) for s, n in targets.items()] + [("rest", lambda r: True, total)]
+    for reason, fits, quota in queue:
+        content = False
+        while not content and len(out) < total and (quota is None or sum(fits(r) for r, _ in out) < quota):
+            took = [r for r, _ in out]
+            ranked = sorted((sum(all(r[k] != t[k] for t in took) for k in kinds), all(abs(r["number"] - t["number"]) != 1 for t in took), r["key"]) for r in rows if fits(r) and r not in took)
+            content = quota is None or not ranked
+            if ranked:
+                out.append((next(r for r in rows if r["key"] == ranked[-1][2]), reason))
+    return [(r["key"], reason, k) for k, (r, reason) in enumerate(out, 1)]
+
+
+@pytest.mark.parametrize("total", [1, 9, 40, 200])
 def test_diverse_quota(spark, total):
     """The same rows in the same order as the greedy over all rows: required ones first, quotas met, what is missing made up."""
     rnd = random.Random(total)
-    rows = [{"key": k, "number": k // 2, "stratum": rnd.choice(["a", "a", "b", "c"]), "u": rnd.choice([None, "1", "2"]), "v": rnd.choice(["x", "y", "z", "w"]), "q": rnd.random() < 0.02} for k in range(400)]
+    rows = [{"key": k, "number": k // 2, "stratum": rnd.choice(["a", "a", "b", "c"]), "u": rnd.choice([None, "1", "2"]), "v": rnd.choice(["x", "y", "z", "w"]), "q": rnd.random() < 0.02} for k in range(150)]
     df = spark.createDataFrame([tuple(r.values()) for r in rows], "key long, number long, stratum string, u string, v string, q boolean").repartition(5)
     targets = {"c": 3, "a": 1, "none": 2, "b": 2}
     got = cases.diverse_quota(df, "key", "number", "stratum", ["u", "v"], targets, total, {"seldom": F.col("q"), "never": F.col("v") == "?"})

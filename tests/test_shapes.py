@@ -12,16 +12,14 @@ from tidemark.sources import files
 
 
 def plain_slots(rows, most):
-    out, before = [], 0
-    for i, (wish, earliest) in enumerate(rows):
-        floor, cap = max(earliest or 1, wish), most - (len(rows) - 1 - i)
-        day = max(floor, before + 1)
-        tied = False
-        if day > cap:
-            day = min(max(floor, before), most)
-            tied = day == before
-        out.append((day, day != wish, tied))
-        before = day
+    """By search: the first slot that is free, late enough, and leaves one for each row behind; else the floor or the slot before."""
+    last, out = 0, []
+    for (wish, earliest), latest in zip(rows, range(most - len(rows) + 1, most + 1)):
+        least = max(wish, earliest or 1)
+        free = [d for d in range(last + 1, latest + 1) if d >= least]
+        slot = free[0] if free else min(most, max(least, last))
+        out.append((slot, slot != wish, not free and slot == last))
+        last = slot
     return out
 
 

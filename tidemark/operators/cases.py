@@ -199,31 +199,23 @@ def diverse_quota(df: DataFrame, key: str, number: str, stratum: str, kinds: Seq
 
 
 def _greedy(rows: list, n_kinds: int, flags: list[str], names: list[str], targets: Mapping[str, int], total: int) -> tuple[list, list[str]]:
-    free, chosen, reasons = {r["key"]: r for r in rows}, [], []
-    have: list[set] = [set() for _ in range(n_kinds)]
-    numbers: set[int] = set()
-
-    def take(fits, reason: str) -> bool:
-        worth = lambda r: (sum(r[f"kind_{i}"] not in have[i] for i in range(n_kinds)), not {r["number"] - 1, r["number"] + 1} & numbers, r["key"])
-        if len(chosen) >= total or not (may := [r for r in free.values() if fits(r)]):
-            return False
-        row = max(may, key=worth)
-        del free[row["key"]]
-        chosen.append(row)
-        reasons.append(reason)
-        numbers.add(row["number"])
-        for i in range(n_kinds):
-            have[i].add(row[f"kind_{i}"])
-        return True
-
-    for flag, name in zip(flags, names):
-        take(lambda r: r[flag], name)  # noqa: B023
-    all_parts = sum(targets.values())
-    for name, part in targets.items():
-        while sum(r["stratum"] == name for r in chosen) < round(part * total / all_parts) and take(lambda r: r["stratum"] == name, f"stratum:{name}"):  # noqa: B023
-            pass
-    while take(lambda r: True, "rest"):
-        pass
+    traits = {r["key"]: {(i, r[f"kind_{i}"]) for i in range(n_kinds)} for r in rows}
+    shares = {s: round(part * total / sum(targets.values())) for s, part in targets.items()}
+    # (reason, which rows, how many, of them): a share counts what its stratum has got already
+    wishes = [(name, lambda r, f=flag: r[f], 1, False) for flag, name in zip(flags, names)]
+    wishes += [(f"stratum:{s}", lambda r, s=s: r["stratum"] == s, n, True) for s, n in shares.items()]
+    wishes.append(("rest", lambda r: True, total, True))
+    free, chosen, reasons, seen, near = {r["key"]: r for r in rows}, [], [], set(), set()
+    for reason, fits, n, counted in wishes:
+        for _ in range(n - counted * sum(map(fits, chosen))):
+            pool = [r for r in free.values() if fits(r)]
+            if not pool or len(chosen) == total:
+                break
+            row = free.pop(max(pool, key=lambda r: (len(traits[r["key"]] - seen), r["number"] not in near, r["key"]))["key"])
+            chosen.append(row)
+            reasons.append(reason)
+            seen |= traits[row["key"]]
+            near |= {row["number"] - 1, row["number"] + 1}
     return chosen, reasons
 
 
