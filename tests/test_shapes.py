@@ -45,6 +45,19 @@ def test_slots(spark):
         slots(spark, {"x": [(1, None)] * 40}, 28)
 
 
+def test_crowded_slots(spark):
+    """More rows than slots share them in order; a row whose stretch holds no slot has no wish and is not said to be shifted."""
+    n, most = 30, 12
+    df = spark.range(n).select(F.lit("k").alias("k"), F.col("id").cast("int").alias("i"), F.lit(None).cast("int").alias("earliest"))
+    df = df.withColumn("wish", windows.spread_slot(F.col("i"), F.lit(n), most, F.lit(5)))
+    got = sorted(windows.increasing_slots(df, ["k"], ["i"], "wish", most, "earliest", crowded=True).collect(), key=lambda r: r["i"])
+    wishes = [(i + 1) * most // n if (i + 1) * most // n > i * most // n else None for i in range(n)]
+    want = plain_slots([(w or 1, None) for w in wishes], most)
+    assert [r["wish"] for r in got] == wishes
+    assert [(r["slot"], r["tied"]) for r in got] == [(s, t) for s, _, t in want]
+    assert [r["shifted"] for r in got] == [None if w is None else s != w for w, (s, *_) in zip(wishes, want)]
+
+
 def test_flattened_to_any_depth(spark):
     deep = "leaf"
     for k in range(50):

@@ -105,7 +105,7 @@ def increasing_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = F.conv(F.substring(T.hash_pick("d", F.col("event_id")), 1, 8), 16, 10).cast("long")
     e = e.withColumns({"h": h, "n": F.row_number().over(w.orderBy("ts", "event_id")) - 1, "c": F.count(F.lit(1)).over(w)})
     e = e.withColumns({"wish": windows.spread_slot(F.col("n"), F.col("c"), 12, F.col("h")), "earliest": F.when(F.col("h") % 5 == 0, 4 + F.col("h") % 9)})
-    out = windows.increasing_slots(e, ["user_id", "m"], ["ts", "event_id"], "wish", 12, "earliest")
+    out = windows.increasing_slots(e, ["user_id", "m"], ["ts", "event_id"], "wish", 12, "earliest", crowded=True)
     return out.select("event_id", F.col("slot").cast("long").alias("slot"), "shifted", "tied")
 
 
