@@ -65,6 +65,18 @@ def test_resumed_fold(runs):
         assert norm(got, *CELL) == norm(memory.fold(one), *CELL)
 
 
+def test_rows_of_a_key_are_dealt_for_themselves(spark):
+    """The exchange of a fold's rows stays in the plan, though both sides of its union are dealt by the key."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        one = spark.range(100).selectExpr("'e' || id % 9 as entity", "'p' as path", "'create' as op", "'v' as value", "cast(id % 30 as int) as month", "id as seq", "'s' as source")
+        plan = branching.resumed_fold(memory.fold(one.filter("month <= 15")), one.filter("month > 15"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    fold = plan[plan.index("MapInArrow fold") :]
+    assert fold.index("Exchange hashpartitioning(xxhash64") < fold.index("Union")
+
+
 def test_masks(runs):
     """Each level is the fold without the masked rows of the event, up to its last session; other paths are left out."""
     one = runs.filter("run = 'r1' and entity = 'a'").drop("run")

@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from tidemark.operators._stage import dealt
+
 ALIGNED = "item string, gold_ord int, pred_ord int, distance int"
 CHAINS = "entity string, event string, chain int, n int, first_checkpoint int, last_checkpoint int"
 
@@ -101,7 +103,7 @@ def align_ledgers(entries: DataFrame) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
-    rows = entries.select("item", "side", "ord", "event", "anchor", "evidence").repartition("item").sortWithinPartitions("item", "side", "ord")
+    rows = dealt(entries.select("item", "side", "ord", "event", "anchor", "evidence"), ["item"], ["side", "ord"])
     return rows.mapInArrow(run, ALIGNED)
 
 
@@ -167,4 +169,4 @@ def hallucination_chains(unmatched: DataFrame, grid: DataFrame, most: int = 3) -
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
-    return rows.repartition("entity", "event").sortWithinPartitions("entity", "event", "k", "ord").mapInArrow(run, CHAINS)
+    return dealt(rows, ["entity", "event"], ["k", "ord"]).mapInArrow(run, CHAINS)

@@ -16,6 +16,7 @@ from collections.abc import Iterator, Mapping, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tidemark.operators._stage import dealt
 from tidemark.operators.memory import CELL_SCHEMA, CELLS, Cell, apply_change
 
 _CHANGE = ["op", "value", "month", "source"]
@@ -85,8 +86,7 @@ def forked_fold(changes: DataFrame, run: str = "run", order: Sequence[Column | s
                     out += [(na, nb, entity, path, i, *c) for i, c in enumerate(cells)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * len(_NODE_CELLS), _NODE_CELLS.types)], schema=_NODE_CELLS)
 
-    dealt = nodes.select(*flat).repartition("entity", "path").sortWithinPartitions("entity", "path", "depth")
-    cells = dealt.mapInArrow(fold, f"na long, nb long, {CELLS}")
+    cells = dealt(nodes.select(*flat), ["entity", "path"], ["depth"]).mapInArrow(fold, f"na long, nb long, {CELLS}")
     return rows.filter("last").select(run, *key).join(cells, key).select(run, *[f.name for f in CELL_SCHEMA])
 
 
@@ -125,7 +125,7 @@ def resumed_fold(snapshot: DataFrame, changes: DataFrame, order: Sequence[str] =
             out = []
         yield table([(*group, i, *c) for i, c in enumerate(cells)] if group else [])
 
-    folded = rows.repartition("entity", "path").sortWithinPartitions("entity", "path", "side", "at").mapInArrow(fold, CELLS)
+    folded = dealt(rows, ["entity", "path"], ["side", "at"]).mapInArrow(fold, CELLS)
     return rest.unionByName(folded.select(names))
 
 

@@ -9,6 +9,8 @@ from collections.abc import Iterator, Mapping, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.operators._stage import dealt
+
 _TERMINAL = ("occurred_evidence", "cancellation_evidence", "consequence_session", "stale_recall_session")
 #: Nested mask levels and the types of session that each one replaces.
 LEVELS = {"full": (), "mask_terminal": _TERMINAL, "mask_upcoming": (*_TERMINAL, "upcoming_evidence"), "mask_all": (*_TERMINAL, "upcoming_evidence", "weak_signal_evidence")}
@@ -102,7 +104,7 @@ def assign_donors(slots: DataFrame, donors: DataFrame, by: Sequence[str], order:
                 at = pa.array(where)
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(n)), batch.column(n + 2).take(at), pa.array(picked, batch.schema.types[n + 2])], names=[*by, "slot", "donor"])
 
-    return rows.repartition(*by).sortWithinPartitions(*by, "side", "at").mapInArrow(run, schema)
+    return dealt(rows, by, ["side", "at"]).mapInArrow(run, schema)
 
 
 def unseen_donors(cases: DataFrame, donors: DataFrame, by: Sequence[str], until: str, place: str) -> DataFrame:

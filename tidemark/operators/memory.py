@@ -14,6 +14,8 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tidemark.operators._stage import dealt
+
 #: Operations that each lifecycle status allows.
 ALLOWED = {
     "weak_signal": ("set_pending", "needs_verification", "no_update"),
@@ -125,7 +127,7 @@ def _ordered(changes: DataFrame, order: Sequence[str]) -> DataFrame:
     asked = F.col("old_value") if "old_value" in changes.columns else F.lit(None).cast("string")
     cols = ["entity", "path", "op", "value", F.col("month").cast("int").alias("month"), "source", evidence.alias("evidence"), asked.alias("old_value")]
     # a path is folded by one task: its changes depend on each other
-    return changes.repartition("entity", "path").sortWithinPartitions("entity", "path", *order).select(*cols)
+    return dealt(changes, ["entity", "path"], order).select(*cols)
 
 
 def fold(changes: DataFrame, order: Sequence[str] = ("month", "seq"), skip_noops: bool = False) -> DataFrame:
