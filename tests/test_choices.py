@@ -57,4 +57,7 @@ def test_replay_finds_what_is_planted(spark):
     assert run(good) == [orphan]
     bad = [("t", 2, "p", "x", "current"), ("t", 3, "p", "a", "stale"), ("t", 9, "p", "b", "current"), ("t", 9, "r", "r", "current"), ("t", 9, "s", "s", "current")]
     assert run(bad) == sorted([("t", "p", 2, "value_differs"), ("t", "p", 3, "status_differs"), ("t", "r", 3, "missing_in_snapshot"), ("t", "s", 9, "unknown_path"), orphan])
+    taken = spark.createDataFrame([("t", 2), ("t", 3), ("t", 9)], "entity string, month int")
+    lost = replay.snapshot_differences(changes, spark.createDataFrame(good[1:], "entity string, month int, path string, value string, status string"), taken=taken)
+    assert [tuple(r) for r in lost.collect()] == [("t", "p", 2, "missing_in_snapshot")]  # a snapshot without any row left
     assert replay.effective_cell([]) is None and replay.effective_cell([memory.Cell("v", "pending", 0.5, 1, None, None, None)]) is None

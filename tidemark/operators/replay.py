@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tidemark.operators._stage import dealt
 from tidemark.operators.memory import NOT_COMMITTED, Cell, apply_change
 
 FOUND = "entity string, path string, month int, code string"
@@ -20,17 +21,19 @@ def effective_cell(cells: Sequence[Cell]) -> Cell | None:
     return usable[-1] if usable else None
 
 
-def snapshot_differences(changes: DataFrame, snapshots: DataFrame, order: Sequence[str] = ("month", "seq")) -> DataFrame:
+def snapshot_differences(changes: DataFrame, snapshots: DataFrame, order: Sequence[str] = ("month", "seq"), taken: DataFrame | None = None) -> DataFrame:
     """Where snapshots differ from the state at the end of their month: entity, path, month, code.
 
     ``snapshots``: entity, month, path, value, status. An entity has a snapshot
-    in each month of its rows, and it holds all paths that have a value that
-    counts. Codes: unknown_path (no such state), missing_in_snapshot,
+    in each month of its rows and in those that ``taken`` names (entity, month; a
+    snapshot that lost all of its rows is known from there only), and it holds all
+    paths that have a value that counts. Codes: unknown_path (no such state), missing_in_snapshot,
     status_differs, value_differs; one for each path and month. Changes and
     snapshots go by in one pass, merged by month, so no month is folded twice;
     an entity and path is one task's. Rows without entity or path are left out.
     """
-    months = snapshots.select("entity", F.col("month").cast("int").alias("month")).distinct()
+    months = snapshots.select("entity", F.col("month").cast("int").alias("month"))
+    months = (months if taken is None else months.union(taken.select("entity", F.col("month").cast("int")))).distinct()
     paths = changes.select("entity", "path").union(snapshots.select("entity", "path")).filter("path is not null").distinct()
     held = snapshots.select("entity", "path", F.col("month").cast("int").alias("month"), F.struct("value", "status").alias("held"))
     asked = months.join(paths, "entity").join(held, ["entity", "path", "month"], "left")
@@ -61,8 +64,8 @@ def snapshot_differences(changes: DataFrame, snapshots: DataFrame, order: Sequen
                     out.append((entity, path, month, code))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 4, _FOUND.types)], schema=_FOUND)
 
-    dealt = rows.filter("entity is not null and path is not null").repartition("entity", "path").sortWithinPartitions("entity", "path", "month", "side", "at")
-    return dealt.select("entity", "path", "month", "side", "change", "held").mapInArrow(merge, FOUND)
+    ordered = dealt(rows.filter("entity is not null and path is not null"), ["entity", "path"], ["month", "side", "at"])
+    return ordered.select("entity", "path", "month", "side", "change", "held").mapInArrow(merge, FOUND)
 
 
 def orphans(changes: DataFrame, instances: DataFrame, code: str) -> DataFrame:
@@ -72,6 +75,6 @@ def orphans(changes: DataFrame, instances: DataFrame, code: str) -> DataFrame:
     return lost.select("entity", "path", F.col("month").cast("int").alias("month"), F.lit(code).alias("code"))
 
 
-def replay_audit(changes: DataFrame, snapshots: DataFrame, instances: DataFrame, order: Sequence[str] = ("month", "seq")) -> DataFrame:
+def replay_audit(changes: DataFrame, snapshots: DataFrame, instances: DataFrame, order: Sequence[str] = ("month", "seq"), taken: DataFrame | None = None) -> DataFrame:
     """All that a replay finds: differences of snapshots, and orphan_update for changes of no instance."""
-    return snapshot_differences(changes, snapshots, order).unionByName(orphans(changes, instances, "orphan_update"))
+    return snapshot_differences(changes, snapshots, order, taken).unionByName(orphans(changes, instances, "orphan_update"))
