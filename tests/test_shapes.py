@@ -58,6 +58,27 @@ def test_crowded_slots(spark):
     assert [r["shifted"] for r in got] == [None if w is None else s != w for w, (s, *_) in zip(wishes, want)]
 
 
+def test_similar_sets_in_blocks(spark):
+    """Pairs within a block and between blocks, of frequent and rare items, are those of all pairs; no row is made for a pair below the limit."""
+    rnd = random.Random(4)
+    rows = {f"k{i}": sorted({rnd.choice("abcdef") for _ in range(rnd.randint(0, 4))} | {f"r{rnd.randint(0, 40)}" for _ in range(rnd.randint(0, 3))}) for i in range(120)}
+    first = {}
+    for k, s in sorted(rows.items()):
+        first.setdefault(tuple(s), k)
+    named = sorted((k, set(s)) for s, k in first.items() if s)
+    df = spark.createDataFrame(list(rows.items()), "k string, s array<string>")
+    for percent in (15, 60):
+        want = sorted((a, b, len(x & y), len(x), len(y)) for a, x in named for b, y in named if a < b and 100 * len(x & y) >= percent * len(x | y))
+        for block in (7, 4_096):
+            assert sorted(map(tuple, joins.similar_sets(df, "k", "s", percent, block).collect())) == want
+    assert joins.similar_sets(df.filter("false"), "k", "s", 15).count() == 0
+    # many equal sets and a word of all: the frequent items go by products
+    many = spark.range(400).selectExpr("id as k", "array('all', 'x' || id % 3, 'y' || id % 100) as s")
+    assert joins.similar_sets(many, "k", "s", 50).count() == sum(i % 3 == j % 3 or i % 100 == j % 100 for i in range(300) for j in range(i))
+    plan = joins.similar_sets(df, "k", "s", 60)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") + plan.count("BroadcastHashJoin") <= 1  # the sets are sent to their pairs, pairs are not joined
+
+
 def test_flattened_to_any_depth(spark):
     deep = "leaf"
     for k in range(50):
