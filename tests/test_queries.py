@@ -4,9 +4,10 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.operators import align, joins, memory
+from tidemark.operators import align, joins, memory, retrieval
 from tidemark.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -176,3 +177,52 @@ def test_failed_manifest(spark, tmp_path):
 
 def test_sequences():
     assert T.lcs_length("abcbdab", "bdcaba") == 4 and T.edit_distance("kitten", "sitting") == 3 and T.edit_distance((), "ab") == 2
+
+
+def test_cosines_by_blocks(spark):
+    """Pairs of blocks give what the expression gives, bit by bit: other lengths, nulls and holes have no cosine."""
+    rows = [(i, [float(i % 7), 0.1 * i, -1.5]) for i in range(25)] + [(30, None), (31, [1.0, None, 2.0]), (32, [1.0]), (33, []), (34, [0.0, 0.0, 0.0]), (35, [])]
+    e = spark.createDataFrame(rows, "id int, v array<double>")
+    q = e.filter("id % 5 = 0 or id > 29")
+    want = q.selectExpr("id as query_id", "v as q").crossJoin(e).select("query_id", "id", retrieval.cosine(F.col("q"), F.col("v")).alias("c"))
+    norm = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    for block in (4, 1_000):
+        got = retrieval.cosine_search(e, q, "id", "v", block)
+        assert norm(got) == norm(want) and got.columns == ["query_id", "id", "cosine"]
+    assert retrieval.cosine_search(e.filter("false"), q, "id", "v").count() == 0
+
+
+def test_bm25_of_documents(spark):
+    """Scores against the formula, with rows of one id, empty texts, an index in parts, and a cut that keeps the best."""
+    import math
+    import random
+
+    rnd = random.Random(5)
+    rows = [(i if i < 57 else 3, " ".join(rnd.choice("abcdefgh") * 2 for _ in range(rnd.randint(0, 9)))) for i in range(60)] + [(None, "aa bb"), (None, "aa cc"), (100, None)]
+    asked = [(1, "aa aa bb"), (2, "cc zz"), (3, ""), (4, "dd ee ff aa")]
+    docs, queries = spark.createDataFrame(rows, "d int, text string"), spark.createDataFrame(asked, "q int, text string")
+    tf, df = {}, {}
+    for d, text in rows:
+        words = (text or "").split()
+        for w in words:
+            tf[d, len(words), w] = tf.get((d, len(words), w), 0) + 1
+    for _, _, w in tf:
+        df[w] = df.get(w, 0) + 1
+    mean, want = sum(len((t or "").split()) for _, t in rows) / len(rows), {}
+    for q, text in asked:
+        for (d, n, w), k in tf.items():
+            if c := text.split().count(w):
+                want[q, d] = want.get((q, d), 0.0) + c * math.log(1 + (len(rows) - df[w] + 0.5) / (df[w] + 0.5)) * k * 2.5 / (k + 1.5 * (0.25 + 0.75 * n / mean))
+    for postings in (2, 500_000):
+        got = {(r["q"], r["d"]): r["score"] for r in retrieval.bm25(docs, queries, "d", "q", "text", postings=postings).collect()}
+        assert got == pytest.approx(want)
+    full = retrieval.ranked(retrieval.bm25(docs, queries, "d", "q", "text"), "q", "d", 3)
+    cut = retrieval.ranked(retrieval.bm25(docs, queries, "d", "q", "text", most=3), "q", "d", 3)
+    assert sorted(full.collect(), key=repr) == sorted(cut.collect(), key=repr)
+    # documents of equal scores: the smallest ids stay
+    same = spark.range(200).selectExpr("cast(199 - id as int) as d", "'aa' as text").coalesce(1)
+    best = retrieval.ranked(retrieval.bm25(same, queries, "d", "q", "text", most=2), "q", "d", 2)
+    assert sorted((r["q"], r["d"]) for r in best.collect()) == [(1, 0), (1, 1), (4, 0), (4, 1)]
+    # no scores are exchanged: one exchange at most for a side that adds up rows of one id
+    unique = docs.filter("d < 50 and d <> 3")
+    assert "Exchange" not in retrieval.bm25(unique, queries, "d", "q", "text")._jdf.queryExecution().executedPlan().toString()

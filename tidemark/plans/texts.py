@@ -93,7 +93,7 @@ s as (select item_id, doc_id, sum(qtf * ln(1 + (nd - df + 0.5) / (df + 0.5)) * t
 @query(f"with {_BM} select item_id, doc_id, rank::bigint as rank from (select *, row_number() over (partition by item_id order by round(score, 6) desc, doc_id) as rank from s) where rank <= 5")
 def bm25_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five documents with the best BM25 score for each benchmark passage."""
-    scores = retrieval.bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id", "text")
+    scores = retrieval.bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id", "text", most=5)
     return retrieval.ranked(scores, "item_id", "doc_id", 5).select("item_id", "doc_id", F.col("rank").cast("long").alias("rank"))
 
 
