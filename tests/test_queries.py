@@ -226,3 +226,17 @@ def test_bm25_of_documents(spark):
     # no scores are exchanged: one exchange at most for a side that adds up rows of one id
     unique = docs.filter("d < 50 and d <> 3")
     assert "Exchange" not in retrieval.bm25(unique, queries, "d", "q", "text")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_diverse_sample_bounds_first(spark):
+    """The rows taken are the first of each value, null values and small ones too; the cut comes before the windows over whole values."""
+    from tidemark.operators import cases
+
+    df = spark.range(400).selectExpr("id", "case when id % 7 > 0 then id % 3 end as a", "if(id = 5, 'rare', 'often') as b")
+    want = set()
+    for c in ("a", "b"):
+        r = df.selectExpr("id", c, f"row_number() over (partition by {c} order by sha2('d:{c}:' || id, 256), id) as r").filter("r <= 4")
+        want |= {x["id"] for x in r.collect()}
+    out = cases.diverse_sample(df, ["a", "b"], 4, "d", "id")
+    assert sorted(r["id"] for r in out.collect()) == sorted(want)
+    assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()

@@ -10,6 +10,7 @@ from tidemark.functions.text import hash_pick
 from tidemark.operators._stage import bounded
 from tidemark.operators.audit import assert_none
 from tidemark.operators.joins import JoinError
+from tidemark.operators.sets import top_per
 from tidemark.operators.windows import numbered_whole
 
 
@@ -163,7 +164,14 @@ def shuffled_options(correct: Column, wrong: Column, seed: str, key: Column) ->
 
 def diverse_sample(df: DataFrame, kinds: Sequence[str], n_each: int, seed: str, key: str) -> DataFrame:
     """Rows that cover each value of each kind ``n_each`` times, as far as there are any: a row is taken if it is among the first of one of its values in seeded order. For a quota see ``diverse_quota``."""
-    out = df
+    # the last row that each value takes bounds its rows, so most rows go before any of them is exchanged
+    rank = lambda c: F.struct(hash_pick(f"{seed}:{c}", F.col(key)).alias("h"), F.col(key).alias("k"))
+    near = df
+    for c in kinds:
+        last = top_per(df.select(F.struct(c).alias("value_"), rank(c).alias("last_")), ["value_"], ["last_"], n_each, "r_").filter(F.col("r_") == n_each).drop("r_")
+        near = near.join(bounded(last), F.struct(c).eqNullSafe(F.col("value_")), "left")
+        near = near.withColumn(f"_n_{c}", F.col("last_").isNull() | (rank(c) <= F.col("last_"))).drop("value_", "last_")
+    out = near.filter(" or ".join(f"`_n_{c}`" for c in kinds)).select(df.columns)
     for c in kinds:
         out = out.withColumn(f"_r_{c}", F.row_number().over(W.partitionBy(c).orderBy(hash_pick(f"{seed}:{c}", F.col(key)), key)))
     take = F.lit(False)
