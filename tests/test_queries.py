@@ -228,6 +228,25 @@ def test_bm25_of_documents(spark):
     assert "Exchange" not in retrieval.bm25(unique, queries, "d", "q", "text")._jdf.queryExecution().executedPlan().toString()
 
 
+def test_ranks_over_ranges(spark):
+    """Percentiles of few and of many ranges are those of sorted lists; keys may be null or have no value, and no task counts a key alone."""
+    import math
+
+    from tidemark.operators import aggregates
+
+    rnd = random.Random(6)
+    rows = [(k, rnd.choice([None, float(rnd.randint(0, 30))])) for k in ["a"] * 300 + ["b"] * 7 + [None] * 40] + [("empty", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(3)
+    percents = [0.0, 0.29, 0.5, 0.99, 1.0]
+    want = {}
+    for k in {k for k, _ in rows}:
+        v = sorted(x for j, x in rows if j == k and x is not None)
+        want[k] = [v[max(1, math.ceil(p * len(v))) - 1] if v else None for p in percents]
+    out = aggregates.nearest_rank(df, ["k"], "v", percents)
+    assert {r[0]: list(r[1:]) for r in out.collect()} == want
+    assert "percentile" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_diverse_sample_bounds_first(spark):
     """The rows taken are the first of each value, null values and small ones too; the cut comes before the windows over whole values."""
     from tidemark.operators import cases

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tidemark.operators._stage import free, staged
 from tidemark.operators.windows import numbered_whole
 
 
@@ -105,8 +106,27 @@ def by_dimensions(df: DataFrame, dims: Sequence[str], metric: Column) -> DataFra
 
 
 def nearest_rank(df: DataFrame, by: Sequence[str], value: str, percents: Sequence[float]) -> DataFrame:
-    """Nearest-rank percentiles: the value at place ceil(p * n) of the sorted values."""
-    return df.groupBy(*by).agg(*[F.expr(f"percentile_disc({p}) within group (order by {value})").alias(f"p{int(p * 100)}") for p in percents])
+    """Nearest-rank percentiles: the value at place ceil(p * n) of the sorted values; null for keys without values.
+
+    Values are counted, dealt by range, and placed behind the ranges before them,
+    so a key with most of the rows is spread over all tasks.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    v, n, part, start, total, end = (free(c, df) for c in ("value_", "n_", "part_", "start_", "total_", "end_"))
+    counts = df.groupBy(*by, F.col(value).alias(v)).agg(F.count(value).alias(n))  # a null value counts 0
+    counts = staged(counts.repartitionByRange(parts, *by, v).withColumn(part, F.spark_partition_id()))
+    sums = counts.groupBy(*by, part).agg(F.sum(n).alias(n))  # a row for each key and range
+    before = W.partitionBy(*by).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select(F.struct(*by, part).alias("range_"), F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start), F.sum(n).over(W.partitionBy(*by)).alias(total))
+    upto = W.partitionBy(*by, part).orderBy(v).rowsBetween(W.unboundedPreceding, 0)
+    placed = counts.withColumn(end, F.sum(n).over(upto)).join(sums, F.struct(*by, part).eqNullSafe(F.col("range_")))
+    placed = placed.withColumn(end, F.col(start) + F.col(end))
+
+    def at(p: float) -> Column:
+        place = F.greatest(F.col(total) * p, F.lit(0.5))
+        return F.max(F.when((F.col(n) > 0) & (F.col(end) >= place) & (F.col(end) - F.col(n) < place), F.col(v)))
+
+    return placed.groupBy(*by).agg(*[at(p).alias(f"p{int(p * 100)}") for p in percents])
 
 
 def pivot_ladder(df: DataFrame, row: str, column: str, value: str, columns: Sequence[str]) -> DataFrame:
