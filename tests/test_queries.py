@@ -259,3 +259,17 @@ def test_diverse_sample_bounds_first(spark):
     out = cases.diverse_sample(df, ["a", "b"], 4, "d", "id")
     assert sorted(r["id"] for r in out.collect()) == sorted(want)
     assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_holders_are_cut_before_selectors(spark):
+    """A key's first holders are found before the join: the partial cut shows in the plan, and the holders are those of all matches."""
+    from tidemark.operators import cases
+
+    actions = spark.range(300).selectExpr("id % 90 as h", "'l' || id % 2 as label", "array('p' || id % 5, 'q') as paths")
+    selectors = spark.createDataFrame([("a", "l0", None), ("b", None, "q"), ("c", "l1", "p3"), ("d", None, "none"), ("e", None, None)], "selector string, label string, path string")
+    hit = "(s.label is null or s.label = a.label) and (s.path is null or array_contains(a.paths, s.path)) and (s.label is not null or s.path is not null)"
+    every = selectors.alias("s").join(actions.alias("a"), F.expr(hit)).select("selector", "h").distinct()
+    want = every.selectExpr("selector", "row_number() over (partition by selector order by sha2('z:' || h, 256), h) as place", "h").filter("place <= 2")
+    out = cases.selected_holders(selectors, actions, "h", "z", 2)
+    assert {tuple(r) for r in out.collect()} == {tuple(r) for r in want.collect()} | {("d", None, None), ("e", None, None)}
+    assert out._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") >= 4

@@ -75,13 +75,15 @@ def selected_holders(selectors: DataFrame, actions: DataFrame, holder: str, seed
     selector states makes three joins on equal keys, so no action meets a
     selector that it does not match.
     """
-    by_label = actions.select(holder, "label").distinct()
+    pick = hash_pick(seed, F.col(holder))
     by_path = actions.select(holder, "label", F.explode(F.array_distinct("paths")).alias("path"))
+    # the order of holders is that of no selector, so only a key's first ones meet the selectors
+    first = lambda rows, on: top_per(rows.select(*on, holder).distinct(), on, [pick, holder], most, "r_").drop("r_")
     kept = ["selector", holder]
-    hits = selectors.filter("label is not null and path is null").join(by_label, "label").select(kept)
-    hits = hits.unionByName(selectors.filter("label is null and path is not null").drop("label").join(by_path.select(holder, "path").distinct(), "path").select(kept))
-    hits = hits.unionByName(selectors.filter("label is not null and path is not null").join(by_path.distinct(), ["label", "path"]).select(kept))
-    r = F.row_number().over(W.partitionBy("selector").orderBy(hash_pick(seed, F.col(holder)), holder))
+    hits = selectors.filter("label is not null and path is null").join(first(actions, ["label"]), "label").select(kept)
+    hits = hits.unionByName(selectors.filter("label is null and path is not null").drop("label").join(first(by_path, ["path"]), "path").select(kept))
+    hits = hits.unionByName(selectors.filter("label is not null and path is not null").join(first(by_path, ["label", "path"]), ["label", "path"]).select(kept))
+    r = F.row_number().over(W.partitionBy("selector").orderBy(pick, holder))
     took = hits.withColumn("place", r).filter(F.col("place") <= most)
     return selectors.select("selector").join(took, "selector", "left").select("selector", "place", holder)
 
