@@ -47,3 +47,14 @@ def test_lookup_of_large_ids_beside_null(spark, tmp_path):
     shards = sstable.write_shards(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "s"), public_tokenizers.path("word_bpe_49k.json"))
     wanted = spark.createDataFrame([(d,) for d, _ in rows if d != 2**53], "doc_id long")
     assert {r["doc_id"] for r in sstable.lookup(spark, str(tmp_path / "s"), shards, wanted).collect()} == {d for d, _ in rows if d != 2**53}
+
+
+def test_sstable_words_kept_over_chunks(monkeypatch):
+    # the kept words change places between two chunks of one call
+    file = public_tokenizers.path("word_bpe_49k.json")
+    texts = [" ".join(f"word{i % 7}{chr(97 + k % 26)}{k}" for k in range(i, i + 12)) for i in range(60)]
+    want = [*sstable.encode_texts(texts, file, "<u2")]
+    monkeypatch.setattr(sstable, "CACHE", 20)
+    monkeypatch.setattr(sstable, "CHUNK", 100)
+    monkeypatch.setattr(sstable, "_caches", {})
+    assert [*sstable.encode_texts(texts, file, "<u2")] == want

@@ -292,7 +292,8 @@ def encode_texts(texts: Iterable[str], file: str, kind: str) -> Iterator[bytes]:
         words, last = _words(held)
         numbered = words.dictionary_encode()
         words = numbered.dictionary.to_pylist()
-        kept.new.update(_encode_new(kept.missing(words), file, kind))
+        missing = kept.missing(words)  # before kept.new is taken: this may put another in its place
+        kept.new.update(_encode_new(missing, file, kind))
         packed = [*map(kept.new.__getitem__, words)]
         sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // width
         which = np.asarray(numbered.indices)
