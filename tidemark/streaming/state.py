@@ -1,4 +1,4 @@
-"""The fold of changes as a stream: state per key path lives in Spark's state store and outlives restarts."""
+"""The fold of changes as a stream: the state of every path lives in Spark's state store, by entity, and outlives restarts."""
 
 from __future__ import annotations
 
@@ -12,8 +12,8 @@ from pyspark.sql.types import StructType
 
 from tidemark.operators.memory import Cell, apply_change
 
-_COLUMNS = ["seq", *Cell._fields]
 CELLS = "entity string, path string, version long, seq int, value string, status string, confidence double, valid_from int, valid_until int, last_confirmed_at int, source string, evidence array<string>, provenance string"
+_PATHS = "array<struct<path: string, version: bigint, cells: array<struct<value: string, status: string, confidence: double, valid_from: int, valid_until: int, last_confirmed_at: int, source: string, evidence: array<string>, provenance: string>>>>"
 
 
 def fold_stream(changes: DataFrame) -> DataFrame:
@@ -23,27 +23,35 @@ def fold_stream(changes: DataFrame) -> DataFrame:
     micro-batch rows are folded by month and seq; a row that comes in a later one
     is applied after it. ``version`` counts the changes of the path so far, so
     the rows with the highest version are its state. Asking for the state reads
-    what was written and changes nothing.
+    what was written and changes nothing. State is kept for each entity, as what
+    a group costs is far more than what a change does, and leaves Python as one
+    text for each group.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        version, stored = (state.get[0], json.loads(state.get[1])) if state.exists else (0, [])
-        cells = [Cell(*c[:7], tuple(c[7]), c[8]) for c in stored]
-        rows = pd.concat(batches).sort_values(["month", "seq"], kind="stable")  # one path of one micro-batch
-        for r in rows.itertuples():
-            cells = apply_change(cells, r.op, None if pd.isna(r.value) else r.value, int(r.month), None if pd.isna(r.source) else r.source)
-            version += 1
-        state.update((version, json.dumps(cells)))
-        out = pd.DataFrame([(i, *c) for i, c in enumerate(cells)], columns=_COLUMNS)
-        out.insert(0, "version", version)
-        out.insert(0, "path", key[1])
-        out.insert(0, "entity", key[0])
-        for c in ("valid_until", "last_confirmed_at"):
-            out[c] = out[c].astype("Int32")
-        out["evidence"] = out["evidence"].map(list)
-        yield out
-
-    return changes.groupBy("entity", "path").applyInPandasWithState(run, CELLS, "version long, cells string", "update", GroupStateTimeout.NoTimeout)
+        paths = {p: (n, [Cell(*c[:7], tuple(c[7]), c[8]) for c in cells]) for p, n, cells in json.loads(state.get[0])} if state.exists else {}
+        touched = folded(paths, batches)
+        state.update((json.dumps([(p, n, cells) for p, (n, cells) in paths.items()]),))
+        shown = [{"path": p, "version": paths[p][0], "cells": [c._asdict() for c in paths[p][1]]} for p in touched]
+        yield pd.DataFrame({"entity": [key[0]], "paths": [json.dumps(shown)]})
+
+    out = changes.groupBy("entity").applyInPandasWithState(run, "entity string, paths string", "paths string", "update", GroupStateTimeout.NoTimeout)
+    each = out.select("entity", F.explode(F.from_json("paths", _PATHS)).alias("p"))
+    return each.select("entity", "p.path", "p.version", F.posexplode("p.cells").alias("seq", "c")).select("entity", "path", "version", "seq", "c.*")
+
+
+def folded(paths: dict[str | None, tuple[int, list[Cell]]], batches: Iterator[pd.DataFrame]) -> dict[str | None, None]:
+    """Applies the changes of one entity in one micro-batch, by month and seq, to ``paths`` (path: changes so far, cells); the paths that they touch."""
+    plain = lambda v: None if v is None or v != v else v
+    rows = [r for df in batches for r in zip(*(df[c].tolist() for c in ("month", "seq", "path", "op", "value", "source")))]
+    rows.sort(key=lambda r: (r[0], r[1] != r[1], r[1]))  # a null seq is NaN and comes last
+    touched = {}
+    for month, _, path, op, value, source in rows:
+        path = plain(path)
+        n, cells = paths.get(path, (0, []))
+        paths[path] = n + 1, apply_change(cells, op, plain(value), int(month), plain(source))
+        touched[path] = None
+    return touched
 
 
 def fold_available(spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str, files_at_once: int = 1_000) -> DataFrame:
