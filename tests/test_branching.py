@@ -102,6 +102,18 @@ def test_masks(runs):
     assert all(r["target_gone"] for r in verdicts) and any(r["n_own"] for r in verdicts)
 
 
+def test_masks_in_one_pass(runs):
+    """The states are the folds of the masked runs, which are never written out; null places, kinds and sources included."""
+    more = runs.withColumn("source", F.when(F.col("seq") % 5 < 3, F.concat("source", F.lit("b"))).otherwise(F.col("source"))).withColumn("kind", F.when(F.col("seq") % 7 > 0, F.col("kind")))
+    more = more.withColumns({"entity": F.concat("entity", "run"), "path": F.when(F.col("seq") % 11 > 0, F.col("path")), "seq": F.when(F.col("seq") > 0, F.col("seq"))}).drop("run")
+    levels = {"full": [], "some": ["k"], "same": ["k"], "all": ["k", "m"]}
+    got = branching.counterfactual_states(more, levels, ["m"], ["month", "seq"])
+    want = branching.forked_fold(branching.masked_runs(more, levels, ["m"], ["month", "seq"]), "run", ["month", "seq"]).select("run.*", *got.columns[2:])
+    assert norm(got, "event", "level", "entity", *CELL) == norm(want, "event", "level", "entity", *CELL) and got.count() > 100
+    assert branching.counterfactual_states(more.filter("false"), levels, ["m"], ["month", "seq"]).count() == 0
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_all_paths(spark):
     """Stated paths that an entity lacks are unknown; those without any state are there too; others are left out."""
     ddl = "entity string, path string, op string, value string, month int, seq int, source string"

@@ -12,12 +12,13 @@ changed in place, so handing a state to several children is no copy.
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.operators._stage import dealt
-from tidemark.operators.memory import CELL_SCHEMA, CELLS, Cell, apply_change
+from tidemark.operators.memory import CELL_SCHEMA, CELLS, Cell, _rows, apply_change
 
 _CHANGE = ["op", "value", "month", "source"]
 _LOW = (1 << 32) - 1
@@ -153,10 +154,87 @@ def masked_runs(changes: DataFrame, levels: Mapping[str, Sequence[str]], termina
 
 
 def counterfactual_states(changes: DataFrame, levels: Mapping[str, Sequence[str]], terminal: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The touched paths' cells at every level of every case: event, level and the columns of CELLS. A path that a mask empties has no row."""
-    runs = masked_runs(changes, levels, terminal, order)
-    cells = forked_fold(runs, "run", order)
-    return cells.select("run.*", *[c for c in cells.columns if c != "run"])
+    """The touched paths' cells at every level of every case: event, level and the columns of CELLS. A path that a mask empties has no row.
+
+    These are the folds of ``masked_runs``, which are not written out: a path's
+    changes pass once, and runs whose rows were the same so far are one state.
+    A level leaves the path's own state with the first row that it masks; levels
+    that mask the same rows go on together, until the case's last session.
+    """
+    at = F.struct(*order)
+    if "evidence" not in changes.columns:
+        changes = changes.withColumn("evidence", F.expr("cast(array() as array<string>)"))
+    cases = changes.groupBy("entity", F.col("source").alias("event")).agg(F.max(at).alias("until"), F.count_if(F.col("kind").isin(*terminal)).alias("n")).filter("n > 0 and event is not null and entity is not null").select("entity", "event", "until")
+    rows = changes.filter("entity is not null and path is not null").select("entity", "path", *_CHANGE, "evidence", "kind", at.alias("at"))
+    # a case's own rows tell the path when it ends
+    rows = rows.join(cases.withColumnRenamed("event", "source"), ["entity", "source"], "left")
+    rows = rows.select("entity", "path", "at", "until", "op", "value", F.col("month").cast("int").alias("month"), "source", "evidence", "kind")
+    masks = [(level, frozenset(kinds)) for level, kinds in levels.items()]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, trunk, out = None, [], []
+        cases: dict[str, _Case] = {}
+
+        def end(done: list[str]) -> None:
+            for event in done:
+                case = cases.pop(event)
+                if case.touched:
+                    for cells, names in [(trunk, case.whole), *case.forks]:
+                        out.extend((event, level, *key, i, *c) for level in names for i, c in enumerate(cells))
+
+        for batch in batches:
+            for entity, path, here, until, op, value, month, source, evidence, kind in zip(*(c.to_pylist() for c in batch.columns)):
+                if (entity, path) != key:
+                    end([*cases])
+                    key, trunk = (entity, path), []
+                here = _placed(here)
+                end([e for e, case in cases.items() if case.until < here])
+                if until is not None and source not in cases:
+                    cases[source] = _Case(_placed(until), [level for level, _ in masks], [])
+                change = lambda cells: apply_change(cells, op, value, month, source, evidence or ())  # noqa: E731, B023
+                for event, case in cases.items():
+                    if event == source:
+                        gone = {level for level, kinds in masks if kind in kinds}
+                        case.split(trunk, gone)
+                        case.touched = case.touched or op != "no_update"
+                        case.forks = [(cells if names[0] in gone else change(cells), names) for cells, names in case.forks]
+                    else:
+                        case.forks = [(change(cells), names) for cells, names in case.forks]
+                trunk = change(trunk)
+                if len(out) > 20_000:
+                    yield _rows(out, _CASE_CELLS)
+                    out.clear()
+        end([*cases])
+        if out:
+            yield _rows(out, _CASE_CELLS)
+
+    return dealt(rows, ["entity", "path"], ["at"]).mapInArrow(fold, f"event string, level string, {CELLS}")
+
+
+def _placed(at: dict) -> tuple:
+    """A place in the order that compares as Spark's structs do: null first."""
+    return tuple((v is not None, v) for v in at.values())
+
+
+_CASE_CELLS = pa.schema([("event", pa.string()), ("level", pa.string()), *CELL_SCHEMA])
+
+
+@dataclass
+class _Case:
+    """A case as a path's changes pass: when it ends, the levels that are still as the path itself, and the states that others have in common."""
+
+    until: tuple
+    whole: list[str]
+    forks: list[tuple[list[Cell], list[str]]]
+    touched: bool = False
+
+    def split(self, trunk: list[Cell], gone: set[str]) -> None:
+        """Parts the levels of every state into those that mask a row and those that do not."""
+        states = [(trunk, [n for n in self.whole if n in gone])]
+        self.whole = [n for n in self.whole if n not in gone]
+        for cells, names in self.forks:
+            states += [(cells, [n for n in names if n in gone]), (cells, [n for n in names if n not in gone])]
+        self.forks = [(cells, names) for cells, names in states if names]
 
 
 def counterfactual_verdicts(states: DataFrame, full: str, last: str) -> DataFrame:
