@@ -114,6 +114,26 @@ def test_masks_in_one_pass(runs):
     assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_verdicts_fold_once(runs):
+    """The verdicts of all levels are those of the two that they read, and the states are worked out once."""
+    one = runs.filter("entity = 'a'").withColumn("entity", F.concat("entity", "run")).drop("run")
+    levels = {"full": [], "some": ["k"], "all": ["m"]}
+    states = branching.counterfactual_states(one, levels, ["m"], ["month", "seq"])
+    got = branching.counterfactual_verdicts(states, "full", "all")
+    rows = [r.asDict() for r in states.collect()]
+    want = []
+    for entity, event in {(r["entity"], r["event"]) for r in rows if r["level"] != "some"}:
+        cells = {level: [(tuple(map(str, (r[c] for c in ("path", "value", "status", "confidence", "valid_from", "valid_until", "source")))), r["source"] == event) for r in rows if (r["entity"], r["event"], r["level"]) == (entity, event, level)] for level in levels}
+        own = {level: sum(mine for _, mine in cs) for level, cs in cells.items()}
+        count = lambda level, x: sum(c == x and not mine for c, mine in cells[level])  # noqa: E731, B023
+        others = {c for level in ("full", "all") for c, mine in cells[level] if not mine}
+        want.append(tuple(map(str, (entity, event, own["full"], own["all"] == 0, sum(abs(count("full", x) - count("all", x)) for x in others)))))
+    assert norm(got, "entity", "event", "n_own", "target_gone", "n_moved") == sorted(want) and len(want) > 5
+    two = branching.counterfactual_states(one, {k: levels[k] for k in ("full", "all")}, ["m"], ["month", "seq"])
+    assert norm(branching.counterfactual_verdicts(two, "full", "all"), "entity", "event", "n_own", "target_gone", "n_moved") == sorted(want)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow fold") == 1
+
+
 def test_all_paths(spark):
     """Stated paths that an entity lacks are unknown; those without any state are there too; others are left out."""
     ddl = "entity string, path string, op string, value string, month int, seq int, source string"

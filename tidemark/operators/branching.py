@@ -239,10 +239,11 @@ class _Case:
 
 def counterfactual_verdicts(states: DataFrame, full: str, last: str) -> DataFrame:
     """Of each case: whether the event's own cells are all gone at level ``last`` (target_gone), how many it had at ``full``, and how many cells of others differ between them (n_moved)."""
-    mine = F.col("source") == F.col("event")
-    cell = F.sha2(F.to_json(F.struct("path", "value", "status", "confidence", "valid_from", "valid_until", "source"), {"ignoreNullFields": "false"}), 256)
-    ends = states.filter(F.col("level").isin(full, last)).withColumns({"mine": F.coalesce(mine, F.lit(False)), "cell": cell})
-    own = ends.groupBy("entity", "event").agg(F.count_if(F.col("mine") & (F.col("level") == full)).alias("n_own"), F.count_if(F.col("mine") & (F.col("level") == last)).alias("left"))
-    sides = ends.filter("not mine").groupBy("entity", "event", "cell").agg(F.sum(F.when(F.col("level") == full, 1).otherwise(-1)).alias("d"))
-    moved = sides.groupBy("entity", "event").agg(F.sum(F.abs("d")).alias("n_moved"))
-    return own.join(moved, ["entity", "event"], "left").select("entity", "event", "n_own", (F.col("left") == 0).alias("target_gone"), F.coalesce("n_moved", F.lit(0)).alias("n_moved"))
+    mine = F.coalesce(F.col("source") == F.col("event"), F.lit(False))
+    sides = F.when(F.col("level") == full, 1).otherwise(-1)
+    # a cell of one source is the event's own on both sides or on none
+    cells = states.filter(F.col("level").isin(full, last)).groupBy("entity", "event", "path", "value", "status", "confidence", "valid_from", "valid_until", "source")
+    cells = cells.agg(F.count_if(F.col("level") == full).alias("n"), F.count_if(F.col("level") == last).alias("n_last"), F.sum(sides).alias("d"))
+    total = lambda n, of: F.coalesce(F.sum(F.when(of, n)), F.lit(0))
+    out = cells.groupBy("entity", "event").agg(total(F.col("n"), mine).alias("n_own"), (total(F.col("n_last"), mine) == 0).alias("target_gone"), total(F.abs("d"), ~mine).alias("n_moved"))
+    return out.select("entity", "event", "n_own", "target_gone", "n_moved")

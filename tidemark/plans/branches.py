@@ -64,8 +64,8 @@ ch as (select entity || ':' || event || ':' || level as entity, path, op, value,
 states as (select split_part(entity, ':', 1) as entity, split_part(entity, ':', 2) as event, split_part(entity, ':', 3) as level, path, {_CELL_SQL} from cell)"""
 
 
-def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return branching.counterfactual_states(_changes(spark, sf_dir).withColumnRenamed("event_type", "kind"), LEVELS, TERMINAL, ["month", "seq"])
+def _states(spark: SparkSession, sf_dir: str, *levels: str) -> DataFrame:
+    return branching.counterfactual_states(_changes(spark, sf_dir).withColumnRenamed("event_type", "kind"), {k: LEVELS[k] for k in levels or LEVELS}, TERMINAL, ["month", "seq"])
 
 
 @query(f"{_MASKED_SQL} select * from states")
@@ -80,7 +80,7 @@ moved as (select entity, event, sum(abs(d)) as n_moved from (select entity, even
 select entity, event, n_own, n_left = 0 as target_gone, coalesce(n_moved, 0)::bigint as n_moved from own left join moved using (entity, event)""")
 def masked_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether an event's own cells are gone at the last level, and how many cells of others are not as they were."""
-    return branching.counterfactual_verdicts(_states(spark, sf_dir), "full", "mask_all")
+    return branching.counterfactual_verdicts(_states(spark, sf_dir, "full", "mask_all"), "full", "mask_all")
 
 
 _SNAP_SQL = f"""{_FOLD_SQL}, tm(t) as (values (10), (20), (31)), upto as (select ch.entity, ch.path, t, max(i) as i from ch, tm where month <= t group by 1, 2, 3),
