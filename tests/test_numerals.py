@@ -62,3 +62,9 @@ def test_grounded_or_not(spark):
 def test_normal_amounts(spark):
     rows = spark.createDataFrame([("3만", "krw"), ("없음", "krw"), (None, "krw"), ("3만", "integer"), ("나, 가", "string_list"), ("x", None)], "a string, k string")
     assert [r[0] for r in rows.select(A.normalized_answer(F.col("a"), F.col("k"))).collect()] == ["30000", A.NONE, A.NONE, "3", '["가","나"]', "x"]
+
+
+def test_amounts_are_read_once(spark):
+    """Each step of an amount stands in the plan a few times, not once for each use of what it gives."""
+    plan = spark.createDataFrame([("3만",)], "t string").select(A.won(F.col("t")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp") + plan.count("RLIKE") < 60

@@ -137,13 +137,26 @@ def won(text: Column) -> Column:
     """
     t = F.regexp_replace(F.lower(compatible(text)), "[, 원]", "")
     t = F.regexp_replace(F.regexp_replace(t, "^(?:약|대략)", ""), "(?:정도|쯤)$", "")
-    part = lambda k: F.regexp_extract(t, r"^(-?)(?:([^억]*)(억))?(?:([^만]*)(만))?(.*)$", k)
-    head = lambda k: F.when(part(k + 1) == "", F.lit(0.0)).when(part(k) == "", F.lit(1.0)).otherwise(numeral(part(k)))
-    tail = F.when((part(6) == "") & (F.concat(part(3), part(5)) != ""), F.lit(0.0)).otherwise(numeral(part(6)))
-    worth = head(2) * LARGE_UNITS["억"] + head(4) * LARGE_UNITS["만"] + tail
-    worth = F.when(part(1) == "-", -worth).otherwise(worth)
+    return _bound(t, _won)
+
+
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a column that is worked out once, however often ``f`` names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _won(t: Column) -> Column:
+    parts = F.struct(*[F.regexp_extract(t, r"^(-?)(?:([^억]*)(억))?(?:([^만]*)(만))?(.*)$", k).alias(f"p{k}") for k in range(1, 7)])
+
+    def worth(p: Column) -> Column:
+        read = lambda k: _bound(p[f"p{k}"], numeral)
+        head = lambda k: F.when(p[f"p{k + 1}"] == "", F.lit(0.0)).when(p[f"p{k}"] == "", F.lit(1.0)).otherwise(read(k))
+        tail = F.when((p["p6"] == "") & (F.concat(p["p3"], p["p5"]) != ""), F.lit(0.0)).otherwise(read(6))
+        return F.when(p["p1"] == "-", F.lit(-1.0)).otherwise(F.lit(1.0)) * (head(2) * LARGE_UNITS["억"] + head(4) * LARGE_UNITS["만"] + tail)
+
     first = F.regexp_extract(t, r"^-?(.*)$", 1)
-    read = F.coalesce(F.when(F.abs(worth) < 9.2e18, worth).cast("long"), F.regexp_extract(F.when(t.rlike(r"^-?\d+(?:\.\d+)?$"), t).otherwise(first), r"-?\d+", 0).try_cast("long"))
+    whole = _bound(_bound(parts, worth), lambda w: F.when(F.abs(w) < 9.2e18, w).cast("long"))
+    read = F.coalesce(whole, F.regexp_extract(F.when(t.rlike(r"^-?\d+(?:\.\d+)?$"), t).otherwise(first), r"-?\d+", 0).try_cast("long"))
     nothing = F.regexp_replace(t, r"\s", "").isin(*NONE_SURFACES)
     return F.when(~nothing, read)
 
