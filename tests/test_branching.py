@@ -141,3 +141,11 @@ def test_all_paths(spark):
     states = memory.effective(memory.fold(changes))
     got = memory.with_all_paths(states, ["p", "r"], spark.createDataFrame([("c",), ("a",)], "entity string"))
     assert sorted((r["entity"], r["path"], r["value"], r["status"]) for r in got.collect()) == [("a", "p", "x", "current"), ("a", "r", None, "unknown"), ("b", "p", None, "unknown"), ("b", "r", None, "unknown"), ("c", "p", None, "unknown"), ("c", "r", None, "unknown")]
+
+
+def test_tasks_grow_with_the_rows(spark):
+    """Many changes are dealt to more tasks than Spark's own number, by every exchange of nodes."""
+    rows = spark.range(0, 1_900_000, 1, 4).selectExpr("cast(id div 20 as string) as entity", "'r' as run", "'p' as path", "'create' as op", "'v' as value", "cast(id % 20 as int) as month", "id as seq", "'s' as source")
+    nodes = branching.prefix_nodes(rows, ["entity", "run"], ["month", "seq"], ["path", "op", "value", "month", "source"])
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (branching.shared_work(nodes, ["entity"], ["entity", "run"]), branching.forked_fold(rows))]
+    assert [p.count(", 10), REPARTITION_BY_NUM") for p in plans] == [2, 5]

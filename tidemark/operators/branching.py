@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tidemark.operators._stage import dealt
+from tidemark.operators._stage import dealt, free, tasks_for
 from tidemark.operators.memory import CELL_SCHEMA, CELLS, Cell, _rows, apply_change
 
 _CHANGE = ["op", "value", "month", "source"]
@@ -28,22 +28,27 @@ def prefix_nodes(changes: DataFrame, run: Sequence[str], order: Sequence[Column
     """``changes`` with ``depth`` (place in the run, from 1) and ``na``, ``nb``, which name the run's rows up to this one.
 
     Rows of equal content in the same places are equal nodes, whatever the run.
+    Contents are hashed before they are put in order, so that a caller who needs
+    only the names sorts no more than these.
     """
     w = W.partitionBy(*run).orderBy(*order)
-    rows = changes.withColumn("depth", F.row_number().over(w).cast("long"))
-    one, two = F.xxhash64("depth", *content), F.xxhash64(F.lit(1), *content, "depth")
+    a, b = free("one", changes), free("two", changes)
+    rows = changes.withColumns({a: F.xxhash64(*content), b: F.xxhash64(F.lit(1), *content)}).withColumn("depth", F.row_number().over(w).cast("long"))
+    one, two = F.xxhash64("depth", a), F.xxhash64(b, "depth")
     upto = w.rowsBetween(W.unboundedPreceding, 0)
     part = lambda c: F.sum(c).over(upto).bitwiseAND(F.lit(_LOW))
     name = lambda c: F.shiftleft(part(F.shiftrightunsigned(c, 32)), 32).bitwiseOR(part(c.bitwiseAND(F.lit(_LOW))))
-    return rows.withColumns({"na": name(one), "nb": name(two)})
+    return rows.withColumns({"na": name(one), "nb": name(two)}).drop(a, b)
 
 
 def shared_work(nodes: DataFrame, by: Sequence[str], run: Sequence[str]) -> DataFrame:
     """Of each ``by``: n_changes (all rows of all runs), n_nodes (what has to be worked out), n_clones (children of nodes with several)."""
     w = W.partitionBy(*run).orderBy("depth")
     kids = nodes.withColumns({"pa": F.coalesce(F.lag("na").over(w), F.lit(0)), "pb": F.coalesce(F.lag("nb").over(w), F.lit(0))})
-    each = kids.groupBy(*by, "na", "nb").agg(F.first("pa").alias("pa"), F.first("pb").alias("pb"), F.count(F.lit(1)).alias("n"))
-    above = each.groupBy(*by, "pa", "pb").agg(F.count(F.lit(1)).alias("kids"), F.sum("n").alias("n"))
+    # a run has a node once: to count before they are dealt would hold them all and save nothing
+    tasks = tasks_for(nodes)
+    each = kids.select(*by, "na", "nb", "pa", "pb").repartition(tasks, "na", "nb").groupBy(*by, "na", "nb").agg(F.first("pa").alias("pa"), F.first("pb").alias("pb"), F.count(F.lit(1)).alias("n"))
+    above = each.repartition(tasks, "pa", "pb").groupBy(*by, "pa", "pb").agg(F.count(F.lit(1)).alias("kids"), F.sum("n").alias("n"))
     return above.groupBy(*by).agg(F.sum("n").alias("n_changes"), F.sum("kids").alias("n_nodes"), F.coalesce(F.sum(F.when(F.col("kids") > 1, F.col("kids"))), F.lit(0)).alias("n_clones"))
 
 
@@ -55,6 +60,7 @@ def forked_fold(changes: DataFrame, run: str = "run", order: Sequence[Column | s
     that of folding each run from scratch; shared beginnings are folded once.
     An entity and path with very many nodes is one task, as in ``memory.fold``.
     """
+    tasks = tasks_for(changes)
     if "evidence" not in changes.columns:
         changes = changes.withColumn("evidence", F.expr("cast(array() as array<string>)"))
     content = [*_CHANGE, "evidence"]
@@ -62,8 +68,8 @@ def forked_fold(changes: DataFrame, run: str = "run", order: Sequence[Column | s
     own = W.partitionBy("entity", run, "path").orderBy("depth")
     rows = rows.withColumns({"pa": F.lag("na").over(own), "pb": F.lag("nb").over(own), "last": F.lead("na").over(own).isNull()})
     key = ["na", "nb"]  # of one entity and path
-    nodes = rows.groupBy(*key).agg(*[F.first(c).alias(c) for c in ("entity", "path", "depth")], F.first(F.struct("pa", "pb")).alias("p"), F.max("last").alias("ends"), F.first(F.struct(*content)).alias("c"))
-    starts = nodes.groupBy(F.col("p.pa").alias("na"), F.col("p.pb").alias("nb")).agg(F.count(F.lit(1)).alias("n_next"))
+    nodes = rows.repartition(tasks, *key).groupBy(*key).agg(*[F.first(c).alias(c) for c in ("entity", "path", "depth")], F.first(F.struct("pa", "pb")).alias("p"), F.max("last").alias("ends"), F.first(F.struct(*content)).alias("c"))
+    starts = nodes.select("p.pa", "p.pb").repartition(tasks, "pa", "pb").groupBy(F.col("pa").alias("na"), F.col("pb").alias("nb")).agg(F.count(F.lit(1)).alias("n_next"))
     nodes = nodes.join(starts, key, "left").fillna(0, ["n_next"])
     flat = ["entity", "path", *key, "depth", "p.pa", "p.pb", "n_next", "ends", "c.op", "c.value", F.col("c.month").cast("int").alias("month"), "c.source", "c.evidence"]
 
@@ -87,8 +93,8 @@ def forked_fold(changes: DataFrame, run: str = "run", order: Sequence[Column | s
                     out += [(na, nb, entity, path, i, *c) for i, c in enumerate(cells)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * len(_NODE_CELLS), _NODE_CELLS.types)], schema=_NODE_CELLS)
 
-    cells = dealt(nodes.select(*flat), ["entity", "path"], ["depth"]).mapInArrow(fold, f"na long, nb long, {CELLS}")
-    return rows.filter("last").select(run, *key).join(cells, key).select(run, *[f.name for f in CELL_SCHEMA])
+    cells = dealt(nodes.select(*flat), ["entity", "path"], ["depth"], tasks).mapInArrow(fold, f"na long, nb long, {CELLS}")
+    return rows.filter("last").select(run, *key).repartition(tasks, *key).join(cells, key).select(run, *[f.name for f in CELL_SCHEMA])
 
 
 _NODE_CELLS = pa.schema([("na", pa.int64()), ("nb", pa.int64()), *CELL_SCHEMA])

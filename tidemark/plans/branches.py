@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from tidemark.operators import branching, cases, joins, masking, memory, replay, scoring, windows
+from tidemark.operators._stage import tasks_for
 from tidemark.plans._base import query, table
 from tidemark.plans.histories import _FOLD_SQL, _changes
 from tidemark.sources import files
@@ -26,7 +27,8 @@ _RUNS_SQL = f"""{_CH}, r as (select entity as user, 'v' || v as run, path, op, m
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's changes in three variants, which say something else after 5 and after 10 changes."""
     n = F.row_number().over(W.partitionBy("entity").orderBy("month", "seq"))
-    rows = _changes(spark, sf_dir).drop("event_type").withColumn("n", n).withColumn("v", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    changes = _changes(spark, sf_dir).drop("event_type")
+    rows = changes.repartition(tasks_for(changes, 100_000), "entity").withColumn("n", n).withColumn("v", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     value = F.when((F.col("v") > 0) & (F.col("n") > 5 * F.col("v")), F.concat("value", F.lit("v"), F.col("v").cast("string"))).otherwise(F.col("value"))
     return rows.withColumn("value", value).withColumn("run", F.concat(F.lit("v"), F.col("v").cast("string"))).drop("n", "v")
 
