@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import joins, projections, sets, windows
+from tidemark.operators._stage import staged
 from tidemark.sources import files
 
 
@@ -103,6 +104,28 @@ def test_flattened_to_any_depth(spark):
     assert got == sorted(want)
 
 
+def test_flattened_in_one_go(spark, monkeypatch):
+    """Levels are not written out one by one."""
+    written = []
+    monkeypatch.setattr(projections, "staged", lambda df: written.append(1) or staged(df))
+    nested = lambda depth: json.loads("[" * depth + "7" + "]" * depth)
+    df = spark.createDataFrame([(json.dumps({"a": nested(8), "b{[": [], "c": "[]", "d": "{"}),), ("{[",)], "text string")
+    got = sorted(tuple(r) for r in projections.flattened(df, [], "text").collect())
+    assert got == [("$.a" + "[0]" * 8, "7"), ("$.c", "[]"), ("$.d", "{")] and not written
+    deep = spark.createDataFrame([(k, json.dumps(nested(k))) for k in (0, 15, 16, 17, 32, 33)], "id int, text string")
+    got = sorted(tuple(r) for r in projections.flattened(deep, ["id"], "text").collect())
+    assert got == [(k, "$" + "[0]" * k, "7") for k in (0, 15, 16, 17, 32, 33)] and len(written) == 2
+    wide = spark.createDataFrame([(json.dumps([{"k": i} for i in range(100)] + [[], {}, [None], [{}]]),)], "text string")
+    assert sorted(tuple(r) for r in projections.flattened(wide, [], "text").collect()) == sorted((f"$[{i}].k", str(i)) for i in range(100))
+    assert len(written) == 3  # empty containers are not carried on
+
+
+def test_flattened_keeps_columns_of_any_name(spark):
+    names = ["pos_", "key_", "item_", "path_", "variant"]
+    df = spark.createDataFrame([(*range(5), "[3]")], ", ".join(f"{n} int" for n in names) + ", text string")
+    assert [tuple(r) for r in projections.flattened(df, names, "text").collect()] == [(*range(5), "$[0]", "3")]
+
+
 def test_sequences():
     rnd = random.Random(4)
     for _ in range(200):

@@ -12,6 +12,8 @@ from tidemark.operators._stage import free, staged
 #: The observable fields of a property.
 PROPERTY_FIELDS = ("address", "ownership_status", "mortgage_status", "role")
 PRIMARY, SECONDARY = "primary_residence", "secondary_property"
+#: Levels of nested texts that are taken apart in one go.
+LEVELS = 16
 
 _strings = lambda: F.expr("cast(array() as array<string>)")
 
@@ -234,22 +236,27 @@ def contract_errors(params: Column, contract: Mapping[str, Sequence[str]]) -> Co
 def flattened(df: DataFrame, keep: Sequence[str], text: str) -> DataFrame:
     """Scalars of the JSON in column ``text``: a row for each, with the columns of ``keep``, path and value (text).
 
-    Any depth: containers are taken apart level by level until none is left, and
-    each level is worked out once. Nulls, empty containers and texts that are no
-    JSON have no row.
+    Any depth: containers are taken apart level by level, ``LEVELS`` of them as
+    rows pass. No text is deeper than it has opening brackets; where that leaves
+    more levels, the containers still whole are written out once and taken
+    further. Nulls, empty containers and texts that are no JSON have no row.
     """
-    v, path = free("variant", df), free("path_", df)
-    rows, out = df.select(*keep, F.lit("$").alias(path), F.try_parse_json(text).alias(v)).filter(F.col(v).isNotNull()), []
+    v, path, pos, key, item = (free(n, df) for n in ("variant", "path_", "pos_", "key_", "item_"))
+    left = df.agg(F.max(F.length(text) - F.length(F.translate(text, "{[", "")))).first()[0] or 0
+    rows, out = df.select(*keep, F.lit("$").alias(path), F.try_parse_json(text).alias(v)), []
+    step = F.when(F.col(pos).isNull(), "").when(F.col(key).isNull(), F.concat(F.lit("["), F.col(pos).cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("."), F.col(key)))
+    kind = F.schema_of_variant(v)
     while True:
-        kind = F.schema_of_variant(v)
-        inner = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-        out.append(rows.filter(~inner & (kind != "VOID")).select(*keep, F.col(path).alias("path"), F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v)).alias("value")))
-        held = rows.filter(inner)
-        if held.isEmpty():
+        for _ in range(min(left, LEVELS)):
+            parts = rows.lateralJoin(df.sparkSession.tvf.variant_explode_outer(F.col(v).outer()).toDF(pos, key, item))
+            rows = parts.select(*keep, F.concat(path, step).alias(path), F.when(F.col(pos).isNull(), F.col(v)).otherwise(F.col(item)).alias(v))
+        left -= LEVELS
+        out.append(rows.filter(~kind.rlike("^(OBJECT|ARRAY|VOID)")).select(*keep, F.col(path).alias("path"), F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v)).alias("value")))
+        if left <= 0:
+            return reduce(DataFrame.unionAll, out)
+        rows = staged(rows.filter(kind.rlike("^(OBJECT|ARRAY)") & ~kind.isin("OBJECT<>", "ARRAY<VOID>")))  # those hold nothing
+        if rows.isEmpty():
             return reduce(DataFrame.unionAll, out)
-        parts = held.lateralJoin(df.sparkSession.tvf.variant_explode(F.col(v).outer()).toDF("pos_", "key_", "item_"))
-        step = F.when(F.col("key_").isNull(), F.concat(F.lit("["), F.col("pos_").cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("."), F.col("key_")))
-        rows = staged(parts.select(*keep, F.concat(path, step).alias(path), F.col("item_").alias(v)))
 
 
 def merged(a: Column, b: Column) -> Column:
