@@ -175,6 +175,18 @@ def test_failed_manifest(spark, tmp_path):
     assert spark.read.json(f"{path}.manifest").first()["status"] == "FAILED" and spark.read.parquet(path).count() == 3
 
 
+def test_similar_sets_of_copies(spark, tmp_path):
+    """Users of equal sets, clicks without a key and clicks without a user: the rows are those of the SQL."""
+    rows = [(u, f'{{"k": {u % 7 + j}}}') for u in range(40) for j in range(4)] + [(None, f'{{"k": {j}}}') for j in range(3)]
+    rows += [(u, p) for u in range(0, 50, 5) for p in ("{}", None, '{"k": null}')]
+    spark.createDataFrame([(u, "click", p) for u, p in rows], "user_id long, event_type string, props string").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(f"select a, b, shared, size_a, size_b from ({SQL['similar_sets']})").fetchall()
+    got = QUERIES["similar_sets"](spark, str(tmp_path)).select("a", "b", "shared", "size_a", "size_b").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and {w[2:] for w in want} >= {(4, 4, 4), (4, 5, 5)}
+
+
 def test_sequences():
     assert T.lcs_length("abcbdab", "bdcaba") == 4 and T.edit_distance("kitten", "sitting") == 3 and T.edit_distance((), "ab") == 2
 

@@ -80,6 +80,20 @@ def test_similar_sets_in_blocks(spark):
     assert plan.count("SortMergeJoin") + plan.count("BroadcastHashJoin") <= 1  # the sets are sent to their pairs, pairs are not joined
 
 
+def test_similar_sets_with_copies(spark):
+    """All pairs of keys, also of equal sets in one block and in several; a null item counts in a size, null keys and empty sets have no partner."""
+    rnd = random.Random(6)
+    rows = [(k, sorted({rnd.choice("abcdef") for _ in range(rnd.randint(0, 3))}) + [None] * (k % 4 == 0)) for k in range(80)]
+    rows += [(k, ["all", "x"]) for k in range(100, 400)] + [(None, ["a"]), (None, ["lonely"]), (None, ["x", "y"])]
+    df = spark.createDataFrame(rows, "k long, s array<string>")
+    held = [(k, set(s)) for k, s in rows if k is not None]
+    for percent in (15, 60, 100):
+        want = [(a, b, len((x & y) - {None}), len(x), len(y)) for a, x in held for b, y in held if a < b]
+        want = sorted(w for w in want if w[2] and 100 * w[2] >= percent * (w[3] + w[4] - w[2]))
+        for block in (100, 4_096) if percent == 60 else (4_096,):
+            assert sorted(map(tuple, joins.similar_sets(df, "k", "s", percent, block, copies=True).collect())) == want
+
+
 def test_flattened_to_any_depth(spark):
     deep = "leaf"
     for k in range(50):

@@ -99,9 +99,11 @@ def first_impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 i as (select u.user_id, unnest(s) as x, len(s) as n from u), p as (select a.user_id as a, b.user_id as b, count(*) as shared, any_value(a.n) as na, any_value(b.n) as nb from i a join i b on a.x = b.x and a.user_id < b.user_id group by 1, 2)
 select a, b, shared, na::bigint as size_a, nb::bigint as size_b from p where 100 * shared >= 15 * (na + nb - shared)""")
 def similar_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users whose sets of clicked keys have a Jaccard similarity of 0.15 or more, by pairs of blocks."""
+    """Users whose sets of clicked keys have a Jaccard similarity of 0.15 or more, equal sets too, by pairs of blocks; a click without a key counts in its user's set."""
     clicks = _of(spark, sf_dir, "click").select("user_id", F.get_json_object("props", "$.k").alias("k"))
-    return joins.similar_sets(clicks.groupBy("user_id").agg(F.collect_set("k").alias("s")), "user_id", "s", 15)
+    # collect_set leaves nulls out; a set has one at most
+    null = F.array_repeat(F.lit(None).cast("string"), F.max(F.col("k").isNull().cast("int")))
+    return joins.similar_sets(clicks.groupBy("user_id").agg(F.concat(F.collect_set("k"), null).alias("s")), "user_id", "s", 15, copies=True)
 
 
 @query("""with c as (select d.doc_id, d.lang, d.source from documents d), e as (select distinct d.lang, d.source from documents d join labels l using (doc_id) where quality = 1)
